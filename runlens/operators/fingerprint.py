@@ -67,3 +67,17 @@ def unchanged_jobs(current: DataFrame, stored: DataFrame,
         unchanged.alias("unchanged"),
         F.when(~F.col("force") & unchanged, "skip_unchanged").otherwise("compile")
          .alias("decision"))
+
+
+def resolve_artifacts(artifacts: DataFrame) -> DataFrame:
+    """source = blob_url or url, name = filename or path or name (empty
+    counts as missing); entries lacking either are skipped; leading '/' and
+    then leading '\\' are stripped from the name."""
+    src = F.coalesce(F.nullif(F.col("blob_url"), F.lit("")), F.nullif(F.col("url"), F.lit("")))
+    rel = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("filename", "path", "name")])
+    return (artifacts.select("deal_id", "pos", src.alias("source_url"), rel.alias("_rel"),
+                             "content_sha256")
+            .where(F.col("source_url").isNotNull() & F.col("_rel").isNotNull())
+            .select("deal_id", "pos", "source_url",
+                    F.ltrim(F.ltrim(F.col("_rel"), F.lit("/")), F.lit("\\")).alias("rel_path"),
+                    "content_sha256"))

@@ -111,3 +111,163 @@ FROM (""" + FP_DIGEST.format(where="WHERE pos % 130 <> 7") + r""") p
 JOIN manifests m USING (deal_id)
 WHERE m.deal_no <> 19
 """, ("artifacts", "manifests"))
+
+
+# --- JSON helpers for the decode oracles (DuckDB json extension) ----------
+def j_truthy(doc: str, path: str) -> str:
+    t = f"json_type({doc}, '{path}')"
+    return (f"coalesce(CASE {t} WHEN 'NULL' THEN false "
+            f"WHEN 'BOOLEAN' THEN CAST(json_extract({doc}, '{path}') AS BOOLEAN) "
+            f"WHEN 'VARCHAR' THEN length(json_extract_string({doc}, '{path}')) > 0 "
+            f"WHEN 'ARRAY' THEN json_array_length({doc}, '{path}') > 0 "
+            f"WHEN 'OBJECT' THEN len(json_keys({doc}, '{path}')) > 0 "
+            f"ELSE CAST(json_extract({doc}, '{path}') AS DOUBLE) <> 0 END, false)")
+
+
+def j_str(doc: str, path: str) -> str:
+    t = f"json_type({doc}, '{path}')"
+    return (f"CASE WHEN {t} = 'NULL' THEN 'None' WHEN {t} = 'BOOLEAN' THEN "
+            f"CASE WHEN CAST(json_extract({doc}, '{path}') AS BOOLEAN) THEN 'True' ELSE 'False' END "
+            f"ELSE json_extract_string({doc}, '{path}') END")
+
+
+def j_truthy_text(doc: str, path: str) -> str:
+    return f"CASE WHEN {j_truthy(doc, path)} THEN {j_str(doc, path)} ELSE '' END"
+
+
+def _requester(doc: str) -> str:
+    flat = (f"trim(CASE WHEN {j_truthy(doc, '$.triggered_by')} THEN {j_str(doc, '$.triggered_by')} "
+            f"WHEN {j_truthy(doc, '$.triggeredBy')} THEN {j_str(doc, '$.triggeredBy')} ELSE '' END)")
+    obj = f"coalesce(json_type({doc}, '$.trigger') = 'OBJECT', false)"
+    by = f"trim({j_truthy_text(doc, '$.trigger.by')})"
+    kind = f"trim({j_truthy_text(doc, '$.trigger.kind')})"
+    return (f"CASE WHEN {flat} <> '' THEN {flat} WHEN {obj} AND {by} <> '' THEN {by} "
+            f"WHEN {obj} AND {kind} <> '' THEN {kind} END")
+
+
+_B64 = "regexp_replace(trim(coalesce(content, '')), '[^A-Za-z0-9+/=]', '', 'g')"
+_STRICT = "'^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$'"
+
+cte("decoded_messages", f"""
+SELECT message_id, lane, received_at, dequeue_count, content,
+       msg IS NOT NULL AS decoded,
+       CASE WHEN ltrim(ptxt) LIKE '{{%' AND coalesce(json_valid(ptxt), false)
+                 AND json_type(ptxt) = 'OBJECT' AND json_extract_string(ptxt, '$.kind') = 'sow_draft'
+            THEN 'draft' ELSE 'compile' END AS route,
+       coalesce(msg IS NOT NULL AND json_extract(msg, '$.compile_id') IS NOT NULL
+         AND json_extract(msg, '$.deal_id') IS NOT NULL
+         AND json_extract(msg, '$.manifest_blob_url') IS NOT NULL
+         AND NOT ({j_truthy('msg', '$.compile_options')} AND coalesce(json_type(msg, '$.compile_options') <> 'OBJECT', true))
+         AND NOT ({j_truthy('msg', '$.trigger')} AND coalesce(json_type(msg, '$.trigger') <> 'OBJECT', true)),
+         false) AS job_ok,
+       {j_str('msg', '$.compile_id')} AS compile_id,
+       {j_str('msg', '$.deal_id')} AS deal_id,
+       {j_str('msg', '$.manifest_blob_url')} AS manifest_blob_url,
+       json_extract_string(msg, '$.domain_pack') AS domain_pack,
+       ({j_truthy('msg', '$.force')} OR (coalesce(json_type(msg, '$.compile_options') = 'OBJECT', false)
+          AND {j_truthy('msg', '$.compile_options.force')})) AS force,
+       {_requester('msg')} AS triggered_by,
+       CASE WHEN coalesce(json_type(msg, '$.trigger') = 'OBJECT', false)
+                 AND trim({j_truthy_text('msg', '$.trigger.kind')}) <> ''
+            THEN trim({j_truthy_text('msg', '$.trigger.kind')}) END AS trigger_kind,
+       msg
+FROM (
+  SELECT *,
+         CASE WHEN coalesce(json_valid(t), false) AND json_type(t) = 'OBJECT' THEN t
+              WHEN coalesce(json_valid(b), false) AND json_type(b) = 'OBJECT' THEN b END AS msg,
+         CASE WHEN ltrim(coalesce(content, '')) LIKE '{{%' THEN content
+              WHEN regexp_full_match(trim(coalesce(content, '')), {_STRICT})
+              THEN try(decode(from_base64(trim(content)))) END AS ptxt
+  FROM (SELECT *, trim(coalesce(content, '')) AS t,
+               CASE WHEN length({_B64}) % 4 = 0 THEN try(decode(from_base64({_B64}))) END AS b
+        FROM raw_messages))
+""", ("raw_messages",))
+
+cte("status_events", r"""
+SELECT CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS compile_id,
+       'd' || CAST(user_id AS VARCHAR) AS deal_id,
+       CASE WHEN event_type IN ('view', 'click') THEN 'running'
+            WHEN event_type = 'purchase' THEN 'completed'
+            WHEN event_type = 'signup' THEN CASE WHEN event_id % 2 = 1 THEN 'interrupted' ELSE 'cancelled' END
+            ELSE 'failed' END AS status,
+       CASE WHEN event_type = 'view' THEN 'parse' WHEN event_type = 'click' THEN 'enrich'
+            WHEN event_type = 'purchase' THEN 'done'
+            WHEN event_type = 'signup' THEN CASE WHEN event_id % 2 = 1 THEN 'terminated' ELSE 'cancelled' END
+            ELSE ['timeout', 'killed', 'out_of_memory', 'exception', 'exhausted_retries'][event_id % 5 + 1]
+       END AS stage,
+       ts AS updated_at, event_id AS seq, value AS elapsed_sec, k AS atom_count,
+       k // 3 AS entity_count,
+       CAST(CASE WHEN event_type = 'purchase' THEN 100 ELSE k END AS INTEGER) AS percent_complete,
+       CASE WHEN event_type = 'error' THEN repeat('E', CAST(480 + event_id % 60 AS INTEGER)) END AS error,
+       CASE WHEN event_type = 'error' THEN 'Traceback #' || CAST(event_id AS VARCHAR) END AS traceback,
+       'w' || CAST(user_id % 3 AS VARCHAR) AS worker_sha,
+       'p' || CAST(user_id % 2 AS VARCHAR) AS parser_os_sha,
+       user_id, event_type, event_id
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+""")
+
+cte("latest_status", r"""
+SELECT * FROM status_events
+QUALIFY row_number() OVER (PARTITION BY compile_id ORDER BY updated_at DESC, seq DESC) = 1
+""", ("status_events",))
+
+cte("jobs", r"""
+SELECT * FROM decoded_messages WHERE route = 'compile' AND job_ok
+""", ("decoded_messages",))
+
+
+def ts_text(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
+
+cte("unchanged", r"""
+SELECT c.deal_id, c.artifact_key, c.as_of, s.artifact_key AS stored_key,
+       s.as_of AS stored_as_of, s.deal_id IS NOT NULL AS has_record, c.force,
+       coalesce(s.artifact_key = c.artifact_key AND s.as_of IS NOT DISTINCT FROM c.as_of, false)
+         AS unchanged,
+       CASE WHEN NOT c.force AND coalesce(s.artifact_key = c.artifact_key
+                 AND s.as_of IS NOT DISTINCT FROM c.as_of, false)
+            THEN 'skip_unchanged' ELSE 'compile' END AS decision
+FROM (SELECT f.deal_id, f.artifact_key, nullif(trim(m.as_of), '') AS as_of,
+             m.deal_no % 6 = 0 AS force
+      FROM fingerprints f JOIN manifests m USING (deal_id)) c
+LEFT JOIN (SELECT deal_id, artifact_key, nullif(trim(as_of), '') AS as_of
+           FROM stored_fingerprints) s USING (deal_id)
+""", ("fingerprints", "stored_fingerprints", "manifests"))
+
+SKIP_LIST = "src3, src7 ,, src11"
+SKIP_SQL = "('src3', 'src7', 'src11')"
+
+cte("admission", f"""
+SELECT message_id, lane, dequeue_count, content, compile_id, deal_id, decision,
+  CASE WHEN decision IN ('draft', 'decode_error', 'skip_listed') THEN NULL
+       WHEN decision IN ('exhausted_retries', 'previous_final') THEN 'failed'
+       WHEN decision = 'skip_unchanged' THEN 'completed' ELSE 'running' END AS status,
+  CASE WHEN decision IN ('draft', 'decode_error', 'skip_listed') THEN NULL
+       WHEN decision = 'exhausted_retries' THEN 'exhausted_retries'
+       WHEN decision = 'previous_final' THEN blocked_stage
+       WHEN decision = 'skip_unchanged' THEN 'skipped_unchanged' ELSE 'starting' END AS stage,
+  CASE WHEN decision = 'decode_error' THEN 'decode_error'
+       WHEN decision = 'exhausted_retries' THEN 'exhausted_retries'
+       WHEN decision = 'previous_final' THEN
+         CASE WHEN blocked_stage = 'timeout' THEN 'timed_out_before' ELSE blocked_stage || '_before' END
+  END AS poison_reason,
+  CAST(CASE WHEN decision IN ('decode_error', 'exhausted_retries', 'previous_final') THEN 2 ELSE 0 END
+       AS INTEGER) AS exit_code,
+  (decision <> 'draft' AND job_ok AND dequeue_count >= 3) AS near_poison,
+  CASE WHEN decision IN ('decode_error', 'exhausted_retries', 'previous_final') THEN 'poison'
+       WHEN decision = 'compile' THEN 'run' ELSE 'ack' END AS disposition
+FROM (
+  SELECT m.*, b.blocked_stage,
+    CASE WHEN m.route = 'draft' THEN 'draft'
+         WHEN NOT m.job_ok THEN 'decode_error'
+         WHEN m.dequeue_count > 3 THEN 'exhausted_retries'
+         WHEN m.dequeue_count > 1 AND b.blocked_stage IS NOT NULL THEN 'previous_final'
+         WHEN m.deal_id IN {SKIP_SQL} THEN 'skip_listed'
+         WHEN NOT m.force AND coalesce(u.unchanged, false) THEN 'skip_unchanged'
+         ELSE 'compile' END AS decision
+  FROM decoded_messages m
+  LEFT JOIN (SELECT compile_id, CASE WHEN status = 'failed'
+                    AND stage IN ('timeout', 'killed', 'out_of_memory') THEN stage END AS blocked_stage
+             FROM latest_status) b ON b.compile_id = m.compile_id
+  LEFT JOIN unchanged u ON u.deal_id = m.deal_id)
+""", ("decoded_messages", "latest_status", "unchanged"))

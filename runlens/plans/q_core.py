@@ -24,20 +24,7 @@ def current_jobs(d: Derived):
                     (F.col("deal_no") % 6 == 0).alias("force")))
 
 
-@register("unchanged_jobs", with_ctes(r"""
-SELECT c.deal_id, c.artifact_key, c.as_of, s.artifact_key AS stored_key,
-       s.as_of AS stored_as_of, s.deal_id IS NOT NULL AS has_record, c.force,
-       coalesce(s.artifact_key = c.artifact_key AND s.as_of IS NOT DISTINCT FROM c.as_of, false)
-         AS unchanged,
-       CASE WHEN NOT c.force AND coalesce(s.artifact_key = c.artifact_key
-                 AND s.as_of IS NOT DISTINCT FROM c.as_of, false)
-            THEN 'skip_unchanged' ELSE 'compile' END AS decision
-FROM (SELECT f.deal_id, f.artifact_key, nullif(trim(m.as_of), '') AS as_of,
-             m.deal_no % 6 = 0 AS force
-      FROM fingerprints f JOIN manifests m USING (deal_id)) c
-LEFT JOIN (SELECT deal_id, artifact_key, nullif(trim(as_of), '') AS as_of
-           FROM stored_fingerprints) s USING (deal_id)
-""", "fingerprints", "stored_fingerprints", "manifests"))
+@register("unchanged_jobs", with_ctes("SELECT * FROM unchanged", "unchanged"))
 def q_unchanged_jobs(spark, sf_dir):
     d = Derived(spark, sf_dir)
     return unchanged_jobs(current_jobs(d), stored_fingerprints(d))
