@@ -271,3 +271,84 @@ FROM (
              FROM latest_status) b ON b.compile_id = m.compile_id
   LEFT JOIN unchanged u ON u.deal_id = m.deal_id)
 """, ("decoded_messages", "latest_status", "unchanged"))
+
+cte("progress_events", r"""
+SELECT compile_id, deal_id, CASE WHEN event_type = 'purchase' THEN 'done' ELSE 'running' END AS status,
+       stage AS current_stage, updated_at, seq, 'r' || CAST(user_id % 4 AS VARCHAR) AS replica,
+       CAST(sum(atom_count) OVER (PARTITION BY compile_id, stage ORDER BY updated_at, seq
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stage_items_done,
+       CAST(100 * count(*) OVER (PARTITION BY compile_id, stage) AS BIGINT) AS stage_items_total
+FROM status_events
+""", ("status_events",))
+
+cte("latest_progress", r"""
+SELECT * FROM progress_events
+QUALIFY row_number() OVER (PARTITION BY deal_id ORDER BY updated_at DESC, seq DESC) = 1
+""", ("progress_events",))
+
+cte("active_markers", r"""
+SELECT compile_id, deal_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE stage END AS stage, updated_at,
+       'r' || CAST(user_id % 4 AS VARCHAR) AS replica,
+       'b' || CAST(day(updated_at) // 10 AS VARCHAR) AS boot_id
+FROM status_events
+QUALIFY row_number() OVER (PARTITION BY compile_id ORDER BY updated_at, seq) = 1
+""", ("status_events",))
+
+cte("active_runs", r"""
+SELECT * FROM active_markers
+WHERE compile_id NOT IN (SELECT compile_id FROM status_events
+                         WHERE status IN ('completed', 'failed', 'interrupted', 'cancelled'))
+""", ("active_markers", "status_events"))
+
+cte("replica_boots", r"""
+SELECT 'r' || CAST(user_id % 4 AS VARCHAR) AS replica,
+       'b' || CAST(day(ts) // 10 AS VARCHAR) AS boot_id, min(ts) AS booted_at
+FROM events GROUP BY 1, 2
+""")
+
+cte("current_boots", r"""
+SELECT replica, boot_id AS current_boot FROM replica_boots
+QUALIFY row_number() OVER (PARTITION BY replica ORDER BY booted_at DESC, boot_id DESC) = 1
+""", ("replica_boots",))
+
+cte("memory_samples", r"""
+SELECT compile_id, deal_id, updated_at AS sampled_at, seq,
+       CAST(floor(elapsed_sec * 16777216) AS BIGINT) AS rss_bytes,
+       CAST(200 AS BIGINT) * 16777216 AS limit_bytes, 0.9 AS fraction
+FROM status_events
+""", ("status_events",))
+
+cte("cancel_requests", r"""
+SELECT event_id AS request_id, deal_id,
+       CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN compile_id
+            ELSE CAST(user_id AS VARCHAR) || '-' || strftime(updated_at - INTERVAL 1 DAY, '%Y%m%d') END
+         AS compile_id,
+       'pm' || CAST(event_id % 4 AS VARCHAR) AS requested_by, updated_at AS requested_at
+FROM status_events WHERE event_type = 'signup'
+""", ("status_events",))
+
+cte("errors", r"""
+SELECT event_id AS error_id, compile_id, deal_id, updated_at AS failed_at,
+       ['ResourceNotFoundError', 'HttpResponseError', 'NotFoundError', 'TimeoutError',
+        'ValueError'][event_id % 5 + 1] AS error_type,
+       ['ResourceNotFoundError: BlobNotFound', 'HttpResponseError: The specified blob does not exist.',
+        'NotFoundError: blob gone', 'TimeoutError: t', 'ValueError: notfound'][event_id % 5 + 1] AS error
+FROM status_events WHERE event_type = 'error'
+""", ("status_events",))
+
+cte("attempts", r"""
+SELECT 'msg' || CAST(user_id AS VARCHAR) AS message_key, compile_id, event_id AS seq,
+       updated_at AS received_at,
+       make_timestamp(epoch_us(updated_at) + CAST(round(elapsed_sec * 60000000) AS BIGINT)) AS ended_at
+FROM status_events
+""", ("status_events",))
+
+cte("run_spans", r"""
+SELECT compile_id, any_value(deal_id) AS deal_id, min(updated_at) AS started_at,
+       max(updated_at) AS last_at,
+       min(CASE WHEN status IN ('completed', 'failed', 'interrupted', 'cancelled') THEN updated_at END)
+         AS ended_at,
+       max(updated_at) FILTER (WHERE true) AS _unused,
+       (SELECT max(updated_at) FROM status_events) AS now
+FROM status_events GROUP BY compile_id
+""", ("status_events",))

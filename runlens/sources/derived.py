@@ -250,8 +250,8 @@ class Derived:
             F.concat(F.lit("msg"), _s("user_id")).alias("message_key"),
             "compile_id", F.col("event_id").alias("seq"),
             F.col("ts").alias("received_at"),
-            (F.col("ts") + F.make_dt_interval(
-                F.lit(0), F.lit(0), F.lit(0), F.col("value") * 60)).alias("ended_at"))
+            F.timestamp_micros(F.unix_micros("ts") + F.round(F.col("value") * 60_000_000)
+                               .cast("bigint")).alias("ended_at"))
 
     # ------------------------------------------------------------ traces
     def stage_timings(self) -> DataFrame:
