@@ -19,3 +19,8 @@ def blank_to_null(c) -> Column:
 def first_nonblank(*cols) -> Column:
     """Python ``a or b or c`` over texts: the first non-empty value."""
     return F.coalesce(*[F.nullif(col_(c).cast("string"), F.lit("")) for c in cols])
+
+
+def py_strip(c) -> Column:
+    """``str.strip()``: leading and trailing whitespace, not just spaces."""
+    return F.regexp_replace(col_(c), "^\\s+|\\s+$", "")

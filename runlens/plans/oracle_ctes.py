@@ -28,6 +28,9 @@ def with_ctes(body: str, *names: str) -> str:
     if not order:
         return body
     parts = ",\n".join(f"{n} AS (\n{CTE[n][1]}\n)" for n in order)
+    stripped = body.lstrip()
+    if stripped.upper().startswith("WITH "):
+        return f"WITH {parts},\n{stripped[5:]}"
     return f"WITH {parts}\n{body}"
 
 
@@ -352,3 +355,93 @@ SELECT compile_id, any_value(deal_id) AS deal_id, min(updated_at) AS started_at,
        (SELECT max(updated_at) FROM status_events) AS now
 FROM status_events GROUP BY compile_id
 """, ("status_events",))
+
+cte("atoms_raw", r"""
+SELECT *, prefix || text AS raw_text,
+       CASE WHEN turn % 5 <> 0 THEN prefix || text END AS v_text
+FROM (
+  SELECT *, CASE WHEN turn % 4 = 1 AND coalesce(said_by, speaker, loc_speaker_eff) IS NOT NULL
+                 THEN coalesce(said_by, speaker, loc_speaker_eff) || ' — ' ELSE '' END AS prefix
+  FROM (
+    SELECT c.conv_id * 1000 + c.turn AS id, 'src' || CAST(c.conv_id % 20 AS VARCHAR) AS deal_id,
+           c.conv_id, c.turn, c.role, c.text,
+           CASE c.role WHEN 'system' THEN 'constraint' WHEN 'user' THEN 'request'
+                       WHEN 'assistant' THEN 'answer' END AS atom_type,
+           'art-' || CAST(c.conv_id % 20 AS VARCHAR) AS artifact_id,
+           CAST(c.turn + 1 AS DOUBLE) / 10 AS confidence,
+           CASE WHEN c.turn % 2 = 0 THEN CAST(c.turn + 1 AS DOUBLE) / 20 END AS calibrated_confidence,
+           CASE WHEN c.conv_id % 3 = 0 THEN 'P' || CAST(c.conv_id AS VARCHAR) || ' · Org' END AS said_by,
+           CASE WHEN c.turn % 2 = 0 THEN c.role END AS speaker,
+           CASE WHEN c.conv_id % 7 <> 0 AND c.turn % 3 = 0 THEN 'L' || c.role END AS loc_speaker_eff,
+           CASE WHEN c.conv_id % 7 <> 0 THEN 'turn/' || CAST(c.turn AS VARCHAR) END AS loc_section_path,
+           CASE WHEN c.turn % 3 = 1 THEN 'party' || CAST(c.conv_id % 2 AS VARCHAR) END AS v_party,
+           CASE WHEN c.conv_id % 7 <> 0 AND c.conv_id % 10 <> 0
+                THEN 'conv-' || CAST(c.conv_id % 20 AS VARCHAR) || '.txt' END AS ref_filename,
+           CASE WHEN c.conv_id % 7 <> 0 AND c.conv_id % 2 = 0 THEN 'a' || CAST(c.conv_id AS VARCHAR) END
+             AS ref_artifact_id,
+           CASE WHEN c.conv_id % 7 <> 0 THEN 'chat' END AS ref_method,
+           l.doc_id IS NOT NULL AS labelled, l.quality, l.toxic,
+           CASE WHEN c.role = 'system' THEN 'policy' ELSE 'party' END AS authority_class,
+           CASE WHEN c.turn % 3 = 0 THEN 'pending' ELSE 'accepted' END AS review_status
+    FROM conversations c LEFT JOIN labels l ON l.doc_id = c.conv_id))
+""")
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+cte("atoms_ui", f"""
+SELECT id, deal_id, atom_type, confidence, calibrated_confidence,
+       labelled AND (quality = 1 OR toxic = 0) AS verified,
+       CASE WHEN labelled THEN CAST(quality AS VARCHAR) ELSE '' END AS receipt_kinds,
+       authority_class, review_status, body AS raw_text,
+       CASE WHEN body <> '' THEN body ELSE '' END AS normalized_text,
+       CASE WHEN body <> '' THEN body ELSE v_text END AS value_text,
+       CASE WHEN spk <> '' AND coalesce(speaker, '') = '' THEN spk ELSE speaker END AS value_speaker,
+       CASE WHEN said <> '' AND coalesce(said_by, '') = '' THEN said ELSE said_by END AS value_said_by,
+       'conv:' || CAST(conv_id AS VARCHAR) || ',role:' || role AS entity_keys,
+       CASE WHEN label <> '' THEN label ELSE loc_section_path END AS section_path,
+       coalesce(nullif(ref_artifact_id, ''), nullif(artifact_id, ''), '') AS source_artifact_id,
+       coalesce(ref_filename, '') AS source_filename, coalesce(ref_method, '') AS extraction_method,
+       CASE WHEN label <> '' THEN label ELSE loc_section_path END AS locator_section_path,
+       CASE WHEN label <> '' AND spk <> '' AND coalesce(loc_speaker_eff, '') = '' THEN spk
+            ELSE loc_speaker_eff END AS locator_speaker,
+       CASE WHEN label <> '' AND coalesce(v_party, '') <> '' THEN v_party END AS locator_party,
+       'v1' AS parser_version
+FROM (
+  SELECT *, CASE WHEN label <> '' AND starts_with(body0, label)
+                      AND strpos(left(body0, length(label) + 4), ' — ') > 0
+                      AND {_strip("substr(body0, strpos(body0, ' — ') + 3)")} <> ''
+                 THEN {_strip("substr(body0, strpos(body0, ' — ') + 3)")} ELSE body0 END AS body
+  FROM (
+    SELECT *, CASE WHEN said <> '' THEN said ELSE spk END AS label
+    FROM (
+      SELECT *, {_strip("coalesce(said_by, '')")} AS said,
+             CASE WHEN {_strip("coalesce(speaker, '')")} <> '' THEN {_strip("coalesce(speaker, '')")}
+                  ELSE {_strip("coalesce(loc_speaker_eff, '')")} END AS spk,
+             CASE WHEN {_strip("coalesce(v_text, '')")} <> '' THEN {_strip("coalesce(v_text, '')")}
+                  ELSE coalesce(raw_text, '') END AS body0
+      FROM atoms_raw)))
+""", ("atoms_raw",))
+
+cte("stage_timings", r"""
+SELECT 'o' || CAST(l_orderkey AS VARCHAR) AS compile_id,
+       ['parse_artifacts', 'classify', 'extract_entities', 'link_entities', 'source_replay', 'score',
+        'project'][l_linenumber] AS stage_name,
+       l_linenumber AS stage_no, l_partkey, l_suppkey, l_extendedprice AS duration_ms,
+       CAST(l_quantity AS BIGINT) AS input_count,
+       CAST(floor(l_quantity * (1 - l_discount)) AS BIGINT) AS output_count,
+       CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS BIGINT) AS warning_count,
+       CAST(CASE WHEN l_linestatus = 'F' AND l_returnflag = 'A' THEN 1 ELSE 0 END AS BIGINT) AS error_count
+FROM lineitem
+""")
+
+cte("llm_calls", r"""
+SELECT event_id AS call_id, compile_id, updated_at AS ts,
+       CASE WHEN event_type = 'view' THEN 'multi' ELSE 'verify' END AS source,
+       atom_count AS prompt_size, CAST(512 * (event_id % 4 + 1) AS BIGINT) AS max_tokens,
+       CAST(atom_count * 10 + event_id % 7 AS BIGINT) AS response_size, elapsed_sec AS latency_sec,
+       'm' || CAST(user_id % 2 AS VARCHAR) AS model
+FROM status_events WHERE event_type IN ('view', 'click')
+""", ("status_events",))

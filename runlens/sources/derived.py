@@ -285,3 +285,58 @@ def stored_fingerprints(d: Derived) -> DataFrame:
               .select("deal_id", "artifact_key",
                       F.when(F.col("deal_no") % 5 == 0, F.lit(None).cast("string"))
                        .otherwise(F.col("as_of")).alias("as_of")))
+
+
+ATOM_TYPES_BY_ROLE = {"system": "constraint", "user": "request", "assistant": "answer"}
+
+
+def atoms_raw(d: Derived) -> DataFrame:
+    """Extracted atoms in the extractor's nested shape: one per conversation
+    turn, with open ``value``/``locator`` maps, source refs and receipts."""
+    conv = d.t("conversations").alias("c").join(
+        d.t("labels").alias("l"), F.col("c.conv_id") == F.col("l.doc_id"), "left")
+    c, t, role = F.col("conv_id"), F.col("turn"), F.col("role")
+    said_by = F.when(c % 3 == 0, F.concat(F.lit("P"), _s(c), F.lit(" · Org")))
+    speaker = F.when(t % 2 == 0, role)
+    loc_speaker = F.when(t % 3 == 0, F.concat(F.lit("L"), role))
+    has_refs = c % 7 != 0
+    label = F.coalesce(said_by, speaker, F.when(has_refs, loc_speaker))
+    prefix = F.when((t % 4 == 1) & label.isNotNull(), F.concat(label, F.lit(" — "))).otherwise("")
+    text = F.concat(prefix, F.col("text"))
+
+    def kv(*pairs):
+        arr = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+                        for k, v in pairs])
+        return F.map_from_entries(F.filter(arr, lambda e: e["value"].isNotNull()))
+
+    locator = kv(("section_path", F.concat(F.lit("turn/"), _s(t))), ("speaker", loc_speaker))
+    value = kv(("text", F.when(t % 5 != 0, text)), ("said_by", said_by), ("speaker", speaker),
+               ("party", F.when(t % 3 == 1, F.concat(F.lit("party"), _s(c % 2)))))
+    ref = F.struct(
+        F.when(c % 10 != 0, F.concat(F.lit("conv-"), _s(c % 20), F.lit(".txt"))).alias("filename"),
+        F.when(c % 2 == 0, F.concat(F.lit("a"), _s(c))).alias("artifact_id"),
+        F.lit("chat").alias("extraction_method"), locator.alias("locator"))
+    receipt_t = "array<struct<kind:string,status:string>>"
+    receipts = F.when(F.col("l.doc_id").isNotNull(), F.array(
+        F.struct(_s("quality").alias("kind"),
+                 F.when(F.col("quality") == 1, "Verified").otherwise("rejected").alias("status")),
+        F.struct(F.lit("").alias("kind"),
+                 F.when(F.col("toxic") == 0, "ok").otherwise("no").alias("status")),
+    )).otherwise(F.lit(None).cast(receipt_t))
+    return conv.select(
+        (c * 1000 + t).alias("id"),
+        F.concat(F.lit("src"), _s(c % 20)).alias("deal_id"),
+        c.alias("conv_id"), t.alias("turn"), role.alias("role"),
+        F.element_at(F.create_map(*[F.lit(x) for kvp in ATOM_TYPES_BY_ROLE.items() for x in kvp]),
+                     role).alias("atom_type"),
+        F.concat(F.lit("art-"), _s(c % 20)).alias("artifact_id"),
+        ((t + 1) / 10.0).alias("confidence"),
+        F.when(t % 2 == 0, (t + 1) / 20.0).alias("calibrated_confidence"),
+        text.alias("raw_text"), F.lit(None).cast("string").alias("normalized_text"),
+        value.alias("value"),
+        F.array(F.concat(F.lit("conv:"), _s(c)), F.concat(F.lit("role:"), role)).alias("entity_keys"),
+        F.when(has_refs, F.array(ref)).alias("source_refs"),
+        receipts.alias("receipts"),
+        F.when(role == "system", "policy").otherwise("party").alias("authority_class"),
+        F.when(t % 3 == 0, "pending").otherwise("accepted").alias("review_status"),
+        F.lit("v1").alias("parser_version"))
