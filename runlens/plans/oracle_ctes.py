@@ -445,3 +445,121 @@ SELECT event_id AS call_id, compile_id, updated_at AS ts,
        'm' || CAST(user_id % 2 AS VARCHAR) AS model
 FROM status_events WHERE event_type IN ('view', 'click')
 """, ("status_events",))
+
+_DIRS = "['_head_registry', '_calibrator', '_type_head', '_span_heads'][doc_id % 4 + 1]"
+
+cte("local_listing", f"""
+SELECT {_DIRS} || '/h_' || CAST(doc_id AS VARCHAR) || '.npz' AS name, n_chars AS size
+FROM documents WHERE doc_id % 5 <> 3
+UNION ALL SELECT '_training_deepseek.db', sum(n_chars) FROM documents
+UNION ALL SELECT '_embed_cache.db', count(*) FROM documents
+""")
+
+cte("remote_listing", f"""
+SELECT {_DIRS} || '/h_' || CAST(doc_id AS VARCHAR) || '.npz' AS name,
+       n_chars + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS size
+FROM documents WHERE doc_id % 10 <> 4
+""")
+
+cte("sync_plan", r"""
+SELECT name, split_part(name, '/', 1) AS dir, local_size, remote_size,
+  CASE WHEN name IN ('_training_deepseek.db', '_embed_cache.db') AND local_size IS NOT NULL THEN 'upload'
+       WHEN local_size IS NOT NULL AND coalesce(remote_size = local_size, false) THEN 'skip'
+       WHEN local_size IS NOT NULL THEN 'upload'
+       WHEN split_part(name, '/', 1) = '_head_registry'
+            AND (SELECT count(*) FROM local_listing WHERE split_part(name, '/', 1) = '_head_registry') > 0
+            THEN 'delete'
+       ELSE 'keep' END AS action,
+  CASE name WHEN '_training_deepseek.db' THEN 1 WHEN '_embed_cache.db' THEN 2 ELSE 0 END AS upload_order
+FROM (SELECT coalesce(l.name, r.name) AS name, l.size AS local_size, r.size AS remote_size
+      FROM local_listing l FULL OUTER JOIN remote_listing r ON l.name = r.name)
+""", ("local_listing", "remote_listing"))
+
+cte("fetch_names", r"""
+SELECT CASE p_partkey % 8
+         WHEN 0 THEN 'dataset/' || CAST(p_partkey AS VARCHAR) || '.json'
+         WHEN 1 THEN 'a/' || CAST(p_partkey AS VARCHAR) || '.PNG'
+         WHEN 2 THEN '_training_' || CAST(p_partkey AS VARCHAR) || '.db'
+         WHEN 3 THEN CASE WHEN p_partkey = 3 THEN '_training_deepseek.db'
+                          ELSE 'x/_runpod_' || CAST(p_partkey AS VARCHAR) || '.bin' END
+         WHEN 4 THEN '_head_registry/' || CAST(p_partkey AS VARCHAR) || '.npz'
+         WHEN 5 THEN 'x_backup_' || CAST(p_partkey AS VARCHAR)
+         WHEN 6 THEN 'heads/' || CAST(p_partkey AS VARCHAR) || '.pkl'
+         ELSE 'z/' || CAST(p_partkey AS VARCHAR) || '.zip' END AS name,
+       CAST(p_size AS BIGINT) AS size
+FROM part
+""")
+
+cte("fetch_filter", r"""
+SELECT name, NOT (CASE WHEN starts_with(lower(name), 'dataset/') OR lower(name) LIKE '%.png'
+                            OR lower(name) LIKE '%.jpg' OR lower(name) LIKE '%.jpeg' OR lower(name) LIKE '%.zip'
+                       THEN true
+                       WHEN lower(name) = '_training_deepseek.db' THEN false
+                       WHEN contains(lower(name), '_training_') OR contains(lower(name), '_runpod_')
+                            OR contains(lower(name), '_backup_') THEN true
+                       WHEN starts_with(lower(name), '_head_registry/') THEN true
+                       ELSE false END) AS fetched
+FROM fetch_names
+""", ("fetch_names",))
+
+cte("artifact_config", r"""
+SELECT 'K' || CAST(p_partkey AS VARCHAR) AS key,
+       CASE p_partkey % 5
+         WHEN 0 THEN '/tmp/ml/heads/' || CAST(p_partkey AS VARCHAR) || '.pkl'
+         WHEN 1 THEN '/tmp/ml/heads/missing_' || CAST(p_partkey AS VARCHAR) || '.pkl'
+         WHEN 2 THEN '/tmp/ml/nosrc/' || CAST(p_partkey AS VARCHAR) || '.bin'
+         WHEN 3 THEN '/tmp/ml/cache/' || CAST(p_partkey AS VARCHAR) || '.db'
+         ELSE '/var/other/' || CAST(p_partkey AS VARCHAR) END AS path
+FROM part
+""")
+
+cte("config_check", r"""
+SELECT key, path,
+       CASE WHEN rel IN (SELECT name FROM fetch_filter WHERE fetched) THEN 'present'
+            WHEN split_part(rel, '/', 1) IN (SELECT split_part(name, '/', 1) FROM fetch_filter) THEN 'missing'
+            ELSE 'no_source' END AS state
+FROM (SELECT key, path, substr(path, 9) AS rel,
+             lower(string_split(path, '/')[-1] || '|' || path) AS low
+      FROM artifact_config)
+WHERE starts_with(path, '/tmp/ml/') AND path <> '/tmp/ml/'
+  AND NOT (contains(low, 'cache') OR contains(low, '_shadow_history') OR contains(low, '_feedback')
+           OR contains(low, '_rule_decisions'))
+  AND NOT contains(low, '_head_registry')
+""", ("artifact_config", "fetch_filter"))
+
+cte("draft_inputs", r"""
+SELECT c_custkey AS request_id,
+       CASE WHEN c_custkey % 13 = 0 THEN 'z' || substr(d, 2) ELSE d END AS deal_id,
+       c_name || repeat('x', CAST(c_custkey % 150 AS INTEGER)) AS requested_by,
+       'env-' || CAST(c_custkey AS VARCHAR) AS envelope_compile_id,
+       c_custkey % 9 <> 0 AS has_brief, c_custkey % 5 <> 0 AS has_handoff,
+       CASE c_custkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'degraded' WHEN 2 THEN 'failed' END AS draft_status,
+       CASE WHEN c_custkey % 4 = 2 AND c_custkey % 8 = 2 THEN 'no sites found' END AS failed_because,
+       CASE WHEN c_custkey % 4 = 2 AND c_custkey % 8 = 6 THEN 'boom' END AS error,
+       CASE WHEN c_custkey % 4 IN (1, 2) THEN
+            CASE c_custkey % 3 WHEN 0 THEN 'assumptions, scope' WHEN 1 THEN 'pricing' END END AS calls,
+       CAST(c_custkey % 5 AS INTEGER) AS n_locations,
+       CASE WHEN c_custkey % 2 = 0 THEN 'crm' END AS site_source,
+       'fam' || CAST(c_custkey % 3 AS VARCHAR) AS job_family,
+       CASE WHEN c_custkey % 6 <> 0 THEN 'model' END AS job_family_by
+FROM (SELECT *, concat_ws('-', substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8),
+                          substr(md5(CAST(c_custkey AS VARCHAR)), 9, 4),
+                          substr(md5(CAST(c_custkey AS VARCHAR)), 13, 4),
+                          substr(md5(CAST(c_custkey AS VARCHAR)), 17, 4),
+                          substr(md5(CAST(c_custkey AS VARCHAR)), 21, 12)) AS d
+      FROM customer)
+""")
+
+cte("draft_summary", r"""
+SELECT *,
+  CASE WHEN st = 'failed' THEN left(coalesce(nullif(failed_because, ''), nullif(error, ''),
+                                             'the SOW writer gave no reason'), 300) END AS s_failed_because,
+  CASE WHEN st = 'degraded' THEN
+       CASE WHEN calls IS NOT NULL THEN 'LLM call(s) ' || calls
+                 || ' returned nothing usable; those steps ran without an answer'
+            ELSE 'the SOW writer marked it degraded' END END AS s_degraded_because,
+  replace(calls, ', ', ',') AS s_llm_failures
+FROM (SELECT *, coalesce(nullif(draft_status, ''), CASE WHEN coalesce(error, '') <> '' THEN 'failed' END,
+                         'unknown') AS st
+      FROM draft_inputs)
+""", ("draft_inputs",))

@@ -30,4 +30,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from runlens.plans import q_admission, q_atoms, q_core, q_health  # noqa: F401
+    from runlens.plans import q_admission, q_atoms, q_core, q_health, q_sync  # noqa: F401

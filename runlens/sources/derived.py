@@ -340,3 +340,102 @@ def atoms_raw(d: Derived) -> DataFrame:
         F.when(role == "system", "policy").otherwise("party").alias("authority_class"),
         F.when(t % 3 == 0, "pending").otherwise("accepted").alias("review_status"),
         F.lit("v1").alias("parser_version"))
+
+
+ML_BASE = "/tmp/ml"   # the artifact folder named in configuration paths
+LOG_NAME = "_training_deepseek.db"
+CACHE_NAME = "_embed_cache.db"
+
+
+def local_listing(d: Derived) -> DataFrame:
+    """Files on the worker: registry-style files plus the log and cache."""
+    doc = d.t("documents")
+    dd = F.col("doc_id")
+    files = doc.where(dd % 5 != 3).select(
+        F.concat(F.element_at(F.array(*[F.lit(x) for x in LISTING_DIRS]), (dd % 4 + 1).cast("int")),
+                 F.lit("/h_"), _s(dd), F.lit(".npz")).alias("name"),
+        F.col("n_chars").alias("size"))
+    extra = doc.agg(F.sum("n_chars").alias("a"), F.count(F.lit(1)).alias("b")).select(
+        F.explode(F.array(F.struct(F.lit(LOG_NAME).alias("name"), F.col("a").alias("size")),
+                          F.struct(F.lit(CACHE_NAME).alias("name"), F.col("b").alias("size"))))
+        .alias("x")).select("x.name", "x.size")
+    return files.unionByName(extra)
+
+
+def remote_listing(d: Derived) -> DataFrame:
+    doc = d.t("documents")
+    dd = F.col("doc_id")
+    return doc.where(dd % 10 != 4).select(
+        F.concat(F.element_at(F.array(*[F.lit(x) for x in LISTING_DIRS]), (dd % 4 + 1).cast("int")),
+                 F.lit("/h_"), _s(dd), F.lit(".npz")).alias("name"),
+        (F.col("n_chars") + F.when(dd % 7 == 0, 1).otherwise(0)).alias("size"))
+
+
+def fetch_names(d: Derived) -> DataFrame:
+    """The artifact store's listing seen by the fetch."""
+    p = F.col("p_partkey")
+    ps = _s(p)
+    name = (F.when(p % 8 == 0, F.concat(F.lit("dataset/"), ps, F.lit(".json")))
+             .when(p % 8 == 1, F.concat(F.lit("a/"), ps, F.lit(".PNG")))
+             .when(p % 8 == 2, F.concat(F.lit("_training_"), ps, F.lit(".db")))
+             .when(p % 8 == 3, F.when(p == 3, F.lit(LOG_NAME))
+                   .otherwise(F.concat(F.lit("x/_runpod_"), ps, F.lit(".bin"))))
+             .when(p % 8 == 4, F.concat(F.lit("_head_registry/"), ps, F.lit(".npz")))
+             .when(p % 8 == 5, F.concat(F.lit("x_backup_"), ps))
+             .when(p % 8 == 6, F.concat(F.lit("heads/"), ps, F.lit(".pkl")))
+             .otherwise(F.concat(F.lit("z/"), ps, F.lit(".zip"))))
+    return d.t("part").select(name.alias("name"), F.col("p_size").cast("bigint").alias("size"))
+
+
+def artifact_config(d: Derived) -> DataFrame:
+    """Configured artifact paths (key -> absolute path)."""
+    p = F.col("p_partkey")
+    ps = _s(p)
+    path = (F.when(p % 5 == 0, F.concat(F.lit(ML_BASE + "/heads/"), ps, F.lit(".pkl")))
+             .when(p % 5 == 1, F.concat(F.lit(ML_BASE + "/heads/missing_"), ps, F.lit(".pkl")))
+             .when(p % 5 == 2, F.concat(F.lit(ML_BASE + "/nosrc/"), ps, F.lit(".bin")))
+             .when(p % 5 == 3, F.concat(F.lit(ML_BASE + "/cache/"), ps, F.lit(".db")))
+             .otherwise(F.concat(F.lit("/var/other/"), ps)))
+    return d.t("part").select(F.concat(F.lit("K"), ps).alias("key"), path.alias("path"))
+
+
+def draft_inputs(d: Derived) -> DataFrame:
+    """Per customer: a draft request, the deal's latest envelope and the
+    writer's draft (c3_sow) for it."""
+    c = F.col("c_custkey")
+    h = F.md5(_s(c))
+    deal = F.concat_ws("-", F.substr(h, F.lit(1), F.lit(8)), F.substr(h, F.lit(9), F.lit(4)),
+                       F.substr(h, F.lit(13), F.lit(4)), F.substr(h, F.lit(17), F.lit(4)),
+                       F.substr(h, F.lit(21), F.lit(12)))
+    deal = F.when(c % 13 == 0, F.concat(F.lit("z"), F.substr(deal, F.lit(2)))).otherwise(deal)
+    st = c % 4
+    call = "struct<call:string,tries:int>"
+    failures = (F.when(c % 3 == 0, F.array(*[F.struct(F.lit(x).alias("call"), F.lit(1).alias("tries"))
+                                             for x in ("scope", "assumptions", "scope")]))
+                 .when(c % 3 == 1, F.array(F.struct(F.lit("pricing").alias("call"),
+                                                    F.lit(2).alias("tries"))))
+                 .otherwise(F.array().cast(f"array<{call}>")))
+    sow = F.struct(
+        F.when(st == 0, "ok").when(st == 1, "degraded").when(st == 2, "failed").alias("draft_status"),
+        F.when((st == 2) & (c % 8 == 2), F.lit("no sites found")).alias("failed_because"),
+        F.when((st == 2) & (c % 8 == 6), F.lit("boom")).alias("error"),
+        F.when(st.isin(1, 2), failures).alias("llm_failures"),
+        F.array_repeat(F.struct(F.lit("site").alias("site")), (c % 5).cast("int")).alias("locations"),
+        F.when(c % 2 == 0, F.lit("crm")).alias("site_source"),
+        F.concat(F.lit("fam"), _s(c % 3)).alias("job_family"),
+        F.when(c % 6 != 0, F.lit("model")).alias("job_family_by"))
+    return d.t("customer").select(
+        c.alias("request_id"), deal.alias("deal_id"),
+        F.concat(F.col("c_name"), F.repeat(F.lit("x"), (c % 150).cast("int"))).alias("requested_by"),
+        F.concat(F.lit("env-"), _s(c)).alias("envelope_compile_id"),
+        (c % 9 != 0).alias("has_brief"), (c % 5 != 0).alias("has_handoff"),
+        sow.alias("c3_sow"))
+
+
+def sibling_listing(d: Derived) -> DataFrame:
+    """Mail-style artifacts listed under a shared base name per deal."""
+    dd = F.col("doc_id")
+    return d.t("documents").select(
+        F.col("source").alias("deal_id"), F.concat(F.lit("mail-"), _s(dd % 50)).alias("base"),
+        F.concat(F.lit("mail-"), _s(dd % 50), F.lit("/"), _s(dd), F.lit(".eml")).alias("name"),
+        F.col("n_chars").alias("size"))
