@@ -54,21 +54,26 @@ def decode_object(raw) -> Column:
 
 
 def decode_stage(df, raw: str = "content", out: str = "_v", peek: str = "_peek"):
-    """P1 (and the routing peek) in staged projections: each candidate
-    parse is computed once and only then tested and chosen."""
+    """P1 (and the routing peek) in staged projections. Each message is
+    parsed at most twice: directly, and through base64 only when the direct
+    parse is not an object. The peek reuses those parses: a text starting
+    with '{' peeks at the direct parse, any other text at the base64 parse
+    when it is strict base64."""
     t = F.coalesce(F.col(raw), F.lit(""))
-    s1 = df.select("*", F.try_parse_json(F.trim(t)).alias("_direct"),
-                   F.try_parse_json(lenient_base64_text(F.trim(t))).alias("_b64"),
-                   F.when(F.ltrim(t).startswith("{"), t)
-                    .otherwise(strict_base64_text(F.trim(t))).alias("_ptxt"))
-    s2 = s1.select("*", F.when(F.ltrim(F.col("_ptxt")).startswith("{"),
-                               F.try_parse_json(F.col("_ptxt"))).alias("_pv"))
-    s3 = s2.select("*", is_object(F.col("_direct")).alias("_d_ok"),
-                   is_object(F.col("_b64")).alias("_b_ok"), is_object(F.col("_pv")).alias("_p_ok"))
-    return s3.select(
+    s1 = df.select("*", F.try_parse_json(F.trim(t)).alias("_direct"))
+    s2 = s1.select("*", is_object(F.col("_direct")).alias("_d_ok"))
+    s3 = s2.select("*", F.when(~F.col("_d_ok"), lenient_base64_text(F.trim(t))).alias("_b64t"))
+    s4 = s3.select("*", F.when(F.ltrim(F.col("_b64t")).startswith("{") | ~F.col("_d_ok"),
+                               F.try_parse_json(F.col("_b64t"))).alias("_b64"))
+    s5 = s4.select("*", is_object(F.col("_b64")).alias("_b_ok"))
+    strict = F.trim(t).rlike("^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    peek_v = (F.when(F.ltrim(t).startswith("{"), F.when(F.col("_d_ok"), F.col("_direct")))
+               .when(strict & F.ltrim(F.col("_b64t")).startswith("{") & F.col("_b_ok"),
+                     F.col("_b64")))
+    return s5.select(
         *df.columns,
         F.when(F.col("_d_ok"), F.col("_direct")).when(F.col("_b_ok"), F.col("_b64")).alias(out),
-        F.when(F.col("_p_ok"), F.col("_pv")).alias(peek))
+        peek_v.alias(peek))
 
 
 def peek_object(raw) -> Column:
@@ -100,13 +105,17 @@ JOB_PATHS = {
 }
 
 
+UNTYPED_PATHS = ("domain_pack", "kind", "allow_errors", "allow_unverified", "use_cache")
+
+
 def with_fields(df, vcol: str, paths: dict[str, str]):
     """Add ``x_<n>`` (the value as VARIANT, null when missing) and
-    ``t_<n>`` (its type name) for every path, in two narrow projections."""
+    ``t_<n>`` (its type name) for every path whose type a rule reads, in
+    two narrow projections."""
     df = df.select("*", *[F.try_variant_get(F.col(vcol), p, "variant").alias(f"x_{n}")
                           for n, p in paths.items()])
     return df.select("*", *[F.schema_of_variant(F.col(f"x_{n}")).alias(f"t_{n}")
-                            for n in paths])
+                            for n in paths if n not in UNTYPED_PATHS])
 
 
 def f_present(n: str) -> Column:

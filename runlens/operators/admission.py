@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from runlens.functions import decode as D
 from runlens.functions.text import first_nonblank
 from runlens.operators.status import latest_status
-from runlens.session import bounded_broadcast
+from runlens.session import bounded_broadcast, spread
 
 # Fixed values of the reference's admission rules.
 MAX_DEQUEUE_COUNT = 3          # poison when dequeue_count > 3
@@ -39,7 +39,7 @@ def lane_rank(lane: Column) -> Column:
 
 def decode_messages(raw: DataFrame) -> DataFrame:
     """P1 + P2 + P4: decoded object, route and job fields per message."""
-    staged = D.decode_stage(raw, "content", "_v", "_peek")
+    staged = D.decode_stage(spread(raw), "content", "_v", "_peek")
     jc = D.job_columns(staged, "_v")
     route = F.when(F.coalesce(D.vget(F.col("_peek"), "$.kind") == "sow_draft", F.lit(False)),
                    "draft").otherwise("compile")

@@ -12,7 +12,7 @@ from runlens.operators.status import latest_status
 from runlens.plans.oracle_ctes import SKIP_LIST, ts_text, with_ctes
 from runlens.plans.q_core import current_jobs
 from runlens.plans.registry import register
-from runlens.session import cut_lineage
+from runlens.session import materialized
 from runlens.sources.derived import Derived, stored_fingerprints
 
 
@@ -21,10 +21,12 @@ def ts(c):
 
 
 def decoded(spark, sf_dir):
-    """Decoded messages, written once to the shared checkpoint folder: the
-    ``jobs`` table of the data model. Materialising it also stops later
+    """Decoded messages: the ``jobs`` table of the data model, written once
+    per session to the shared checkpoint folder (the decode sink's output)
+    and read by every downstream query. Reading a written table also stops
     filters on derived flags from being re-expanded into the parse."""
-    return cut_lineage(A.decode_messages(Derived(spark, sf_dir).raw_messages()))
+    return materialized(spark, "decoded_messages", sf_dir,
+                        lambda: A.decode_messages(Derived(spark, sf_dir).raw_messages()))
 
 
 def jobs(spark, sf_dir):

@@ -79,3 +79,33 @@ def bounded_broadcast(df: DataFrame, max_rows: int, what: str = "side"):
     if n <= max_rows:
         return F.broadcast(df), True
     return df, False
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin a frame over the cluster before CPU-heavy per-row work
+    when its scan produced fewer splits than there are cores (a small or
+    unsplittable file). On a large input with many splits it is a no-op."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * factor)
+    return df
+
+
+_TABLES: dict[tuple[str, str], str] = {}
+
+
+def materialized(spark: SparkSession, name: str, key: str, build) -> DataFrame:
+    """Write ``build()`` once per session as Parquet under the shared
+    checkpoint folder and read it back; later calls with the same key read
+    the written table. A written table cuts lineage (executor loss does not
+    recompute the parse) and is column-pruned by every reader."""
+    import hashlib
+
+    k = (name, key)
+    path = _TABLES.get(k)
+    if path is None:
+        digest = hashlib.sha1(f"{name}|{key}|{id(spark)}".encode()).hexdigest()[:12]
+        path = checkpoint_path(spark, f"tables/{name}-{digest}")
+        build().write.mode("overwrite").parquet(path)
+        _TABLES[k] = path
+    return spark.read.parquet(path)

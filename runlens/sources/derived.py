@@ -44,7 +44,9 @@ class Derived:
 
     # ---------------------------------------------------------------- S1
     def raw_messages(self) -> DataFrame:
-        o = self.t("orders")
+        from runlens.session import spread
+        o = spread(self.t("orders").select("o_orderkey", "o_custkey", "o_orderpriority",
+                                           "o_orderdate"))
         k, cust = F.col("o_orderkey"), F.col("o_custkey")
         day = F.date_format(F.date_add(F.to_date(F.lit("2024-01-01")), (k % 30).cast("int")),
                             "yyyyMMdd")
