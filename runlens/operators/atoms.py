@@ -137,6 +137,8 @@ def extract_with(documents: DataFrame, fn: Callable, schema) -> DataFrame:
     """U1 hook: run a vectorised extractor over Arrow batches of documents
     (``mapInPandas``); each batch is a slice of one partition, so the work
     is spread over the whole cluster."""
+    from runlens.session import ship_package
+    ship_package(documents.sparkSession)
     return documents.mapInPandas(fn, schema)
 
 

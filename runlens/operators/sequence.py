@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.session import cut_lineage
+from runlens.session import cut_lineage, ship_package
 
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
 
@@ -69,6 +69,7 @@ def sequence_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 def _range_sequence(df: DataFrame, keys: list[str], order: list[str],
                     sums: list[str], partitions: int | None) -> DataFrame:
     spark = df.sparkSession
+    ship_package(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base_cols = df.columns
     ranged = (df.repartitionByRange(n, *keys, *order)

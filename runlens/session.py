@@ -85,6 +85,8 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     """Round-robin a frame over the cluster before CPU-heavy per-row work
     when its scan produced fewer splits than there are cores (a small or
     unsplittable file). On a large input with many splits it is a no-op."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores * factor)
@@ -109,3 +111,29 @@ def materialized(spark: SparkSession, name: str, key: str, build) -> DataFrame:
         build().write.mode("overwrite").parquet(path)
         _TABLES[k] = path
     return spark.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by Python workers (what ``--py-files``
+    does on a cluster): zip it into the shared checkpoint folder once per
+    context and ``addPyFile`` it. Needed where executors run our Python
+    (pandas scans, stateful processors)."""
+    import shutil
+
+    sc = spark.sparkContext
+    if getattr(sc, "_runlens_shipped", False):
+        return
+    import runlens
+    from pyspark import cloudpickle
+
+    # Functions and classes of this package travel by value, so Python
+    # processes that do not see --py-files (the streaming driver runner of
+    # stateful processors) can still load them.
+    cloudpickle.register_pickle_by_value(runlens)
+
+    pkg_dir = os.path.dirname(os.path.abspath(runlens.__file__))
+    base = checkpoint_path(spark, f"pkg/runlens-{os.getpid()}")
+    zip_path = shutil.make_archive(base, "zip", root_dir=os.path.dirname(pkg_dir),
+                                   base_dir="runlens")
+    sc.addPyFile(zip_path)
+    sc._runlens_shipped = True
