@@ -193,3 +193,47 @@ def dispatch_order(raw: DataFrame, method: str = "auto") -> DataFrame:
         "message_id", "lane", F.col("seq_idx").cast("bigint").alias("lane_pos"),
         (F.col("seq_idx") + F.coalesce(F.col("n_first"), F.lit(0))).cast("bigint")
         .alias("queue_pos"))
+
+
+# The reference's give-up texts.
+PREVIOUS_FINAL_ERRORS = {
+    "timeout": "compile exceeded COMPILE_TIMEOUT_SEC on an earlier attempt",
+    "killed": "the worker was killed mid-run on an earlier attempt",
+    "out_of_memory": "the compile ran out of memory on an earlier attempt",
+}
+
+
+def give_up_messages(decisions: DataFrame) -> DataFrame:
+    """The status error and the progress error written when a message
+    is given up on (retries exhausted, or an earlier attempt cannot
+    succeed)."""
+    dq = F.col("dequeue_count").cast("string")
+    prev = F.element_at(F.create_map(*[F.lit(x) for kv in PREVIOUS_FINAL_ERRORS.items()
+                                       for x in kv]), F.col("stage"))
+    exhausted = F.col("decision") == "exhausted_retries"
+    error = F.when(exhausted, F.concat(F.lit("dequeue_count "), dq, F.lit(f" > {MAX_DEQUEUE_COUNT}"))) \
+             .otherwise(F.concat(prev, F.lit("; not re-run (dequeue_count "), dq, F.lit(")")))
+    progress = F.when(exhausted, F.concat(
+        F.lit("The parse failed "), (F.col("dequeue_count") - 1).cast("string"),
+        F.lit(" times and was not retried again. Press Re-parse to try again."))) \
+        .otherwise(F.concat(F.upper(F.left(prev, F.lit(1))), F.substr(prev, F.lit(2)),
+                            F.lit(", so it was not run again. Press Re-parse to try again.")))
+    return decisions.where(F.col("decision").isin("exhausted_retries", "previous_final")).select(
+        "message_id", "compile_id", "stage", error.alias("error"), progress.alias("progress_error"))
+
+
+def path_keys(entries: DataFrame) -> DataFrame:
+    """Where each document of a run lives (status, progress, cancel,
+    active marker, run index)."""
+    return entries.select(
+        "compile_id", "deal_id",
+        F.concat_ws("/", F.lit("deals"), "deal_id", F.lit("parser-jobs"),
+                    F.concat("compile_id", F.lit(".json"))).alias("status_path"),
+        F.concat_ws("/", F.lit("deals"), "deal_id", F.lit("orbitbrief/latest/compile-progress.json"))
+        .alias("progress_path"),
+        F.concat_ws("/", F.lit("deals"), "deal_id", F.lit("orbitbrief/latest/compile-cancel.json"))
+        .alias("cancel_path"),
+        F.concat_ws("/", F.lit("_active-compiles"), F.concat("compile_id", F.lit(".json")))
+        .alias("marker_path"),
+        F.concat_ws("/", F.lit("_parser-runs"), F.left("updated_at", F.lit(10)),
+                    F.concat("compile_id", F.lit(".json"))).alias("index_path"))

@@ -563,3 +563,7 @@ FROM (SELECT *, coalesce(nullif(draft_status, ''), CASE WHEN coalesce(error, '')
                          'unknown') AS st
       FROM draft_inputs)
 """, ("draft_inputs",))
+
+cte("active_markers_files", r"""
+SELECT *, CAST(split_part(compile_id, '-', 1) AS BIGINT) % 11 <> 0 AS hash_ok FROM active_markers
+""", ("active_markers",))

@@ -212,3 +212,21 @@ FROM (SELECT message_id, lane,
       FROM raw_messages)""", "raw_messages"))
 def q_dispatch_order(spark, sf_dir):
     return A.dispatch_order(Derived(spark, sf_dir).raw_messages())
+
+
+@register("give_up_messages", with_ctes(r"""
+SELECT message_id, compile_id, stage,
+       CASE WHEN decision = 'exhausted_retries' THEN 'dequeue_count ' || CAST(dequeue_count AS VARCHAR) || ' > 3'
+            ELSE e || '; not re-run (dequeue_count ' || CAST(dequeue_count AS VARCHAR) || ')' END AS error,
+       CASE WHEN decision = 'exhausted_retries'
+            THEN 'The parse failed ' || CAST(dequeue_count - 1 AS VARCHAR)
+                 || ' times and was not retried again. Press Re-parse to try again.'
+            ELSE upper(left(e, 1)) || substr(e, 2) || ', so it was not run again. Press Re-parse to try again.'
+       END AS progress_error
+FROM (SELECT *, CASE stage WHEN 'timeout' THEN 'compile exceeded COMPILE_TIMEOUT_SEC on an earlier attempt'
+                           WHEN 'killed' THEN 'the worker was killed mid-run on an earlier attempt'
+                           WHEN 'out_of_memory' THEN 'the compile ran out of memory on an earlier attempt'
+                END AS e
+      FROM admission WHERE decision IN ('exhausted_retries', 'previous_final'))""", "admission"))
+def q_give_up_messages(spark, sf_dir):
+    return A.give_up_messages(decisions(spark, sf_dir))

@@ -296,3 +296,15 @@ FROM (SELECT *, row_number() OVER w AS seq_idx,
                     ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))""", "progress_events"))
 def q_stage_rate(spark, sf_dir):
     return H.stage_rate(Derived(spark, sf_dir).progress_events())
+
+
+@register("path_keys", with_ctes(f"""
+SELECT compile_id, deal_id, 'deals/' || deal_id || '/parser-jobs/' || compile_id || '.json' AS status_path,
+       'deals/' || deal_id || '/orbitbrief/latest/compile-progress.json' AS progress_path,
+       'deals/' || deal_id || '/orbitbrief/latest/compile-cancel.json' AS cancel_path,
+       '_active-compiles/' || compile_id || '.json' AS marker_path,
+       '_parser-runs/' || left(updated_at, 10) || '/' || compile_id || '.json' AS index_path
+FROM ({_RUN_INDEX_SQL})""", "status_events"))
+def q_path_keys(spark, sf_dir):
+    from runlens.operators.admission import path_keys
+    return path_keys(S.run_index(Derived(spark, sf_dir).status_events()))

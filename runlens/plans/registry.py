@@ -30,4 +30,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from runlens.plans import q_admission, q_atoms, q_core, q_health, q_stream, q_sync  # noqa: F401,E501
+    from runlens.plans import (q_admission, q_atoms, q_core, q_files, q_health,  # noqa: F401
+                               q_stream, q_sync)
