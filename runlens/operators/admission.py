@@ -186,13 +186,12 @@ def dispatch_order(raw: DataFrame, method: str = "auto") -> DataFrame:
 
     idx = sequence_index(raw.select("message_id", "lane", "received_at"), ["lane"],
                          ["received_at", "message_id"], method=method)
-    # One row (the priority lane's size) attached to the second lane only.
-    first = (raw.where(F.col("lane") == LANES[0]).groupBy().count()
-                .select(F.lit(LANES[1]).alias("lane"), F.col("count").alias("n_first")))
-    return idx.join(F.broadcast(first), "lane", "left").select(
+    # The priority lane's size, a scalar subquery added to the second lane.
+    n_first = raw.where(F.col("lane") == LANES[0]).agg(F.count(F.lit(1))).scalar()
+    return idx.select(
         "message_id", "lane", F.col("seq_idx").cast("bigint").alias("lane_pos"),
-        (F.col("seq_idx") + F.coalesce(F.col("n_first"), F.lit(0))).cast("bigint")
-        .alias("queue_pos"))
+        (F.col("seq_idx") + F.when(F.col("lane") == LANES[0], F.lit(0)).otherwise(n_first))
+        .cast("bigint").alias("queue_pos"))
 
 
 # The reference's give-up texts.

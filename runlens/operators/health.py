@@ -277,10 +277,9 @@ def stage_rate(progress: DataFrame, span: int = 5, method: str = "auto") -> Data
 
 
 def with_now(df: DataFrame, events: DataFrame, ts: str = "updated_at") -> DataFrame:
-    """Attach the data's "now" (the newest event time): a one-row aggregate
-    broadcast on a constant key."""
-    now = events.agg(F.max(ts).alias("now")).withColumn("_one", F.lit(1))
-    return (df.withColumn("_one", F.lit(1)).join(F.broadcast(now), "_one").drop("_one"))
+    """Attach the data's "now" (the newest event time) as a scalar
+    subquery: one partial aggregate, evaluated once, no join."""
+    return df.withColumn("now", events.agg(F.max(ts)).scalar())
 
 
 def run_budgets(status_events: DataFrame) -> DataFrame:

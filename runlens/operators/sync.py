@@ -34,10 +34,8 @@ def sync_plan(local: DataFrame, remote: DataFrame, remote_known: bool = True) ->
     if not remote_known:
         rem = rem.limit(0)
     reg_local = (local.where(_dir(F.col("name")) == REGISTRY_DIR)
-                      .agg((F.count(F.lit(1)) > 0).alias("registry_has_local"))
-                      .withColumn("_one", F.lit(1)))
-    full = (loc.join(rem, "name", "full_outer").withColumn("_one", F.lit(1))
-               .join(F.broadcast(reg_local), "_one").drop("_one"))
+                      .agg(F.count(F.lit(1)) > 0).scalar())
+    full = loc.join(rem, "name", "full_outer").withColumn("registry_has_local", reg_local)
     always = F.col("name").isin(*ALWAYS_UPLOAD)
     action = (F.when(always & F.col("local_size").isNotNull(), "upload")
                .when(F.col("local_size").isNotNull()
@@ -108,14 +106,12 @@ def config_check(config: DataFrame, fetched: DataFrame, base: str) -> DataFrame:
 
 def artifact_receipt(fetched: DataFrame, check: DataFrame) -> DataFrame:
     """One receipt row of the fetch."""
-    f = fetched.agg(F.count_if("fetched").alias("downloaded"),
-                    F.count_if(~F.col("fetched")).alias("skipped")).withColumn("_one", F.lit(1))
     c = check.agg(F.count(F.lit(1)).alias("required"),
                   F.count_if(F.col("state") == "present").alias("present"),
                   F.count_if(F.col("state") == "missing").alias("missing"),
-                  F.count_if(F.col("state") == "no_source").alias("no_source")
-                  ).withColumn("_one", F.lit(1))
-    j = f.join(c, "_one").drop("_one")
+                  F.count_if(F.col("state") == "no_source").alias("no_source"))
+    j = c.select(fetched.agg(F.count_if("fetched")).scalar().alias("downloaded"),
+                 fetched.agg(F.count_if(~F.col("fetched"))).scalar().alias("skipped"), "*")
     return j.select("*", F.lit(0).cast("bigint").alias("extract_errors"),
                     ((F.col("downloaded") > 0) & (F.col("missing") == 0)).alias("ok"))
 

@@ -51,11 +51,10 @@ def run_stage_totals(timings: DataFrame) -> DataFrame:
 
 def stage_profile(longest: DataFrame) -> DataFrame:
     """A10: how often each stage is the longest one of a run."""
-    total = longest.agg(F.count(F.lit(1)).alias("runs")).withColumn("_one", F.lit(1))
+    total = longest.agg(F.count(F.lit(1))).scalar()
     per = longest.groupBy("stage_name").agg(F.count(F.lit(1)).alias("runs_longest"))
-    return (per.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-               .select("stage_name", "runs_longest",
-                       F.round(F.col("runs_longest") / F.col("runs"), 6).alias("share_of_runs")))
+    return per.select("stage_name", "runs_longest",
+                      F.round(F.col("runs_longest") / total, 6).alias("share_of_runs"))
 
 
 def exact_median(df: DataFrame, value: str, tiebreak: str, method: str = "auto") -> DataFrame:
@@ -64,12 +63,11 @@ def exact_median(df: DataFrame, value: str, tiebreak: str, method: str = "auto")
     one or two middle rows (mean of both for an even count)."""
     keyed = df.select(F.lit(0).alias("_g"), value, tiebreak)
     idx = sequence_index(keyed, ["_g"], [value, tiebreak], method=method)
-    n = df.agg(F.count(F.lit(1)).alias("n")).withColumn("_g", F.lit(0))
-    j = idx.join(F.broadcast(n), "_g")
-    lo = F.floor((F.col("n") + 1) / 2)
-    hi = F.ceil((F.col("n") + 1) / 2)
-    mid = j.where((F.col("seq_idx") == lo) | (F.col("seq_idx") == hi))
-    return mid.groupBy("n").agg(F.avg(value).alias("median")).withColumnRenamed("n", "runs")
+    n = df.agg(F.count(F.lit(1))).scalar()
+    lo = F.floor((n + 1) / 2)
+    hi = F.ceil((n + 1) / 2)
+    mid = idx.where((F.col("seq_idx") == lo) | (F.col("seq_idx") == hi))
+    return mid.agg(F.avg(value).alias("median")).select(n.alias("runs"), "median")
 
 
 def trace_summary(status_events: DataFrame, calls: DataFrame) -> DataFrame:
