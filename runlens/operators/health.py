@@ -289,3 +289,11 @@ def run_budgets(status_events: DataFrame) -> DataFrame:
     docs = status_events.groupBy("compile_id").agg(
         F.count(F.when(F.col("stage") == "parse", 1)).alias("n_docs"))
     return docs.select("compile_id", "n_docs", budget_sec(F.col("n_docs")).alias("budget_sec"))
+
+
+def sliding_repeats(pickups: DataFrame, ts: str = "received_at", size: str = "1 hour",
+                    slide: str = "15 minutes") -> DataFrame:
+    """ST8 sliding form: one-hour windows every 15 minutes."""
+    return (pickups.groupBy(F.window(ts, size, slide).alias("w"))
+                   .agg(F.count(F.lit(1)).alias("repeats"))
+                   .select(F.col("w.start").alias("window_start"), "repeats"))

@@ -18,13 +18,16 @@ _WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def _files(spark, sf_dir, name, write) -> str:
+    """Write the input files once per session (rewritten if removed)."""
+    import os
+    import uuid
     key = (name, sf_dir)
-    if key not in _WRITTEN:
-        import uuid
+    path = _WRITTEN.get(key)
+    if path is None or (path.startswith("/") and not os.path.exists(path)):
         path = checkpoint_path(spark, f"files/{name}-{uuid.uuid4().hex[:8]}")
         write(path)
         _WRITTEN[key] = path
-    return _WRITTEN[key]
+    return path
 
 
 @register("manifest_source", with_ctes(r"""

@@ -308,3 +308,17 @@ FROM ({_RUN_INDEX_SQL})""", "status_events"))
 def q_path_keys(spark, sf_dir):
     from runlens.operators.admission import path_keys
     return path_keys(S.run_index(Derived(spark, sf_dir).status_events()))
+
+
+@register("hourly_repeats_sliding", with_ctes(f"""
+SELECT {ts_text('ws')} AS window_start, count(*) AS repeats
+FROM (SELECT make_timestamp(epoch_us(j.received_at) // 900000000 * 900000000 - i * 900000000) AS ws
+      FROM jobs j JOIN latest_status s USING (compile_id), range(4) t(i)
+      WHERE s.status = 'failed' AND s.stage IN ('timeout', 'killed', 'out_of_memory'))
+GROUP BY ws""", "jobs", "latest_status"))
+def q_hourly_repeats_sliding(spark, sf_dir):
+    from runlens.operators.admission import previous_final
+    d = Derived(spark, sf_dir)
+    picks = previous_final(jobs(spark, sf_dir), d.status_events()).where(
+        F.col("blocked_stage").isNotNull())
+    return H.sliding_repeats(picks).withColumn("window_start", ts("window_start"))

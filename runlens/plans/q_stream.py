@@ -66,3 +66,17 @@ def q_stream_oom_first_hit(spark, sf_dir):
     land = _landing(spark, sf_dir, "memory_samples",
                     lambda: Derived(spark, sf_dir).memory_samples().repartition(8))
     return T.stream_oom_first_hit(spark, land)
+
+
+@register("stream_dedup_delivery", with_ctes(f"""
+SELECT compile_id, message_id AS seq, {ts_text('received_at')} AS received_at,
+       (lag(received_at) OVER w IS NULL OR
+        epoch_us(received_at) - epoch_us(lag(received_at) OVER w) > CAST(14400 AS BIGINT) * 1000000) AS kept
+FROM jobs WINDOW w AS (PARTITION BY compile_id ORDER BY received_at, message_id)""", "jobs"))
+def q_stream_dedup_delivery(spark, sf_dir):
+    from runlens.plans.q_admission import jobs
+    land = _landing(spark, sf_dir, "deliveries",
+                    lambda: jobs(spark, sf_dir).select(
+                        "compile_id", F.col("message_id").alias("seq"), "received_at")
+                    .repartition(8))
+    return T.stream_dedup_delivery(spark, land)

@@ -105,11 +105,15 @@ def materialized(spark: SparkSession, name: str, key: str, build) -> DataFrame:
 
     k = (name, key)
     path = _TABLES.get(k)
-    if path is None:
-        digest = hashlib.sha1(f"{name}|{key}|{id(spark)}".encode()).hexdigest()[:12]
-        path = checkpoint_path(spark, f"tables/{name}-{digest}")
-        build().write.mode("overwrite").parquet(path)
-        _TABLES[k] = path
+    if path is not None:
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # written by an earlier session and since removed
+            path = None
+    digest = hashlib.sha1(f"{name}|{key}|{id(spark)}".encode()).hexdigest()[:12]
+    path = checkpoint_path(spark, f"tables/{name}-{digest}")
+    build().write.mode("overwrite").parquet(path)
+    _TABLES[k] = path
     return spark.read.parquet(path)
 
 

@@ -190,3 +190,44 @@ def stream_oom_first_hit(spark: SparkSession, landing: str) -> DataFrame:
         lambda b: out.writeStream.format("parquet").option("path", b + "/out"), spark,
         "stream_oom_first_hit")
     return spark.read.parquet(base + "/out")
+
+
+# ------------------------------------------------------------------ ST9
+class DuplicateDelivery(StatefulProcessor):
+    """Per compile: a delivery is kept when it is the first one or the one
+    before it was received more than the lease ceiling earlier. State: the
+    last delivery time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", StructType([StructField("t", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True)
+        pdf["_t"] = pdf["received_at"].astype("int64") // 1000
+        pdf = pdf.sort_values(["_t", "seq"], kind="stable")
+        prev = int(self.last.get()[0]) if self.last.exists() else None
+        kept = []
+        for t in pdf["_t"].tolist():
+            kept.append(prev is None or t - prev > LEASE_TTL_MS * 1000)
+            prev = t
+        self.last.update((prev,))
+        yield pd.DataFrame({
+            "compile_id": pdf["compile_id"].values, "seq": pdf["seq"].values,
+            "received_at": pdf["received_at"].dt.strftime("%Y-%m-%d %H:%M:%S.%f").values,
+            "kept": kept})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_dedup_delivery(spark: SparkSession, landing: str) -> DataFrame:
+    use_rocksdb(spark)
+    src = landing_stream(spark, landing).select("compile_id", "seq", "received_at")
+    out = src.groupBy("compile_id").transformWithStateInPandas(
+        statefulProcessor=DuplicateDelivery(),
+        outputStructType="compile_id string, seq long, received_at string, kept boolean",
+        outputMode="Append", timeMode="None")
+    base = run_available_now(
+        lambda b: out.writeStream.format("parquet").option("path", b + "/out"), spark,
+        "stream_dedup_delivery")
+    return spark.read.parquet(base + "/out")
