@@ -50,7 +50,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = tempfile.mkdtemp(prefix="runlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    try:
+        spark.sparkContext.setCheckpointDir(current)
+    except Exception:  # sessions without a local SparkContext (Connect)
+        pass
     return current
 
 
@@ -87,8 +90,12 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     unsplittable file). On a large input with many splits it is a no-op."""
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no SparkContext in this session kind: leave as is
+        return df
+    if parts < cores:
         return df.repartition(cores * factor)
     return df
 
@@ -124,7 +131,10 @@ def ship_package(spark: SparkSession) -> None:
     (pandas scans, stateful processors)."""
     import shutil
 
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no SparkContext in this session kind
+        return
     if getattr(sc, "_runlens_shipped", False):
         return
     import runlens
