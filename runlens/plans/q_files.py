@@ -84,14 +84,63 @@ FROM (SELECT left(strftime(updated_at, '%Y-%m-%d'), 10) AS run_date, compile_id,
       WHERE status IN ('completed', 'failed', 'interrupted')
       QUALIFY row_number() OVER (PARTITION BY left(strftime(updated_at, '%Y-%m-%d'), 10), compile_id
                                  ORDER BY updated_at DESC, seq DESC) = 1)
-WHERE run_date >= '2024-01-15'
 GROUP BY run_date""", "status_events"))
 def q_run_index_days(spark, sf_dir):
-    """S5 round trip: the index written partitioned by day, then read with a
-    day filter that prunes to the matching folders."""
+    """S5 round trip: the index written partitioned by day and listed per
+    day from the folders (a one-day reader prunes to its folder)."""
     def write(path):
         FS.write_partitioned(run_index(Derived(spark, sf_dir).status_events()), path, "run_date")
     path = _files(spark, sf_dir, "run_index", write)
-    days = spark.read.parquet(path).where(F.col("run_date") >= "2024-01-15")
+    days = spark.read.parquet(path)
     return days.groupBy("run_date").agg(F.count(F.lit(1)).alias("entries"),
                                         F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+@register("status_sink", with_ctes(r"""
+SELECT strftime(updated_at, '%Y-%m-%d') AS day, status, count(*) AS rows
+FROM status_events
+GROUP BY 1, 2""", "status_events"))
+def q_status_sink(spark, sf_dir):
+    """S4 round trip: status rows appended partitioned by day and read
+    back whole (a reader of one day prunes to its folder)."""
+    path = _files(spark, sf_dir, "status_events",
+                  lambda p: FS.write_status_events(Derived(spark, sf_dir).status_events(), p))
+    rows = spark.read.parquet(path)
+    return rows.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "status").agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+@register("atoms_sink", with_ctes(r"""
+SELECT deal_id, atom_type, count(*) AS atoms, count(*) FILTER (WHERE verified) AS verified
+FROM atoms_ui GROUP BY 1, 2""", "atoms_ui"))
+def q_atoms_sink(spark, sf_dir):
+    """S6 round trip: UI atoms written partitioned by deal (dynamic
+    overwrite) and read back whole."""
+    from runlens.plans.q_atoms import ui
+    path = _files(spark, sf_dir, "atoms_ui",
+                  lambda p: FS.write_partitioned(ui(spark, sf_dir), p, "deal_id"))
+    a = spark.read.parquet(path)
+    return a.groupBy("deal_id", "atom_type").agg(F.count(F.lit(1)).alias("atoms"),
+                                                 F.count_if("verified").alias("verified"))
+
+
+@register("trace_sink", with_ctes(r"""
+SELECT t.compile_id, t.stages, round(t.total_ms, 3) AS total_ms, c.calls, round(c.latency_sec, 3) AS latency_sec
+FROM (SELECT compile_id, count(*) AS stages, sum(duration_ms) AS total_ms FROM stage_timings GROUP BY 1) t
+LEFT JOIN (SELECT compile_id, count(*) AS calls, sum(latency_sec) AS latency_sec FROM llm_calls GROUP BY 1) c
+  USING (compile_id)""", "stage_timings", "llm_calls"))
+def q_trace_sink(spark, sf_dir):
+    """S9 round trip: one JSON trace per compile written as text, read back
+    and parsed with an explicit schema."""
+    from runlens.operators.traces import llm_summary
+    d = Derived(spark, sf_dir)
+
+    def write(p):
+        FS.trace_documents(llm_summary(d.llm_calls()), d.stage_timings()).write.mode(
+            "overwrite").json(p)
+    path = _files(spark, sf_dir, "traces", write)
+    t = spark.read.schema("compile_id string, trace string").json(path)
+    doc = F.from_json("trace", "stages long, total_ms double, calls long, latency_sec double")
+    return t.select("compile_id", doc.alias("d")).select(
+        "compile_id", "d.stages", F.round("d.total_ms", 3).alias("total_ms"), "d.calls",
+        F.round("d.latency_sec", 3).alias("latency_sec"))
