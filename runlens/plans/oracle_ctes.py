@@ -351,7 +351,6 @@ SELECT compile_id, any_value(deal_id) AS deal_id, min(updated_at) AS started_at,
        max(updated_at) AS last_at,
        min(CASE WHEN status IN ('completed', 'failed', 'interrupted', 'cancelled') THEN updated_at END)
          AS ended_at,
-       max(updated_at) FILTER (WHERE true) AS _unused,
        (SELECT max(updated_at) FROM status_events) AS now
 FROM status_events GROUP BY compile_id
 """, ("status_events",))

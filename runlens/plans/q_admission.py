@@ -37,11 +37,11 @@ def jobs(spark, sf_dir):
 SELECT message_id, lane, CASE WHEN lane = 'priority' THEN 0 ELSE 1 END AS lane_rank, dequeue_count
 FROM raw_messages""", "raw_messages"))
 def q_lane_union(spark, sf_dir):
-    raw = Derived(spark, sf_dir).raw_messages().drop("lane")
-    pri = Derived(spark, sf_dir).raw_messages()
-    both = A.lane_union(pri.where(F.col("lane") == "priority").drop("lane"),
-                        pri.where(F.col("lane") == "normal").drop("lane"))
-    del raw
+    """The two lanes arrive as separate sources; here they are the two
+    halves of the derived queue."""
+    msgs = Derived(spark, sf_dir).raw_messages()
+    both = A.lane_union(msgs.where(F.col("lane") == "priority").drop("lane"),
+                        msgs.where(F.col("lane") == "normal").drop("lane"))
     return both.select("message_id", "lane", A.lane_rank(F.col("lane")).alias("lane_rank"),
                        "dequeue_count")
 
