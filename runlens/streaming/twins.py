@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import admission as A
 from runlens.operators.status import RUN_ENDS
-from runlens.session import checkpoint_path, ship_package
+from runlens.session import checkpoint_path, ship_package  # noqa: F401 (re-exported)
 
 LEASE_TTL_MS = 4 * 3600 * 1000   # the longest a message stays leased
 
