@@ -79,3 +79,24 @@ def q_stream_dedup_delivery(spark, sf_dir):
                         "compile_id", F.col("message_id").alias("seq"), "received_at")
                     .repartition(8))
     return T.stream_dedup_delivery(spark, land)
+
+
+@register("stream_budget_overrun", with_ctes(f"""
+SELECT compile_id, budget_sec, {ts_text('fired')} AS fired_at
+FROM (SELECT s.*, b.budget_sec,
+             make_timestamp(epoch_us(s.started_at) + CAST(round(b.budget_sec * 1000000) AS BIGINT)) AS fired
+      FROM run_spans s JOIN (SELECT compile_id, least(10800.0, greatest(1500.0,
+                             45.0 * count(*) FILTER (WHERE stage = 'parse'))) AS budget_sec
+                             FROM status_events GROUP BY compile_id) b USING (compile_id))
+WHERE budget_sec > 0 AND coalesce(ended_at, now) > fired""", "run_spans", "status_events"))
+def q_stream_budget_overrun(spark, sf_dir):
+    from runlens.operators.health import run_budgets
+    d = Derived(spark, sf_dir)
+    land = _landing(spark, sf_dir, "status_events",
+                    lambda: d.status_events().repartition(8))
+    budgets = run_budgets(d.status_events())
+    fired = T.stream_budget_overrun(spark, land, budgets)
+    return (fired.join(budgets.select("compile_id", "budget_sec"), "compile_id")
+            .select("compile_id", "budget_sec",
+                    F.date_format(F.timestamp_micros("deadline_us"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+                    .alias("fired_at")))

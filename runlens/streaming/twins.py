@@ -213,3 +213,54 @@ def stream_dedup_delivery(spark: SparkSession, landing: str) -> DataFrame:
         "stream_dedup_delivery")
     return spark.read.parquet(base + "/out").withColumn(
         "received_at", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+# ------------------------------------------------------------------ ST3
+def _budget_fn(key, chunks, state):
+    """Per compile: the run must end before start + budget. A run that ends
+    late fires at its deadline; one still going fires when the event-time
+    watermark passes the deadline (a GroupState timeout); one that ends in
+    time is forgotten."""
+    if state.hasTimedOut:
+        start, deadline, done = state.get
+        state.remove()
+        yield pd.DataFrame({"compile_id": [key[0]], "deadline_us": [int(deadline)]})
+        return
+    if state.exists and state.get[2]:
+        return
+    pdf = _frame(chunks)
+    t = pdf["updated_at"].to_numpy().astype("int64") // 1000
+    start = int(t.min())
+    if state.exists:
+        start = min(start, int(state.get[0]))
+    budget_us = int(round(float(pdf["budget_sec"].iloc[0]) * 1_000_000))
+    deadline = start + budget_us
+    is_end = np.isin(pdf["status"].to_numpy(), RUN_ENDS)
+    if is_end.any() or budget_us <= 0:
+        state.update((start, deadline, True))
+        if budget_us > 0 and int(t[is_end].min()) > deadline:
+            yield pd.DataFrame({"compile_id": [key[0]], "deadline_us": [deadline]})
+        return
+    state.update((start, deadline, False))
+    wm_us = state.getCurrentWatermarkMs() * 1000
+    if deadline < wm_us:
+        state.update((start, deadline, True))
+        yield pd.DataFrame({"compile_id": [key[0]], "deadline_us": [deadline]})
+        return
+    state.setTimeoutTimestamp(deadline // 1000 + 1)
+
+
+def stream_budget_overrun(spark: SparkSession, landing: str, budgets: DataFrame) -> DataFrame:
+    """ST3: status rows joined to the static per-run budgets (stream-static
+    join), then the per-compile deadline rule with an event-time timeout."""
+    ship_package(spark)
+    src = (landing_stream(spark, landing).select("compile_id", "status", "updated_at")
+           .withWatermark("updated_at", "0 seconds")
+           .join(budgets.select("compile_id", "budget_sec"), "compile_id"))
+    out = src.groupBy("compile_id").applyInPandasWithState(
+        _budget_fn, "compile_id string, deadline_us long", "start long, deadline long, done boolean",
+        "append", "EventTimeTimeout")
+    base = run_available_now(
+        lambda b: out.writeStream.format("parquet").option("path", b + "/out"), spark,
+        "stream_budget_overrun")
+    return spark.read.parquet(base + "/out")
