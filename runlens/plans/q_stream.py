@@ -100,3 +100,16 @@ def q_stream_budget_overrun(spark, sf_dir):
             .select("compile_id", "budget_sec",
                     F.date_format(F.timestamp_micros("deadline_us"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
                     .alias("fired_at")))
+
+
+@register("stream_stale_runs", with_ctes(f"""
+SELECT compile_id, {ts_text('last_at')} AS last_at FROM run_spans
+WHERE ended_at IS NULL
+  AND last_at < make_timestamp(epoch_us(now) - CAST(24 * 60 * 60 AS BIGINT) * 1000000)""", "run_spans"))
+def q_stream_stale_runs(spark, sf_dir):
+    from runlens.plans.q_health import STALE_MINUTES
+    land = _landing(spark, sf_dir, "status_events",
+                    lambda: Derived(spark, sf_dir).status_events().repartition(8))
+    r = T.stream_stale_runs(spark, land, STALE_MINUTES)
+    return r.select("compile_id", F.date_format(F.timestamp_micros("last_us"),
+                                                "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_at"))

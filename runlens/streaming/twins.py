@@ -247,7 +247,17 @@ def _budget_fn(key, chunks, state):
         state.update((start, deadline, True))
         yield pd.DataFrame({"compile_id": [key[0]], "deadline_us": [deadline]})
         return
-    state.setTimeoutTimestamp(deadline // 1000 + 1)
+    _set_timer(state, deadline)
+
+
+def _set_timer(state, at_us: int) -> None:
+    """Event-time timer at ``at_us`` (ms resolution, never before the
+    current watermark)."""
+    ms = max(at_us // 1000, state.getCurrentWatermarkMs())
+    try:
+        state.setTimeoutTimestamp(ms)
+    except Exception:  # a timestamp equal to the watermark is refused
+        state.setTimeoutTimestamp(ms + 1)
 
 
 def stream_budget_overrun(spark: SparkSession, landing: str, budgets: DataFrame) -> DataFrame:
@@ -264,3 +274,42 @@ def stream_budget_overrun(spark: SparkSession, landing: str, budgets: DataFrame)
         lambda b: out.writeStream.format("parquet").option("path", b + "/out"), spark,
         "stream_budget_overrun")
     return spark.read.parquet(base + "/out")
+
+
+# ------------------------------------------------------------------ ST4
+def _stale_fn_for(gap_us: int):
+    def _stale_fn(key, chunks, state):
+        """Per compile: a run with no write for ``gap`` after its last write,
+        and no end, is stale when the watermark passes last + gap."""
+        if state.hasTimedOut:
+            last, ended = state.get
+            state.remove()
+            if not ended:
+                yield pd.DataFrame({"compile_id": [key[0]], "last_us": [int(last)]})
+            return
+        pdf = _frame(chunks)
+        t = pdf["updated_at"].to_numpy().astype("int64") // 1000
+        last = int(t.max())
+        ended = bool(np.isin(pdf["status"].to_numpy(), RUN_ENDS).any())
+        if state.exists:
+            last = max(last, int(state.get[0]))
+            ended = ended or bool(state.get[1])
+        state.update((last, ended))
+        if ended:
+            return
+        _set_timer(state, last + gap_us)
+    return _stale_fn
+
+
+def stream_stale_runs(spark: SparkSession, landing: str, minutes: float) -> DataFrame:
+    """ST4: stale runs from an event-time timer per compile."""
+    ship_package(spark)
+    src = (landing_stream(spark, landing).select("compile_id", "status", "updated_at")
+           .withWatermark("updated_at", "0 seconds"))
+    out = src.groupBy("compile_id").applyInPandasWithState(
+        _stale_fn_for(int(minutes * 60 * 1_000_000)), "compile_id string, last_us long",
+        "last long, ended boolean", "append", "EventTimeTimeout")
+    base = run_available_now(
+        lambda b: out.writeStream.format("parquet").option("path", b + "/out"), spark,
+        "stream_stale_runs")
+    return spark.read.parquet(base + "/out")
