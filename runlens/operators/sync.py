@@ -119,9 +119,14 @@ def artifact_receipt(fetched: DataFrame, check: DataFrame) -> DataFrame:
 def largest_sibling(listing: DataFrame) -> DataFrame:
     """J8 (contract only): among siblings sharing a base name, prefer the
     largest (ties by name). The reference delegates dedup to an external
-    helper; ours keeps one row per (deal, base). ``max_by`` over a struct is
-    a partial aggregate, so a deal with many siblings is reduced map-side."""
-    best = listing.groupBy("deal_id", "base").agg(
-        F.max(F.struct("size", F.col("name"))).alias("_b"), F.count(F.lit(1)).alias("siblings"))
+    helper; ours keeps one row per (deal, base) and counts exact copies
+    (same content hash) once. ``max`` over a struct is a partial aggregate,
+    so a deal with many siblings is reduced map-side; the distinct count
+    is a two-level aggregate (dedup per hash first)."""
+    per_hash = listing.groupBy("deal_id", "base", "content_sha256").agg(
+        F.max(F.struct("size", F.col("name"))).alias("_h"), F.count(F.lit(1)).alias("_n"))
+    best = per_hash.groupBy("deal_id", "base").agg(
+        F.max("_h").alias("_b"), F.sum("_n").alias("siblings"),
+        F.count(F.lit(1)).alias("distinct_siblings"))
     return best.select("deal_id", "base", F.col("_b.name").alias("name"),
-                       F.col("_b.size").alias("size"), "siblings")
+                       F.col("_b.size").alias("size"), "siblings", "distinct_siblings")

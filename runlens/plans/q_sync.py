@@ -84,7 +84,7 @@ SELECT source AS deal_id, 'mail-' || CAST(doc_id % 50 AS VARCHAR) AS base,
        arg_max('mail-' || CAST(doc_id % 50 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.eml',
                (n_chars, 'mail-' || CAST(doc_id % 50 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.eml'))
          AS name,
-       max(n_chars) AS size, count(*) AS siblings
+       max(n_chars) AS size, count(*) AS siblings, count(DISTINCT sha256(text)) AS distinct_siblings
 FROM documents GROUP BY 1, 2""")
 def q_largest_sibling(spark, sf_dir):
     return SY.largest_sibling(sibling_listing(Derived(spark, sf_dir)))

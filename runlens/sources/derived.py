@@ -440,4 +440,4 @@ def sibling_listing(d: Derived) -> DataFrame:
     return d.t("documents").select(
         F.col("source").alias("deal_id"), F.concat(F.lit("mail-"), _s(dd % 50)).alias("base"),
         F.concat(F.lit("mail-"), _s(dd % 50), F.lit("/"), _s(dd), F.lit(".eml")).alias("name"),
-        F.col("n_chars").alias("size"))
+        F.col("n_chars").alias("size"), F.sha2("text", 256).alias("content_sha256"))
