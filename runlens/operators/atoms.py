@@ -180,3 +180,17 @@ def draft_markdown(rollup: DataFrame, by_type: DataFrame) -> DataFrame:
                      F.array_join("_lines", "\n"))
     return j.select("deal_id", md.alias("markdown"), F.lit("v1").alias("version"),
                     F.length(md).alias("n_chars"))
+
+
+def atoms_by_artifact_nested(ui: DataFrame) -> DataFrame:
+    """A3 nested form: per file, the total and the type counter as a map
+    (``by_type``) plus its sorted text rendering. Counted per (file, type)
+    first, so the collected list per file is bounded by the vocabulary."""
+    f = F.when(F.col("source_filename") != "", F.col("source_filename")).otherwise(UNKNOWN_FILE)
+    per = ui.withColumn("file", f).groupBy("file", "atom_type").agg(F.count(F.lit(1)).alias("n"))
+    nested = per.groupBy("file").agg(
+        F.sum("n").alias("atom_count"),
+        F.map_from_entries(F.collect_list(F.struct("atom_type", "n"))).alias("by_type"),
+        F.array_join(F.array_sort(F.collect_list(
+            F.concat("atom_type", F.lit(":"), F.col("n").cast("string")))), ",").alias("by_type_text"))
+    return nested

@@ -184,3 +184,14 @@ def q_trace_diff(spark, sf_dir):
                .join(runs.withColumnRenamed("compile_id", "prev_compile_id"), "prev_compile_id",
                      "left_semi"))
     return TR.trace_diff(TR.trace_summary(ev, d.llm_calls()), pairs)
+
+
+@register("atoms_by_artifact_nested", with_ctes(r"""
+SELECT file, sum(n) AS atom_count, string_agg(atom_type || ':' || CAST(n AS VARCHAR), ',' ORDER BY
+       atom_type || ':' || CAST(n AS VARCHAR)) AS by_type_text
+FROM (SELECT CASE WHEN source_filename <> '' THEN source_filename ELSE '(unknown)' END AS file,
+             atom_type, count(*) AS n
+      FROM atoms_ui GROUP BY 1, 2)
+GROUP BY file""", "atoms_ui"))
+def q_atoms_by_artifact_nested(spark, sf_dir):
+    return AT.atoms_by_artifact_nested(ui(spark, sf_dir)).drop("by_type")
