@@ -228,9 +228,9 @@ def path_keys(entries: DataFrame) -> DataFrame:
         "compile_id", "deal_id",
         F.concat_ws("/", F.lit("deals"), "deal_id", F.lit("parser-jobs"),
                     F.concat("compile_id", F.lit(".json"))).alias("status_path"),
-        F.concat_ws("/", F.lit("deals"), "deal_id", F.lit("orbitbrief/latest/compile-progress.json"))
+        F.concat_ws("/", F.lit("deals"), "deal_id", F.lit("latest/compile-progress.json"))
         .alias("progress_path"),
-        F.concat_ws("/", F.lit("deals"), "deal_id", F.lit("orbitbrief/latest/compile-cancel.json"))
+        F.concat_ws("/", F.lit("deals"), "deal_id", F.lit("latest/compile-cancel.json"))
         .alias("cancel_path"),
         F.concat_ws("/", F.lit("_active-compiles"), F.concat("compile_id", F.lit(".json")))
         .alias("marker_path"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEAL_ID_PATTERN = "^[0-9a-fA-F-]{36}$"
-NO_BRIEF = "RuntimeError: the latest envelope has no c3_brief; compile the deal first"
+NO_BRIEF = "RuntimeError: the latest envelope has no brief; compile the deal first"
 
 
 def draft_summary_cols(sow: Column) -> dict[str, Column]:
@@ -36,28 +36,28 @@ def draft_summary_cols(sow: Column) -> dict[str, Column]:
 
 
 def draft_summary(drafts: DataFrame) -> DataFrame:
-    cols = draft_summary_cols(F.col("c3_sow"))
+    cols = draft_summary_cols(F.col("draft_doc"))
     return drafts.select("deal_id", *[c.alias(n) for n, c in cols.items()])
 
 
 def draft_merge(inputs: DataFrame) -> DataFrame:
     """P21 + P22: requests with a malformed deal id produce nothing; a deal
-    whose envelope has no c3_brief fails; otherwise the draft is written
+    whose envelope has no brief fails; otherwise the draft is written
     into the envelope (and the handoff when one exists) and the status row
     carries the envelope's compile id, location count and summary."""
     valid = inputs.where(F.col("deal_id").rlike(DEAL_ID_PATTERN))
     ok = F.col("has_brief")
-    s = draft_summary_cols(F.col("c3_sow"))
+    s = draft_summary_cols(F.col("draft_doc"))
     return valid.select(
         "request_id", "deal_id", F.left(F.coalesce("requested_by", F.lit("")), F.lit(120))
         .alias("requested_by"),
         F.when(ok, "done").otherwise("failed").alias("state"),
         F.when(ok, F.col("envelope_compile_id")).alias("compile_id"),
-        F.when(ok, F.size(F.coalesce(F.col("c3_sow.locations"), F.array()))).alias("locations"),
+        F.when(ok, F.size(F.coalesce(F.col("draft_doc.locations"), F.array()))).alias("locations"),
         F.when(ok, s["draft_status"]).otherwise("failed").alias("draft_status"),
         F.when(ok, s["failed_because"]).otherwise(F.lit(NO_BRIEF)).alias("failed_because"),
         F.when(ok, s["degraded_because"]).alias("degraded_because"),
         F.when(ok, s["llm_failures"]).alias("llm_failures"),
         F.when(~ok, F.lit(NO_BRIEF)).alias("error"),
-        F.when(ok, F.lit("sowsmith_run")).alias("written_on"),
+        F.when(ok, F.lit("draft_run")).alias("written_on"),
         (ok & F.col("has_handoff")).alias("handoff_updated"))

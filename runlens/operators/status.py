@@ -41,7 +41,7 @@ def latest_progress(progress_events: DataFrame) -> DataFrame:
 TERMINAL_FOR_INDEX = ("completed", "failed", "interrupted")   # F1: not cancelled
 RUN_ENDS = ("completed", "failed", "interrupted", "cancelled")  # J6: every end
 RUN_INDEX_FIELDS = ("compile_id", "deal_id", "status", "stage", "updated_at", "worker_sha",
-                    "parser_os_sha", "elapsed_sec", "entity_count", "atom_count",
+                    "parser_sha", "elapsed_sec", "entity_count", "atom_count",
                     "percent_complete")
 METADATA_KEYS = ("status", "stage", "deal_id", "compile_id", "updated_at", "elapsed_sec",
                  "worker_sha")
@@ -82,7 +82,7 @@ def run_index(status_events: DataFrame) -> DataFrame:
             for k in METADATA_KEYS}
     return last.select(
         "run_date", "compile_id", "deal_id", "status", "stage",
-        F.col("updated_at_text").alias("updated_at"), "worker_sha", "parser_os_sha",
+        F.col("updated_at_text").alias("updated_at"), "worker_sha", "parser_sha",
         "elapsed_sec", "entity_count", "atom_count", "percent_complete",
         F.when(F.col("error").isNotNull() & (F.col("error") != ""),
                bounded_error(F.col("error"))).alias("error"),

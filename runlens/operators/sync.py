@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 # Fixed values of the reference's sync and fetch rules.
 REGISTRY_DIR = "_head_registry"
-ALWAYS_UPLOAD = ("_training_deepseek.db", "_embed_cache.db")   # in this order, last
-LIVE_LOG = "_training_deepseek.db"
+ALWAYS_UPLOAD = ("_training_log.db", "_embed_cache.db")   # in this order, last
+LIVE_LOG = "_training_log.db"
 SKIP_PREFIXES = ("dataset/",)
 SKIP_SUFFIXES = (".png", ".jpg", ".jpeg", ".zip")
 SKIP_MARKERS = ("_training_", "_runpod_", "_backup_")

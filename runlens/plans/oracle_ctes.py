@@ -204,7 +204,7 @@ SELECT CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS compile_id,
        CASE WHEN event_type = 'error' THEN repeat('E', CAST(480 + event_id % 60 AS INTEGER)) END AS error,
        CASE WHEN event_type = 'error' THEN 'Traceback #' || CAST(event_id AS VARCHAR) END AS traceback,
        'w' || CAST(user_id % 3 AS VARCHAR) AS worker_sha,
-       'p' || CAST(user_id % 2 AS VARCHAR) AS parser_os_sha,
+       'p' || CAST(user_id % 2 AS VARCHAR) AS parser_sha,
        user_id, event_type, event_id
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
 """)
@@ -450,7 +450,7 @@ _DIRS = "['_head_registry', '_calibrator', '_type_head', '_span_heads'][doc_id %
 cte("local_listing", f"""
 SELECT {_DIRS} || '/h_' || CAST(doc_id AS VARCHAR) || '.npz' AS name, n_chars AS size
 FROM documents WHERE doc_id % 5 <> 3
-UNION ALL SELECT '_training_deepseek.db', sum(n_chars) FROM documents
+UNION ALL SELECT '_training_log.db', sum(n_chars) FROM documents
 UNION ALL SELECT '_embed_cache.db', count(*) FROM documents
 """)
 
@@ -462,14 +462,14 @@ FROM documents WHERE doc_id % 10 <> 4
 
 cte("sync_plan", r"""
 SELECT name, split_part(name, '/', 1) AS dir, local_size, remote_size,
-  CASE WHEN name IN ('_training_deepseek.db', '_embed_cache.db') AND local_size IS NOT NULL THEN 'upload'
+  CASE WHEN name IN ('_training_log.db', '_embed_cache.db') AND local_size IS NOT NULL THEN 'upload'
        WHEN local_size IS NOT NULL AND coalesce(remote_size = local_size, false) THEN 'skip'
        WHEN local_size IS NOT NULL THEN 'upload'
        WHEN split_part(name, '/', 1) = '_head_registry'
             AND (SELECT count(*) FROM local_listing WHERE split_part(name, '/', 1) = '_head_registry') > 0
             THEN 'delete'
        ELSE 'keep' END AS action,
-  CASE name WHEN '_training_deepseek.db' THEN 1 WHEN '_embed_cache.db' THEN 2 ELSE 0 END AS upload_order
+  CASE name WHEN '_training_log.db' THEN 1 WHEN '_embed_cache.db' THEN 2 ELSE 0 END AS upload_order
 FROM (SELECT coalesce(l.name, r.name) AS name, l.size AS local_size, r.size AS remote_size
       FROM local_listing l FULL OUTER JOIN remote_listing r ON l.name = r.name)
 """, ("local_listing", "remote_listing"))
@@ -479,7 +479,7 @@ SELECT CASE p_partkey % 8
          WHEN 0 THEN 'dataset/' || CAST(p_partkey AS VARCHAR) || '.json'
          WHEN 1 THEN 'a/' || CAST(p_partkey AS VARCHAR) || '.PNG'
          WHEN 2 THEN '_training_' || CAST(p_partkey AS VARCHAR) || '.db'
-         WHEN 3 THEN CASE WHEN p_partkey = 3 THEN '_training_deepseek.db'
+         WHEN 3 THEN CASE WHEN p_partkey = 3 THEN '_training_log.db'
                           ELSE 'x/_runpod_' || CAST(p_partkey AS VARCHAR) || '.bin' END
          WHEN 4 THEN '_head_registry/' || CAST(p_partkey AS VARCHAR) || '.npz'
          WHEN 5 THEN 'x_backup_' || CAST(p_partkey AS VARCHAR)
@@ -493,7 +493,7 @@ cte("fetch_filter", r"""
 SELECT name, NOT (CASE WHEN starts_with(lower(name), 'dataset/') OR lower(name) LIKE '%.png'
                             OR lower(name) LIKE '%.jpg' OR lower(name) LIKE '%.jpeg' OR lower(name) LIKE '%.zip'
                        THEN true
-                       WHEN lower(name) = '_training_deepseek.db' THEN false
+                       WHEN lower(name) = '_training_log.db' THEN false
                        WHEN contains(lower(name), '_training_') OR contains(lower(name), '_runpod_')
                             OR contains(lower(name), '_backup_') THEN true
                        WHEN starts_with(lower(name), '_head_registry/') THEN true

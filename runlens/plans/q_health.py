@@ -22,7 +22,7 @@ def _meta_sql(c: str) -> str:
 _ISO = "strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'"
 
 _RUN_INDEX_SQL = f"""
-SELECT run_date, compile_id, deal_id, status, stage, iso AS updated_at, worker_sha, parser_os_sha,
+SELECT run_date, compile_id, deal_id, status, stage, iso AS updated_at, worker_sha, parser_sha,
        elapsed_sec, entity_count, atom_count, percent_complete,
        CASE WHEN error IS NULL OR error = '' THEN NULL WHEN length(error) <= 500 THEN error
             ELSE left(error, 499) || '…' END AS error,
@@ -300,8 +300,8 @@ def q_stage_rate(spark, sf_dir):
 
 @register("path_keys", with_ctes(f"""
 SELECT compile_id, deal_id, 'deals/' || deal_id || '/parser-jobs/' || compile_id || '.json' AS status_path,
-       'deals/' || deal_id || '/orbitbrief/latest/compile-progress.json' AS progress_path,
-       'deals/' || deal_id || '/orbitbrief/latest/compile-cancel.json' AS cancel_path,
+       'deals/' || deal_id || '/latest/compile-progress.json' AS progress_path,
+       'deals/' || deal_id || '/latest/compile-cancel.json' AS cancel_path,
        '_active-compiles/' || compile_id || '.json' AS marker_path,
        '_parser-runs/' || left(updated_at, 10) || '/' || compile_id || '.json' AS index_path
 FROM ({_RUN_INDEX_SQL})""", "status_events"))

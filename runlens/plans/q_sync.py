@@ -106,12 +106,12 @@ SELECT request_id, deal_id, left(coalesce(requested_by, ''), 120) AS requested_b
        CASE WHEN has_brief THEN n_locations END AS locations,
        CASE WHEN has_brief THEN st ELSE 'failed' END AS draft_status,
        CASE WHEN has_brief THEN s_failed_because
-            ELSE 'RuntimeError: the latest envelope has no c3_brief; compile the deal first' END AS failed_because,
+            ELSE 'RuntimeError: the latest envelope has no brief; compile the deal first' END AS failed_because,
        CASE WHEN has_brief THEN s_degraded_because END AS degraded_because,
        CASE WHEN has_brief THEN s_llm_failures END AS llm_failures,
-       CASE WHEN NOT has_brief THEN 'RuntimeError: the latest envelope has no c3_brief; compile the deal first' END
+       CASE WHEN NOT has_brief THEN 'RuntimeError: the latest envelope has no brief; compile the deal first' END
          AS error,
-       CASE WHEN has_brief THEN 'sowsmith_run' END AS written_on,
+       CASE WHEN has_brief THEN 'draft_run' END AS written_on,
        has_brief AND has_handoff AS handoff_updated
 FROM draft_summary WHERE regexp_full_match(deal_id, '[0-9a-fA-F-]{36}')""", "draft_summary"))
 def q_draft_merge(spark, sf_dir):

@@ -155,7 +155,7 @@ class Derived:
              .alias("error"),
             F.when(t == "error", F.concat(F.lit("Traceback #"), _s(e))).alias("traceback"),
             F.concat(F.lit("w"), _s(F.col("user_id") % 3)).alias("worker_sha"),
-            F.concat(F.lit("p"), _s(F.col("user_id") % 2)).alias("parser_os_sha"))
+            F.concat(F.lit("p"), _s(F.col("user_id") % 2)).alias("parser_sha"))
 
     def progress_events(self, method: str = "auto") -> DataFrame:
         from runlens.operators.sequence import sequence_index
@@ -345,7 +345,7 @@ def atoms_raw(d: Derived) -> DataFrame:
 
 
 ML_BASE = "/tmp/ml"   # the artifact folder named in configuration paths
-LOG_NAME = "_training_deepseek.db"
+LOG_NAME = "_training_log.db"
 CACHE_NAME = "_embed_cache.db"
 
 
@@ -403,7 +403,7 @@ def artifact_config(d: Derived) -> DataFrame:
 
 def draft_inputs(d: Derived) -> DataFrame:
     """Per customer: a draft request, the deal's latest envelope and the
-    writer's draft (c3_sow) for it."""
+    writer's draft (draft_doc) for it."""
     c = F.col("c_custkey")
     h = F.md5(_s(c))
     deal = F.concat_ws("-", F.substr(h, F.lit(1), F.lit(8)), F.substr(h, F.lit(9), F.lit(4)),
@@ -431,7 +431,7 @@ def draft_inputs(d: Derived) -> DataFrame:
         F.concat(F.col("c_name"), F.repeat(F.lit("x"), (c % 150).cast("int"))).alias("requested_by"),
         F.concat(F.lit("env-"), _s(c)).alias("envelope_compile_id"),
         (c % 9 != 0).alias("has_brief"), (c % 5 != 0).alias("has_handoff"),
-        sow.alias("c3_sow"))
+        sow.alias("draft_doc"))
 
 
 def sibling_listing(d: Derived) -> DataFrame:

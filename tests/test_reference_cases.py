@@ -112,7 +112,7 @@ def _status(spark, rows):
         "*", F.timestamp_seconds(F.lit(1767225600) + F.col("seq")).alias("updated_at"),
         F.lit(1.5).alias("elapsed_sec"), F.lit(1).cast("bigint").alias("atom_count"),
         F.lit(1).cast("bigint").alias("entity_count"), F.lit(1).alias("percent_complete"),
-        F.lit("w").alias("worker_sha"), F.lit("p").alias("parser_os_sha"))
+        F.lit("w").alias("worker_sha"), F.lit("p").alias("parser_sha"))
 
 
 def test_run_index_rules(spark):
@@ -200,10 +200,10 @@ def test_draft_summary_and_merge(spark):
     ]
     df = spark.createDataFrame(rows, f"request_id long, deal_id string, requested_by string, "
                                      f"envelope_compile_id string, has_brief boolean, "
-                                     f"has_handoff boolean, c3_sow {t}")
+                                     f"has_handoff boolean, draft_doc {t}")
     got = {r.request_id: r for r in DR.draft_merge(df).collect()}
     assert 5 not in got
     assert got[1].draft_status == "unknown"
     assert "assumptions, scope" in got[2].degraded_because and got[2].llm_failures == "assumptions,scope"
     assert got[3].failed_because == "boom"
-    assert got[4].state == "failed" and "c3_brief" in got[4].error
+    assert got[4].state == "failed" and "brief" in got[4].error
