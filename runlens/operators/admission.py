@@ -236,3 +236,13 @@ def path_keys(entries: DataFrame) -> DataFrame:
         .alias("marker_path"),
         F.concat_ws("/", F.lit("_parser-runs"), F.left("updated_at", F.lit(10)),
                     F.concat("compile_id", F.lit(".json"))).alias("index_path"))
+
+
+def queue_head(raw: DataFrame, k: int = 100) -> DataFrame:
+    """W3 head of the queue: the next ``k`` messages to dispatch (priority
+    lane first, then arrival). ``orderBy().limit(k)`` plans as a
+    distributed top-k (each partition keeps k rows), not a global sort."""
+    return (raw.select("message_id", "lane", "received_at",
+                       lane_rank(F.col("lane")).alias("lane_rank"))
+               .orderBy("lane_rank", "received_at", "message_id").limit(k)
+               .select("message_id", "lane"))

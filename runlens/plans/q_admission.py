@@ -230,3 +230,14 @@ FROM (SELECT *, CASE stage WHEN 'timeout' THEN 'compile exceeded COMPILE_TIMEOUT
       FROM admission WHERE decision IN ('exhausted_retries', 'previous_final'))""", "admission"))
 def q_give_up_messages(spark, sf_dir):
     return A.give_up_messages(decisions(spark, sf_dir))
+
+
+QUEUE_HEAD = 100
+
+
+@register("queue_head", with_ctes(f"""
+SELECT message_id, lane FROM raw_messages
+ORDER BY CASE WHEN lane = 'priority' THEN 0 ELSE 1 END, received_at, message_id
+LIMIT {QUEUE_HEAD}""", "raw_messages"))
+def q_queue_head(spark, sf_dir):
+    return A.queue_head(Derived(spark, sf_dir).raw_messages(), QUEUE_HEAD)
