@@ -144,3 +144,28 @@ def q_trace_sink(spark, sf_dir):
     return t.select("compile_id", doc.alias("d")).select(
         "compile_id", "d.stages", F.round("d.total_ms", 3).alias("total_ms"), "d.calls",
         F.round("d.latency_sec", 3).alias("latency_sec"))
+
+
+@register("envelope_sink", with_ctes(r"""
+SELECT deal_id, CASE WHEN CAST(substr(deal_id, 4) AS INTEGER) % 2 = 0 THEN 2 ELSE 1 END AS version,
+       count(*) AS atoms,
+       CASE WHEN CAST(substr(deal_id, 4) AS INTEGER) % 2 = 0 THEN count(*) FILTER (WHERE verified)
+            ELSE 0 END AS verified_atoms
+FROM atoms_ui GROUP BY deal_id""", "atoms_ui"))
+def q_envelope_sink(spark, sf_dir):
+    """S7 round trip: version 1 of every deal's envelope (counts only), then
+    version 2 for the even deals (with verified counts) upserted on top."""
+    from runlens.operators.atoms import envelope_rollup
+    from runlens.plans.q_atoms import ui
+
+    def write(path):
+        roll = envelope_rollup(ui(spark, sf_dir))
+        v1 = roll.select("deal_id", F.lit(1).alias("version"), "atoms",
+                         F.lit(0).cast("bigint").alias("verified_atoms"))
+        FS.upsert_by_key(spark, path, v1)
+        even = F.substring("deal_id", 4, 10).cast("int") % 2 == 0
+        v2 = roll.where(even).select("deal_id", F.lit(2).alias("version"), "atoms",
+                                     "verified_atoms")
+        FS.upsert_by_key(spark, path, v2)
+    path = _files(spark, sf_dir, "envelopes", write)
+    return spark.read.parquet(path).select("deal_id", "version", "atoms", "verified_atoms")

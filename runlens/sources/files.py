@@ -73,3 +73,35 @@ def trace_documents(calls_summary: DataFrame, timeline: DataFrame) -> DataFrame:
     j = stages.join(calls, "compile_id", "left")
     return j.select("compile_id", F.to_json(F.struct("stages", "total_ms", "calls",
                                                      "latency_sec")).alias("trace"))
+
+
+ENVELOPE_BUCKETS = 16
+
+
+def upsert_by_key(spark: SparkSession, path: str, updates: DataFrame, key: str = "deal_id",
+                  version: str = "version", buckets: int = ENVELOPE_BUCKETS) -> None:
+    """Upsert rows by ``key`` (newest ``version`` wins) into a table
+    partitioned by a hash bucket of the key. Only the buckets the updates
+    touch are read, merged (partial ``max(struct)``) and rewritten with
+    dynamic partition overwrite; the merge is staged to a sibling folder
+    first so a lost executor never leaves a half-written bucket."""
+    import os
+    import uuid
+
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
+    upd = updates.withColumn("bucket", bucket)
+    try:
+        cur = spark.read.parquet(path)
+        touched = upd.select("bucket").distinct()
+        cur = cur.join(touched, "bucket", "left_semi")
+        both = cur.unionByName(upd)
+    except Exception:  # first write: no table yet
+        both = upd
+    rest = [c for c in both.columns if c not in (key, "bucket")]
+    merged = (both.groupBy(key, "bucket")
+                  .agg(F.max(F.struct(version, *[c for c in rest if c != version])).alias("_w"))
+                  .select(key, "bucket", *[F.col(f"_w.{c}").alias(c) for c in rest]))
+    stage = os.path.join(os.path.dirname(path.rstrip("/")), f"_stage-{uuid.uuid4().hex[:8]}")
+    merged.write.mode("overwrite").parquet(stage)
+    (spark.read.parquet(stage).write.mode("overwrite")
+          .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
