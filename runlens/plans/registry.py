@@ -7,6 +7,7 @@ the oracle's, so the two results can be compared row for row.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,23 @@ QUERIES: dict[str, Plan] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _utc(spark: SparkSession) -> None:
+    """Timestamps in the job tables are UTC wall-clock values; hour windows
+    and rendered times need the session in UTC."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def register(name: str, oracle: str | None = None):
     def deco(fn: Plan) -> Plan:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _utc(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = plan
         if oracle is not None:
             ORACLE[name] = oracle
         return fn
