@@ -129,8 +129,8 @@ def extract_line_atoms(documents: DataFrame) -> DataFrame:
     kind = F.when(n < LINE_BUCKETS[0][0], LINE_BUCKETS[0][1]) \
             .when(n < LINE_BUCKETS[1][0], LINE_BUCKETS[1][1]).otherwise("long")
     return (lines.where(F.trim("line") != "")
-                 .select("doc_id", (F.col("pos") + 1).alias("line_no"), kind.alias("atom_type"),
-                         n.alias("n_chars")))
+                 .select("doc_id", (F.col("pos") + 1).cast("bigint").alias("line_no"),
+                         kind.alias("atom_type"), n.cast("bigint").alias("n_chars")))
 
 
 def extract_with(documents: DataFrame, fn: Callable, schema) -> DataFrame:
@@ -179,7 +179,7 @@ def draft_markdown(rollup: DataFrame, by_type: DataFrame) -> DataFrame:
                               F.lit(")")),
                      F.array_join("_lines", "\n"))
     return j.select("deal_id", md.alias("markdown"), F.lit("v1").alias("version"),
-                    F.length(md).alias("n_chars"))
+                    F.length(md).cast("bigint").alias("n_chars"))
 
 
 def atoms_by_artifact_nested(ui: DataFrame) -> DataFrame:

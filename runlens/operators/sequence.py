@@ -52,7 +52,7 @@ def sequence_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         method = "window" if largest_group(df, keys) <= max_group_rows else "range"
     if method == "window":
         w = Window.partitionBy(*keys).orderBy(*order)
-        out = df.withColumn("seq_idx", F.row_number().over(w))
+        out = df.withColumn("seq_idx", F.row_number().over(w).cast("bigint"))
         wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         for c in sums:
             out = out.withColumn(f"run_{c}", F.sum(F.col(c).cast("double")).over(wr))
@@ -133,7 +133,7 @@ def _range_sequence(df: DataFrame, keys: list[str], order: list[str],
     on_first = kstruct.eqNullSafe(F.col("first_key"))
     sel = [F.col(c) for c in base_cols]
     sel.append((F.col("_cnt") + F.when(on_first, F.col("_off_cnt")).otherwise(0))
-               .cast("int").alias("seq_idx"))
+               .cast("bigint").alias("seq_idx"))
     for c in sums:
         sel.append((F.col(f"_loc_{c}") + F.when(on_first, F.col(f"_off_{c}")).otherwise(0.0))
                    .alias(f"run_{c}"))

@@ -450,8 +450,8 @@ _DIRS = "['_head_registry', '_calibrator', '_type_head', '_span_heads'][doc_id %
 cte("local_listing", f"""
 SELECT {_DIRS} || '/h_' || CAST(doc_id AS VARCHAR) || '.npz' AS name, n_chars AS size
 FROM documents WHERE doc_id % 5 <> 3
-UNION ALL SELECT '_training_log.db', sum(n_chars) FROM documents
-UNION ALL SELECT '_embed_cache.db', count(*) FROM documents
+UNION ALL SELECT '_training_log.db', CAST(sum(n_chars) AS BIGINT) FROM documents
+UNION ALL SELECT '_embed_cache.db', CAST(count(*) AS BIGINT) FROM documents
 """)
 
 cte("remote_listing", f"""

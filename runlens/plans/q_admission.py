@@ -129,7 +129,7 @@ def q_job_options(spark, sf_dir):
 
 @register("job_budget", with_ctes(r"""
 SELECT j.message_id, j.deal_id, coalesce(m.n_artifacts, 0) AS n_docs,
-       least(10800.0, greatest(1500.0, 45.0 * coalesce(m.n_artifacts, 0))) AS budget_sec
+       CAST(least(10800.0, greatest(1500.0, 45.0 * coalesce(m.n_artifacts, 0))) AS DOUBLE) AS budget_sec
 FROM jobs j LEFT JOIN manifests m USING (deal_id)""", "jobs", "manifests"))
 def q_job_budget(spark, sf_dir):
     m = Derived(spark, sf_dir).manifests().select("deal_id", "n_artifacts")

@@ -187,7 +187,7 @@ def q_trace_diff(spark, sf_dir):
 
 
 @register("atoms_by_artifact_nested", with_ctes(r"""
-SELECT file, sum(n) AS atom_count, string_agg(atom_type || ':' || CAST(n AS VARCHAR), ',' ORDER BY
+SELECT file, CAST(sum(n) AS BIGINT) AS atom_count, string_agg(atom_type || ':' || CAST(n AS VARCHAR), ',' ORDER BY
        atom_type || ':' || CAST(n AS VARCHAR)) AS by_type_text
 FROM (SELECT CASE WHEN source_filename <> '' THEN source_filename ELSE '(unknown)' END AS file,
              atom_type, count(*) AS n

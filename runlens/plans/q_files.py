@@ -63,7 +63,7 @@ def q_marker_scan(spark, sf_dir):
 
 
 @register("artifact_bytes", r"""
-SELECT source AS deal_id, count(*) AS documents, sum(octet_length(encode(text)) + 1) AS bytes
+SELECT source AS deal_id, count(*) AS documents, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes
 FROM documents GROUP BY source""")
 def q_artifact_bytes(spark, sf_dir):
     def write(path):
@@ -91,7 +91,7 @@ def q_run_index_days(spark, sf_dir):
     def write(path):
         FS.write_partitioned(run_index(Derived(spark, sf_dir).status_events()), path, "run_date")
     path = _files(spark, sf_dir, "run_index", write)
-    days = spark.read.parquet(path)
+    days = spark.read.parquet(path).withColumn("run_date", F.col("run_date").cast("string"))
     return days.groupBy("run_date").agg(F.count(F.lit(1)).alias("entries"),
                                         F.count_if(F.col("status") == "failed").alias("failed"))
 

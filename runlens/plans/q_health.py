@@ -190,7 +190,8 @@ def q_oom_first_hit(spark, sf_dir):
 
 
 _BUDGETS = r"""
-(SELECT compile_id, least(10800.0, greatest(1500.0, 45.0 * count(*) FILTER (WHERE stage = 'parse'))) AS budget_sec
+(SELECT compile_id, CAST(least(10800.0, greatest(1500.0, 45.0 * count(*) FILTER (WHERE stage = 'parse')))
+         AS DOUBLE) AS budget_sec
  FROM status_events GROUP BY compile_id)"""
 
 

@@ -85,8 +85,8 @@ def q_stream_dedup_delivery(spark, sf_dir):
 SELECT compile_id, budget_sec, {ts_text('fired')} AS fired_at
 FROM (SELECT s.*, b.budget_sec,
              make_timestamp(epoch_us(s.started_at) + CAST(round(b.budget_sec * 1000000) AS BIGINT)) AS fired
-      FROM run_spans s JOIN (SELECT compile_id, least(10800.0, greatest(1500.0,
-                             45.0 * count(*) FILTER (WHERE stage = 'parse'))) AS budget_sec
+      FROM run_spans s JOIN (SELECT compile_id, CAST(least(10800.0, greatest(1500.0,
+                             45.0 * count(*) FILTER (WHERE stage = 'parse'))) AS DOUBLE) AS budget_sec
                              FROM status_events GROUP BY compile_id) b USING (compile_id))
 WHERE budget_sec > 0 AND coalesce(ended_at, now) > fired""", "run_spans", "status_events"))
 def q_stream_budget_overrun(spark, sf_dir):
