@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from runlens.functions import decode as D
 from runlens.functions.text import first_nonblank
 from runlens.operators.status import latest_status
-from runlens.session import bounded_broadcast, spread
 
 # Fixed values of the reference's admission rules.
 MAX_DEQUEUE_COUNT = 3          # poison when dequeue_count > 3
@@ -39,7 +38,7 @@ def lane_rank(lane: Column) -> Column:
 
 def decode_messages(raw: DataFrame) -> DataFrame:
     """P1 + P2 + P4: decoded object, route and job fields per message."""
-    staged = D.decode_stage(spread(raw), "content", "_v", "_peek")
+    staged = D.decode_stage(raw, "content", "_v", "_peek")
     jc = D.job_columns(staged, "_v")
     route = F.when(F.coalesce(D.vget(F.col("_peek"), "$.kind") == "sow_draft", F.lit(False)),
                    "draft").otherwise("compile")
@@ -94,10 +93,9 @@ def skip_ids(spark, skip_list: str) -> DataFrame:
                  .where(F.col("deal_id") != "").distinct())
 
 
-def mark_skipped(jobs: DataFrame, skip: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Left join against the skip set; broadcast only under a row bound."""
-    side, _ = bounded_broadcast(skip.withColumn("skip_listed", F.lit(True)), max_rows)
-    return (jobs.join(side, "deal_id", "left")
+def mark_skipped(jobs: DataFrame, skip: DataFrame) -> DataFrame:
+    """Left join against the skip set; Catalyst picks the join by its size."""
+    return (jobs.join(skip.withColumn("skip_listed", F.lit(True)), "deal_id", "left")
                 .withColumn("skip_listed", F.coalesce("skip_listed", F.lit(False))))
 
 
@@ -175,7 +173,7 @@ def lane_backlog(raw: DataFrame) -> DataFrame:
     return raw.groupBy("lane").agg(F.count(F.lit(1)).alias("messages"))
 
 
-def dispatch_order(raw: DataFrame, method: str = "auto") -> DataFrame:
+def dispatch_order(raw: DataFrame) -> DataFrame:
     """Priority lane first, arrival order inside a lane.
 
     ``lane_pos`` is a per-lane sequence number from the skew-safe sequence
@@ -185,7 +183,7 @@ def dispatch_order(raw: DataFrame, method: str = "auto") -> DataFrame:
     from runlens.operators.sequence import sequence_index
 
     idx = sequence_index(raw.select("message_id", "lane", "received_at"), ["lane"],
-                         ["received_at", "message_id"], method=method)
+                         ["received_at", "message_id"])
     # The priority lane's size, a scalar subquery added to the second lane.
     n_first = raw.where(F.col("lane") == LANES[0]).agg(F.count(F.lit(1))).scalar()
     return idx.select(

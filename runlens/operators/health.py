@@ -227,33 +227,32 @@ def hourly_repeats(pickups: DataFrame, ts: str = "received_at") -> DataFrame:
                    .select(F.col("w.start").alias("window_start"), "repeats"))
 
 
-def dedup_delivery(deliveries: DataFrame, lease_sec: int = LEASE_MAX_SEC,
-                   method: str = "auto") -> DataFrame:
+def dedup_delivery(deliveries: DataFrame, lease_sec: int = LEASE_MAX_SEC) -> DataFrame:
     """ST9 (batch): a delivery of a compile is kept when it is the first or
     the previous delivery is more than the lease ceiling older."""
-    idx = sequence_index(deliveries, ["compile_id"], ["received_at", "seq"], method=method)
+    idx = sequence_index(deliveries, ["compile_id"], ["received_at", "seq"])
     j = with_lag(idx, ["compile_id"], ["received_at"])
     gap = F.unix_micros("received_at") - F.unix_micros("prev_received_at")
     keep = F.col("prev_received_at").isNull() | (gap > F.lit(lease_sec * 1_000_000).cast("bigint"))
     return j.select("compile_id", "seq", "received_at", "seq_idx", keep.alias("kept"))
 
 
-def attempt_overlap(attempts: DataFrame, method: str = "auto") -> DataFrame:
+def attempt_overlap(attempts: DataFrame) -> DataFrame:
     """Attempt number per message and whether the previous attempt was
     still running when this one was received."""
-    idx = sequence_index(attempts, ["message_key"], ["received_at", "seq"], method=method)
+    idx = sequence_index(attempts, ["message_key"], ["received_at", "seq"])
     j = with_lag(idx, ["message_key"], ["ended_at"])
     return j.select("message_key", "seq", F.col("seq_idx").alias("attempt"),
                     F.coalesce(F.col("prev_ended_at") > F.col("received_at"), F.lit(False))
                     .alias("overlapped"))
 
 
-def stage_rate(progress: DataFrame, span: int = 5, method: str = "auto") -> DataFrame:
+def stage_rate(progress: DataFrame, span: int = 5) -> DataFrame:
     """Per (compile, stage) sample, the instantaneous items/second from
     the previous sample, the rate over the last ``span`` samples, and the
     remaining items. Lags are equi-joins on the skew-safe sequence index."""
     keys = ["compile_id", "current_stage"]
-    idx = sequence_index(progress, keys, ["updated_at", "seq"], method=method)
+    idx = sequence_index(progress, keys, ["updated_at", "seq"])
     prev = idx.select(*keys, (F.col("seq_idx") + 1).alias("seq_idx"),
                       F.col("stage_items_done").alias("p_done"),
                       F.col("updated_at").alias("p_at"))

@@ -1,152 +1,90 @@
-"""Ordered per-key sequence numbers and running sums that survive hot keys.
-
-``Window.partitionBy(key)`` hands every row of one key to one task. When a
-single key can hold a third of a table that task is the whole job, so this
-module offers one primitive with two exact plans:
-
-* ``window``  - the plain Catalyst window, used when the largest key group
-  is proven (by one partial aggregate) to be at most ``max_group_rows``;
-* ``range``   - the table is range-partitioned on (keys, order), so a hot
-  key is split over many tasks; each task numbers its rows and sums its
-  values locally (vectorised, Arrow batches), and a per-partition carry
-  (one row per range partition, a size bounded by the partition count) is
-  broadcast back to continue the numbering across partition borders.
-
-Both return the same columns: ``seq_idx`` (1-based position inside the key
-in the given order) and ``run_<col>`` (inclusive running sum) for each
-column in ``sums``. Lags and moving windows are then plain equi-joins on
-(keys, seq_idx - k), which shuffle evenly whatever the key skew.
+"""Ordered per-key positions and running aggregates that survive hot keys.
+
+``Window.partitionBy(key)`` hands every row of one key to one task. Here the
+table is range-partitioned on (keys, order) instead, so a key with a third of
+all rows is split over many tasks; the layout is written once to the shared
+folder, plain JVM windows run inside each (range partition, key), and one
+carry row per range partition continues the numbering across its borders.
+There is one plan at every size. Lags and moving frames are equi-joins on
+(keys, position), which shuffle evenly whatever the key skew.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from runlens.session import cut_lineage, ship_package
 
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest key group (partial aggregation, no skew)."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
+from runlens.session import checkpoint_path
 
 
 def sequence_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   sums: Sequence[str] = (), method: str = "auto",
-                   max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
+                   sums: Sequence[str] = (), xors: Sequence[str] = (),
                    partitions: int | None = None) -> DataFrame:
-    """Add ``seq_idx`` and ``run_<c>`` for ``c in sums``; see module doc.
+    """Add ``seq_idx`` (1-based position inside the key), ``run_<c>`` for
+    ``c in sums`` (inclusive running sum as double, nulls skipped, null while
+    no value was seen) and ``xor_<c>`` for ``c in xors`` (inclusive running
+    exclusive or of a bigint column).
 
-    ``order`` must make rows unique inside a key (add an id as last column)
-    so that the numbering is deterministic.
+    ``order`` must make rows unique inside a key, so that the numbering is
+    deterministic. Null keys are a group of their own.
     """
-    keys, order, sums = list(keys), list(order), list(sums)
-    if method == "auto":
-        method = "window" if largest_group(df, keys) <= max_group_rows else "range"
-    if method == "window":
-        w = Window.partitionBy(*keys).orderBy(*order)
-        out = df.withColumn("seq_idx", F.row_number().over(w).cast("bigint"))
-        wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        for c in sums:
-            out = out.withColumn(f"run_{c}", F.sum(F.col(c).cast("double")).over(wr))
-        return out
-    if method != "range":
-        raise ValueError(f"unknown method {method!r}")
-    return _range_sequence(df, keys, order, sums, partitions)
-
-
-def _range_sequence(df: DataFrame, keys: list[str], order: list[str],
-                    sums: list[str], partitions: int | None) -> DataFrame:
+    keys, order, sums, xors = list(keys), list(order), list(sums), list(xors)
     spark = df.sparkSession
-    ship_package(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base_cols = df.columns
-    ranged = (df.repartitionByRange(n, *keys, *order)
-                .sortWithinPartitions(*keys, *order)
-                .withColumn("_pid", F.spark_partition_id()))
-    out_schema = T.StructType(
-        ranged.schema.fields
-        + [T.StructField("_cnt", T.LongType())]
-        + [T.StructField(f"_loc_{c}", T.DoubleType()) for c in sums])
-
-    def scan(batches):
-        prev_key, prev_cnt, prev_sum = None, 0, [0.0] * len(sums)
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(_cnt=pd.Series(dtype="int64"),
-                                 **{f"_loc_{c}": pd.Series(dtype="float64") for c in sums})
-                continue
-            kf = pdf[keys]
-            shifted = kf.shift(1)
-            same = ((kf == shifted) | (kf.isna() & shifted.isna())).all(axis=1)
-            same.iloc[0] = False
-            run = (~same).cumsum()
-            cnt = run.groupby(run).cumcount().astype("int64") + 1
-            first_key = tuple(kf.iloc[0].tolist())
-            cont = prev_key is not None and _key_eq(prev_key, first_key)
-            first_run = run == 1
-            if cont:
-                cnt = cnt + first_run.astype("int64") * prev_cnt
-            pdf = pdf.assign(_cnt=cnt)
-            for i, c in enumerate(sums):
-                vals = pd.to_numeric(pdf[c], errors="coerce").astype("float64").fillna(0.0)
-                cs = vals.groupby(run).cumsum()
-                if cont:
-                    cs = cs + first_run.astype("float64") * prev_sum[i]
-                pdf[f"_loc_{c}"] = cs
-            prev_key = tuple(kf.iloc[-1].tolist())
-            prev_cnt = int(pdf["_cnt"].iloc[-1])
-            prev_sum = [float(pdf[f"_loc_{c}"].iloc[-1]) for c in sums]
-            yield pdf
-
-    # Pin the sampled range bounds and partition ids to one execution.
-    local = cut_lineage(ranged.mapInPandas(scan, out_schema))
-
-    kstruct = F.struct(*keys)
-    last_vals = F.struct(F.col("_cnt").alias("c"),
-                         *[F.col(f"_loc_{c}").alias(c) for c in sums])
-    bounds = local.groupBy("_pid").agg(
-        F.min(kstruct).alias("first_key"),
-        F.max(kstruct).alias("last_key"),
-        F.max_by(last_vals, F.struct(*keys, "_cnt")).alias("last"))
-    # One row per range partition: the bound is the partition count.
-    by_key = Window.partitionBy("last_key").orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    bounds = bounds.withColumn("cum_cnt", F.sum("last.c").over(by_key))
+    base = df.columns
+    path = checkpoint_path(spark, f"sequence-{uuid.uuid4().hex[:12]}")
+    (df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
+       .write.parquet(path))
+    pinned = spark.read.parquet(path)
+
+    w = Window.partitionBy("_pid", *keys).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = pinned.withColumn("_cnt", F.row_number().over(w).cast("bigint"))
     for c in sums:
-        bounds = bounds.withColumn(f"cum_{c}", F.sum(f"last.{c}").over(by_key))
+        local = local.withColumn(f"_sum_{c}", F.sum(F.col(c).cast("double")).over(so_far))
+    for c in xors:
+        local = local.withColumn(f"_xor_{c}", F.bit_xor(F.col(c)).over(so_far))
+
+    # One row per range partition: its first and last key, and what the rows
+    # of the last key add up to there.
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_k"))
+    per = pinned.groupBy("_pid", *keys).agg(
+        F.count(F.lit(1)).alias("c"),
+        *[F.sum(F.col(c).cast("double")).alias(f"s_{c}") for c in sums],
+        *[F.bit_xor(F.col(c)).alias(f"x_{c}") for c in xors])
+    last = F.struct("c", *[f"s_{c}" for c in sums], *[f"x_{c}" for c in xors])
+    bounds = per.groupBy("_pid").agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"),
+                                     F.max_by(last, key).alias("last"))
+    upto = Window.partitionBy("last_key").orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     glob = Window.orderBy("_pid")
-    carry_on = F.lag("last_key").over(glob).eqNullSafe(F.col("first_key"))
-    offsets = bounds.select(
-        "_pid", "first_key",
-        F.when(carry_on, F.lag("cum_cnt").over(glob)).otherwise(F.lit(0)).alias("_off_cnt"),
-        *[F.when(carry_on, F.lag(f"cum_{c}").over(glob)).otherwise(F.lit(0.0)).alias(f"_off_{c}")
-          for c in sums])
+    cum = bounds.select(
+        "_pid", "first_key", "last_key", F.sum("last.c").over(upto).alias("c"),
+        *[F.sum(f"last.s_{c}").over(upto).alias(f"s_{c}") for c in sums],
+        *[F.bit_xor(f"last.x_{c}").over(upto).alias(f"x_{c}") for c in xors])
+    goes_on = F.lag("last_key").over(glob).eqNullSafe(F.col("first_key"))
+    carried = ["c", *[f"s_{c}" for c in sums], *[f"x_{c}" for c in xors]]
+    offsets = cum.select("_pid", "first_key",
+                         *[F.when(goes_on, F.lag(x).over(glob)).alias(f"_off_{x}") for x in carried])
+    # The broadcast side has one row per range partition, whatever the input.
     joined = local.join(F.broadcast(offsets), "_pid")
-    on_first = kstruct.eqNullSafe(F.col("first_key"))
-    sel = [F.col(c) for c in base_cols]
-    sel.append((F.col("_cnt") + F.when(on_first, F.col("_off_cnt")).otherwise(0))
-               .cast("bigint").alias("seq_idx"))
-    for c in sums:
-        sel.append((F.col(f"_loc_{c}") + F.when(on_first, F.col(f"_off_{c}")).otherwise(0.0))
-                   .alias(f"run_{c}"))
-    return joined.select(*sel)
-
-
-def _key_eq(a: tuple, b: tuple) -> bool:
-    for x, y in zip(a, b):
-        if pd.isna(x) and pd.isna(y):
-            continue
-        if pd.isna(x) or pd.isna(y) or x != y:
-            return False
-    return True
+    here = key.eqNullSafe(F.col("first_key"))
+
+    def plus(column: str, off: str):
+        both = F.col(column).isNotNull() | (here & F.col(off).isNotNull())
+        zero = F.lit(0)
+        return F.when(both, F.coalesce(F.col(column), zero) + F.when(here, F.coalesce(F.col(off), zero)).otherwise(zero))
+
+    out = [F.col(c) for c in base]
+    out.append(plus("_cnt", "_off_c").cast("bigint").alias("seq_idx"))
+    out += [plus(f"_sum_{c}", f"_off_s_{c}").cast("double").alias(f"run_{c}") for c in sums]
+    out += [F.coalesce(F.col(f"_xor_{c}"), F.lit(0)).bitwiseXOR(
+        F.when(here, F.coalesce(F.col(f"_off_x_{c}"), F.lit(0))).otherwise(F.lit(0))).cast("bigint").alias(f"xor_{c}")
+        for c in xors]
+    return joined.select(*out)
 
 
 def with_lag(indexed: DataFrame, keys: Sequence[str], cols: Sequence[str],

@@ -18,7 +18,7 @@ def llm_summary(calls: DataFrame) -> DataFrame:
                       F.round(F.sum("latency_sec"), 3).alias("latency_sec")))
 
 
-def stage_timeline(timings: DataFrame, method: str = "auto") -> DataFrame:
+def stage_timeline(timings: DataFrame) -> DataFrame:
     """Ordered stages of every run with defaults (missing counts 0) and
     the offset at which each stage started (running sum of durations from
     the skew-safe sequence primitive)."""
@@ -30,7 +30,7 @@ def stage_timeline(timings: DataFrame, method: str = "auto") -> DataFrame:
         F.coalesce("warning_count", F.lit(0)).alias("warning_count"),
         F.coalesce("error_count", F.lit(0)).alias("error_count"))
     idx = sequence_index(t, ["compile_id"], ["stage_no", "l_partkey", "l_suppkey", "duration_ms"],
-                         sums=["duration_ms"], method=method)
+                         sums=["duration_ms"])
     return idx.select(
         "compile_id", F.col("seq_idx").alias("pos"), "stage_name",
         F.round("duration_ms", 3).alias("duration_ms"),
@@ -57,12 +57,12 @@ def stage_profile(longest: DataFrame) -> DataFrame:
                       F.round(F.col("runs_longest") / total, 6).alias("share_of_runs"))
 
 
-def exact_median(df: DataFrame, value: str, tiebreak: str, method: str = "auto") -> DataFrame:
+def exact_median(df: DataFrame, value: str, tiebreak: str) -> DataFrame:
     """Exact median of ``value`` over all rows without one-task collection:
     a global rank from the range-partitioned sequence primitive, then the
     one or two middle rows (mean of both for an even count)."""
     keyed = df.select(F.lit(0).alias("_g"), value, tiebreak)
-    idx = sequence_index(keyed, ["_g"], [value, tiebreak], method=method)
+    idx = sequence_index(keyed, ["_g"], [value, tiebreak])
     n = df.agg(F.count(F.lit(1))).scalar()
     lo = F.floor((n + 1) / 2)
     hi = F.ceil((n + 1) / 2)

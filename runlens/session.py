@@ -43,11 +43,14 @@ def build_session(master: str | None = None, app: str = "runlens",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there and it is used as is. Only when
-    the setting is absent (local tests) is a scratch folder created.
+    A cluster names a shared folder there and it is used as is. Unset, a
+    scratch folder is made on a single machine only (master ``local[..]``);
+    elsewhere executors could not see it, so the setting is demanded.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="runlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
@@ -69,37 +72,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int, what: str = "side"):
-    """Broadcast ``df`` only when its row count is proven <= ``max_rows``.
-
-    Returns ``(frame, broadcast_used)``. Above the bound the frame is
-    returned unchanged so the join falls back to a shuffle join. The count
-    is one cheap aggregate over a small input (skip lists, boots, config).
-    """
-    from pyspark.sql import functions as F
-
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
-
-
-def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin a frame over the cluster before CPU-heavy per-row work
-    when its scan produced fewer splits than there are cores (a small or
-    unsplittable file). On a large input with many splits it is a no-op."""
-    if df.isStreaming:
-        return df
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # no SparkContext in this session kind: leave as is
-        return df
-    if parts < cores:
-        return df.repartition(cores * factor)
-    return df
-
-
 _TABLES: dict[tuple[str, str], str] = {}
 
 

@@ -44,9 +44,7 @@ class Derived:
 
     # ---------------------------------------------------------------- S1
     def raw_messages(self) -> DataFrame:
-        from runlens.session import spread
-        o = spread(self.t("orders").select("o_orderkey", "o_custkey", "o_orderpriority",
-                                           "o_orderdate"))
+        o = self.t("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
         k, cust = F.col("o_orderkey"), F.col("o_custkey")
         day = F.date_format(F.date_add(F.to_date(F.lit("2024-01-01")), (k % 30).cast("int")),
                             "yyyyMMdd")
@@ -157,7 +155,7 @@ class Derived:
             F.concat(F.lit("w"), _s(F.col("user_id") % 3)).alias("worker_sha"),
             F.concat(F.lit("p"), _s(F.col("user_id") % 2)).alias("parser_sha"))
 
-    def progress_events(self, method: str = "auto") -> DataFrame:
+    def progress_events(self) -> DataFrame:
         from runlens.operators.sequence import sequence_index
 
         ev = self._events()
@@ -169,7 +167,7 @@ class Derived:
             F.col("ts").alias("updated_at"), e.alias("seq"), "k",
             F.concat(F.lit("r"), _s(F.col("user_id") % 4)).alias("replica"))
         idx = sequence_index(base, ["compile_id", "current_stage"], ["updated_at", "seq"],
-                             sums=["k"], method=method)
+                             sums=["k"])
         totals = base.groupBy("compile_id", "current_stage").agg(
             (F.count(F.lit(1)) * 100).cast("bigint").alias("stage_items_total"))
         return (idx.join(totals, ["compile_id", "current_stage"])

@@ -1,22 +1,36 @@
-"""The skew-safe sequence primitive equals a plain window, hot key included."""
+"""The skew-safe sequence primitive equals a plain window, hot and null keys included."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runlens.operators.sequence import sequence_index, with_lag
 
 
 def test_range_equals_window(spark):
-    df = spark.range(0, 5000).select(
-        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 17).cast("string"))).alias("k"),
-        (F.col("id") * 7 % 1000).alias("t"), F.col("id").alias("e"), (F.col("id") % 5).alias("v"))
-    w = sequence_index(df, ["k"], ["t", "e"], sums=["v"], method="window")
-    r = sequence_index(df, ["k"], ["t", "e"], sums=["v"], method="range", partitions=7)
-    cols = ["k", "t", "e", "seq_idx", "run_v"]
-    assert sorted(map(tuple, w.select(cols).collect())) == sorted(map(tuple, r.select(cols).collect()))
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 31 == 1, F.lit(None))
+         .otherwise(F.concat(F.lit("k"), (F.col("id") % 17).cast("string"))).alias("k"),
+        (F.col("id") * 7 % 1000).alias("t"), F.col("id").alias("e"),
+        F.when(F.col("id") % 4 > 0, F.col("id") % 5).alias("v"), F.xxhash64("id").alias("x"))
+    w = Window.partitionBy("k").orderBy("t", "e")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = (df.withColumn("seq_idx", F.row_number().over(w).cast("bigint"))
+              .withColumn("run_v", F.sum(F.col("v").cast("double")).over(upto))
+              .withColumn("xor_x", F.bit_xor("x").over(upto)))
+    got = sequence_index(df, ["k"], ["t", "e"], sums=["v"], xors=["x"], partitions=7)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_null_sums_stay_null(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, None), ("a", 3, 2.0), ("a", 4, None)],
+                               "k string, t long, v double")
+    got = sequence_index(df, ["k"], ["t"], sums=["v"], partitions=4)
+    assert [r.run_v for r in got.orderBy("t").collect()] == [None, None, 2.0, 2.0]
 
 
 def test_lag_join(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1)], "k string, t long")
-    idx = sequence_index(df, ["k"], ["t"], method="range", partitions=3)
+    idx = sequence_index(df, ["k"], ["t"], partitions=3)
     got = sorted((r.k, r.t, r.prev_t) for r in with_lag(idx, ["k"], ["t"]).collect())
     assert got == [("a", 1, None), ("a", 2, 1), ("a", 3, 2), ("b", 1, None)]
