@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, common, line_dedup, quality, sharding, warc
+from runlens.llm import chat, common, decontaminate, jaccard_join, line_dedup, quality, sharding, warc
 from runlens.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -81,3 +81,14 @@ FROM j""")
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@_query()
+def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                            read_table(spark, sf_dir, "benchmark"))
+
+
+@_query()
+def op8_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
