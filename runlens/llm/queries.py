@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, common, decontaminate, jaccard_join, line_dedup, quality, sharding, substring_dedup, warc
+from runlens.llm import chat, common, decontaminate, jaccard_join, line_dedup, quality, sharding, substring_dedup, warc, winnowing
 from runlens.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -97,3 +97,8 @@ def op8_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.near_duplicate_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query()
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprint_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
