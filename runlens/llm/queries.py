@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, common, decontaminate, jaccard_join, line_dedup, quality, sharding, substring_dedup, warc, winnowing
+from runlens.llm import chat, common, decontaminate, jaccard_join, line_dedup, packing, quality, sharding, substring_dedup, warc, winnowing
 from runlens.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -102,3 +102,13 @@ def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprint_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query()
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
