@@ -58,6 +58,22 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+class Bitmap:
+    """A bitmap of fixed size over a column's values; it only thins out what
+    an exact join meets later."""
+
+    def __init__(self, values: DataFrame, column: str):
+        low = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+        words_ = values.groupBy(F.shiftright(low, 6).alias("w")).agg(F.bit_or(F.call_function(
+            "shiftleft", F.lit(1).cast("bigint"), low.bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toArrow()
+        self.bits = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+        self.bits[words_["w"].to_numpy()] = words_["b"].to_numpy().view(np.uint64)
+
+    def holds(self, v: np.ndarray) -> np.ndarray:
+        b = v & np.uint64((1 << BITMAP_BITS) - 1)
+        return (self.bits[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+
+
 # --- words and shingles of many texts at once ------------------------------
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -66,6 +82,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = np.uint64(0x9E3779B97F4A7C15)
 SHINGLE = 5
+BITMAP_BITS = 26
 
 
 def mix(x: np.ndarray) -> np.ndarray:
