@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from runlens.functions.text import col_
+from runlens.functions.text import col_, py_lstrip, py_strip
 
 B64_FOREIGN = "[^A-Za-z0-9+/=]"
 
@@ -34,25 +34,6 @@ def lenient_base64_text(text: Column) -> Column:
     return F.when(F.length(clean) % 4 == 0, _utf8_or_null(F.unbase64(clean)))
 
 
-def strict_base64_text(text: Column) -> Column:
-    """Base64 -> text only when every character is in the alphabet."""
-    ok = text.rlike("^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
-    return F.when(ok, _utf8_or_null(F.unbase64(text)))
-
-
-def decode_object(raw) -> Column:
-    """The message as a JSON object (VARIANT), or null.
-
-    Trimmed text that parses to an object wins; otherwise base64 -> UTF-8
-    -> JSON object; anything else is a decode error (null).
-    """
-    t = F.trim(F.coalesce(col_(raw), F.lit("")))
-    direct = F.try_parse_json(t)
-    via_b64 = F.try_parse_json(lenient_base64_text(t))
-    return (F.when(is_object(direct), direct)
-             .when(is_object(via_b64), via_b64))
-
-
 def decode_stage(df, raw: str = "content", out: str = "_v", peek: str = "_peek"):
     """P1 (and the routing peek) in staged projections. Each message is
     parsed at most twice: directly, and through base64 only when the direct
@@ -60,15 +41,15 @@ def decode_stage(df, raw: str = "content", out: str = "_v", peek: str = "_peek")
     with '{' peeks at the direct parse, any other text at the base64 parse
     when it is strict base64."""
     t = F.coalesce(F.col(raw), F.lit(""))
-    s1 = df.select("*", F.try_parse_json(F.trim(t)).alias("_direct"))
+    s1 = df.select("*", F.try_parse_json(py_strip(t)).alias("_direct"))
     s2 = s1.select("*", is_object(F.col("_direct")).alias("_d_ok"))
-    s3 = s2.select("*", F.when(~F.col("_d_ok"), lenient_base64_text(F.trim(t))).alias("_b64t"))
-    s4 = s3.select("*", F.when(F.ltrim(F.col("_b64t")).startswith("{") | ~F.col("_d_ok"),
+    s3 = s2.select("*", F.when(~F.col("_d_ok"), lenient_base64_text(py_strip(t))).alias("_b64t"))
+    s4 = s3.select("*", F.when(py_lstrip(F.col("_b64t")).startswith("{") | ~F.col("_d_ok"),
                                F.try_parse_json(F.col("_b64t"))).alias("_b64"))
     s5 = s4.select("*", is_object(F.col("_b64")).alias("_b_ok"))
-    strict = F.trim(t).rlike("^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
-    peek_v = (F.when(F.ltrim(t).startswith("{"), F.when(F.col("_d_ok"), F.col("_direct")))
-               .when(strict & F.ltrim(F.col("_b64t")).startswith("{") & F.col("_b_ok"),
+    strict = py_strip(t).rlike("^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\\z")
+    peek_v = (F.when(py_lstrip(t).startswith("{"), F.when(F.col("_d_ok"), F.col("_direct")))
+               .when(strict & py_lstrip(F.col("_b64t")).startswith("{") & F.col("_b_ok"),
                      F.col("_b64")))
     return s5.select(
         *df.columns,
@@ -76,15 +57,6 @@ def decode_stage(df, raw: str = "content", out: str = "_v", peek: str = "_peek")
         peek_v.alias(peek))
 
 
-def peek_object(raw) -> Column:
-    """The routing peek: text starting with '{' is JSON, anything else must
-    be strict base64 of such a text; otherwise an empty peek (null)."""
-    t = F.coalesce(col_(raw), F.lit(""))
-    text = F.when(F.ltrim(t).startswith("{"), t).otherwise(strict_base64_text(F.trim(t)))
-    v = F.when(F.ltrim(text).startswith("{"), F.try_parse_json(text))
-    return F.when(is_object(v), v)
-
-
 def vget(v: Column, path: str, typ: str = "string") -> Column:
     return F.try_variant_get(v, path, typ)
 
@@ -165,11 +137,11 @@ def job_columns(df, vcol: str = "_v"):
     df = with_fields(df, vcol, JOB_PATHS)
     step = df.select(
         "*",
-        F.trim(F.when(f_truthy("triggered_by"), f_str("triggered_by"))
+        py_strip(F.when(f_truthy("triggered_by"), f_str("triggered_by"))
                 .when(f_truthy("triggeredBy"), f_str("triggeredBy"))
                 .otherwise(F.lit(""))).alias("_flat"),
-        F.trim(f_truthy_text("trigger_by")).alias("_by"),
-        F.trim(f_truthy_text("trigger_kind")).alias("_kind"),
+        py_strip(f_truthy_text("trigger_by")).alias("_by"),
+        py_strip(f_truthy_text("trigger_kind")).alias("_kind"),
         (f_truthy("compile_options") & ~f_object("compile_options")).alias("_opts_bad"),
         (f_truthy("trigger") & ~f_object("trigger")).alias("_trig_bad"),
         (f_truthy("force") | (f_object("compile_options") & f_truthy("opt_force"))).alias("_force"))
@@ -207,6 +179,7 @@ def blob_path(url) -> Column:
 
 
 def _unquote(c: Column) -> Column:
-    """``urllib.parse.unquote``: '+' stays '+'. A text with a bad escape is
-    kept undecoded as a whole (unquote would still decode its good ones)."""
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    """``urllib.parse.unquote``: '+' stays '+', a '%' that begins no escape
+    stays as it is, the good escapes around it are decoded."""
+    whole = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(whole), c)

@@ -10,9 +10,13 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters that str.strip() takes off.
+PY_SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
 def blank_to_null(c) -> Column:
-    """str(v).strip() or None: trim, then an empty text becomes null."""
-    t = F.trim(col_(c).cast("string"))
+    """str(v).strip() or None: strip, then an empty text becomes null."""
+    t = py_strip(col_(c).cast("string"))
     return F.when(t == "", F.lit(None).cast("string")).otherwise(t)
 
 
@@ -23,4 +27,9 @@ def first_nonblank(*cols) -> Column:
 
 def py_strip(c) -> Column:
     """``str.strip()``: leading and trailing whitespace, not just spaces."""
-    return F.regexp_replace(col_(c), "^\\s+|\\s+$", "")
+    return F.regexp_replace(col_(c), f"^[{PY_SPACE}]+|[{PY_SPACE}]+\\z", "")
+
+
+def py_lstrip(c) -> Column:
+    """``str.lstrip()``."""
+    return F.regexp_replace(col_(c), f"^[{PY_SPACE}]+", "")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import decode as D
-from runlens.functions.text import first_nonblank
+from runlens.functions.text import first_nonblank, py_strip
 from runlens.operators.status import latest_status
 
 # Fixed values of the reference's admission rules.
@@ -89,7 +89,7 @@ def previous_final(jobs: DataFrame, status_events: DataFrame) -> DataFrame:
 def skip_ids(spark, skip_list: str) -> DataFrame:
     """comma-separated ids, trimmed, blanks ignored."""
     parts = F.explode(F.split(F.lit(skip_list or ""), ",")).alias("p")
-    return (spark.range(1).select(parts).select(F.trim("p").alias("deal_id"))
+    return (spark.range(1).select(parts).select(py_strip("p").alias("deal_id"))
                  .where(F.col("deal_id") != "").distinct())
 
 

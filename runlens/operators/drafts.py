@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEAL_ID_PATTERN = "^[0-9a-fA-F-]{36}$"
+DEAL_ID_PATTERN = "^[0-9a-fA-F-]{36}\\z"
 NO_BRIEF = "RuntimeError: the latest envelope has no brief; compile the deal first"
 
 

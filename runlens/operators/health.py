@@ -10,14 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.text import blank_to_null
 from runlens.operators.sequence import sequence_index, with_lag
 from runlens.operators.status import RUN_ENDS, latest_by, latest_progress
 
 GIB = 1073741824
-# Fields a guarded terminal write keeps from the current progress document.
-KEPT_PROGRESS_FIELDS = ("stages", "started_at", "stage_count_done",
-                        "stage_count_total_estimate", "triggered_by", "trigger_kind",
-                        "stage_items_done", "stage_items_total")
 PROGRESS_ERROR_MAX = 500
 LEASE_MAX_SEC = 4 * 3600
 
@@ -129,20 +126,21 @@ def guarded_fail(requests: DataFrame, progress_events: DataFrame) -> DataFrame:
 
 
 def cancel_match(requests: DataFrame, active: DataFrame) -> DataFrame:
-    """A request cancels a run of its deal when it names no compile (the
-    deal's latest active run) or names that run; others stay pending.
+    """A request cancels a run of its own deal when it names no compile
+    (the deal's latest active run) or names that run; others stay pending.
+    The named id is stripped, a blank one names none.
 
     Two equi-joins instead of a theta join, so one deal with many runs and
     requests never produces request x run pairs.
     """
+    asked = blank_to_null("compile_id")
     latest_active = latest_by(active.select("deal_id", "compile_id", "updated_at"),
                               ["deal_id"], ["updated_at", "compile_id"]).select(
         "deal_id", F.col("compile_id").alias("any_run"))
-    named = active.select(F.col("compile_id").alias("named_run"),
-                          F.col("compile_id").alias("_c"))
-    j = (requests.join(latest_active, "deal_id", "left")
-                 .join(named, F.col("compile_id") == F.col("_c"), "left"))
-    run = F.when(F.col("compile_id").isNull(), F.col("any_run")).otherwise(F.col("named_run"))
+    named = active.select(F.col("deal_id").alias("_d"), F.col("compile_id").alias("named_run")).distinct()
+    j = (requests.withColumn("_c", asked).join(latest_active, "deal_id", "left")
+                 .join(named, (F.col("deal_id") == F.col("_d")) & (F.col("_c") == F.col("named_run")), "left"))
+    run = F.when(F.col("_c").isNull(), F.col("any_run")).otherwise(F.col("named_run"))
     return j.select("request_id", "deal_id", F.col("compile_id").alias("requested_compile_id"),
                     run.alias("cancelled_run"), run.isNotNull().alias("matched"))
 
@@ -150,10 +148,20 @@ def cancel_match(requests: DataFrame, active: DataFrame) -> DataFrame:
 def oom_first_hit(samples: DataFrame) -> DataFrame:
     """ST2 (batch): the first sample per compile with rss >= limit * fraction
     (equality fires); a zero limit or fraction disables the guard."""
+    return oom_failures(first_hits(samples))
+
+
+def first_hits(samples: DataFrame) -> DataFrame:
+    """(compile_id, f): the first sample at or over the ceiling; ``min`` of
+    the parts of a table is the first of the whole."""
     armed = (F.col("limit_bytes") > 0) & (F.col("fraction") > 0)
     over = samples.where(armed & (F.col("rss_bytes") >= F.col("limit_bytes") * F.col("fraction")))
-    first = over.groupBy("compile_id").agg(
+    return over.groupBy("compile_id").agg(
         F.min(F.struct("sampled_at", "seq", "deal_id", "rss_bytes", "limit_bytes")).alias("f"))
+
+
+def oom_failures(first: DataFrame) -> DataFrame:
+    """The terminal write that a first hit causes."""
     return first.select(
         "compile_id", F.col("f.deal_id").alias("deal_id"), F.col("f.sampled_at").alias("fired_at"),
         F.col("f.seq").alias("seq"), F.col("f.rss_bytes").alias("rss_bytes"),
@@ -198,20 +206,19 @@ def terminal_wins(status_events: DataFrame) -> DataFrame:
 
 def cancel_once(requests: DataFrame, spans: DataFrame) -> DataFrame:
     """ST6 (batch): each request is consumed by the first run it reaches: the
-    named run if it was still going at the request, else (no run named) the
-    earliest run of the deal going at that instant. Runs of the deal are
-    looked up on the request's day and the day before, so the join stays an
+    named run of the deal if it was still going at the request, else (no run
+    named, or a blank id) the earliest run of the deal going at that instant.
+    A run is listed under every day it was going on, so the join is an
     equi-join on (deal, day)."""
     runs = spans.select("deal_id", "compile_id", "started_at",
                         F.coalesce("ended_at", "last_at").alias("until"))
     days = runs.withColumn("day", F.explode(F.sequence(
         F.to_date("started_at"), F.to_date("until"))))
-    req = requests.withColumn("day", F.to_date("requested_at"))
+    req = requests.withColumn("day", F.to_date("requested_at")).withColumn("_c", blank_to_null("compile_id"))
     cand = (req.alias("r").join(days.alias("u"), ["deal_id", "day"])
             .where((F.col("u.started_at") <= F.col("r.requested_at"))
                    & (F.col("u.until") >= F.col("r.requested_at"))
-                   & (F.col("r.compile_id").isNull()
-                      | (F.col("r.compile_id") == F.col("u.compile_id")))))
+                   & (F.col("r._c").isNull() | (F.col("r._c") == F.col("u.compile_id")))))
     first = cand.groupBy("request_id").agg(
         F.min(F.struct(F.col("u.started_at"), F.col("u.compile_id"))).alias("m"))
     return (requests.join(first, "request_id", "left")

@@ -40,9 +40,6 @@ def latest_progress(progress_events: DataFrame) -> DataFrame:
 # Fixed values of the reference's status rules.
 TERMINAL_FOR_INDEX = ("completed", "failed", "interrupted")   # F1: not cancelled
 RUN_ENDS = ("completed", "failed", "interrupted", "cancelled")  # J6: every end
-RUN_INDEX_FIELDS = ("compile_id", "deal_id", "status", "stage", "updated_at", "worker_sha",
-                    "parser_sha", "elapsed_sec", "entity_count", "atom_count",
-                    "percent_complete")
 METADATA_KEYS = ("status", "stage", "deal_id", "compile_id", "updated_at", "elapsed_sec",
                  "worker_sha")
 RUN_INDEX_ERROR_MAX = 500

@@ -323,7 +323,10 @@ FROM status_events
 
 cte("cancel_requests", r"""
 SELECT event_id AS request_id, deal_id,
-       CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN compile_id
+       CASE WHEN event_id % 15 = 0 THEN ' ' || chr(9) WHEN event_id % 3 = 0 THEN NULL
+            WHEN event_id % 15 = 1 THEN chr(10) || ' ' || compile_id || chr(160)
+            WHEN event_id % 15 = 4 THEN CAST(user_id + 1 AS VARCHAR) || '-' || strftime(updated_at, '%Y%m%d')
+            WHEN event_id % 3 = 1 THEN compile_id
             ELSE CAST(user_id AS VARCHAR) || '-' || strftime(updated_at - INTERVAL 1 DAY, '%Y%m%d') END
          AS compile_id,
        'pm' || CAST(event_id % 4 AS VARCHAR) AS requested_by, updated_at AS requested_at
@@ -564,5 +567,5 @@ FROM (SELECT *, coalesce(nullif(draft_status, ''), CASE WHEN coalesce(error, '')
 """, ("draft_inputs",))
 
 cte("active_markers_files", r"""
-SELECT *, CAST(split_part(compile_id, '-', 1) AS BIGINT) % 11 <> 0 AS hash_ok FROM active_markers
+SELECT *, CAST(split_part(compile_id, '-', 1) AS BIGINT) % 11 <> 0 AND CAST(split_part(compile_id, '-', 1) AS BIGINT) % 13 <> 0 AS hash_ok FROM active_markers
 """, ("active_markers",))

@@ -38,12 +38,10 @@ FROM (SELECT *, coalesce(nullif(blob_url, ''), nullif(url, '')) AS src,
 WHERE src IS NOT NULL AND rel IS NOT NULL""", "artifacts"))
 def q_manifest_source(spark, sf_dir):
     def write(path):
-        (Derived(spark, sf_dir).artifacts().write.mode("overwrite")
-         .partitionBy("deal_id").json(path))
+        (Derived(spark, sf_dir).artifacts().withColumn("bucket", FS.bucket_of("deal_id", FS.ENVELOPE_BUCKETS))
+         .write.mode("overwrite").partitionBy("bucket").json(path))
     path = _files(spark, sf_dir, "manifests", write)
-    # deal_id is recovered from the folder (partition discovery).
-    entries = spark.read.schema(FS.MANIFEST_ENTRY_SCHEMA).json(path)
-    return resolve_artifacts(entries)
+    return resolve_artifacts(FS.read_manifest_entries(spark, path))
 
 
 @register("marker_scan", with_ctes(r"""
@@ -56,7 +54,8 @@ def q_marker_scan(spark, sf_dir):
         doc = F.to_json(F.struct("compile_id", "deal_id", "stage",
                                  F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
                                  .alias("updated_at"), "replica", "boot_id"))
-        line = F.when(u % 11 == 0, F.left(doc, F.lit(12))).otherwise(doc)   # torn writes
+        line = (F.when(u % 11 == 0, F.left(doc, F.lit(12)))                  # torn writes
+                 .when(u % 13 == 0, F.concat(F.lit("["), doc, F.lit("]"))).otherwise(doc))
         m.select(line.alias("value")).write.mode("overwrite").text(path)
     path = _files(spark, sf_dir, "markers", write)
     return FS.read_markers(spark, path).select("compile_id", "deal_id", "replica", "boot_id")
@@ -114,11 +113,12 @@ def q_status_sink(spark, sf_dir):
 SELECT deal_id, atom_type, count(*) AS atoms, count(*) FILTER (WHERE verified) AS verified
 FROM atoms_ui GROUP BY 1, 2""", "atoms_ui"))
 def q_atoms_sink(spark, sf_dir):
-    """S6 round trip: UI atoms written partitioned by deal (dynamic
+    """S6 round trip: UI atoms written by hash bucket of the deal (dynamic
     overwrite) and read back whole."""
     from runlens.plans.q_atoms import ui
     path = _files(spark, sf_dir, "atoms_ui",
-                  lambda p: FS.write_partitioned(ui(spark, sf_dir), p, "deal_id"))
+                  lambda p: FS.write_partitioned(ui(spark, sf_dir).withColumn(
+                      "bucket", FS.bucket_of("deal_id", FS.ENVELOPE_BUCKETS)), p, "bucket"))
     a = spark.read.parquet(path)
     return a.groupBy("deal_id", "atom_type").agg(F.count(F.lit(1)).alias("atoms"),
                                                  F.count_if("verified").alias("verified"))

@@ -159,13 +159,13 @@ def q_failure_class(spark, sf_dir):
 
 @register("cancel_match", with_ctes(r"""
 SELECT r.request_id, r.deal_id, r.compile_id AS requested_compile_id,
-       CASE WHEN r.compile_id IS NULL THEN l.compile_id ELSE n.compile_id END AS cancelled_run,
-       (CASE WHEN r.compile_id IS NULL THEN l.compile_id ELSE n.compile_id END) IS NOT NULL AS matched
-FROM cancel_requests r
+       CASE WHEN r.asked IS NULL THEN l.compile_id ELSE n.compile_id END AS cancelled_run,
+       (CASE WHEN r.asked IS NULL THEN l.compile_id ELSE n.compile_id END) IS NOT NULL AS matched
+FROM (SELECT *, nullif(trim(compile_id, ' ' || chr(9) || chr(10) || chr(160)), '') AS asked FROM cancel_requests) r
 LEFT JOIN (SELECT deal_id, compile_id FROM active_runs
            QUALIFY row_number() OVER (PARTITION BY deal_id ORDER BY updated_at DESC, compile_id DESC) = 1) l
   USING (deal_id)
-LEFT JOIN active_runs n ON n.compile_id = r.compile_id""", "cancel_requests", "active_runs"))
+LEFT JOIN active_runs n ON n.deal_id = r.deal_id AND n.compile_id = r.asked""", "cancel_requests", "active_runs"))
 def q_cancel_match(spark, sf_dir):
     d = Derived(spark, sf_dir)
     return H.cancel_match(d.cancel_requests(), _active(d))
@@ -234,10 +234,11 @@ def q_terminal_wins(spark, sf_dir):
 SELECT r.request_id, r.deal_id, r.compile_id AS requested_compile_id, m.compile_id AS cancelled_run,
        m.compile_id IS NOT NULL AS consumed
 FROM cancel_requests r
-LEFT JOIN (SELECT r2.request_id, u.compile_id FROM cancel_requests r2
+LEFT JOIN (SELECT r2.request_id, u.compile_id
+           FROM (SELECT *, nullif(trim(compile_id, ' ' || chr(9) || chr(10) || chr(160)), '') AS asked FROM cancel_requests) r2
            JOIN run_spans u ON u.deal_id = r2.deal_id AND u.started_at <= r2.requested_at
                 AND coalesce(u.ended_at, u.last_at) >= r2.requested_at
-                AND (r2.compile_id IS NULL OR r2.compile_id = u.compile_id)
+                AND (r2.asked IS NULL OR r2.asked = u.compile_id)
            QUALIFY row_number() OVER (PARTITION BY r2.request_id ORDER BY u.started_at, u.compile_id) = 1) m
   USING (request_id)""", "cancel_requests", "run_spans"))
 def q_cancel_once(spark, sf_dir):

@@ -1,18 +1,22 @@
-"""Streaming twins, checked against the batch rules' SQL (ST1, ST2, ST5,
-ST7). Inputs land once per session as Parquet files; each twin drains them
-with Trigger.AvailableNow."""
+"""Streaming twins, checked against the batch rules' SQL (ST1-ST7, ST9).
+Inputs land once per session as Parquet files, in no order of time; each twin
+drains them with Trigger.AvailableNow in several micro-batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from runlens.plans.oracle_ctes import ts_text, with_ctes
-from runlens.plans.registry import register
+from runlens.plans import q_health  # noqa: F401 (its SQL is reused below)
+from runlens.plans.registry import ORACLE, register
 from runlens.session import materialized
 from runlens.sources.derived import Derived
 from runlens.streaming import twins as T
 
 
+FILES = 3  # landing files of a micro-batch
+
+
 def _landing(spark, sf_dir, name, build) -> str:
     materialized(spark, f"landing_{name}", sf_dir, build)
     from runlens.session import _TABLES
@@ -49,7 +53,7 @@ WHERE NOT (coalesce((s.updated_at, s.seq) > f.e, false) AND s.status = 'running'
 def q_stream_terminal_wins(spark, sf_dir):
     land = _landing(spark, sf_dir, "status_events",
                     lambda: Derived(spark, sf_dir).status_events().repartition(8))
-    return T.stream_terminal_wins(spark, land)
+    return T.stream_terminal_wins(spark, land, FILES)
 
 
 @register("stream_oom_first_hit", with_ctes(r"""
@@ -64,7 +68,7 @@ QUALIFY row_number() OVER (PARTITION BY compile_id ORDER BY sampled_at, seq) = 1
 def q_stream_oom_first_hit(spark, sf_dir):
     land = _landing(spark, sf_dir, "memory_samples",
                     lambda: Derived(spark, sf_dir).memory_samples().repartition(8))
-    return T.stream_oom_first_hit(spark, land)
+    return T.stream_oom_first_hit(spark, land, FILES)
 
 
 @register("stream_dedup_delivery", with_ctes(f"""
@@ -78,7 +82,7 @@ def q_stream_dedup_delivery(spark, sf_dir):
                     lambda: jobs(spark, sf_dir).select(
                         "compile_id", F.col("message_id").alias("seq"), "received_at")
                     .repartition(8))
-    return T.stream_dedup_delivery(spark, land)
+    return T.stream_dedup_delivery(spark, land, FILES)
 
 
 @register("stream_budget_overrun", with_ctes(f"""
@@ -95,11 +99,9 @@ def q_stream_budget_overrun(spark, sf_dir):
     land = _landing(spark, sf_dir, "status_events",
                     lambda: d.status_events().repartition(8))
     budgets = run_budgets(d.status_events())
-    fired = T.stream_budget_overrun(spark, land, budgets)
-    return (fired.join(budgets.select("compile_id", "budget_sec"), "compile_id")
-            .select("compile_id", "budget_sec",
-                    F.date_format(F.timestamp_micros("deadline_us"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
-                    .alias("fired_at")))
+    fired = T.stream_budget_overrun(spark, land, budgets, FILES)
+    return fired.select("compile_id", "budget_sec",
+                        F.date_format("fired_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fired_at"))
 
 
 @register("stream_stale_runs", with_ctes(f"""
@@ -110,6 +112,13 @@ def q_stream_stale_runs(spark, sf_dir):
     from runlens.plans.q_health import STALE_MINUTES
     land = _landing(spark, sf_dir, "status_events",
                     lambda: Derived(spark, sf_dir).status_events().repartition(8))
-    r = T.stream_stale_runs(spark, land, STALE_MINUTES)
-    return r.select("compile_id", F.date_format(F.timestamp_micros("last_us"),
-                                                "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_at"))
+    r = T.stream_stale_runs(spark, land, STALE_MINUTES, FILES)
+    return r.select("compile_id", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_at"))
+
+
+@register("stream_cancel_once", ORACLE["cancel_once"])
+def q_stream_cancel_once(spark, sf_dir):
+    d = Derived(spark, sf_dir)
+    land = _landing(spark, sf_dir, "status_events", lambda: d.status_events().repartition(8))
+    asked = _landing(spark, sf_dir, "cancel_requests", lambda: d.cancel_requests().repartition(8))
+    return T.stream_cancel_once(spark, land, asked, FILES)

@@ -207,11 +207,14 @@ class Derived:
     def cancel_requests(self) -> DataFrame:
         ev = self._events().where(F.col("event_type") == "signup")
         e = F.col("event_id")
+        foreign = F.concat(_s(F.col("user_id") + 1), F.lit("-"), F.date_format("ts", "yyyyMMdd"))
         prev_day = F.concat(_s("user_id"), F.lit("-"),
                             F.date_format(F.col("ts") - F.expr("INTERVAL 1 DAY"), "yyyyMMdd"))
         return ev.select(
             e.alias("request_id"), "deal_id",
-            F.when(e % 3 == 0, F.lit(None).cast("string"))
+            F.when(e % 15 == 0, F.lit(" \t")).when(e % 3 == 0, F.lit(None).cast("string"))
+             .when(e % 15 == 1, F.concat(F.lit("\n "), "compile_id", F.lit("\u00a0")))
+             .when(e % 15 == 4, foreign)
              .when(e % 3 == 1, F.col("compile_id")).otherwise(prev_day).alias("compile_id"),
             F.concat(F.lit("pm"), _s(e % 4)).alias("requested_by"),
             F.col("ts").alias("requested_at"))

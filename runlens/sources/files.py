@@ -7,27 +7,31 @@ re-run of one day or deal replaces only that slice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.functions.decode import is_object
+from runlens.session import cut_lineage
+
 MANIFEST_ENTRY_SCHEMA = ("deal_id string, pos long, content_sha256 string, blob_url string, "
                          "url string, filename string, path string, name string, size long")
 MARKER_SCHEMA = ("compile_id string, deal_id string, stage string, updated_at string, "
-                 "replica string, boot_id string, keepalive string, _corrupt string")
+                 "replica string, boot_id string, keepalive string")
 
 
 def read_manifest_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest entries as JSON lines (one folder per deal), read with
-    an explicit schema; ``deal_id`` may also come from the folder name."""
+    """Manifest entries as JSON lines, read with an explicit schema."""
     return spark.read.schema(MANIFEST_ENTRY_SCHEMA).json(path)
 
 
 def read_markers(spark: SparkSession, path: str) -> DataFrame:
-    """Every marker file parsed; unparsable lines are dropped (they
-    land in ``_corrupt`` in PERMISSIVE mode and are filtered out)."""
-    df = (spark.read.schema(MARKER_SCHEMA).option("mode", "PERMISSIVE")
-               .option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    return df.where(F.col("_corrupt").isNull()).drop("_corrupt")
+    """Every line that holds one JSON object is a marker; torn lines and
+    other JSON values (arrays, texts, numbers) are none."""
+    lines = spark.read.text(path)
+    doc = F.from_json("value", MARKER_SCHEMA)
+    return (lines.where(F.coalesce(is_object(F.try_parse_json("value")), F.lit(False)))
+                 .select(doc.alias("d")).select("d.*"))
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*", content: bool = False) -> DataFrame:
@@ -50,10 +54,11 @@ def sheet_scan(spark: SparkSession, path: str, suffix: str = ".sheet.svg") -> Da
     return df.select(stem.alias("key"), F.col("length").alias("size"))
 
 
-def write_status_events(events: DataFrame, path: str) -> None:
-    """Append-only status rows, partitioned by day of ``updated_at``."""
-    (events.withColumn("day", F.to_date("updated_at")).write.mode("append")
-           .partitionBy("day").parquet(path))
+def write_status_events(events: DataFrame, path: str, batch_id: str | int = 0) -> None:
+    """Status rows by day of ``updated_at`` and by write: writing a batch
+    again replaces the rows of its first try, so a retry adds none twice."""
+    write_partitioned(events.withColumn("day", F.to_date("updated_at")).withColumn("batch", F.lit(str(batch_id))),
+                      path, "day", "batch")
 
 
 def write_partitioned(df: DataFrame, path: str, *cols: str) -> None:
@@ -78,30 +83,39 @@ def trace_documents(calls_summary: DataFrame, timeline: DataFrame) -> DataFrame:
 ENVELOPE_BUCKETS = 16
 
 
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, null when there is none; any other failure to
+    read it is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def upsert_by_key(spark: SparkSession, path: str, updates: DataFrame, key: str = "deal_id",
                   version: str = "version", buckets: int = ENVELOPE_BUCKETS) -> None:
     """Upsert rows by ``key`` (newest ``version`` wins) into a table
-    partitioned by a hash bucket of the key. Only the buckets the updates
-    touch are read, merged (partial ``max(struct)``) and rewritten with
-    dynamic partition overwrite; the merge is staged to a sibling folder
-    first so a lost executor never leaves a half-written bucket."""
-    import os
-    import uuid
-
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
-    upd = updates.withColumn("bucket", bucket)
-    try:
-        cur = spark.read.parquet(path)
-        touched = upd.select("bucket").distinct()
-        cur = cur.join(touched, "bucket", "left_semi")
-        both = cur.unionByName(upd)
-    except Exception:  # first write: no table yet
-        both = upd
-    rest = [c for c in both.columns if c not in (key, "bucket")]
-    merged = (both.groupBy(key, "bucket")
+    partitioned by a hash bucket of the key. The number of buckets is part of
+    the table (folder ``buckets=<n>``); ``buckets`` only counts for a new one.
+
+    Only the buckets that the updates touch are read, by a literal filter that
+    prunes their folders; the merge is written to the checkpoint folder before
+    it replaces them, so a lost executor never leaves a half-read bucket."""
+    current = read_if_present(spark, path)
+    if current is not None and (first := current.select("buckets").first()) is not None:
+        buckets = first[0]
+    both = updates.withColumn("buckets", F.lit(buckets)).withColumn("bucket", bucket_of(key, buckets))
+    if current is not None:
+        touched = [r[0] for r in both.select("bucket").distinct().collect()]  # at most ``buckets``
+        both = current.where(F.col("bucket").isin(touched)).unionByName(both, allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (key, "buckets", "bucket")]
+    merged = (both.groupBy(key, "buckets", "bucket")
                   .agg(F.max(F.struct(version, *[c for c in rest if c != version])).alias("_w"))
-                  .select(key, "bucket", *[F.col(f"_w.{c}").alias(c) for c in rest]))
-    stage = os.path.join(os.path.dirname(path.rstrip("/")), f"_stage-{uuid.uuid4().hex[:8]}")
-    merged.write.mode("overwrite").parquet(stage)
-    (spark.read.parquet(stage).write.mode("overwrite")
-          .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+                  .select(key, *[F.col(f"_w.{c}").alias(c) for c in rest], "buckets", "bucket"))
+    write_partitioned(cut_lineage(merged), path, "buckets", "bucket")

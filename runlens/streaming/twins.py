@@ -1,35 +1,28 @@
-"""Structured Streaming twins of the batch operators (ST1, ST2, ST5, ST7).
-
-Each twin reads a landing folder as a file stream, applies the same rule as
-its batch operator (stateful rules assume a compile's events arrive in time
-order across micro-batches, as a live worker writes them; inside a batch
-the processors restore the order by sorting), and writes an idempotent sink with a checkpoint in the
-shared checkpoint folder. Run with ``Trigger.AvailableNow`` the sink holds
-exactly the batch operator's rows, which is how the twins are checked.
-
-Stateful rules run in ``applyInPandasWithState`` functions keyed by compile:
-the state per key is one small record (an end marker, a fired flag or the
-last delivery time), so state does not grow with the number of events of a
-hot compile; it grows with the number of compiles. (The newer
-``transformWithStateInPandas`` API was measured 2-3x slower here because it
-calls the state server once per key, and its TTL needs processing-time mode,
-which did not terminate under AvailableNow.)
+"""Structured Streaming twins of the batch operators (ST1-ST7, ST9).
+
+Every twin keeps what its rule needs as mergeable parts: each micro-batch is
+reduced by JVM aggregates to one row per key (a first time, a last time, a
+first hit) or to the rows themselves, and written under its epoch, so that a
+replayed epoch replaces its own part. The result is read by merging the parts
+with the same aggregate and applying the batch rule. Parts merge in any order:
+a late row, in whatever batch it arrives, gives the rows that the batch rule
+gives on all data; nothing is dropped, no key's rows are gathered in one task,
+and no state outgrows one row per key and epoch. ``compact`` folds the parts
+of finished epochs into one.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.operators import admission as A
+from runlens.operators import health as H
 from runlens.operators.status import RUN_ENDS
-from runlens.session import checkpoint_path, ship_package  # noqa: F401 (re-exported)
-
-LEASE_TTL_MS = 4 * 3600 * 1000   # the longest a message stays leased
+from runlens.session import checkpoint_path
 
 
 def landing_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -55,261 +48,111 @@ def run_available_now(writer, spark: SparkSession, name: str) -> str:
     return base
 
 
-# ------------------------------------------------------------------ ST1
-def stream_decode(spark: SparkSession, landing: str) -> DataFrame:
-    """ST1: decode on arrival; good jobs, drafts and quarantined messages
-    go to three sinks, each written per epoch with dynamic partition
-    overwrite so a replayed epoch replaces its own output."""
-    src = landing_stream(spark, landing, max_files=4)
-    decoded = A.decode_messages(src)
-    sink = (F.when(F.col("route") == "draft", "drafts")
-             .when(F.col("job_ok"), "jobs").otherwise("poison"))
+def write_parts(src: DataFrame, name: str, reduce: Callable[[DataFrame], DataFrame],
+                by: Sequence[str] = ("epoch",)) -> DataFrame:
+    """Drain ``src``; each micro-batch is written as ``reduce(batch)`` with
+    its ``epoch``, replacing what an earlier try of that epoch wrote."""
+    spark = src.sparkSession
 
     def write(base):
         def per_batch(batch: DataFrame, epoch: int) -> None:
-            (batch.select("message_id", "compile_id", "deal_id", "dequeue_count",
-                          sink.alias("sink"), F.lit(epoch).alias("epoch"))
-                  .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                  .partitionBy("sink", "epoch").parquet(base + "/out"))
-        return decoded.writeStream.foreachBatch(per_batch)
+            (reduce(batch).withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(base + "/parts"))
+        return src.writeStream.foreachBatch(per_batch)
 
-    base = run_available_now(write, spark, "stream_decode")
-    return spark.read.parquet(base + "/out")
+    return spark.read.parquet(run_available_now(write, spark, name) + "/parts")
 
 
-# ------------------------------------------------------------------ ST7
-def stream_latest(spark: SparkSession, landing: str, key: str = "deal_id") -> DataFrame:
-    """ST7: the latest progress document per deal as a streaming aggregate
-    (state: one row per deal); each epoch rewrites the complete result."""
-    src = landing_stream(spark, landing, max_files=4)
-    packed = F.max(F.struct("updated_at", "seq", "compile_id", "status", "current_stage",
-                            "stage_items_done", "stage_items_total")).alias("_w")
-    agg = src.groupBy(key).agg(packed)
+def merge(parts: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
+    """The parts of all epochs as one row per key."""
+    return parts.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
 
-    def write(base):
-        def per_batch(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(base + "/out")
-        return agg.writeStream.outputMode("complete").foreachBatch(per_batch)
 
-    base = run_available_now(write, spark, "stream_latest")
-    return spark.read.parquet(base + "/out").select(key, "_w.*")
+def compact(parts: DataFrame, keys: Sequence[str], path: str, **aggs: Column) -> None:
+    """Write the merged parts as the part of one epoch (-1) below ``path``,
+    to be read with the parts of later epochs."""
+    merge(parts, keys, **aggs).withColumn("epoch", F.lit(-1)).write.partitionBy("epoch").parquet(path)
 
 
-def _frame(rows) -> pd.DataFrame:
-    """The key's rows of this batch as one frame (usually one chunk)."""
-    chunks = list(rows)
-    return chunks[0].reset_index(drop=True) if len(chunks) == 1 else \
-        pd.concat(chunks, ignore_index=True)
+# ------------------------------------------------------------------ ST1
+def stream_decode(spark: SparkSession, landing: str) -> DataFrame:
+    """ST1: decode on arrival; good jobs, drafts and quarantined messages
+    go to three sinks."""
+    decoded = A.decode_messages(landing_stream(spark, landing, max_files=4))
+    sink = (F.when(F.col("route") == "draft", "drafts")
+             .when(F.col("job_ok"), "jobs").otherwise("poison"))
+    return write_parts(decoded, "stream_decode", lambda b: b.select(
+        "message_id", "compile_id", "deal_id", "dequeue_count", sink.alias("sink")), ("sink", "epoch"))
+
+
+# ------------------------------------------------------------------ ST7
+def stream_latest(spark: SparkSession, landing: str, key: str = "deal_id",
+                  max_files: int | None = 4) -> DataFrame:
+    """ST7: the latest progress document per deal."""
+    last = F.max(F.struct("updated_at", "seq", "compile_id", "status", "current_stage",
+                          "stage_items_done", "stage_items_total"))
+    parts = write_parts(landing_stream(spark, landing, max_files), "stream_latest",
+                        lambda b: b.groupBy(key).agg(last.alias("w")))
+    return merge(parts, [key], w=F.max("w")).select(key, "w.*")
 
 
 # ------------------------------------------------------------------ ST5
-def _terminal_wins_fn(key, chunks, state):
-    """Per compile: remember the first end (time, seq); drop 'running' rows
-    that come after it, in this batch or any later one. Vectorised masks;
-    no per-key sort (only the first end matters)."""
-    pdf = _frame(chunks)
-    t = pdf["updated_at"].to_numpy().astype("int64")
-    seq = pdf["seq"].to_numpy()
-    status = pdf["status"].to_numpy()
-    end = tuple(state.get) if state.exists else None
-    is_end = np.isin(status, RUN_ENDS)
-    if is_end.any():
-        et, es = t[is_end], seq[is_end]
-        i = np.lexsort((es, et))[0]
-        first = (int(et[i]), int(es[i]))
-        if end is None or first < end:
-            end = first
-            state.update(end)
-    if end is not None:
-        after = (t > end[0]) | ((t == end[0]) & (seq > end[1]))
-        drop = after & (status == "running")
-        if drop.any():
-            pdf = pdf[~drop]
-    yield pdf[["compile_id", "seq", "status", "stage"]]
-
-
-def stream_terminal_wins(spark: SparkSession, landing: str) -> DataFrame:
-    ship_package(spark)
-    src = landing_stream(spark, landing).select(
-        "compile_id", "seq", "status", "stage", "updated_at")
-    out = src.groupBy("compile_id").applyInPandasWithState(
-        _terminal_wins_fn, "compile_id string, seq long, status string, stage string",
-        "t long, s long", "append", "NoTimeout")
-    base = run_available_now(
-        lambda b: out.writeStream.format("parquet").option("path", b + "/out"), spark,
-        "stream_terminal_wins")
-    return spark.read.parquet(base + "/out")
+def stream_terminal_wins(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
+    """ST5: 'running' rows after a run's first end are dropped. The rows are
+    kept per epoch; an end that arrives late takes back the rows it ends."""
+    rows = write_parts(landing_stream(spark, landing, max_files), "stream_terminal_wins",
+                       lambda b: b.select("compile_id", "seq", "status", "stage", "updated_at"))
+    return H.terminal_wins(rows).select("compile_id", "seq", "status", "stage")
 
 
 # ------------------------------------------------------------------ ST2
-def _gb(x: float) -> str:
-    return f"{x / 2 ** 30:.1f}"
-
-
-def _memory_ceiling_fn(key, chunks, state):
-    """Per compile: the first sample with rss >= limit * fraction ends the
-    run as out_of_memory (equality fires; a zero limit or fraction
-    disables); afterwards the key is done."""
-    if state.exists:
-        return
-    pdf = _frame(chunks)
-    rss, lim, frac = (pdf["rss_bytes"].to_numpy(), pdf["limit_bytes"].to_numpy(),
-                      pdf["fraction"].to_numpy())
-    over = (lim > 0) & (frac > 0) & (rss >= lim * frac)
-    if not over.any():
-        return
-    idx = np.flatnonzero(over)
-    t = pdf["sampled_at"].to_numpy().astype("int64")[idx]
-    hit = pdf.iloc[idx[np.lexsort((pdf["seq"].to_numpy()[idx], t))[0]]]
-    state.update((1,))
-    yield pd.DataFrame({
-        "compile_id": [hit["compile_id"]], "deal_id": [hit["deal_id"]],
-        "fired_at": [hit["sampled_at"]], "seq": [int(hit["seq"])],
-        "rss_bytes": [int(hit["rss_bytes"])], "status": ["failed"], "stage": ["out_of_memory"],
-        "error": [f"The parse ran out of memory: {_gb(hit['rss_bytes'])} GB used of the "
-                  f"worker's {_gb(hit['limit_bytes'])} GB. Nothing was saved from this run."]})
-
-
-def stream_oom_first_hit(spark: SparkSession, landing: str) -> DataFrame:
-    ship_package(spark)
-    src = landing_stream(spark, landing)
-    out = src.groupBy("compile_id").applyInPandasWithState(
-        _memory_ceiling_fn,
-        "compile_id string, deal_id string, fired_at timestamp, seq long, rss_bytes long, "
-        "status string, stage string, error string", "f long", "append", "NoTimeout")
-    base = run_available_now(
-        lambda b: out.writeStream.format("parquet").option("path", b + "/out"), spark,
-        "stream_oom_first_hit")
-    return spark.read.parquet(base + "/out").withColumn(
-        "fired_at", F.date_format("fired_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+def stream_oom_first_hit(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
+    """ST2: the first sample per run at or over its memory ceiling."""
+    parts = write_parts(landing_stream(spark, landing, max_files), "stream_oom_first_hit", H.first_hits)
+    fired = H.oom_failures(merge(parts, ["compile_id"], f=F.min("f")))
+    return fired.select("compile_id", "deal_id", F.date_format("fired_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fired_at"),
+                        "seq", "rss_bytes", "status", "stage", "error")
 
 
 # ------------------------------------------------------------------ ST9
-def _dedup_fn(key, chunks, state):
-    """Per compile: a delivery is kept when it is the first one or the one
-    before it was received more than the lease ceiling earlier. State: the
-    last delivery time (microseconds)."""
-    pdf = _frame(chunks)
-    t = pdf["received_at"].to_numpy().astype("int64") // 1000
-    order = np.lexsort((pdf["seq"].to_numpy(), t))
-    ts = t[order]
-    prev = np.empty_like(ts)
-    prev[1:] = ts[:-1]
-    prev[0] = int(state.get[0]) if state.exists else np.iinfo("int64").min
-    kept = (ts - prev > LEASE_TTL_MS * 1000) | ((np.arange(len(ts)) == 0) & (not state.exists))
-    state.update((int(ts[-1]),))
-    out = pdf.iloc[order][["compile_id", "seq", "received_at"]]
-    yield out.assign(kept=kept)
-
-
-def stream_dedup_delivery(spark: SparkSession, landing: str) -> DataFrame:
-    ship_package(spark)
-    src = landing_stream(spark, landing).select("compile_id", "seq", "received_at")
-    out = src.groupBy("compile_id").applyInPandasWithState(
-        _dedup_fn, "compile_id string, seq long, received_at timestamp, kept boolean",
-        "t long", "append", "NoTimeout")
-    base = run_available_now(
-        lambda b: out.writeStream.format("parquet").option("path", b + "/out"), spark,
-        "stream_dedup_delivery")
-    return spark.read.parquet(base + "/out").withColumn(
-        "received_at", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-
-
-# ------------------------------------------------------------------ ST3
-def _budget_fn(key, chunks, state):
-    """Per compile: the run must end before start + budget. A run that ends
-    late fires at its deadline; one still going fires when the event-time
-    watermark passes the deadline (a GroupState timeout); one that ends in
-    time is forgotten."""
-    if state.hasTimedOut:
-        start, deadline, done = state.get
-        state.remove()
-        yield pd.DataFrame({"compile_id": [key[0]], "deadline_us": [int(deadline)]})
-        return
-    if state.exists and state.get[2]:
-        return
-    pdf = _frame(chunks)
-    t = pdf["updated_at"].to_numpy().astype("int64") // 1000
-    start = int(t.min())
-    if state.exists:
-        start = min(start, int(state.get[0]))
-    budget_us = int(round(float(pdf["budget_sec"].iloc[0]) * 1_000_000))
-    deadline = start + budget_us
-    is_end = np.isin(pdf["status"].to_numpy(), RUN_ENDS)
-    if is_end.any() or budget_us <= 0:
-        state.update((start, deadline, True))
-        if budget_us > 0 and int(t[is_end].min()) > deadline:
-            yield pd.DataFrame({"compile_id": [key[0]], "deadline_us": [deadline]})
-        return
-    state.update((start, deadline, False))
-    wm_us = state.getCurrentWatermarkMs() * 1000
-    if deadline < wm_us:
-        state.update((start, deadline, True))
-        yield pd.DataFrame({"compile_id": [key[0]], "deadline_us": [deadline]})
-        return
-    _set_timer(state, deadline)
-
-
-def _set_timer(state, at_us: int) -> None:
-    """Event-time timer at ``at_us`` (ms resolution, never before the
-    current watermark)."""
-    ms = max(at_us // 1000, state.getCurrentWatermarkMs())
-    try:
-        state.setTimeoutTimestamp(ms)
-    except Exception:  # a timestamp equal to the watermark is refused
-        state.setTimeoutTimestamp(ms + 1)
-
-
-def stream_budget_overrun(spark: SparkSession, landing: str, budgets: DataFrame) -> DataFrame:
-    """ST3: status rows joined to the static per-run budgets (stream-static
-    join), then the per-compile deadline rule with an event-time timeout."""
-    ship_package(spark)
-    src = (landing_stream(spark, landing).select("compile_id", "status", "updated_at")
-           .withWatermark("updated_at", "0 seconds")
-           .join(budgets.select("compile_id", "budget_sec"), "compile_id"))
-    out = src.groupBy("compile_id").applyInPandasWithState(
-        _budget_fn, "compile_id string, deadline_us long", "start long, deadline long, done boolean",
-        "append", "EventTimeTimeout")
-    base = run_available_now(
-        lambda b: out.writeStream.format("parquet").option("path", b + "/out"), spark,
-        "stream_budget_overrun")
-    return spark.read.parquet(base + "/out")
-
-
-# ------------------------------------------------------------------ ST4
-def _stale_fn_for(gap_us: int):
-    def _stale_fn(key, chunks, state):
-        """Per compile: a run with no write for ``gap`` after its last write,
-        and no end, is stale when the watermark passes last + gap."""
-        if state.hasTimedOut:
-            last, ended = state.get
-            state.remove()
-            if not ended:
-                yield pd.DataFrame({"compile_id": [key[0]], "last_us": [int(last)]})
-            return
-        pdf = _frame(chunks)
-        t = pdf["updated_at"].to_numpy().astype("int64") // 1000
-        last = int(t.max())
-        ended = bool(np.isin(pdf["status"].to_numpy(), RUN_ENDS).any())
-        if state.exists:
-            last = max(last, int(state.get[0]))
-            ended = ended or bool(state.get[1])
-        state.update((last, ended))
-        if ended:
-            return
-        _set_timer(state, last + gap_us)
-    return _stale_fn
-
-
-def stream_stale_runs(spark: SparkSession, landing: str, minutes: float) -> DataFrame:
-    """ST4: stale runs from an event-time timer per compile."""
-    ship_package(spark)
-    src = (landing_stream(spark, landing).select("compile_id", "status", "updated_at")
-           .withWatermark("updated_at", "0 seconds"))
-    out = src.groupBy("compile_id").applyInPandasWithState(
-        _stale_fn_for(int(minutes * 60 * 1_000_000)), "compile_id string, last_us long",
-        "last long, ended boolean", "append", "EventTimeTimeout")
-    base = run_available_now(
-        lambda b: out.writeStream.format("parquet").option("path", b + "/out"), spark,
-        "stream_stale_runs")
-    return spark.read.parquet(base + "/out")
+def stream_dedup_delivery(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
+    """ST9: a delivery is kept when it is a compile's first or the one before
+    is older than the lease ceiling; a late delivery moves its successor's
+    predecessor, so the rows are kept and judged when read."""
+    rows = write_parts(landing_stream(spark, landing, max_files), "stream_dedup_delivery",
+                       lambda b: b.select("compile_id", "seq", "received_at"))
+    return H.dedup_delivery(rows).select(
+        "compile_id", "seq", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("received_at"), "kept")
+
+
+# ------------------------------------------------------------------ ST3, ST4, ST6
+def stream_spans(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
+    """One row per run: first write, last write, first end."""
+    end = F.when(F.col("status").isin(*RUN_ENDS), F.col("updated_at"))
+    parts = write_parts(landing_stream(spark, landing, max_files), "stream_spans",
+                        lambda b: b.groupBy("compile_id").agg(
+                            F.min("deal_id").alias("deal_id"), F.min("updated_at").alias("started_at"),
+                            F.max("updated_at").alias("last_at"), F.min(end).alias("ended_at")))
+    return merge(parts, ["compile_id"], deal_id=F.min("deal_id"), started_at=F.min("started_at"),
+                 last_at=F.max("last_at"), ended_at=F.min("ended_at"))
+
+
+def stream_budget_overrun(spark: SparkSession, landing: str, budgets: DataFrame,
+                          max_files: int | None = None) -> DataFrame:
+    """ST3: runs that went on beyond their budget; "now" is the newest write."""
+    spans = stream_spans(spark, landing, max_files)
+    return H.budget_overrun(spans, budgets.select("compile_id", "budget_sec"), spans.agg(F.max("last_at")).scalar())
+
+
+def stream_stale_runs(spark: SparkSession, landing: str, minutes: float, max_files: int | None = None) -> DataFrame:
+    """ST4: runs without an end that wrote nothing for ``minutes``."""
+    spans = stream_spans(spark, landing, max_files)
+    return (H.stale_runs(spans, spans.agg(F.max("last_at")).scalar(), minutes)
+             .filter("stale").select("compile_id", "last_at"))
+
+
+def stream_cancel_once(spark: SparkSession, landing: str, requests_landing: str,
+                       max_files: int | None = None) -> DataFrame:
+    """ST6: each request is consumed by the first run it reaches."""
+    requests = write_parts(landing_stream(spark, requests_landing, max_files), "stream_cancel_requests", lambda b: b)
+    return H.cancel_once(requests.drop("epoch"), stream_spans(spark, landing, max_files))

@@ -1,57 +1,75 @@
-"""Stateful twins carry their state across micro-batches."""
+"""The streaming twins give the batch rule's rows in any order of arrival,
+one file per micro-batch, and a replayed epoch adds nothing."""
 
-import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from runlens.operators import health as H
+from runlens.operators import status as S
 from runlens.streaming import twins as T
 
 
-def _drain(spark, src_dir, fn, out_schema, state_schema, ck, out):
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
-    schema = spark.read.parquet(src_dir).schema
-    s = spark.readStream.schema(schema).parquet(src_dir)
-    q = (s.groupBy("compile_id").applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                                         "NoTimeout")
-          .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-          .trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
-def test_terminal_state_survives_batches(spark):
-    T.ship_package(spark)
-    base = tempfile.mkdtemp(prefix="tw-")
-    src, ck, out = (os.path.join(base, x) for x in ("src", "ck", "out"))
-    rows = "compile_id string, seq long, status string, stage string, t long"
-
-    def land(data, part):
-        (spark.createDataFrame(data, rows)
-         .select("compile_id", "seq", "status", "stage",
-                 F.timestamp_seconds("t").alias("updated_at"))
-         .write.mode("append").parquet(src))
-    land([("c", 1, "running", "parse", 10), ("c", 2, "completed", "done", 20)], 1)
-    oschema = "compile_id string, seq long, status string, stage string"
-    _drain(spark, src, T._terminal_wins_fn, oschema, "t long, s long", ck, out)
-    land([("c", 3, "running", "parse", 30), ("k", 4, "running", "parse", 30)], 2)
-    _drain(spark, src, T._terminal_wins_fn, oschema, "t long, s long", ck, out)
-    kept = sorted((r.compile_id, r.seq) for r in spark.read.parquet(out).collect())
-    assert kept == [("c", 1), ("c", 2), ("k", 4)]
-
-
-def test_redelivery_within_lease_dropped_across_batches(spark):
-    T.ship_package(spark)
-    base = tempfile.mkdtemp(prefix="dd-")
-    src, ck, out = (os.path.join(base, x) for x in ("src", "ck", "out"))
-
-    def land(data):
-        (spark.createDataFrame(data, "compile_id string, seq long, t long")
-         .select("compile_id", "seq", F.timestamp_seconds("t").alias("received_at"))
-         .write.mode("append").parquet(src))
-    oschema = "compile_id string, seq long, received_at timestamp, kept boolean"
-    land([("c", 1, 0)])
-    _drain(spark, src, T._dedup_fn, oschema, "t long", ck, out)
-    land([("c", 2, 3600), ("c", 3, 3600 + 5 * 3600)])
-    _drain(spark, src, T._dedup_fn, oschema, "t long", ck, out)
-    got = sorted((r.seq, r.kept) for r in spark.read.parquet(out).collect())
-    assert got == [(1, True), (2, False), (3, True)]
+def _land(spark, rows, schema, ts):
+    """One Parquet file per row, in the order of ``rows``."""
+    path = tempfile.mkdtemp(prefix="landing-")
+    for r in rows:
+        spark.createDataFrame([r], schema).withColumn(ts, F.timestamp_seconds("t")).drop("t").coalesce(1) \
+            .write.mode("append").parquet(path)
+    return path
+
+
+@pytest.fixture(scope="module")
+def status(spark):
+    rows = [("c", "d", 3, "running", "parse", 30), ("c", "d", 1, "running", "parse", 10), ("k", "e", 4, "running", "parse", 5000),
+            ("c", "d", 2, "completed", "done", 20), ("k", "e", 5, "running", "emit", 40), ("m", "d", 6, "failed", "x", 90_000)]
+    return _land(spark, rows, "compile_id string, deal_id string, seq long, status string, stage string, t long", "updated_at")
+
+
+def _same(a, b):
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+
+def test_late_end_takes_back_later_rows(spark, status):
+    got = T.stream_terminal_wins(spark, status, max_files=1)
+    _same(got, H.terminal_wins(spark.read.parquet(status)))
+    assert {r.seq for r in got.collect()} == {1, 2, 4, 5, 6}
+
+
+def test_spans_rules(spark, status):
+    events = spark.read.parquet(status)
+    spans = S.run_spans(events)
+    now = events.agg(F.max("updated_at")).scalar()
+    budgets = spark.createDataFrame([("c", 5.0), ("k", 100.0), ("m", 0.0)], "compile_id string, budget_sec double")
+    _same(T.stream_budget_overrun(spark, status, budgets, 1), H.budget_overrun(spans, budgets, now))
+    _same(T.stream_stale_runs(spark, status, 60.0, 1), H.stale_runs(spans, now, 60.0).where("stale"))
+    assert [r.compile_id for r in T.stream_stale_runs(spark, status, 60.0, 1).collect()] == ["k"]
+
+
+def test_latest_and_redelivery(spark):
+    rows = [("c", 2, 3600), ("c", 1, 0), ("c", 3, 3600 + 5 * 3600), ("b", 4, 7)]
+    land = _land(spark, rows, "compile_id string, seq long, t long", "received_at")
+    got = T.stream_dedup_delivery(spark, land, max_files=1)
+    assert sorted((r.seq, r.kept) for r in got.collect()) == [(1, True), (2, False), (3, True), (4, True)]
+
+
+def test_first_memory_hit(spark):
+    rows = [("c", "d", 2, 95, 100, 0.9, 20), ("c", "d", 1, 90, 100, 0.9, 10), ("c", "d", 0, 89, 100, 0.9, 5), ("z", "d", 9, 99, 0, 0.9, 1)]
+    land = _land(spark, rows, "compile_id string, deal_id string, seq long, rss_bytes long, limit_bytes long, fraction double, t long",
+                 "sampled_at")
+    assert [(r.compile_id, r.seq) for r in T.stream_oom_first_hit(spark, land, max_files=1).collect()] == [("c", 1)]
+
+
+def test_cancel_is_consumed_once(spark, status):
+    req = [(1, "d", " c\n", 15), (2, "d", " ", 15), (3, "e", "c", 15), (4, "e", None, 60), (5, "d", "c", 25)]
+    land = _land(spark, req, "request_id long, deal_id string, compile_id string, t long", "requested_at")
+    got = {r.request_id: r.cancelled_run for r in T.stream_cancel_once(spark, status, land, 1).collect()}
+    assert got == {1: "c", 2: "c", 3: None, 4: "k", 5: None}
+
+
+def test_compacted_parts_merge_with_later_ones(spark, status):
+    parts = T.write_parts(T.landing_stream(spark, status, 1), "test", lambda b: b.groupBy("compile_id").agg(F.max("seq").alias("s")))
+    out = tempfile.mkdtemp(prefix="compact-") + "/parts"
+    T.compact(parts, ["compile_id"], out, s=F.max("s"))
+    _same(T.merge(spark.read.parquet(out), ["compile_id"], s=F.max("s")), T.merge(parts, ["compile_id"], s=F.max("s")))
