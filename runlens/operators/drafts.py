@@ -32,6 +32,8 @@ def draft_summary_cols(sow: Column) -> dict[str, Column]:
         "site_source": sow["site_source"],
         "job_family": sow["job_family"],
         "job_family_by": sow["job_family_by"],
+        "origin_counts": F.array_join(F.transform(F.array_sort(F.map_entries(sow["origin_counts"])),
+                                                  lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","),
     }
 
 
@@ -40,12 +42,32 @@ def draft_summary(drafts: DataFrame) -> DataFrame:
     return drafts.select("deal_id", *[c.alias(n) for n, c in cols.items()])
 
 
-def draft_merge(inputs: DataFrame) -> DataFrame:
+def _joined(requests: DataFrame, envelopes: DataFrame, handoffs: DataFrame) -> DataFrame:
+    """Valid requests with their deal's envelope and, if any, its handoff."""
+    valid = requests.where(F.col("deal_id").rlike(DEAL_ID_PATTERN))
+    env = envelopes.select("deal_id", F.col("compile_id").alias("envelope_compile_id"),
+                           (F.coalesce(F.col("brief"), F.lit("")) != "").alias("has_brief"))
+    return (valid.join(env, "deal_id", "left")
+                 .join(handoffs.select("deal_id", F.lit(True).alias("has_handoff")), "deal_id", "left")
+                 .withColumn("has_brief", F.coalesce("has_brief", F.lit(False)))
+                 .withColumn("has_handoff", F.coalesce("has_handoff", F.lit(False))))
+
+
+def merged_documents(requests: DataFrame, envelopes: DataFrame, handoffs: DataFrame) -> DataFrame:
+    """The envelope of each drafted deal, and its handoff when there is
+    one, with the draft in it (rows for the upsert sink)."""
+    j = _joined(requests, envelopes, handoffs).where("has_brief")
+    kinds = F.filter(F.array(F.lit("envelope"), F.when(F.col("has_handoff"), F.lit("handoff"))), lambda k: k.isNotNull())
+    return j.select(F.explode(kinds).alias("document"), "deal_id", F.col("envelope_compile_id").alias("compile_id"),
+                    F.lit("draft_run").alias("written_on"), F.to_json("draft_doc").alias("draft"))
+
+
+def draft_merge(requests: DataFrame, envelopes: DataFrame, handoffs: DataFrame) -> DataFrame:
     """P21 + P22: requests with a malformed deal id produce nothing; a deal
     whose envelope has no brief fails; otherwise the draft is written
     into the envelope (and the handoff when one exists) and the status row
     carries the envelope's compile id, location count and summary."""
-    valid = inputs.where(F.col("deal_id").rlike(DEAL_ID_PATTERN))
+    valid = _joined(requests, envelopes, handoffs)
     ok = F.col("has_brief")
     s = draft_summary_cols(F.col("draft_doc"))
     return valid.select(
@@ -58,6 +80,7 @@ def draft_merge(inputs: DataFrame) -> DataFrame:
         F.when(ok, s["failed_because"]).otherwise(F.lit(NO_BRIEF)).alias("failed_because"),
         F.when(ok, s["degraded_because"]).alias("degraded_because"),
         F.when(ok, s["llm_failures"]).alias("llm_failures"),
+        F.when(ok, s["origin_counts"]).alias("origin_counts"),
         F.when(~ok, F.lit(NO_BRIEF)).alias("error"),
         F.when(ok, F.lit("draft_run")).alias("written_on"),
         (ok & F.col("has_handoff")).alias("handoff_updated"))

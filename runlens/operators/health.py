@@ -15,6 +15,9 @@ from runlens.operators.sequence import sequence_index, with_lag
 from runlens.operators.status import RUN_ENDS, latest_by, latest_progress
 
 GIB = 1073741824
+# What a guarded terminal write keeps of the current document.
+KEPT_PROGRESS_FIELDS = ("stages", "started_at", "stage_count_done", "stage_count_total_estimate", "triggered_by",
+                        "trigger_kind", "stage_items_done", "stage_items_total")
 PROGRESS_ERROR_MAX = 500
 LEASE_MAX_SEC = 4 * 3600
 
@@ -88,7 +91,7 @@ def dead_runs(active: DataFrame, boots: DataFrame, progress_events: DataFrame) -
     dead = (active.join(cur, "replica")
             .where(F.col("boot_id").isNotNull() & (F.col("boot_id") != "")
                    & (F.col("boot_id") != F.col("current_boot"))
-                   & F.col("compile_id").isNotNull() & F.col("deal_id").isNotNull()))
+                   & blank_to_null("compile_id").isNotNull() & blank_to_null("deal_id").isNotNull()))
     j = dead.join(prog, "deal_id", "left")
     stage = F.coalesce(F.nullif(F.col("stage"), F.lit("")), F.col("progress_stage"))
     return j.select(
@@ -101,16 +104,17 @@ def dead_runs(active: DataFrame, boots: DataFrame, progress_events: DataFrame) -
 
 def guarded_fail(requests: DataFrame, progress_events: DataFrame) -> DataFrame:
     """Put the deal's progress into a terminal state for *this* compile,
-    only when there is no document, it names no compile, or it is ours.
+    only when there is no document, it names no compile, or it is ours. The
+    document is the newest one of the deal, so a newer compile's write wins.
 
-    ``requests``: deal_id, compile_id, stage, error. Kept fields come from
-    the current document; failed_stage = its current_stage else the stage.
+    ``requests``: deal_id, compile_id, stage, error. The eight kept fields come
+    from the current document, its current_stage becomes null;
+    failed_stage = its current_stage else the stage.
     """
     cur = latest_progress(progress_events).select(
         "deal_id", F.lit(True).alias("_has_doc"),
         F.col("compile_id").alias("doc_compile_id"),
-        F.col("current_stage").alias("doc_stage"),
-        "stage_items_done", "stage_items_total")
+        F.col("current_stage").alias("doc_stage"), *KEPT_PROGRESS_FIELDS)
     j = requests.join(cur, "deal_id", "left")
     has_doc = F.coalesce(F.col("_has_doc"), F.lit(False))
     ours = ~has_doc | F.col("doc_compile_id").isNull() | (F.col("doc_compile_id") == F.col("compile_id"))
@@ -120,8 +124,8 @@ def guarded_fail(requests: DataFrame, progress_events: DataFrame) -> DataFrame:
         F.when(ours, F.col("stage")).alias("stage"),
         F.when(ours, F.coalesce(F.nullif(F.col("doc_stage"), F.lit("")), F.col("stage")))
          .alias("failed_stage"),
-        F.when(ours, F.col("stage_items_done")).alias("stage_items_done"),
-        F.when(ours, F.col("stage_items_total")).alias("stage_items_total"),
+        F.lit(None).cast("string").alias("current_stage"),
+        *[F.when(ours, F.col(c)).alias(c) for c in KEPT_PROGRESS_FIELDS],
         F.when(ours, F.left(F.col("error"), F.lit(PROGRESS_ERROR_MAX))).alias("error"))
 
 

@@ -278,6 +278,10 @@ FROM (
 cte("progress_events", r"""
 SELECT compile_id, deal_id, CASE WHEN event_type = 'purchase' THEN 'done' ELSE 'running' END AS status,
        stage AS current_stage, updated_at, seq, 'r' || CAST(user_id % 4 AS VARCHAR) AS replica,
+       '["' || stage || '"]' AS stages, strftime(updated_at, '%Y-%m-%d') AS started_at,
+       CAST(atom_count % 12 AS BIGINT) AS stage_count_done, CAST(12 AS BIGINT) AS stage_count_total_estimate,
+       CASE WHEN seq % 5 <> 0 THEN 'pm' || CAST(seq % 4 AS VARCHAR) END AS triggered_by,
+       CASE WHEN seq % 2 = 0 THEN 'manual' END AS trigger_kind,
        CAST(sum(atom_count) OVER (PARTITION BY compile_id, stage ORDER BY updated_at, seq
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stage_items_done,
        CAST(100 * count(*) OVER (PARTITION BY compile_id, stage) AS BIGINT) AS stage_items_total
@@ -543,7 +547,9 @@ SELECT c_custkey AS request_id,
        CAST(c_custkey % 5 AS INTEGER) AS n_locations,
        CASE WHEN c_custkey % 2 = 0 THEN 'crm' END AS site_source,
        'fam' || CAST(c_custkey % 3 AS VARCHAR) AS job_family,
-       CASE WHEN c_custkey % 6 <> 0 THEN 'model' END AS job_family_by
+       CASE WHEN c_custkey % 6 <> 0 THEN 'model' END AS job_family_by,
+       CASE WHEN c_custkey % 7 <> 0 THEN 'deal=' || CAST(c_custkey % 9 AS VARCHAR) || ',template='
+            || CAST(c_custkey % 4 AS VARCHAR) END AS origin_counts
 FROM (SELECT *, concat_ws('-', substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8),
                           substr(md5(CAST(c_custkey AS VARCHAR)), 9, 4),
                           substr(md5(CAST(c_custkey AS VARCHAR)), 13, 4),

@@ -10,24 +10,12 @@ from runlens.operators.fingerprint import resolve_artifacts
 from runlens.operators.status import run_index
 from runlens.plans.oracle_ctes import with_ctes
 from runlens.plans.registry import register
-from runlens.session import checkpoint_path
+from runlens.session import written_once
 from runlens.sources import files as FS
 from runlens.sources.derived import Derived
 
-_WRITTEN: dict[tuple[str, str], str] = {}
-
-
 def _files(spark, sf_dir, name, write) -> str:
-    """Write the input files once per session (rewritten if removed)."""
-    import os
-    import uuid
-    key = (name, sf_dir)
-    path = _WRITTEN.get(key)
-    if path is None or (path.startswith("/") and not os.path.exists(path)):
-        path = checkpoint_path(spark, f"files/{name}-{uuid.uuid4().hex[:8]}")
-        write(path)
-        _WRITTEN[key] = path
-    return path
+    return written_once(spark, name, sf_dir, write)
 
 
 @register("manifest_source", with_ctes(r"""

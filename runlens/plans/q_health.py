@@ -71,7 +71,7 @@ def q_progress_view(spark, sf_dir):
     per_run = p.groupBy("compile_id").agg(
         F.countDistinct("current_stage").alias("stage_count_done"),
         F.min("updated_at").alias("started_at"))
-    last = S.latest_progress(p).join(per_run, "compile_id")
+    last = S.latest_progress(p).drop("stage_count_done", "started_at").join(per_run, "compile_id")
     return last.select(
         "deal_id", "compile_id", "status", "current_stage", "stage_count_done",
         F.when(F.col("status") == "done", F.col("stage_count_done")).otherwise(14)
@@ -125,6 +125,10 @@ def q_dead_runs(spark, sf_dir):
 SELECT r.deal_id, r.compile_id, w AS written, CASE WHEN w THEN 'failed' END AS status,
        CASE WHEN w THEN 'killed' END AS stage,
        CASE WHEN w THEN coalesce(nullif(p.current_stage, ''), 'killed') END AS failed_stage,
+       CAST(NULL AS VARCHAR) AS current_stage, CASE WHEN w THEN p.stages END AS stages,
+       CASE WHEN w THEN p.started_at END AS started_at, CASE WHEN w THEN p.stage_count_done END AS stage_count_done,
+       CASE WHEN w THEN p.stage_count_total_estimate END AS stage_count_total_estimate,
+       CASE WHEN w THEN p.triggered_by END AS triggered_by, CASE WHEN w THEN p.trigger_kind END AS trigger_kind,
        CASE WHEN w THEN p.stage_items_done END AS stage_items_done,
        CASE WHEN w THEN p.stage_items_total END AS stage_items_total,
        CASE WHEN w THEN left(r.error, 500) END AS error

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from runlens.plans.oracle_ctes import ts_text, with_ctes
 from runlens.plans import q_health  # noqa: F401 (its SQL is reused below)
 from runlens.plans.registry import ORACLE, register
-from runlens.session import materialized
+from runlens.session import written_once
 from runlens.sources.derived import Derived
 from runlens.streaming import twins as T
 
@@ -18,9 +18,7 @@ FILES = 3  # landing files of a micro-batch
 
 
 def _landing(spark, sf_dir, name, build) -> str:
-    materialized(spark, f"landing_{name}", sf_dir, build)
-    from runlens.session import _TABLES
-    return _TABLES[(f"landing_{name}", sf_dir)]
+    return written_once(spark, f"landing_{name}", sf_dir, lambda p: build().write.parquet(p))
 
 
 @register("stream_decode", with_ctes(r"""

@@ -3,11 +3,13 @@ S15)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from runlens.operators import drafts as DR
 from runlens.operators import sync as SY
 from runlens.plans.oracle_ctes import with_ctes
 from runlens.plans.registry import register
-from runlens.sources.derived import (ML_BASE, Derived, artifact_config, draft_inputs,
+from runlens.sources.derived import (ML_BASE, Derived, artifact_config, draft_inputs, draft_tables,
                                      fetch_names, local_listing, remote_listing, sibling_listing)
 
 
@@ -93,7 +95,7 @@ def q_largest_sibling(spark, sf_dir):
 @register("draft_summary", with_ctes(r"""
 SELECT deal_id, st AS draft_status, s_failed_because AS failed_because,
        s_degraded_because AS degraded_because, s_llm_failures AS llm_failures,
-       site_source, job_family, job_family_by
+       site_source, job_family, job_family_by, origin_counts
 FROM draft_summary""", "draft_summary"))
 def q_draft_summary(spark, sf_dir):
     return DR.draft_summary(draft_inputs(Derived(spark, sf_dir)))
@@ -109,10 +111,23 @@ SELECT request_id, deal_id, left(coalesce(requested_by, ''), 120) AS requested_b
             ELSE 'RuntimeError: the latest envelope has no brief; compile the deal first' END AS failed_because,
        CASE WHEN has_brief THEN s_degraded_because END AS degraded_because,
        CASE WHEN has_brief THEN s_llm_failures END AS llm_failures,
+       CASE WHEN has_brief THEN origin_counts END AS origin_counts,
        CASE WHEN NOT has_brief THEN 'RuntimeError: the latest envelope has no brief; compile the deal first' END
          AS error,
        CASE WHEN has_brief THEN 'draft_run' END AS written_on,
        has_brief AND has_handoff AS handoff_updated
 FROM draft_summary WHERE regexp_full_match(deal_id, '[0-9a-fA-F-]{36}')""", "draft_summary"))
 def q_draft_merge(spark, sf_dir):
-    return DR.draft_merge(draft_inputs(Derived(spark, sf_dir)))
+    return DR.draft_merge(*draft_tables(Derived(spark, sf_dir)))
+
+
+@register("draft_documents", with_ctes(r"""
+SELECT unnest(CASE WHEN has_handoff THEN ['envelope', 'handoff'] ELSE ['envelope'] END) AS document, deal_id,
+       envelope_compile_id AS compile_id, 'draft_run' AS written_on, job_family,
+       CAST(n_locations AS BIGINT) AS locations
+FROM draft_summary WHERE has_brief AND regexp_full_match(deal_id, '[0-9a-fA-F-]{36}')""", "draft_summary"))
+def q_draft_documents(spark, sf_dir):
+    docs = DR.merged_documents(*draft_tables(Derived(spark, sf_dir)))
+    d = F.from_json("draft", "job_family string, locations array<struct<site: string>>")
+    return docs.select("document", "deal_id", "compile_id", "written_on", d["job_family"].alias("job_family"),
+                       F.size(d["locations"]).cast("bigint").alias("locations"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job in this package assumes. AQE re-plans joins and
 # coalesces shuffle partitions at runtime and splits skewed join partitions;
@@ -72,28 +74,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_TABLES: dict[tuple[str, str], str] = {}
-
-
-def materialized(spark: SparkSession, name: str, key: str, build) -> DataFrame:
-    """Write ``build()`` once per session as Parquet under the shared
-    checkpoint folder and read it back; later calls with the same key read
-    the written table. A written table cuts lineage (executor loss does not
-    recompute the parse) and is column-pruned by every reader."""
-    import hashlib
-
-    k = (name, key)
-    path = _TABLES.get(k)
-    if path is not None:
-        try:
-            return spark.read.parquet(path)
-        except Exception:  # written by an earlier session and since removed
-            path = None
-    digest = hashlib.sha1(f"{name}|{key}|{id(spark)}".encode()).hexdigest()[:12]
-    path = checkpoint_path(spark, f"tables/{name}-{digest}")
-    build().write.mode("overwrite").parquet(path)
-    _TABLES[k] = path
-    return spark.read.parquet(path)
+_WRITTEN: dict[tuple, str] = {}
+
+
+def data_version(spark: SparkSession, folder: str) -> str:
+    """A digest of the names, lengths and times of the files below ``folder``
+    (a listing; no file is read)."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+                  .select("path", "length", "modificationTime"))
+    n, size, digest = files.agg(F.count(F.lit(1)), F.sum("length"),
+                                F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    return f"{n}-{size}-{digest}"
+
+
+def written_once(spark: SparkSession, name: str, folder: str, write) -> str:
+    """The path of what ``write(path)`` made from the data in ``folder``: once
+    per application and version of the data, below the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, ensure_checkpoint_dir(spark), name, folder, data_version(spark, folder))
+    if key not in _WRITTEN:
+        path = checkpoint_path(spark, f"written/{name}-{uuid.uuid4().hex[:12]}")
+        write(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+def materialized(spark: SparkSession, name: str, folder: str, build) -> DataFrame:
+    """``build()`` of the data in ``folder``, written as Parquet and read back.
+    A written table cuts lineage (executor loss does not recompute the parse)
+    and is column-pruned by every reader."""
+    return spark.read.parquet(written_once(spark, name, folder, lambda p: build().write.parquet(p)))
 
 
 def ship_package(spark: SparkSession) -> None:

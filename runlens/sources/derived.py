@@ -165,7 +165,13 @@ class Derived:
             F.when(t == "purchase", "done").otherwise("running").alias("status"),
             self._stage_of(t, e).alias("current_stage"),
             F.col("ts").alias("updated_at"), e.alias("seq"), "k",
-            F.concat(F.lit("r"), _s(F.col("user_id") % 4)).alias("replica"))
+            F.concat(F.lit("r"), _s(F.col("user_id") % 4)).alias("replica"),
+            F.concat(F.lit('["'), self._stage_of(t, e), F.lit('"]')).alias("stages"),
+            F.date_format("ts", "yyyy-MM-dd").alias("started_at"),
+            (F.col("k") % 12).cast("bigint").alias("stage_count_done"),
+            F.lit(12).cast("bigint").alias("stage_count_total_estimate"),
+            F.when(e % 5 != 0, F.concat(F.lit("pm"), _s(e % 4))).alias("triggered_by"),
+            F.when(e % 2 == 0, F.lit("manual")).alias("trigger_kind"))
         idx = sequence_index(base, ["compile_id", "current_stage"], ["updated_at", "seq"],
                              sums=["k"])
         totals = base.groupBy("compile_id", "current_stage").agg(
@@ -402,6 +408,16 @@ def artifact_config(d: Derived) -> DataFrame:
     return d.t("part").select(F.concat(F.lit("K"), ps).alias("key"), path.alias("path"))
 
 
+def draft_tables(d: Derived) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(requests with the writer's draft, latest envelopes, handoffs), each
+    keyed by deal; an envelope may lack its brief, a deal its handoff."""
+    rows = draft_inputs(d)
+    return (rows.select("request_id", "deal_id", "requested_by", "draft_doc"),
+            rows.select("deal_id", F.col("envelope_compile_id").alias("compile_id"),
+                        F.when(F.col("has_brief"), F.lit("brief")).alias("brief")),
+            rows.where("has_handoff").select("deal_id", F.lit("handoff").alias("handoff")))
+
+
 def draft_inputs(d: Derived) -> DataFrame:
     """Per customer: a draft request, the deal's latest envelope and the
     writer's draft (draft_doc) for it."""
@@ -426,7 +442,9 @@ def draft_inputs(d: Derived) -> DataFrame:
         F.array_repeat(F.struct(F.lit("site").alias("site")), (c % 5).cast("int")).alias("locations"),
         F.when(c % 2 == 0, F.lit("crm")).alias("site_source"),
         F.concat(F.lit("fam"), _s(c % 3)).alias("job_family"),
-        F.when(c % 6 != 0, F.lit("model")).alias("job_family_by"))
+        F.when(c % 6 != 0, F.lit("model")).alias("job_family_by"),
+        F.when(c % 7 != 0, F.create_map(F.lit("template"), (c % 4).cast("bigint"), F.lit("deal"), (c % 9).cast("bigint")))
+         .alias("origin_counts"))
     return d.t("customer").select(
         c.alias("request_id"), deal.alias("deal_id"),
         F.concat(F.col("c_name"), F.repeat(F.lit("x"), (c % 150).cast("int"))).alias("requested_by"),

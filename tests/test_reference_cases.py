@@ -143,13 +143,19 @@ def test_dead_runs_and_ownership(spark):
         [("d1", "c1", "source_replay", 4283, 16001, 1), ("d4", "c9", "classify", 1, 2, 1)],
         "deal_id string, compile_id string, current_stage string, stage_items_done long, "
         "stage_items_total long, seq long").withColumn("updated_at", F.timestamp_seconds("seq"))
+    prog = prog.select("*", F.lit('["parse"]').alias("stages"), F.lit("2024-01-01").alias("started_at"),
+                       F.lit(3).cast("bigint").alias("stage_count_done"), F.lit(9).cast("bigint").alias("stage_count_total_estimate"),
+                       F.lit("pm").alias("triggered_by"), F.lit("manual").alias("trigger_kind"))
     dead = {r.compile_id: r for r in H.dead_runs(markers, boots, prog).collect()}
     assert set(dead) == {"c1", "c4"}              # other replica / current boot are left
     assert "source_replay at 4,283 of 16,001 items" in dead["c1"].error
     req = H.dead_runs(markers, boots, prog).select("deal_id", "compile_id",
                                                    F.lit("killed").alias("stage"), "error")
     g = {r.compile_id: r for r in H.guarded_fail(req, prog).collect()}
-    assert g["c1"].written and g["c1"].failed_stage == "source_replay"
+    assert g["c1"].written and g["c1"].failed_stage == "source_replay" and g["c1"].current_stage is None
+    assert (g["c1"].stages, g["c1"].started_at, g["c1"].stage_count_done, g["c1"].stage_count_total_estimate, g["c1"].triggered_by,
+            g["c1"].trigger_kind, g["c1"].stage_items_done, g["c1"].stage_items_total) == (
+        '["parse"]', "2024-01-01", 3, 9, "pm", "manual", 4283, 16001)
     assert not g["c4"].written                    # a newer compile owns the deal
 
 
@@ -187,21 +193,29 @@ def test_cancel_match(spark):
 def test_draft_summary_and_merge(spark):
     t = "struct<draft_status:string,failed_because:string,error:string," \
         "llm_failures:array<struct<call:string,tries:int>>,locations:array<struct<site:string>>," \
-        "site_source:string,job_family:string,job_family_by:string>"
+        "site_source:string,job_family:string,job_family_by:string,origin_counts:map<string,bigint>>"
     good = "0" * 8 + "-" + "a" * 4 + "-" + "b" * 4 + "-" + "c" * 4 + "-" + "d" * 12
     rows = [
-        (1, good, "pm", "env", True, True, (None, None, None, None, [], None, None, None)),
+        (1, good, "pm", "env", True, True, (None, None, None, None, [], None, None, None, None)),
         (2, good, "pm", "env", True, False, ("degraded", None, None,
                                               [("assumptions", 1), ("scope", 1), ("assumptions", 2)],
-                                              [("s",)], None, None, None)),
-        (3, good, "pm", "env", True, True, ("failed", None, "boom", None, [], None, None, None)),
-        (4, good, "pm", "env", False, True, ("ok", None, None, None, [], None, None, None)),
-        (5, "not-a-uuid", "pm", "env", True, True, ("ok", None, None, None, [], None, None, None)),
+                                              [("s",)], None, None, None, {"template": 2, "deal": 1})),
+        (3, good, "pm", "env", True, True, ("failed", None, "boom", None, [], None, None, None, None)),
+        (4, good, "pm", "env", False, True, ("ok", None, None, None, [], None, None, None, None)),
+        (5, "not-a-uuid", "pm", "env", True, True, ("ok", None, None, None, [], None, None, None, None)),
     ]
     df = spark.createDataFrame(rows, f"request_id long, deal_id string, requested_by string, "
                                      f"envelope_compile_id string, has_brief boolean, "
                                      f"has_handoff boolean, draft_doc {t}")
-    got = {r.request_id: r for r in DR.draft_merge(df).collect()}
+    df = df.withColumn("deal_id", F.when(F.col("request_id") < 5, F.concat(
+        F.substr("deal_id", F.lit(1), F.lit(35)), F.col("request_id").cast("string"))).otherwise(F.col("deal_id")))
+    tables = (df.select("request_id", "deal_id", "requested_by", "draft_doc"),
+              df.select("deal_id", F.col("envelope_compile_id").alias("compile_id"), F.when(F.col("has_brief"), "b").alias("brief")),
+              df.where("has_handoff").select("deal_id"))
+    got = {r.request_id: r for r in DR.draft_merge(*tables).collect()}
+    merged = sorted((r.document, r.deal_id[-1]) for r in DR.merged_documents(*tables).collect())
+    assert merged == [("envelope", "1"), ("envelope", "2"), ("envelope", "3"), ("handoff", "1"), ("handoff", "3")]
+    assert got[2].origin_counts == "deal=1,template=2" and got[2].handoff_updated is False
     assert 5 not in got
     assert got[1].draft_status == "unknown"
     assert "assumptions, scope" in got[2].degraded_because and got[2].llm_failures == "assumptions,scope"
