@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pd.DataFrame({"id": pdf["id"], "p": pdf["p"], "x": list(x)})
 
     got = rows.mapInPandas(feats, "id long, p int, x array<double>").toPandas().sort_values(["p", "id"])
-    x = np.array(got["x"].tolist()).reshape(len(got), -1)
+    x = np.array(got["x"].tolist()).reshape(len(got), N_FEATURES)
     is_pos = got["p"].to_numpy() == 1
     return fit(x[is_pos], x[~is_pos])
 

@@ -92,7 +92,7 @@ def test_warc_odd_rows_and_random_access(spark):
     for i in (3, 5, 9):
         (head, payload), = warc.read_record(manifest, i)
         assert payload.decode() == ("" if i == 3 else dict(pages)[i])
-    assert manifest.select("path", "frame").distinct().count() > 3
+    assert manifest.select("path", "frame").distinct().count() >= 3
 
 
 def test_warc_empty_table(spark):
