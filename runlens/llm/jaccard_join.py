@@ -9,17 +9,23 @@ The steps, each a Spark job over all documents:
 1. One scan gives every document's set size and set digest (equal sets are one
    from here on) and the frequent tokens. All tokens get one global order,
    rare before frequent, then by hash.
-2. Prefix filter: with J >= t, the smaller set's first n - ceil(2t/(1+t) n) + 1
-   tokens and the larger one's first n - ceil(t n) + 1 tokens in that order
-   meet. One map-side combined aggregation finds the tokens that join
-   different sets.
-3. Only sets that hold such tokens are written. Star rounds compare each of
-   them with one pivot per token, so a group of any number of copies costs a
-   number of comparisons in proportion to its rows. What they link are the
-   similar documents of the partition; it is cut into groups of bounded size.
+2. Prefix filter: two sets with J >= t share one of the first
+   n - ceil(t n) + 1 tokens of each in that order. One map-side combined
+   aggregation finds the tokens that join different sets; the postings of
+   these tokens are written.
+3. Star rounds compare each set with a few pivots per token, so a group of
+   any number of copies costs a number of comparisons in proportion to its
+   rows. What it links are the similar documents of the partition; it is cut
+   into groups of bounded size.
 4. The matrix (token, group) is met with the tokens of the queries that lie in
-   another component; the union bound is checked; the groups left are opened
-   and every member is compared. So no link between components is missed.
+   another component. The number of a query's tokens in a group's union
+   bounds its overlap with every member; the groups that can qualify are
+   opened and every member is compared. So no link between components is
+   missed.
+
+Only sets that such a bound leaves are read again and compared in full: of
+the tokens up to the smaller of two last prefix tokens all shared ones are
+counted, the rest is at most what one of the sets has behind its prefix.
 """
 
 from __future__ import annotations
@@ -29,21 +35,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import components, mix, shingles, staged, words
+from runlens.llm.common import Bitmap, components, mix, shingles, staged, words
 
 NUM, DEN = 80, 100            # link when DEN * intersection >= NUM * union
-FREQUENT = 1_000_000          # at most so many tokens are held to be frequent: count >= all tokens / FREQUENT
-BITMAP_BITS = 26              # of the bitmap that thins out candidate tokens before the exact join
-GROUP = 64                    # sets in a group at most
-STAR_ROUNDS = 3
+FREQUENT = 16_000_000         # at most so many tokens are held to be frequent: count >= all tokens / FREQUENT
+GROUP = 256                   # sets in a group, about
+STAR_ROUNDS = 1
+PIVOTS = 6                    # per token and round
 SUB = 192                     # texts hashed at a time in a task
 
 
-def _prefix(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of the query prefix and of the (shorter) member prefix."""
-    query = n - -(-n * num // den) + 1
-    member = n - -(-n * 2 * num // (den + num)) + 1
-    return query, member
+def _prefix(n, num: int, den: int):
+    """Length of the prefix of a set of ``n`` tokens (array)."""
+    return n - -(-n * num // den) + 1
+
+
+def _behind(n, num: int, den: int):
+    """Tokens behind the prefix (column)."""
+    return F.ceil(n * num / F.lit(den)) - 1
 
 
 class _Frequent:
@@ -52,7 +61,7 @@ class _Frequent:
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         at = np.argsort(tokens)
         self.t = tokens[at]
-        self.cls = np.frompyfunc(lambda c: int(c).bit_length(), 1, 1)(counts[at]).astype(np.uint64) if len(tokens) else counts.astype(np.uint64)
+        self.cls = np.floor(np.log2(np.maximum(counts[at], 1))).astype(np.uint64) + np.uint64(1)
         self.table = np.zeros(1 << 20, dtype=bool)
         self.table[self.t >> np.uint64(44)] = True
 
@@ -124,39 +133,52 @@ def _emit_prefixes(rows: DataFrame, order: _Frequent, num: int, den: int) -> Dat
                 s, n = _sets(part["x"].tolist())
                 sid = _digests(s, n)
                 k = _sort_each(order.keys(s), n)
-                query, member = _prefix(n, num, den)
                 pos = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
                 # equal sets of a chunk give their tokens once
+                keep = (pos < np.repeat(_prefix(n, num, den), n)) & np.repeat(~pd.Series(sid).duplicated().to_numpy(), n)
+                yield pd.DataFrame({"token": k[keep].view(np.int64), "sid": np.repeat(sid, n)[keep]})
+    return rows.mapInPandas(emit, "token long, sid long")
+
+
+def _postings(rows: DataFrame, order: _Frequent, shared: Bitmap, num: int, den: int) -> DataFrame:
+    """(token, sid, n, pos, last): the prefix tokens that the bitmap holds;
+    last is the set's last prefix token."""
+    def emit(batches):
+        for pdf in batches:
+            for part in _chunks(pdf):
+                s, n = _sets(part["x"].tolist())
+                sid = _digests(s, n)
+                k = _sort_each(order.keys(s), n)
+                start, query = np.cumsum(n) - n, _prefix(n, num, den)
+                last = k[(start + query - 1).clip(0, max(len(k) - 1, 0))] if len(k) else np.zeros(len(n), np.uint64)
+                pos = np.arange(len(k)) - np.repeat(start, n)
                 keep = (pos < np.repeat(query, n)) & np.repeat(~pd.Series(sid).duplicated().to_numpy(), n)
+                keep[keep] = shared.holds(k[keep])
                 yield pd.DataFrame({"token": k[keep].view(np.int64), "sid": np.repeat(sid, n)[keep],
-                                    "m": (pos < np.repeat(member, n))[keep]})
-    return rows.mapInPandas(emit, "token long, sid long, m boolean")
+                                    "n": np.repeat(n, n)[keep].astype(np.int32), "pos": pos[keep].astype(np.int32),
+                                    "last": np.repeat(last, n)[keep].view(np.int64)})
+    return rows.mapInPandas(emit, "token long, sid long, n int, pos int, last long")
 
 
-def _candidates(rows: DataFrame, order: _Frequent, bitmap: np.ndarray, num: int, den: int) -> DataFrame:
-    """Each set with a token of the bitmap in its prefix, once a task."""
+def _wanted_sets(rows: DataFrame, order: _Frequent, sids: DataFrame) -> DataFrame:
+    """(sid, toks) for the digests in ``sids`` (and a few more that share
+    their bits), once a task; toks are 32 bits of each token, sorted."""
+    wanted = Bitmap(sids, "sid")
+
     def emit(batches):
         done: set = set()
-        mask = np.uint64((1 << BITMAP_BITS) - 1)
         for pdf in batches:
             for part in _chunks(pdf):
                 s, n = _sets(part["x"].tolist())
                 sid = _digests(s, n)
-                k = _sort_each(order.keys(s), n)
-                b = k & mask
-                hit = (bitmap[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1) == 1
-                query, _ = _prefix(n, num, den)
                 ends = np.cumsum(n)
                 out = []
-                for i, (e, c) in enumerate(zip(ends.tolist(), n.tolist())):
-                    q = int(query[i])
-                    if c and hit[e - c:e - c + q].any() and int(sid[i]) not in done:
+                for i in np.flatnonzero(wanted.holds(sid.view(np.uint64)) & (n > 0)).tolist():
+                    if int(sid[i]) not in done:
                         done.add(int(sid[i]))
-                        at = np.flatnonzero(hit[e - c:e - c + q])
-                        own = k[e - c:e]
-                        out.append((int(sid[i]), c, own.tobytes(), own[at].view(np.int64).tolist(), at.tolist()))
-                yield pd.DataFrame(out, columns=["sid", "n", "toks", "cand", "pos"])
-    return rows.mapInPandas(emit, "sid long, n int, toks binary, cand array<long>, pos array<int>")
+                        out.append((int(sid[i]), np.sort(s[ends[i] - n[i]:ends[i]].astype(np.uint32)).tobytes()))
+                yield pd.DataFrame(out, columns=["sid", "toks"])
+    return staged(rows.mapInPandas(emit, "sid long, toks binary"), "jaccard-sets")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -177,32 +199,27 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Data
 
     def check(batches):
         for pdf in batches:
-            ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(pdf["ta"], pdf["tb"])]
+            ok = [_linked(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), num, den) for x, y in zip(pdf["ta"], pdf["tb"])]
             yield pdf.loc[ok, ["a", "b"]]
     return pairs.join(left, "a").join(right, "b").mapInPandas(check, "a long, b long")
 
 
-def _open_groups(cand: DataFrame, sets: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Bound each query by its group's token union; open those that qualify."""
-    packed = (groups.join(sets.select("sid", "toks"), "sid").groupBy("gid")
-                    .agg(F.collect_list(F.struct("sid", "toks")).alias("members")))
-    queries = sets.select(F.col("sid").alias("q"), F.col("toks").alias("tq"))
+def _bounded_pairs(pairs: DataFrame, posts: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, n, last, b, nb, lb) those whose counted prefix overlap
+    leaves them a chance, as (a, b) with a > b."""
+    one, two = posts.select(F.col("sid").alias("a"), "token"), posts.select(F.col("sid").alias("b"), "token")
+    rest = F.when(F.col("last") <= F.col("lb"), _behind(F.col("n"), num, den)).otherwise(_behind(F.col("nb"), num, den))
+    return (pairs.join(one, "a").join(two, ["b", "token"]).groupBy("a", "b", "n", "nb", "last", "lb")
+                 .agg(F.count(F.lit(1)).alias("c"))
+                 .filter((den + num) * (F.col("c") + rest) >= num * (F.col("n") + F.col("nb")))
+                 .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
-    def check(batches):
-        for pdf in batches:
-            out = []
-            for q, tq, members in zip(pdf["q"], pdf["tq"], pdf["members"]):
-                query = np.frombuffer(tq, np.uint64)
-                own = [np.frombuffer(m["toks"], np.uint64) for m in members]
-                if len(own) > 1:
-                    union = np.unique(np.concatenate(own))
-                    i = np.searchsorted(union, query)
-                    i[i == len(union)] = 0
-                    if den * int(np.count_nonzero(union[i] == query)) < num * len(query):
-                        continue
-                out += [(q, m["sid"]) for m, t in zip(members, own) if _linked(query, t, num, den)]
-            yield pd.DataFrame(out, columns=["a", "b"])
-    return cand.join(packed, "gid").join(queries, "q").select("q", "tq", "members").mapInPandas(check, "a long, b long")
+
+def _linked_pairs(rows: DataFrame, order: _Frequent, pairs: DataFrame, name: str, num: int, den: int) -> DataFrame:
+    """Read the sets of the pairs and keep the pairs that link."""
+    pairs = staged(pairs, f"jaccard-pairs-{name}")
+    sets = _wanted_sets(rows, order, pairs.select(F.explode(F.array("a", "b")).alias("sid")))
+    return staged(_verify_pairs(pairs, sets, num, den), f"jaccard-links-{name}")
 
 
 def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM,
@@ -215,64 +232,68 @@ def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     own = scan.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n"), F.col("v").alias("sid"))
     total = own.agg(F.sum("n")).first()[0] or 0
     often = (scan.filter("kind = 1").groupBy(F.col("v").alias("token")).agg(F.sum("n").alias("c"))
-                 .filter(F.col("c") >= max(3, total // FREQUENT))).toPandas()
+                 .filter(F.col("c") >= max(3, total // FREQUENT))).toArrow()
     # By the threshold there are FREQUENT of them at most, whatever the input.
-    order = _Frequent(often["token"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy())
+    order = _Frequent(often["token"].to_numpy().view(np.uint64), often["c"].to_numpy())
     shared = staged(_emit_prefixes(rows, order, num, den).groupBy("token")
-                    .agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.max("m").alias("m"))
-                    .filter("lo <> hi AND m").select("token"), "jaccard-tokens")
-    low = F.col("token").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    bits = shared.groupBy(F.shiftright(low, 6).alias("w")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), low.bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toPandas()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    bitmap[bits["w"].to_numpy(np.int64)] = bits["b"].to_numpy(np.int64).view(np.uint64)
-    sets = staged(_candidates(rows, order, bitmap, num, den).dropDuplicates(["sid"]), "jaccard-sets")
-    posts = staged(sets.select("sid", "n", F.explode(F.arrays_zip("cand", "pos")).alias("e"))
-                       .select("sid", "n", F.col("e.cand").alias("token"), F.col("e.pos").alias("pos"))
-                       .join(shared, "token"), "jaccard-postings")
-
-    links, comp = None, None
-
-    def placed():
-        if comp is None:
-            return posts.withColumn("comp", F.col("sid"))
-        return posts.join(comp, F.col("sid") == F.col("node"), "left").withColumn(
-            "comp", F.coalesce("root", "sid")).drop("node", "root")
-
+                    .agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
+                    .filter("lo <> hi").select("token"), "jaccard-tokens")
+    posts = staged(_postings(rows, order, Bitmap(shared, "token"), num, den)
+                   .join(shared, "token").dropDuplicates(["token", "sid"]), "jaccard-postings")
+
+    # Star rounds: every set against pivots of its tokens that lie in another
+    # component by then. A set that no pivot reaches waits for the matrix.
+    links, p = None, posts.withColumn("comp", F.col("sid"))
     for r in range(STAR_ROUNDS):
-        p = staged(placed(), "jaccard-round")
-        pivots = (p.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid", F.lit(r)), F.col("sid").alias("b"),
-                                                        F.col("n").alias("nb"), F.col("comp").alias("cb"))).alias("v"),
+        # Half of them are the sets that have the fewest rarer tokens: what a
+        # group of edited copies has in common, and so linked to most of it.
+        pivot = [F.min(F.struct((F.col("pos") if k % 2 else F.lit(0)).alias("o"), F.xxhash64("sid", F.lit(r * PIVOTS + k)).alias("h"),
+                                F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb"), F.col("comp").alias("cb"),
+                                F.col("pos").alias("pb"))) for k in range(PIVOTS)]
+        pivots = (p.groupBy("token").agg(F.array(*pivot).alias("v"),
                                          F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-                   .filter("c0 <> c1").select("token", "v.b", "v.nb", "v.cb"))
-        pairs = (p.join(pivots, "token")
-                  .filter((F.col("comp") != F.col("cb")) & (den * F.least("n", "nb") >= num * F.greatest("n", "nb")))
-                  .select(F.col("sid").alias("a"), "b").distinct())
-        found = staged(_verify_pairs(pairs, sets, num, den), "jaccard-star")
-        if found.isEmpty():
-            break
+                   .filter("c0 <> c1").select("token", F.explode("v").alias("v")).select("token", "v.b", "v.nb", "v.lb", "v.cb", "v.pb").distinct())
+        stars = (p.join(pivots, "token")
+                  .filter((F.col("comp") != F.col("cb")) & (den * F.least("n", "nb") >= num * F.greatest("n", "nb"))
+                          & ((den + num) * F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("pb")) >= num * (F.col("n") + F.col("nb"))))
+                  .select(F.col("sid").alias("a"), "n", "last", "b", "nb", "lb").distinct())
+        found = _linked_pairs(rows, order, _bounded_pairs(stars, posts, num, den), "star", num, den)
         links = found if links is None else links.unionAll(found)
-        comp = components(links)
+        p = staged(posts.join(components(links), F.col("sid") == F.col("node"), "left")
+                        .withColumn("comp", F.coalesce("root", "sid")).drop("node", "root"), "jaccard-placed")
 
-    p = staged(placed(), "jaccard-placed")
+    # What they link is similar: cut into groups. Tokens that lie in one
+    # component only have nothing left to link.
     mixed = p.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
     p = p.join(mixed, "token")
-    sizes = p.select("sid", "comp", "n").distinct()
+    sizes = p.select("sid", "comp").distinct()
     chunks = sizes.groupBy("comp").agg(F.count(F.lit(1)).alias("k"))
     groups = staged(sizes.join(chunks, "comp").select(
-        "sid", "n", "comp", F.xxhash64("comp", F.pmod(F.xxhash64("sid", F.lit(9)), F.ceil(F.col("k") * 2 / GROUP))).alias("gid")), "jaccard-groups")
-    # member prefixes: the shorter set's; (n * 2 num) / (den + num), rounded up
-    member = F.col("n") - F.ceil(F.col("n") * (2 * num) / (den + num)) + 1
-    matrix = (p.filter(F.col("pos") <= member).join(groups.select("sid", "gid"), "sid").groupBy("token", "gid")
-               .agg(F.max("comp").alias("gcomp"), F.min("n").alias("n0"), F.max("n").alias("n1"),
-                    F.max(F.col("n") - F.col("pos")).alias("rest")))
-    cand = (p.join(matrix, "token")
-             .filter((F.col("comp") != F.col("gcomp")) & (F.col("n") >= F.col("n0")) & (num * F.col("n") <= den * F.col("n1"))
-                     & ((den + num) * F.least(F.col("n") - F.col("pos"), F.col("rest")) >= num * (F.col("n") + F.col("n0"))))
-             .select(F.col("sid").alias("q"), "gid").distinct())
-    rest = staged(_open_groups(cand, sets, groups.select("sid", "gid"), num, den), "jaccard-opened")
-    links = rest if links is None else links.unionAll(rest)
-    return own, links
+        "sid", F.xxhash64("comp", F.pmod(F.xxhash64("sid", F.lit(9)), F.ceil(F.col("k") * 2 / GROUP))).alias("gid")), "jaccard-groups")
+    # The matrix: the tokens of each group's union, with the bounds of its sizes.
+    shape = (p.select("sid", "comp", "n").distinct().join(groups, "sid").groupBy("gid")
+              .agg(F.max("comp").alias("gcomp"), F.min("n").alias("n0"), F.max("n").alias("n1")))
+    matrix = staged(p.join(groups, "sid").groupBy("token", "gid").agg(F.max(F.col("n") - F.col("pos")).alias("rest"))
+                     .join(shape, "gid"), "jaccard-matrix")
+    # A query and a member that link have a first token in common, and from
+    # there on enough left on both sides.
+    least = F.greatest(F.col("n0"), F.ceil(F.col("n") * num / F.lit(den)))
+    met = (p.join(matrix, "token")
+            .filter((F.col("comp") < F.col("gcomp")) & (num * F.col("n") <= den * F.col("n1")) & (num * F.col("n0") <= den * F.col("n"))
+                    & ((den + num) * F.least(F.col("n") - F.col("pos"), F.col("rest")) >= num * (F.col("n") + least)))
+            .select(F.col("sid").alias("q"), "n", "gid", "n0", "n1").distinct())
+    behind = F.greatest(_behind(F.col("n"), num, den), _behind(F.col("n1"), num, den))
+    cand = staged(met.join(p.select(F.col("sid").alias("q"), "token"), "q").join(matrix.select("gid", "token"), ["gid", "token"])
+                     .groupBy("q", "n", "gid", "n0", "n1").agg(F.count(F.lit(1)).alias("c"))
+                     .filter((den + num) * (F.col("c") + behind) >= num * (F.col("n") + least))
+                     .select("q", "gid"), "jaccard-queries")
+    # Open the groups that are left.
+    own_n = p.select("sid", "n", "last").distinct()
+    opened = (cand.join(groups, "gid").select(F.col("q").alias("a"), F.col("sid").alias("b"))
+                  .join(own_n.select(F.col("sid").alias("a"), "n", "last"), "a")
+                  .join(own_n.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb")), "b")
+                  .filter(den * F.least("n", "nb") >= num * F.greatest("n", "nb")))
+    return own, links.unionAll(_linked_pairs(rows, order, _bounded_pairs(opened, posts, num, den), "matrix", num, den))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM,
