@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 16        # code points of a gram
-W = 85        # grams of a window: every shared run of 100 code points is seen
+W = 105       # grams of a window: every shared run of 120 code points is seen
 CHUNK = 8192  # windows whose grams are in memory at a time
+TIES = 1024   # grams looked through for equal ones at a time
 BUCKET_DOCS = 64      # documents of a bucket of neighbouring ids, about
 MAX_BUCKETS = 1 << 15
 
@@ -22,23 +23,29 @@ def _winnow_grams(h: str, w: int) -> str:
     """SQL: the chosen (pos, h, f) of one array ``h`` of gram hashes, f the
     first window that chooses the gram. It goes from one chosen gram p to the
     next: the first later one not above it within reach of p's windows, else
-    the rightmost minimum of the w grams behind p, else the end."""
-    step = f"""transform(array(
-        transform(array(slice({h}, s.p + 2, {w})), z -> transform(array(array_min(z)), least ->
-            CASE WHEN least <= element_at({h}, s.p + 1)
-                   THEN s.p + cast(array_position(transform(z, y -> y <= element_at({h}, s.p + 1)), true) AS int)
-                 WHEN size(z) = {w} THEN s.p + {w + 1} - cast(array_position(reverse(z), least) AS int)
-                 ELSE -1 END)[0])[0]),
-        q -> if(q < 0, named_struct('p', s.p, 'go', false, 'kept', s.kept),
-                named_struct('p', q, 'go', true, 'kept', concat(s.kept, array(named_struct(
-                    'pos', q, 'h', element_at({h}, q + 1),
-                    'f', if(element_at({h}, q + 1) <= element_at({h}, s.p + 1), q - {w - 1}, s.p + 1)))))))[0]"""
+    the rightmost minimum of the w grams behind p, else the end. Grams equal
+    to p with nothing smaller between, as in texts that repeat themselves, are
+    taken many at a time."""
+    chosen = lambda q, f: f"named_struct('pos', {q}, 'h', element_at({h}, {q} + 1), 'f', {f})"
+    one = lambda q, f: (f"transform(array({q}), q -> named_struct('p', q, 'v', element_at({h}, q + 1), 'go', true, "
+                        f"'kept', concat(s.kept, array({chosen('q', f)}))))[0]")
+    lower = "s.p + cast(array_position(transform(z, y -> y <= s.v), true) AS int)"
+    right = f"s.p + {w + 1} - cast(array_position(reverse(z), least) AS int)"
+    equal = f"""transform(array(slice({h}, s.p + 2, {TIES})), b -> transform(array(array_position(transform(b, y -> y < s.v), true)), cut ->
+        filter(transform(b, (y, i) -> if(y = s.v AND (cut = 0 OR i + 1 < cut), i + 1, 0)), o -> o > 0))[0])[0]"""
+    reached = f"""transform(array({equal}), o -> transform(array(array_position(transform(o, (x, i) ->
+        i > 0 AND x - o[greatest(i - 1, 0)] > {w}), true)), gap -> if(gap = 0, o, slice(o, 1, cast(gap AS int) - 1)))[0])[0]"""
+    many = f"""transform(array({reached}), o -> named_struct('p', s.p + element_at(o, -1), 'v', s.v, 'go', true, 'kept', concat(s.kept,
+        transform(o, x -> named_struct('pos', s.p + x, 'h', s.v, 'f', s.p + x - {w - 1})))))[0]"""
+    step = f"""transform(array(slice({h}, s.p + 2, {w})), z -> transform(array(array_min(z)), least ->
+        CASE WHEN least < s.v THEN {one(lower, f'q - {w - 1}')} WHEN least = s.v THEN {many} WHEN size(z) = {w} THEN {one(right, 's.p + 1')}
+             ELSE named_struct('p', s.p, 'v', s.v, 'go', false, 'kept', s.kept) END)[0])[0]"""
     first = f"""transform(array(slice({h}, 1, {w})), z -> transform(
         array(size(z) - cast(array_position(reverse(z), array_min(z)) AS int)), q ->
-        named_struct('p', q, 'go', true, 'kept', array(named_struct('pos', q, 'h', element_at({h}, q + 1), 'f', 0))))[0])[0]"""
+        named_struct('p', q, 'v', element_at({h}, q + 1), 'go', true, 'kept', array({chosen('q', '0')})))[0])[0]"""
     run = "aggregate(sequence(1, {n}), {zero}, (s, j) -> if(s.go, " + step + ", s))"
-    most = run.format(n=f"greatest(1, size({h}) div 8)", zero=first)
-    # texts that repeat themselves choose more grams than that: go on to the end
+    most = run.format(n=f"2 + size({h}) * 3 div {w}", zero=first)
+    # random hashes choose two grams in w + 1; a text that chooses more goes on to the end
     return f"transform(array({most}), r -> if(r.go, {run.format(n=f'size({h})', zero='r')}, r))[0].kept"
 
 
