@@ -119,10 +119,13 @@ def _scan(rows: DataFrame) -> DataFrame:
                 seen.append(s)
             yield pd.concat(docs).astype({"id": "Int64"})
             every = np.concatenate(seen) if seen else np.empty(0, np.uint64)
-            tok, c = np.unique(every, return_counts=True)
-            often = c >= max(2, len(every) // (2 * FREQUENT))
-            yield pd.DataFrame({"kind": 1, "id": pd.array([None] * int(often.sum()), dtype="Int64"),
-                                "n": c[often], "v": tok[often].view(np.int64)})
+            del seen, docs
+            every.sort()
+            # the runs of equal tokens that are long enough: a token is frequent
+            # where it equals the one ``least`` places before
+            least = max(2, len(every) // (2 * FREQUENT))
+            tok, c = np.unique(every[least - 1:][every[least - 1:] == every[:len(every) - least + 1]], return_counts=True)
+            yield pd.DataFrame({"kind": 1, "id": pd.array([None] * len(tok), dtype="Int64"), "n": c + least - 1, "v": tok.view(np.int64)})
     return rows.mapInPandas(scan, "kind int, id long, n long, v long")
 
 
