@@ -32,7 +32,7 @@ from runlens.llm.sharding import with_slots
 CAPACITY = 2048
 RANGES = 2              # of gap sizes, swept apart in a superstep
 OPEN_SHARE = 95         # per cent of the sequences that the ids left need at least, opened at a time
-CACHE_WORDS = 500_000   # words whose ids a Python worker keeps
+CACHE_WORDS = 600_000   # words whose ids a task keeps
 END = 0                 # id that ends a document
 BROADCAST_RUNS = 200_000  # placed runs up to which they are sent to every task
 
@@ -60,38 +60,40 @@ class Encoder:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, missing: list[bytes]) -> None:
-        if len(self.words) + 2 * len(missing) > CACHE_WORDS:
-            self.words.clear()
-        text = {w: w.decode("utf-8", "surrogatepass") for w in missing}
-        parts, plain = {}, set()
-        for w, s in text.items():
+        known = self.words
+        if len(known) + 2 * len(missing) > CACHE_WORDS:
+            known.clear()
+        plain, parts = set(), []
+        for w in missing:
+            s = w.decode("utf-8", "surrogatepass")
             if s.isalpha():
-                plain.add(s)
+                plain.add(w)
             elif (m := _PUNCTUATED.fullmatch(s)) and m[1].isalpha():
-                parts[w] = m.groups()
-                plain.add(m[1])
+                base, tail = m[1].encode(), m[2].encode()
+                parts.append((w, base, tail))
+                if base not in known:
+                    plain.add(base)
+                if tail not in known:
+                    known[tail] = self._whole(m[2])
+            else:
+                known[w] = self._whole(s)
         # Words of letters only are one token run each, closed by an end mark,
         # so many can be encoded in one text and told apart again.
-        ids, todo = {}, sorted(x for x in plain if x.encode() not in self.words)
+        todo = list(plain)
         for lo in range(0, len(todo), 512):
             some = todo[lo:lo + 512]
-            got = np.array(self.t.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            got = np.array(self.t.encode(b" ".join(some).decode(), add_special_tokens=False).ids, dtype="<u4")
             cut = np.flatnonzero(self.ends[got]) + 1
-            if len(cut) == len(some) and len(got) and cut[-1] == len(got):
-                raw = got.tobytes()
-                ids |= {s: raw[4 * a:4 * b] for s, a, b in zip(some, [0, *cut[:-1].tolist()], cut.tolist())}
+            if len(cut) == len(some) and cut[-1] == len(got):
+                raw, at = got.tobytes(), 0
+                for w, end in zip(some, (4 * cut).tolist()):
+                    known[w] = raw[at:end]
+                    at = end
             else:
-                ids |= {s: self._whole(s) for s in some}
-        self.words.update((s.encode(), v) for s, v in ids.items())
-        for w, s in text.items():
-            if w in parts:
-                a, b = parts[w]
-                tail = b.encode()
-                if tail not in self.words:
-                    self.words[tail] = self._whole(b)
-                self.words[w] = self.words[a.encode()] + self.words[tail]
-            elif w not in self.words:
-                self.words[w] = self._whole(s)
+                for w in some:
+                    known[w] = self._whole(w.decode())
+        for w, base, tail in parts:
+            known[w] = known[base] + known[tail]
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -131,6 +133,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                     part = ids[p:p + 4 * capacity]
                     out.append((d, p // (4 * capacity), p // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        enc.words.clear()  # a worker that goes on to other tasks gives the memory back
 
     return (docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("x"))
                 .mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long"))
