@@ -134,6 +134,23 @@ def test_planted_passages_are_found_and_nothing_else(spark):
     assert got[200] == set(range(99, 159))
 
 
+def test_passages_around_frequent_lines(spark):
+    """Two documents share a passage around a line that unrelated documents of
+    lower and of higher ids hold: those are the pivots of the line's keys."""
+    rnd = random.Random(7)
+    text = lambda n: " ".join(f"t{rnd.randrange(10 ** 7)}" for _ in range(n))
+    docs, want = [], {}
+    for g in range(12):
+        line = text(30 + g)
+        docs += [(1000 * k + 10 * g, text(20 + k) + " " + line + " " + text(20)) for k in (0, 1, 8, 9)]
+        passage = text(10) + " " + line + " " + text(10)
+        for d in (5000 + 10 * g, 5001 + 10 * g):
+            docs.append((d, text(25) + " " + passage + " " + text(25)))
+            want[d] = set(range(25, 75 + g))
+    got = _covered(substring_dedup.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == want
+
+
 def test_passages_odd_rows(odd, empty):
     rows = substring_dedup.near_duplicate_passages(odd).collect()
     got = _covered(rows)
