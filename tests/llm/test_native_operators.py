@@ -125,6 +125,22 @@ def test_winnowing_odd_rows(odd, empty, spark):
     assert winnowing.fingerprint_report(empty).count() == 0
 
 
+def test_winnowing_sees_shared_runs_of_100_code_points(spark):
+    """The length is a literal here: the guarantee must not move with W."""
+    import random
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    pairs = []
+    for k in range(400):
+        run = text(100)
+        pairs += [(k, text(k) + "<" + run + ">" + text(150)), (k, text(140) + "[" + run + "]" + text(400 - k))]
+    got = {}
+    for r in spark.createDataFrame(pairs, "k int, x string").selectExpr("k", f"{winnowing.winnow('x')} AS fp").collect():
+        got.setdefault(r.k, []).append({e.h for e in r.fp})
+    assert len(got) == 400 and all(one & two for one, two in got.values())
+    assert winnowing.W + winnowing.K - 1 <= 100
+
+
 def test_winnowing_pieces_of_long_texts(spark):
     import random
     rnd = random.Random(5)
