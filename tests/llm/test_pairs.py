@@ -151,6 +151,19 @@ def test_passages_around_frequent_lines(spark):
     assert got == want
 
 
+def test_passages_repeated_inside_a_text(spark):
+    """A passage that a text holds many times, and one of a period below its
+    length: every occurrence is a span."""
+    rnd = random.Random(8)
+    text = lambda n: " ".join(f"t{rnd.randrange(10 ** 7)}" for _ in range(n))
+    passage = text(60)
+    docs = [(1, " ".join(passage + " " + text(7) for _ in range(5))), (2, text(40) + " " + passage + " " + text(9)),
+            (3, text(12) + " " + "a b c " * 100 + text(5)), (4, "a b c " * 20 + text(30))]
+    got = _covered(substring_dedup.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got[1] >= {67 * k + j for k in range(5) for j in range(60)} and got[2] == set(range(40, 100))
+    assert got[3] >= set(range(12, 312)) and got[4] >= set(range(60))
+
+
 def test_passages_odd_rows(odd, empty):
     rows = substring_dedup.near_duplicate_passages(odd).collect()
     got = _covered(rows)
