@@ -165,7 +165,7 @@ def _postings(rows: DataFrame, order: _Frequent, shared: Bitmap, num: int, den:
 
 def _wanted_sets(rows: DataFrame, order: _Frequent, sids: DataFrame) -> DataFrame:
     """(sid, toks) for the digests in ``sids`` (and a few more that share
-    their bits), once a task; toks are 32 bits of each token, sorted."""
+    their bits), once a task; toks are the sorted tokens."""
     wanted = Bitmap(sids, "sid")
 
     def emit(batches):
@@ -179,7 +179,7 @@ def _wanted_sets(rows: DataFrame, order: _Frequent, sids: DataFrame) -> DataFram
                 for i in np.flatnonzero(wanted.holds(sid.view(np.uint64)) & (n > 0)).tolist():
                     if int(sid[i]) not in done:
                         done.add(int(sid[i]))
-                        out.append((int(sid[i]), np.sort(s[ends[i] - n[i]:ends[i]].astype(np.uint32)).tobytes()))
+                        out.append((int(sid[i]), s[ends[i] - n[i]:ends[i]].tobytes()))
                 yield pd.DataFrame(out, columns=["sid", "toks"])
     return staged(rows.mapInPandas(emit, "sid long, toks binary"), "jaccard-sets")
 
@@ -202,7 +202,7 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Data
 
     def check(batches):
         for pdf in batches:
-            ok = [_linked(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), num, den) for x, y in zip(pdf["ta"], pdf["tb"])]
+            ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(pdf["ta"], pdf["tb"])]
             yield pdf.loc[ok, ["a", "b"]]
     return pairs.join(left, "a").join(right, "b").mapInPandas(check, "a long, b long")
 

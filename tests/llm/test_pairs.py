@@ -88,6 +88,26 @@ def test_jaccard_chains_at_the_threshold(spark, monkeypatch, pivots):
     assert got == _components(docs)
 
 
+def test_jaccard_compares_whole_tokens(spark, monkeypatch):
+    """Tokens that differ in their upper bits only are different."""
+    sets = jaccard_join._sets
+    upper = np.uint64(32)
+
+    def high(texts):
+        s, n = sets(texts)
+        return s >> upper << upper, n
+    monkeypatch.setattr(jaccard_join, "_sets", high)
+    # two documents share their rarest tokens, and so their prefixes, but not the frequent rest
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    docs = []
+    for g in range(5):
+        for side in "ab":
+            docs.append((len(docs), run(f"g{g}same", 24) + " " + run(f"g{g}{side}", 30)))
+            docs += [(len(docs) + k, run(f"g{g}{side}", 30) + " " + run(f"g{g}{side}{k}own", 40)) for k in range(12)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == _components(docs)
+
+
 def _repeats(docs, length):
     """Per document the word positions covered by runs of ``length`` words
     that another document holds."""
