@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, common, decontaminate, jaccard_join, line_dedup, packing, quality, sharding, substring_dedup, warc, winnowing
+from runlens.llm import chat, common, decontaminate, jaccard_join, line_dedup, packing, quality, sharding, spelling, substring_dedup, warc, winnowing
 from runlens.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -112,3 +112,8 @@ def tokenizer_path() -> str:
 @_query()
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+@_query()
+def op13_prefix_suffix_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
