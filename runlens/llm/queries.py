@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, common, decontaminate, jaccard_join, line_dedup, packing, quality, sharding, spelling, substring_dedup, warc, winnowing
+from runlens.llm import chat, common, decontaminate, html_extract, jaccard_join, line_dedup, lloyd, packing, quality, sharding, spelling, substring_dedup, warc, winnowing
 from runlens.sources.tables import read_table
 
 QUERIES: dict = {}
@@ -117,3 +117,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op13_prefix_suffix_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query(lloyd.oracle_sql())
+def op11_dimension_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@_query()
+def op12_minimum_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "url", "text", "n_chars")
