@@ -3,11 +3,13 @@
 An item that occurs in a text with at most ``e`` edits shares with it at
 least ``m - q + 1 - q*e`` of its q-grams, on diagonals at most ``e`` apart.
 Shared q-grams are counted in overlapping bands of diagonals; bands that
-meet the bound are verified by banded alignment.
+meet the bound are verified by banded alignment. Items too short for that are
+matched as they are, between word borders.
 """
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,9 +19,10 @@ from runlens.llm.common import mix
 
 Q = 10              # characters of a gram
 EDIT_RATE = 0.08    # edits per character of an item
-MIN_CHARS = 24      # shorter items (normalised) are too common to be evidence, and are not looked for
+MIN_CHARS = 24      # shorter items (normalised) are matched without edits
 BLOCK_CHARS = 4_000_000  # characters of benchmark that one pass over the texts looks for
 PIECE_CHARS = 1 << 20    # characters of text handled at a time in a task
+CELLS = 1 << 22          # characters of regions aligned at a time in a task
 
 _G = np.uint64(0x100000001B3)
 _TABLE_BITS = 22
@@ -62,9 +65,12 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float, min_chars: int):
         self.q, self.ids, self.text, self.edits, self.bound = q, [], [], [], []
         hs, who, off = [], [], []
+        short: dict[str, list[int]] = {}
         for i, t in items:
             c = codes(normal(t))
             if len(c) < max(min_chars, q):
+                if len(c):
+                    short.setdefault(normal(t), []).append(i)
                 continue
             e = min(int(rate * len(c)), (len(c) - q) // q)  # the lemma's bound stays at 1 at least
             k = len(self.ids)
@@ -76,6 +82,11 @@ class Index:
             hs.append(g)
             who.append(np.full(len(g), k))
             off.append(np.arange(len(g)))
+        self.short = ahocorasick.Automaton() if short else None
+        for t, own in short.items():
+            self.short.add_word(t, (len(t), own))
+        if short:
+            self.short.make_automaton()
         self.h = np.concatenate(hs) if hs else np.empty(0, np.uint64)
         order = np.argsort(self.h, kind="stable")
         self.h = self.h[order]
@@ -141,6 +152,20 @@ class Index:
         ok = best <= e
         return [(int(a), int(b), int(x), int(f)) for a, b, x, f in zip(k[ok], best[ok], end[ok], first[ok])]
 
+    def exact(self, text: str | None) -> dict[int | None, int]:
+        """item id -> end of the first place in the text where a short item
+        stands between word borders."""
+        out: dict = {}
+        if self.short is None or not text:
+            return out
+        t = normal(text)
+        for last, (n, own) in self.short.iter(t):
+            at = last + 1 - n
+            if not (at and t[at - 1].isalnum() and t[at].isalnum()) and not (last + 1 < len(t) and t[last].isalnum() and t[last + 1].isalnum()):
+                for i in own:
+                    out.setdefault(i, last + 1)
+        return out
+
     def search(self, text: str | None) -> dict[int, tuple[int, int]]:
         """item index -> (fewest edits, end of the first such place) in the
         whole text; long texts in pieces that overlap by more than an item."""
@@ -151,8 +176,11 @@ class Index:
         over = int(self.len.max()) + 4 * self.width + self.q
         for lo in range(0, max(len(c) - over, 1), PIECE_CHARS):
             piece = c[lo:lo + PIECE_CHARS + over]
-            for i, edits, end, _ in self.verify(piece, self.regions(piece)):
-                out[i] = min(out.get(i, (1 << 30, 0)), (edits, lo + end))
+            found = self.regions(piece)
+            step = max(1, CELLS // over)
+            for k in range(0, len(found), step):
+                for i, edits, end, _ in self.verify(piece, found[k:k + step]):
+                    out[i] = min(out.get(i, (1 << 30, 0)), (edits, lo + end))
         return out
 
 
@@ -165,7 +193,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
     The benchmark is sent to the tasks in blocks of ``block_chars`` at most
     (plus one item); each block is one pass over all texts. Null and empty
-    texts, and items shorter than ``min_chars``, match nothing. Repeated rows
+    texts match nothing; items shorter than ``min_chars`` match without edits,
+    where no letter or digit goes on before or after them. Repeated rows
     give repeated results; a null id stays null. Other columns are not read.
     """
     bench = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL")
@@ -183,6 +212,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
             for pdf in batches:
                 got = [(d, index.ids[i], edits, end) for d, x in zip(pdf["d"], pdf["x"])
                        for i, (edits, end) in sorted(index.search(x).items())]
+                got += [(d, i, 0, end) for d, x in zip(pdf["d"], pdf["x"]) for i, end in index.exact(x).items()]
                 yield pd.DataFrame(got, columns=["doc_id", "item_id", "edits", "end_char"]).astype(
                     {"doc_id": "Int64", "item_id": "Int64"})
 

@@ -18,8 +18,10 @@ The steps, each a Spark job over all documents:
    rows. What it links are the similar documents of the partition; it is cut
    into groups of bounded size.
 4. The matrix (token, group) is met with the tokens of the queries that lie in
-   another component. The number of a query's tokens in a group's union
-   bounds its overlap with every member; the groups that can qualify are
+   another component. A set that shares few of its tokens with others can only
+   reach smaller sets, so sets meet by token and class of sizes, and those that
+   reach nobody drop out before. The number of a query's tokens in a group's
+   union bounds its overlap with every member; the groups that can qualify are
    opened and every member is compared. So no link between components is
    missed.
 
@@ -38,11 +40,14 @@ from pyspark.sql import functions as F
 from runlens.llm.common import Bitmap, components, mix, shingles, staged, words
 
 NUM, DEN = 80, 100            # link when DEN * intersection >= NUM * union
-FREQUENT = 16_000_000         # at most so many tokens are held to be frequent: count >= all tokens / FREQUENT
+FREQUENT = 4_000_000          # at most so many tokens (9 bytes each in a task) are held to be frequent: count >= all tokens / FREQUENT
 GROUP = 256                   # sets in a group, about
 STAR_ROUNDS = 1
 PIVOTS = 6                    # per token and round
-SUB = 192                     # texts hashed at a time in a task
+PIECE = 1 << 21               # code points hashed at a time in a task (or one text)
+COUNTED = 1 << 22             # tokens counted at a time in a task (or those of a piece)
+PRUNE = 2                     # rounds that drop sets without reach
+EXACT, STEP = 48, 1.02        # sizes from EXACT on form classes, each STEP times as wide as the one before
 
 
 def _prefix(n, num: int, den: int):
@@ -61,7 +66,7 @@ class _Frequent:
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         at = np.argsort(tokens)
         self.t = tokens[at]
-        self.cls = np.floor(np.log2(np.maximum(counts[at], 1))).astype(np.uint64) + np.uint64(1)
+        self.cls = np.floor(np.log2(np.maximum(counts[at], 1))).astype(np.uint8) + np.uint8(1)
         self.table = np.zeros(1 << 20, dtype=bool)
         self.table[self.t >> np.uint64(44)] = True
 
@@ -104,28 +109,36 @@ def _digests(s: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _chunks(pdf: pd.DataFrame):
-    for lo in range(0, len(pdf), SUB):
-        yield pdf.iloc[lo:lo + SUB]
+    """Pieces of a batch that hold about ``PIECE`` code points."""
+    size = np.fromiter((0 if t is None else len(t) for t in pdf["x"]), np.int64, len(pdf))
+    cut = np.flatnonzero(np.diff((np.cumsum(size) - size) // PIECE, prepend=-1, append=1 << 62))
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        yield pdf.iloc[lo:hi]
+
+
+def _repeated(tokens: list[np.ndarray]) -> pd.DataFrame:
+    every = np.concatenate(tokens)
+    every.sort()
+    tok, c = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+    return pd.DataFrame({"kind": 1, "id": pd.array([None] * len(tok), dtype="Int64"), "n": c + 1, "v": tok.view(np.int64)})
 
 
 def _scan(rows: DataFrame) -> DataFrame:
-    """kind 0: (doc_id, n, digest); kind 1: tokens frequent in a batch."""
+    """kind 0: (doc_id, n, digest); kind 1: tokens met more than once among so
+    many, with their count."""
     def scan(batches):
+        seen, held = [], 0
         for pdf in batches:
-            seen, docs = [], []
             for part in _chunks(pdf):
                 s, n = _sets(part["x"].tolist())
-                docs.append(pd.DataFrame({"kind": 0, "id": part["d"].to_numpy(), "n": n, "v": _digests(s, n)}))
+                yield pd.DataFrame({"kind": 0, "id": part["d"].astype("Int64"), "n": n, "v": _digests(s, n)})
                 seen.append(s)
-            yield pd.concat(docs).astype({"id": "Int64"})
-            every = np.concatenate(seen) if seen else np.empty(0, np.uint64)
-            del seen, docs
-            every.sort()
-            # the runs of equal tokens that are long enough: a token is frequent
-            # where it equals the one ``least`` places before
-            least = max(2, len(every) // (2 * FREQUENT))
-            tok, c = np.unique(every[least - 1:][every[least - 1:] == every[:len(every) - least + 1]], return_counts=True)
-            yield pd.DataFrame({"kind": 1, "id": pd.array([None] * len(tok), dtype="Int64"), "n": c + least - 1, "v": tok.view(np.int64)})
+                held += len(s)
+                if held >= COUNTED:
+                    yield _repeated(seen)
+                    seen, held = [], 0
+        if seen:
+            yield _repeated(seen)
     return rows.mapInPandas(scan, "kind int, id long, n long, v long")
 
 
@@ -225,6 +238,27 @@ def _linked_pairs(rows: DataFrame, order: _Frequent, pairs: DataFrame, name: str
     return staged(_verify_pairs(pairs, sets, num, den), f"jaccard-links-{name}")
 
 
+def _size_class(n):
+    return F.when(n < EXACT, n).otherwise(EXACT + F.floor(F.log(n / float(EXACT)) / float(np.log(STEP)))).cast("int")
+
+
+def _within_reach(p: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the postings those that can still link something, with ``reach``: a
+    set that shares c prefix tokens with other components overlaps another set
+    by c and what is behind its prefix at most, and so by too little if that
+    set is larger than ``reach``."""
+    for _ in range(PRUNE):
+        mixed = p.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
+        p = staged(p.drop("reach").join(mixed, "token"), "jaccard-mixed")
+        reach = F.floor((den + num) * (F.count(F.lit(1)) + _behind(F.col("n"), num, den)) / F.lit(num)) - F.col("n")
+        sets = (p.groupBy("sid", "n").agg(reach.alias("reach")).filter(F.col("reach") >= F.ceil(F.col("n") * num / F.lit(den)))
+                 .select("sid", "reach"))
+        p = p.join(sets, "sid")
+        met = p.groupBy("token").agg(F.min("n").alias("n0"), F.max("reach").alias("r1"))
+        p = staged(p.join(met, "token").filter("n0 <= reach AND n <= r1").drop("n0", "r1"), "jaccard-reach")
+    return p
+
+
 def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM,
               den: int = DEN) -> tuple[DataFrame, DataFrame]:
     """(docs, links): (doc_id, n, sid) per row, and enough links (a, b)
@@ -265,24 +299,28 @@ def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
         p = staged(posts.join(components(links), F.col("sid") == F.col("node"), "left")
                         .withColumn("comp", F.coalesce("root", "sid")).drop("node", "root"), "jaccard-placed")
 
-    # What they link is similar: cut into groups. Tokens that lie in one
-    # component only have nothing left to link.
-    mixed = p.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
-    p = p.join(mixed, "token")
-    sizes = p.select("sid", "comp").distinct()
+    p = _within_reach(p, num, den)
+    # What the stars link is similar: cut into groups of one class of sizes.
+    sizes = p.select("sid", "comp", "n", "reach").distinct().withColumn("sb", _size_class(F.col("n")))
     chunks = sizes.groupBy("comp").agg(F.count(F.lit(1)).alias("k"))
-    groups = staged(sizes.join(chunks, "comp").select(
-        "sid", F.xxhash64("comp", F.pmod(F.xxhash64("sid", F.lit(9)), F.ceil(F.col("k") * 2 / GROUP))).alias("gid")), "jaccard-groups")
+    groups = staged(sizes.join(chunks, "comp").select("sid", "comp", "n", "reach", "sb", F.xxhash64(
+        "comp", "sb", F.pmod(F.xxhash64("sid", F.lit(9)), F.ceil(F.col("k") * 2 / GROUP))).alias("gid")), "jaccard-groups")
     # The matrix: the tokens of each group's union, with the bounds of its sizes.
-    shape = (p.select("sid", "comp", "n").distinct().join(groups, "sid").groupBy("gid")
-              .agg(F.max("comp").alias("gcomp"), F.min("n").alias("n0"), F.max("n").alias("n1")))
+    shape = groups.groupBy("gid", "sb").agg(F.max("comp").alias("gcomp"), F.min("n").alias("n0"), F.max("n").alias("n1"),
+                                            F.max("reach").alias("greach"))
+    groups = groups.select("sid", "gid")
     matrix = staged(p.join(groups, "sid").groupBy("token", "gid").agg(F.max(F.col("n") - F.col("pos")).alias("rest"))
                      .join(shape, "gid"), "jaccard-matrix")
-    # A query and a member that link have a first token in common, and from
-    # there on enough left on both sides.
-    least = F.greatest(F.col("n0"), F.ceil(F.col("n") * num / F.lit(den)))
-    met = (p.join(matrix, "token")
-            .filter((F.col("comp") < F.col("gcomp")) & (num * F.col("n") <= den * F.col("n1")) & (num * F.col("n0") <= den * F.col("n"))
+    # The larger of two sets asks for the smaller one's class, as far as its
+    # reach goes. A query and a member that link have a first token in common,
+    # and from there on enough left on both sides.
+    small = F.ceil(F.col("n") * num / F.lit(den))
+    least = F.greatest(F.col("n0"), small)
+    asks = p.withColumn("own", _size_class(F.col("n"))).withColumn(
+        "sb", F.explode(F.sequence(_size_class(small), _size_class(F.least("n", "reach")))))
+    met = (asks.join(matrix, ["token", "sb"])
+            .filter((F.col("comp") != F.col("gcomp")) & ((F.col("sb") < F.col("own")) | (F.col("comp") < F.col("gcomp")))
+                    & (num * F.col("n") <= den * F.col("n1")) & (F.col("n0") <= F.col("reach")) & (F.col("n") <= F.col("greach"))
                     & ((den + num) * F.least(F.col("n") - F.col("pos"), F.col("rest")) >= num * (F.col("n") + least)))
             .select(F.col("sid").alias("q"), "n", "gid", "n0", "n1").distinct())
     behind = F.greatest(_behind(F.col("n"), num, den), _behind(F.col("n1"), num, den))

@@ -71,7 +71,10 @@ def _forward(m: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def predict(m: dict, x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(_forward(m, x)[1], -40, 40)))
+    """Scores of feature rows; each is summed on its own, so that equal rows
+    get equal scores whatever batch they are in."""
+    hid = np.tanh(np.einsum("ij,jk->ik", ((x - m["mean"]) / m["scale"]).clip(-6, 6), m["w1"]) + m["b1"])
+    return 1.0 / (1.0 + np.exp(-np.clip(np.einsum("ik,k->i", hid, m["w2"]) + m["b2"], -40, 40)))
 
 
 def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int = HIDDEN) -> dict:
@@ -140,15 +143,18 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
           quality: str = "quality") -> dict:
     """Fit on texts of rows labelled 1 (``labels`` as the caller allows them)
     against unlabelled texts. Both samples are the rows of smallest id hash,
-    at most ``FIT_POSITIVES`` and ``FIT_UNLABELLED``; only their features come
-    to the driver."""
+    at most ``FIT_POSITIVES`` and ``FIT_UNLABELLED``, one row per id; only
+    their features come to the driver."""
     order = F.xxhash64(F.col("id"), F.lit(SEED))
     ids = docs.select(F.col(doc_id).alias("id")).filter("id IS NOT NULL")
     pos = (labels.filter(F.col(quality) == 1).select(F.col(doc_id).alias("id")).distinct()
                  .join(ids.distinct(), "id", "left_semi").orderBy(order, "id").limit(FIT_POSITIVES))
     unl = ids.distinct().orderBy(order, "id").limit(FIT_UNLABELLED)
     picked = pos.withColumn("p", F.lit(1)).unionAll(unl.withColumn("p", F.lit(0)))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(picked), "id")
+    # One text per id, however many rows share it: the one of the smallest hash.
+    rows = (docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(picked), "id")
+                .groupBy("id", "p").agg(F.min(F.struct(F.xxhash64("t").alias("h"), F.col("t").alias("t"))).alias("r"))
+                .select("id", "p", "r.t"))
 
     def feats(batches):
         for pdf in batches:

@@ -107,9 +107,12 @@ def reshard(docs: DataFrame, block: str, new_shards: int, old_shards: int, doc_i
     """
     spark = docs.sparkSession
     out = out or scratch(spark, "shards")
-    sized = docs.drop("size", "shard").withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1)
+    # The row travels as one column, so no name of the input can clash.
+    sized = docs.drop("size", "shard").select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.drop("size", "shard").columns]).alias("row"), F.col(block).cast("string").alias("block"),
+        F.col(doc_id).alias("key"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1).alias("size"))
     # One row per block (file): the list of files that the driver holds anyway.
-    blocks = {r.b: r.s for r in sized.groupBy(F.col(block).alias("b")).agg(F.sum("size").alias("s")).collect()}
+    blocks = {r.b: r.s for r in sized.groupBy(F.col("block").alias("b")).agg(F.sum("size").alias("s")).collect()}
     old = {b: k % old_shards for k, b in enumerate(sorted(blocks, key=str))}
     supply = {i: sum(s for b, s in blocks.items() if old[b] == i) for i in range(old_shards)}
     flow = min_cost_flow(supply, even(sum(supply.values()), new_shards))
@@ -122,29 +125,30 @@ def reshard(docs: DataFrame, block: str, new_shards: int, old_shards: int, doc_i
             splits |= {b: (i, lacks) for b in split}
     # Rows of a split block are grouped by a hash that also holds the row's
     # place, so that equal rows do not fall into one slice.
-    slice_of = F.pmod(F.xxhash64(F.col(doc_id), F.monotonically_increasing_id()), F.lit(SLICES)).cast("int")
+    slice_of = F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(SLICES)).cast("int")
     place = spark.createDataFrame([(b, j, b in placed and j == old[b]) for b, j in placed.items()],
                                   "b string, shard int, stays boolean")
-    whole = sized.join(F.broadcast(place), F.col(block).eqNullSafe(F.col("b")))
-    stay = whole.filter("stays").drop("b", "stays")
-    moved = whole.filter("NOT stays").drop("b", "stays")
+    whole = sized.join(F.broadcast(place), F.col("block").eqNullSafe(F.col("b")))
+    stay = whole.filter("stays").select("row.*", "size", "shard")
+    moved = whole.filter("NOT stays").select("row", "size", "shard")
     if splits:
-        border = staged(sized.filter(F.col(block).isin(list(splits))).withColumn("_slice", slice_of), "border")
-        got = border.groupBy(F.col(block).alias("b"), "_slice").agg(F.sum("size").alias("s")).collect()
+        names = spark.createDataFrame([(b,) for b in splits], "b string")
+        border = staged(sized.join(F.broadcast(names), F.col("block").eqNullSafe(F.col("b")), "left_semi").withColumn("slice", slice_of), "border")
+        got = border.groupBy("block", "slice").agg(F.sum("size").alias("s")).collect()
         rows = []
         for i in {i for i, _ in splits.values()}:
             lacks = next(v for k, v in splits.values() if k == i)
-            mine = {(r.b, r._slice): r.s for r in got if splits[r.b][0] == i}
+            mine = {(r.block, r.slice): r.s for r in got if splits[r.block][0] == i}
             rows += [(b, s, j) for (b, s), j in deal_slices(mine, lacks).items()]
         cut = spark.createDataFrame(rows, "b string, s int, shard int")
         # At most (border blocks x SLICES) rows; there is a border block per flow arc at most.
-        moved = moved.unionByName(border.join(F.broadcast(cut), (F.col(block) == F.col("b")) & (F.col("_slice") == F.col("s")))
-                                  .drop("b", "s", "_slice"))
+        moved = moved.unionByName(border.join(F.broadcast(cut), F.col("block").eqNullSafe(F.col("b")) & (F.col("slice") == F.col("s")))
+                                  .select("row", "size", "shard"))
     n = max(new_shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-n // new_shards)))
-    (moved.withColumn("_salt", salt).repartition(n, "shard", "_salt").drop("_salt")
-          .write.partitionBy("shard").parquet(out))
-    rewritten = spark.read.schema(moved.schema).parquet(out).select(*moved.columns)
+    moved = moved.withColumn("salt", salt).repartition(n, "shard", "salt").select("row.*", "size", "shard")
+    moved.write.partitionBy("shard").parquet(out)
+    rewritten = spark.read.schema(moved.schema).parquet(out).select(*[F.col(f"`{c}`") for c in moved.columns])
     return stay.unionByName(rewritten)
 
 
@@ -154,12 +158,12 @@ def with_slots(placed: DataFrame, name: str = "slots") -> DataFrame:
     Runs of 2**CHUNK_BITS rows of a task are numbered apart; their counts,
     one row per run and shard, add up to the runs' first slots.
     """
-    rows = staged(placed.withColumn("_at", F.monotonically_increasing_id())
-                        .withColumn("_chunk", F.shiftright("_at", CHUNK_BITS)), name)
-    per = rows.groupBy("shard", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    first = per.select("shard", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = F.row_number().over(Window.partitionBy("shard", "_chunk").orderBy("_at"))
-    return (rows.withColumn("_k", inside).join(first, ["shard", "_chunk"])
-                .withColumn("slot", (F.col("_first") + F.col("_k") - 1).cast("bigint"))
-                .drop("_first", "_k", "_chunk", "_at"))
+    rows = staged(placed.drop("slot").select(F.struct(*[F.col(f"`{c}`") for c in placed.drop("slot").columns]).alias("row"), "shard",
+                                             F.monotonically_increasing_id().alias("at"))
+                        .withColumn("chunk", F.shiftright("at", CHUNK_BITS)), name)
+    per = rows.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    first = per.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("at"))
+    return (rows.withColumn("k", inside).join(first, ["shard", "chunk"])
+                .select("row.*", (F.col("first") + F.col("k") - 1).cast("bigint").alias("slot")))

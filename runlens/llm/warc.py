@@ -196,7 +196,9 @@ def read_frames(manifest: DataFrame) -> DataFrame:
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return frames.repartition(n, "path", "frame").sortWithinPartitions("path", "frame").mapInPandas(read, schema)
+    # By a digest: rows that the distinct already dealt by (path, frame) would
+    # stay there, and their few bytes of names would be put into one task.
+    return frames.repartition(n, F.xxhash64("path", "frame")).sortWithinPartitions("path", "frame").mapInPandas(read, schema)
 
 
 def read_record(manifest: DataFrame, page_id: int) -> list[tuple[dict, bytes]]:

@@ -80,12 +80,25 @@ def test_jaccard_chains_at_the_threshold(spark, monkeypatch, pivots):
             docs.append((len(docs), " ".join(w[rnd.randint(0, 2):])))
             base = w if c % 3 == 0 else base
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    if not pivots:
-        links = jaccard_join._verify_pairs
-        calls = []
-        monkeypatch.setattr(jaccard_join, "_verify_pairs", lambda *a: (calls.append(1), links(*a).filter("a < -9e18"))[1])
+    links, asked = jaccard_join._linked_pairs, []
+
+    def linked(*args):
+        asked.append(args[3])
+        found = links(*args)
+        return found.limit(0) if args[3] == "star" and not pivots else found
+    monkeypatch.setattr(jaccard_join, "_linked_pairs", linked)
     got = sorted((tuple(r) for r in jaccard_join.jaccard_components(df).collect()), key=str)
     assert got == _components(docs)
+    assert asked == ["star", "matrix"]
+
+
+def test_jaccard_token_that_unlinked_sets_share(spark):
+    """One prefix token held by every set, none of which link: nothing is left to meet."""
+    docs = [(i, f"x{i} a b c d e f g h") for i in range(400)] + [(500, "b c d e f g h i j k l"), (501, "b c d e f g h i j k l m")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect()), key=str) == _components(docs)
+    posts = spark.createDataFrame([(7, i, 5, 1, 9, i) for i in range(1000)], "token long, sid long, n int, pos int, last long, comp long")
+    assert jaccard_join._within_reach(posts, 80, 100).count() == 0
 
 
 def test_jaccard_compares_whole_tokens(spark, monkeypatch):
@@ -268,3 +281,11 @@ def test_decontamination_odd_rows_blocks_and_pieces(spark, odd, empty, monkeypat
     index = decontaminate.Index([(1, item)], decontaminate.Q, decontaminate.EDIT_RATE, 24)
     for n in range(500, 1500, 7):
         assert index.search("w " * n + item)[0][0] == 0
+
+
+def test_short_benchmark_items_match_between_word_borders(spark):
+    docs = [(1, "He said: Forty  Two. twice forty two"), (2, "forty twos and sixforty two"), (3, None), (None, "42?"), (4, "(42)"), (5, "142 420")]
+    items = [(1, "forty two"), (2, " 42 "), (3, ""), (4, None), (5, "FORTY TWO")]
+    got = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"),
+                                           spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1, 0, 18), (1, 5, 0, 18), (None, 2, 0, 2), (4, 2, 0, 3)], key=str)

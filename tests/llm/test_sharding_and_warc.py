@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -57,6 +58,56 @@ def test_reshard_odd_rows(odd, empty):
     assert sharding.reshard(empty.withColumn("block", F.lit("f")), "block", 3, 2).count() == 0
 
 
+def test_reshard_null_blocks_and_clashing_names(spark):
+    """Rows of a split block without a name, and columns named as the operator's own."""
+    own = ("b", "s", "slice", "row", "key", "salt", "stays", "shard", "size", "slot", "at", "chunk", "n", "k", "first")
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.when(F.col("id") % 4 == 0, "x").alias("block"),
+                                  *[F.lit("clash").alias(c) for c in own])
+    got = sharding.with_slots(sharding.reshard(df, "block", 4, 2)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(2000)) and {r.b for r in got} == {r.chunk for r in got} == {"clash"}
+    size = _check_law(got, 4)
+    assert max(size.values()) - min(size.values()) < 0.05 * sum(size.values()) / 4
+
+
+def test_flow_is_the_cheapest():
+    """Against every way to deal out whole units in small cases."""
+    def least(supply, capacity):
+        def go(i, left):
+            if i == len(supply):
+                return 0
+            best = None
+            for split in _splits(supply[i], left):
+                rest = go(i + 1, [c - x for c, x in zip(left, split)])
+                if rest is not None and (best is None or rest + supply[i] - split[i] * (i < len(left)) < best):
+                    best = rest + supply[i] - (split[i] if i < len(left) else 0)
+            return best
+        return go(0, list(capacity))
+    rnd = random.Random(2)
+    for _ in range(40):
+        supply, n = [rnd.randint(0, 6) for _ in range(rnd.randint(1, 3))], rnd.randint(1, 4)
+        total = sum(supply)
+        capacity = [total // n + (j < total % n) for j in range(n)]
+        flow = sharding.min_cost_flow(dict(enumerate(supply)), dict(enumerate(capacity)))
+        assert sum(v for (i, j), v in flow.items() if i != j) == least(supply, capacity)
+
+
+def _splits(total, room):
+    if len(room) == 1:
+        if total <= room[0]:
+            yield (total,)
+        return
+    for x in range(min(total, room[0]) + 1):
+        for rest in _splits(total - x, room[1:]):
+            yield (x, *rest)
+
+
+def test_frames_are_read_by_many_tasks(spark):
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(cast(id AS string), 256), 40) AS html")
+    manifest = warc.write_archive(pages, common.scratch(spark, "test-warc"), frame_bytes=4000)
+    records = warc.read_frames(manifest)
+    assert records.select(F.spark_partition_id()).distinct().count() > 1 and records.count() == 400
+
+
 def _expected(pages):
     best, seen = {}, {}
     for i, h in pages:
