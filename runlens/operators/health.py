@@ -212,23 +212,32 @@ def cancel_once(requests: DataFrame, spans: DataFrame) -> DataFrame:
     """ST6 (batch): each request is consumed by the first run it reaches: the
     named run of the deal if it was still going at the request, else (no run
     named, or a blank id) the earliest run of the deal going at that instant.
-    A run is listed under every day it was going on, so the join is an
-    equi-join on (deal, day)."""
-    runs = spans.select("deal_id", "compile_id", "started_at",
-                        F.coalesce("ended_at", "last_at").alias("until"))
-    days = runs.withColumn("day", F.explode(F.sequence(
-        F.to_date("started_at"), F.to_date("until"))))
-    req = requests.withColumn("day", F.to_date("requested_at")).withColumn("_c", blank_to_null("compile_id"))
-    cand = (req.alias("r").join(days.alias("u"), ["deal_id", "day"])
-            .where((F.col("u.started_at") <= F.col("r.requested_at"))
-                   & (F.col("u.until") >= F.col("r.requested_at"))
-                   & (F.col("r._c").isNull() | (F.col("r._c") == F.col("u.compile_id")))))
-    first = cand.groupBy("request_id").agg(
-        F.min(F.struct(F.col("u.started_at"), F.col("u.compile_id"))).alias("m"))
+
+    No pairs of requests and runs are made. Of a deal's runs in the order of
+    their starts, only those that go on longer than all before them can be the
+    earliest one going at some instant; their ends rise with their starts, so a
+    request's run is the one with the next end, if it has started by then.
+    Both steps are running extremes of the sequence primitive.
+    """
+    runs = spans.select("deal_id", "compile_id", "started_at", F.coalesce("ended_at", "last_at").alias("until"))
+    asked = requests.select("request_id", "deal_id", "requested_at", blank_to_null("compile_id").alias("_c"))
+    named = (asked.where("_c IS NOT NULL").join(runs, (asked["deal_id"] == runs["deal_id"]) & (F.col("_c") == runs["compile_id"]))
+                  .where((F.col("started_at") <= F.col("requested_at")) & (F.col("until") >= F.col("requested_at")))
+                  .select("request_id", runs["compile_id"].alias("run")))
+    longest = sequence_index(runs.where("deal_id IS NOT NULL AND started_at IS NOT NULL"), ["deal_id"],
+                             ["started_at", "compile_id"], maxs=["until"]).where("until = max_until")
+    ends = longest.select("deal_id", (-F.unix_micros("until")).alias("back"), F.lit(0).alias("asks"), F.col("compile_id").alias("id"),
+                          F.struct("until", "started_at", "compile_id").alias("next"), F.lit(None).cast("timestamp").alias("at"))
+    asks = asked.where("_c IS NULL AND deal_id IS NOT NULL").select(
+        "deal_id", (-F.unix_micros("requested_at")).alias("back"), F.lit(1).alias("asks"), F.col("request_id").cast("string").alias("id"),
+        F.lit(None).cast(ends.schema["next"].dataType).alias("next"), F.col("requested_at").alias("at"), "request_id")
+    line = sequence_index(ends.withColumn("request_id", F.lit(None).cast(requests.schema["request_id"].dataType)).unionByName(asks),
+                          ["deal_id"], ["back", "asks", "id"], mins=["next"])
+    unnamed = line.where("asks = 1 AND min_next.started_at <= at").select("request_id", F.col("min_next.compile_id").alias("run"))
+    first = named.unionByName(unnamed).groupBy("request_id").agg(F.min("run").alias("run"))
     return (requests.join(first, "request_id", "left")
             .select("request_id", "deal_id", F.col("compile_id").alias("requested_compile_id"),
-                    F.col("m.compile_id").alias("cancelled_run"),
-                    F.col("m").isNotNull().alias("consumed")))
+                    F.col("run").alias("cancelled_run"), F.col("run").isNotNull().alias("consumed")))
 
 
 def hourly_repeats(pickups: DataFrame, ts: str = "received_at") -> DataFrame:

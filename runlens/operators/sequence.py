@@ -22,16 +22,19 @@ from runlens.session import checkpoint_path
 
 def sequence_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    sums: Sequence[str] = (), xors: Sequence[str] = (),
+                   maxs: Sequence[str] = (), mins: Sequence[str] = (),
                    partitions: int | None = None) -> DataFrame:
     """Add ``seq_idx`` (1-based position inside the key), ``run_<c>`` for
     ``c in sums`` (inclusive running sum as double, nulls skipped, null while
-    no value was seen) and ``xor_<c>`` for ``c in xors`` (inclusive running
-    exclusive or of a bigint column).
+    no value was seen), ``xor_<c>`` for ``c in xors`` (inclusive running
+    exclusive or of a bigint column), and ``max_<c>``, ``min_<c>`` (inclusive
+    running maximum, minimum of any ordered type, nulls skipped).
 
     ``order`` must make rows unique inside a key, so that the numbering is
     deterministic. Null keys are a group of their own.
     """
     keys, order, sums, xors = list(keys), list(order), list(sums), list(xors)
+    tops = [("max", F.max, F.greatest, c) for c in maxs] + [("min", F.min, F.least, c) for c in mins]
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = df.columns
@@ -47,6 +50,8 @@ def sequence_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         local = local.withColumn(f"_sum_{c}", F.sum(F.col(c).cast("double")).over(so_far))
     for c in xors:
         local = local.withColumn(f"_xor_{c}", F.bit_xor(F.col(c)).over(so_far))
+    for kind, agg, _, c in tops:
+        local = local.withColumn(f"_{kind}_{c}", agg(c).over(so_far))
 
     # One row per range partition: its first and last key, and what the rows
     # of the last key add up to there.
@@ -54,8 +59,8 @@ def sequence_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     per = pinned.groupBy("_pid", *keys).agg(
         F.count(F.lit(1)).alias("c"),
         *[F.sum(F.col(c).cast("double")).alias(f"s_{c}") for c in sums],
-        *[F.bit_xor(F.col(c)).alias(f"x_{c}") for c in xors])
-    last = F.struct("c", *[f"s_{c}" for c in sums], *[f"x_{c}" for c in xors])
+        *[F.bit_xor(F.col(c)).alias(f"x_{c}") for c in xors], *[agg(c).alias(f"{kind}_{c}") for kind, agg, _, c in tops])
+    last = F.struct("c", *[f"s_{c}" for c in sums], *[f"x_{c}" for c in xors], *[f"{kind}_{c}" for kind, _, _, c in tops])
     bounds = per.groupBy("_pid").agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"),
                                      F.max_by(last, key).alias("last"))
     upto = Window.partitionBy("last_key").orderBy("_pid").rowsBetween(
@@ -64,9 +69,10 @@ def sequence_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     cum = bounds.select(
         "_pid", "first_key", "last_key", F.sum("last.c").over(upto).alias("c"),
         *[F.sum(f"last.s_{c}").over(upto).alias(f"s_{c}") for c in sums],
-        *[F.bit_xor(f"last.x_{c}").over(upto).alias(f"x_{c}") for c in xors])
+        *[F.bit_xor(f"last.x_{c}").over(upto).alias(f"x_{c}") for c in xors],
+        *[agg(f"last.{kind}_{c}").over(upto).alias(f"{kind}_{c}") for kind, agg, _, c in tops])
     goes_on = F.lag("last_key").over(glob).eqNullSafe(F.col("first_key"))
-    carried = ["c", *[f"s_{c}" for c in sums], *[f"x_{c}" for c in xors]]
+    carried = ["c", *[f"s_{c}" for c in sums], *[f"x_{c}" for c in xors], *[f"{kind}_{c}" for kind, _, _, c in tops]]
     offsets = cum.select("_pid", "first_key",
                          *[F.when(goes_on, F.lag(x).over(glob)).alias(f"_off_{x}") for x in carried])
     # The broadcast side has one row per range partition, whatever the input.
@@ -84,6 +90,7 @@ def sequence_index(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     out += [F.coalesce(F.col(f"_xor_{c}"), F.lit(0)).bitwiseXOR(
         F.when(here, F.coalesce(F.col(f"_off_x_{c}"), F.lit(0))).otherwise(F.lit(0))).cast("bigint").alias(f"xor_{c}")
         for c in xors]
+    out += [both(F.col(f"_{kind}_{c}"), F.when(here, F.col(f"_off_{kind}_{c}"))).alias(f"{kind}_{c}") for kind, _, both, c in tops]
     return joined.select(*out)
 
 

@@ -1,6 +1,8 @@
-"""Streaming twins, checked against the batch rules' SQL (ST1-ST7, ST9).
-Inputs land once per session as Parquet files, in no order of time; each twin
-drains them with Trigger.AvailableNow in several micro-batches."""
+"""Streaming queries, checked against the batch rules' SQL (ST1-ST9).
+Inputs land once per session as Parquet files and are drained with
+Trigger.AvailableNow in several micro-batches. The twins take them in no order
+of time; the streams with a watermark (ST4-ST6, ST8, ST9) in the order in which
+rows arrive, up to three hours late and out of order by that much."""
 
 from __future__ import annotations
 
@@ -11,16 +13,30 @@ from runlens.plans import q_health  # noqa: F401 (its SQL is reused below)
 from runlens.plans.registry import ORACLE, register
 from runlens.session import written_once
 from runlens.sources.derived import Derived
+from runlens.streaming import stateful as W
 from runlens.streaming import twins as T
 
 
 FILES = 3  # landing files of a micro-batch
+JITTER = 3 * 3600      # seconds that a row comes late, at most (the watermark allows four hours)
+DAY = 24 * 3600        # synthetic time scale (FIXTURES.md): a run is a user's day
 
 
 def _landing(spark, sf_dir, name, build) -> str:
     return written_once(spark, f"landing_{name}", sf_dir, lambda p: build().write.parquet(p))
 
 
+def _arriving(spark, sf_dir, name, ts, build, closing_days=None):
+    """A stream of ``build()`` in the order of arrival, one file per batch."""
+    land = written_once(spark, f"arriving_{name}_{closing_days}", sf_dir,
+                        lambda p: W.land_in_order(build(), ts, p, JITTER, closing_days=closing_days))
+    return T.landing_stream(spark, land, 1)
+
+
+def _text(us):
+    return F.date_format(F.timestamp_micros(us), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
 @register("stream_decode", with_ctes(r"""
 SELECT message_id, CASE WHEN route = 'draft' THEN 'drafts' WHEN job_ok THEN 'jobs' ELSE 'poison' END AS sink
 FROM decoded_messages""", "decoded_messages"))
@@ -49,9 +65,10 @@ LEFT JOIN (SELECT compile_id, min((updated_at, seq)) AS e FROM status_events
   USING (compile_id)
 WHERE NOT (coalesce((s.updated_at, s.seq) > f.e, false) AND s.status = 'running')""", "status_events"))
 def q_stream_terminal_wins(spark, sf_dir):
-    land = _landing(spark, sf_dir, "status_events",
-                    lambda: Derived(spark, sf_dir).status_events().repartition(8))
-    return T.stream_terminal_wins(spark, land, FILES)
+    rows = _arriving(spark, sf_dir, "status", "updated_at", lambda: Derived(spark, sf_dir).status_events().select(
+        "compile_id", "deal_id", "seq", "status", "stage", "updated_at"))
+    told = W.drain(W.terminal_wins(rows, lease_sec=DAY), "terminal_wins")
+    return W.without_corrected(told).select("compile_id", "seq", "status", "stage")
 
 
 @register("stream_oom_first_hit", with_ctes(r"""
@@ -76,11 +93,10 @@ SELECT compile_id, message_id AS seq, {ts_text('received_at')} AS received_at,
 FROM jobs WINDOW w AS (PARTITION BY compile_id ORDER BY received_at, message_id)""", "jobs"))
 def q_stream_dedup_delivery(spark, sf_dir):
     from runlens.plans.q_admission import jobs
-    land = _landing(spark, sf_dir, "deliveries",
-                    lambda: jobs(spark, sf_dir).select(
-                        "compile_id", F.col("message_id").alias("seq"), "received_at")
-                    .repartition(8))
-    return T.stream_dedup_delivery(spark, land, FILES)
+    rows = _arriving(spark, sf_dir, "deliveries", "received_at", lambda: jobs(spark, sf_dir).select(
+        "compile_id", F.col("message_id").alias("seq"), "received_at"))
+    told = W.drain(W.dedup_delivery(rows), "dedup_delivery")
+    return W.last_word(told).select("compile_id", "seq", _text("us").alias("received_at"), "kept")
 
 
 @register("stream_budget_overrun", with_ctes(f"""
@@ -108,15 +124,39 @@ WHERE ended_at IS NULL
   AND last_at < make_timestamp(epoch_us(now) - CAST(24 * 60 * 60 AS BIGINT) * 1000000)""", "run_spans"))
 def q_stream_stale_runs(spark, sf_dir):
     from runlens.plans.q_health import STALE_MINUTES
-    land = _landing(spark, sf_dir, "status_events",
-                    lambda: Derived(spark, sf_dir).status_events().repartition(8))
-    r = T.stream_stale_runs(spark, land, STALE_MINUTES, FILES)
-    return r.select("compile_id", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_at"))
+    # a last row as late as the watermark allows brings it to the newest write
+    rows = _arriving(spark, sf_dir, "status", "updated_at", lambda: Derived(spark, sf_dir).status_events().select(
+        "compile_id", "deal_id", "seq", "status", "stage", "updated_at"), closing_days=4 / 24)
+    closed = W.drain(W.silences(rows, STALE_MINUTES), "silences")
+    return W.stale_now(closed).select("compile_id", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_at"))
 
 
 @register("stream_cancel_once", ORACLE["cancel_once"])
 def q_stream_cancel_once(spark, sf_dir):
     d = Derived(spark, sf_dir)
-    land = _landing(spark, sf_dir, "status_events", lambda: d.status_events().repartition(8))
-    asked = _landing(spark, sf_dir, "cancel_requests", lambda: d.cancel_requests().repartition(8))
-    return T.stream_cancel_once(spark, land, asked, FILES)
+    rows = _arriving(spark, sf_dir, "status", "updated_at", lambda: d.status_events().select(
+        "compile_id", "deal_id", "seq", "status", "stage", "updated_at"), closing_days=10)
+    asked = _arriving(spark, sf_dir, "cancel_requests", "requested_at", d.cancel_requests, closing_days=10)
+    return W.consumed_by(W.drain(W.cancels(asked, rows, "24 hours", "24 hours", apart="4 days"), "cancels"))
+
+
+def _pickups(spark, sf_dir):
+    """The stream of deliveries, those of compiles that must not run again."""
+    from runlens.operators.admission import previous_final
+    from runlens.plans.q_admission import jobs
+    rows = _arriving(spark, sf_dir, "pickups", "received_at",
+                     lambda: jobs(spark, sf_dir).select("compile_id", "message_id", "received_at"), closing_days=1)
+    known = previous_final(rows, Derived(spark, sf_dir).status_events())
+    return known.where(F.col("blocked_stage").isNotNull() | (F.col("compile_id") == W.CLOSING))   # the closing row moves the time on
+
+
+@register("stream_hourly_repeats", ORACLE["hourly_repeats"])
+def q_stream_hourly_repeats(spark, sf_dir):
+    closed = W.drain(W.repeat_counts(_pickups(spark, sf_dir)), "hourly_repeats")
+    return closed.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("window_start"), "repeats")
+
+
+@register("stream_hourly_repeats_sliding", ORACLE["hourly_repeats_sliding"])
+def q_stream_hourly_repeats_sliding(spark, sf_dir):
+    closed = W.drain(W.repeat_counts(_pickups(spark, sf_dir), slide="15 minutes"), "hourly_repeats_sliding")
+    return closed.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("window_start"), "repeats")

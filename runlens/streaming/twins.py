@@ -1,6 +1,7 @@
-"""Structured Streaming twins of the batch operators (ST1-ST7, ST9).
+"""Structured Streaming twins of the batch operators ST1-ST3 and ST7; those
+whose state ends with a watermark (ST4-ST6, ST8, ST9) are in ``stateful``.
 
-Every twin keeps what its rule needs as mergeable parts: each micro-batch is
+Every twin here keeps what its rule needs as mergeable parts: each micro-batch is
 reduced by JVM aggregates to one row per key (a first time, a last time, a
 first hit) or to the rows themselves, and written under its epoch, so that a
 replayed epoch replaces its own part. The result is read by merging the parts
@@ -96,15 +97,6 @@ def stream_latest(spark: SparkSession, landing: str, key: str = "deal_id",
     return merge(parts, [key], w=F.max("w")).select(key, "w.*")
 
 
-# ------------------------------------------------------------------ ST5
-def stream_terminal_wins(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    """ST5: 'running' rows after a run's first end are dropped. The rows are
-    kept per epoch; an end that arrives late takes back the rows it ends."""
-    rows = write_parts(landing_stream(spark, landing, max_files), "stream_terminal_wins",
-                       lambda b: b.select("compile_id", "seq", "status", "stage", "updated_at"))
-    return H.terminal_wins(rows).select("compile_id", "seq", "status", "stage")
-
-
 # ------------------------------------------------------------------ ST2
 def stream_oom_first_hit(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
     """ST2: the first sample per run at or over its memory ceiling."""
@@ -114,18 +106,7 @@ def stream_oom_first_hit(spark: SparkSession, landing: str, max_files: int | Non
                         "seq", "rss_bytes", "status", "stage", "error")
 
 
-# ------------------------------------------------------------------ ST9
-def stream_dedup_delivery(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    """ST9: a delivery is kept when it is a compile's first or the one before
-    is older than the lease ceiling; a late delivery moves its successor's
-    predecessor, so the rows are kept and judged when read."""
-    rows = write_parts(landing_stream(spark, landing, max_files), "stream_dedup_delivery",
-                       lambda b: b.select("compile_id", "seq", "received_at"))
-    return H.dedup_delivery(rows).select(
-        "compile_id", "seq", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("received_at"), "kept")
-
-
-# ------------------------------------------------------------------ ST3, ST4, ST6
+# ------------------------------------------------------------------ ST3
 def stream_spans(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
     """One row per run: first write, last write, first end."""
     end = F.when(F.col("status").isin(*RUN_ENDS), F.col("updated_at"))
@@ -142,17 +123,3 @@ def stream_budget_overrun(spark: SparkSession, landing: str, budgets: DataFrame,
     """ST3: runs that went on beyond their budget; "now" is the newest write."""
     spans = stream_spans(spark, landing, max_files)
     return H.budget_overrun(spans, budgets.select("compile_id", "budget_sec"), spans.agg(F.max("last_at")).scalar())
-
-
-def stream_stale_runs(spark: SparkSession, landing: str, minutes: float, max_files: int | None = None) -> DataFrame:
-    """ST4: runs without an end that wrote nothing for ``minutes``."""
-    spans = stream_spans(spark, landing, max_files)
-    return (H.stale_runs(spans, spans.agg(F.max("last_at")).scalar(), minutes)
-             .filter("stale").select("compile_id", "last_at"))
-
-
-def stream_cancel_once(spark: SparkSession, landing: str, requests_landing: str,
-                       max_files: int | None = None) -> DataFrame:
-    """ST6: each request is consumed by the first run it reaches."""
-    requests = write_parts(landing_stream(spark, requests_landing, max_files), "stream_cancel_requests", lambda b: b)
-    return H.cancel_once(requests.drop("epoch"), stream_spans(spark, landing, max_files))

@@ -11,13 +11,15 @@ def test_range_equals_window(spark):
         F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 31 == 1, F.lit(None))
          .otherwise(F.concat(F.lit("k"), (F.col("id") % 17).cast("string"))).alias("k"),
         (F.col("id") * 7 % 1000).alias("t"), F.col("id").alias("e"),
-        F.when(F.col("id") % 4 > 0, F.col("id") % 5).alias("v"), F.xxhash64("id").alias("x"))
+        F.when(F.col("id") % 4 > 0, F.col("id") % 5).alias("v"), F.xxhash64("id").alias("x"),
+        F.when(F.col("id") % 9 > 2, F.struct(F.col("id") * 31 % 71, F.col("id").cast("string"))).alias("s"))
     w = Window.partitionBy("k").orderBy("t", "e")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     want = (df.withColumn("seq_idx", F.row_number().over(w).cast("bigint"))
               .withColumn("run_v", F.sum(F.col("v").cast("double")).over(upto))
-              .withColumn("xor_x", F.bit_xor("x").over(upto)))
-    got = sequence_index(df, ["k"], ["t", "e"], sums=["v"], xors=["x"], partitions=7)
+              .withColumn("xor_x", F.bit_xor("x").over(upto))
+              .withColumn("max_v", F.max("v").over(upto)).withColumn("min_s", F.min("s").over(upto)))
+    got = sequence_index(df, ["k"], ["t", "e"], sums=["v"], xors=["x"], maxs=["v"], mins=["s"], partitions=7)
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 

@@ -31,27 +31,12 @@ def _same(a, b):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
 
 
-def test_late_end_takes_back_later_rows(spark, status):
-    got = T.stream_terminal_wins(spark, status, max_files=1)
-    _same(got, H.terminal_wins(spark.read.parquet(status)))
-    assert {r.seq for r in got.collect()} == {1, 2, 4, 5, 6}
-
-
 def test_spans_rules(spark, status):
     events = spark.read.parquet(status)
     spans = S.run_spans(events)
     now = events.agg(F.max("updated_at")).scalar()
     budgets = spark.createDataFrame([("c", 5.0), ("k", 100.0), ("m", 0.0)], "compile_id string, budget_sec double")
     _same(T.stream_budget_overrun(spark, status, budgets, 1), H.budget_overrun(spans, budgets, now))
-    _same(T.stream_stale_runs(spark, status, 60.0, 1), H.stale_runs(spans, now, 60.0).where("stale"))
-    assert [r.compile_id for r in T.stream_stale_runs(spark, status, 60.0, 1).collect()] == ["k"]
-
-
-def test_latest_and_redelivery(spark):
-    rows = [("c", 2, 3600), ("c", 1, 0), ("c", 3, 3600 + 5 * 3600), ("b", 4, 7)]
-    land = _land(spark, rows, "compile_id string, seq long, t long", "received_at")
-    got = T.stream_dedup_delivery(spark, land, max_files=1)
-    assert sorted((r.seq, r.kept) for r in got.collect()) == [(1, True), (2, False), (3, True), (4, True)]
 
 
 def test_first_memory_hit(spark):
@@ -61,13 +46,6 @@ def test_first_memory_hit(spark):
     assert [(r.compile_id, r.seq) for r in T.stream_oom_first_hit(spark, land, max_files=1).collect()] == [("c", 1)]
 
 
-def test_cancel_is_consumed_once(spark, status):
-    req = [(1, "d", " c\n", 15), (2, "d", " ", 15), (3, "e", "c", 15), (4, "e", None, 60), (5, "d", "c", 25)]
-    land = _land(spark, req, "request_id long, deal_id string, compile_id string, t long", "requested_at")
-    got = {r.request_id: r.cancelled_run for r in T.stream_cancel_once(spark, status, land, 1).collect()}
-    assert got == {1: "c", 2: "c", 3: None, 4: "k", 5: None}
-
-
 def test_compacted_parts_merge_with_later_ones(spark, status):
     parts = T.write_parts(T.landing_stream(spark, status, 1), "test", lambda b: b.groupBy("compile_id").agg(F.max("seq").alias("s")))
     out = tempfile.mkdtemp(prefix="compact-") + "/parts"
