@@ -11,7 +11,8 @@ def col_(c) -> Column:
 
 
 # The characters that str.strip() takes off.
-PY_SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+PY_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
 
 
 def blank_to_null(c) -> Column:
@@ -27,9 +28,9 @@ def first_nonblank(*cols) -> Column:
 
 def py_strip(c) -> Column:
     """``str.strip()``: leading and trailing whitespace, not just spaces."""
-    return F.regexp_replace(col_(c), f"^[{PY_SPACE}]+|[{PY_SPACE}]+\\z", "")
+    return F.btrim(col_(c), F.lit(PY_SPACE))
 
 
 def py_lstrip(c) -> Column:
     """``str.lstrip()``."""
-    return F.regexp_replace(col_(c), f"^[{PY_SPACE}]+", "")
+    return F.ltrim(col_(c), F.lit(PY_SPACE))

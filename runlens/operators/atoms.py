@@ -166,6 +166,43 @@ def envelope_rollup(ui: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("atom_type")), ",").alias("atom_types"))
 
 
+def project_with(atoms: DataFrame, by: str, partial: Callable, merge: Callable, finish: Callable, schema: str,
+                 salts: int = 16) -> DataFrame:
+    """U2 hook: a user's projection of all rows of a key, in parts, so that no
+    task holds a key's rows. ``partial(rows: pandas.DataFrame) -> state`` gets
+    a key's rows of one Arrow batch, ``merge(state, state) -> state`` must not
+    depend on the order, ``finish(key, state) -> dict`` makes the key's row.
+    A state is any value that pickles; its size is the user's to bound. A null
+    key is a key."""
+    import pickle
+
+    import pandas as pd
+
+    from runlens.session import ship_package
+    ship_package(atoms.sparkSession)
+
+    def parts(batches):
+        for pdf in batches:
+            got = [(None if pd.isna(k) else k, pickle.dumps(partial(rows))) for k, rows in pdf.groupby(by, dropna=False, sort=False)]
+            yield pd.DataFrame({"key": pd.Series([k for k, _ in got], dtype=object), "state": [s for _, s in got]})
+
+    def together(pdf):
+        state = pickle.loads(pdf["state"].iloc[0])
+        for s in pdf["state"].iloc[1:]:
+            state = merge(state, pickle.loads(s))
+        return state
+
+    def merged(pdf):
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "state": [pickle.dumps(together(pdf))]})
+
+    def last(pdf):
+        key = pdf["key"].iloc[0]
+        return pd.DataFrame([finish(None if pd.isna(key) else key, together(pdf))])
+    kind = f"key {atoms.schema[by].dataType.simpleString()}, state binary"
+    some = atoms.mapInPandas(parts, kind).withColumn("salt", F.pmod(F.xxhash64("state", F.monotonically_increasing_id()), F.lit(salts)))
+    return some.groupBy("key", "salt").applyInPandas(merged, kind).groupBy("key").applyInPandas(last, schema)
+
+
 def draft_markdown(rollup: DataFrame, by_type: DataFrame) -> DataFrame:
     """A markdown draft per deal; only the contract (text, version,
     length) is the reference's, the content is ours."""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.text import blank_to_null
+from runlens.operators.ordered import with_previous
 from runlens.operators.sequence import sequence_index, with_lag
 from runlens.operators.status import RUN_ENDS, latest_by, latest_progress
 
@@ -269,30 +270,19 @@ def attempt_overlap(attempts: DataFrame) -> DataFrame:
 
 def stage_rate(progress: DataFrame, span: int = 5) -> DataFrame:
     """Per (compile, stage) sample, the instantaneous items/second from
-    the previous sample, the rate over the last ``span`` samples, and the
-    remaining items. Lags are equi-joins on the skew-safe sequence index."""
-    keys = ["compile_id", "current_stage"]
-    idx = sequence_index(progress, keys, ["updated_at", "seq"])
-    prev = idx.select(*keys, (F.col("seq_idx") + 1).alias("seq_idx"),
-                      F.col("stage_items_done").alias("p_done"),
-                      F.col("updated_at").alias("p_at"))
-    back = idx.select(*keys, F.col("seq_idx").alias("b_idx"),
-                      F.col("stage_items_done").alias("b_done"),
-                      F.col("updated_at").alias("b_at"))
-    j = (idx.join(prev, [*keys, "seq_idx"], "left")
-            .withColumn("b_idx", F.greatest(F.col("seq_idx") - (span - 1), F.lit(1)))
-            .join(back, [*keys, "b_idx"], "left"))
-
-    def rate(done_a, at_a, done_b, at_b):
-        dt = (F.unix_micros(at_a) - F.unix_micros(at_b)) / 1e6
-        return F.when(dt > 0, (done_a - done_b) / dt)
-    return j.select(
-        *keys, "seq", "seq_idx",
-        rate(F.col("stage_items_done"), F.col("updated_at"), F.col("p_done"), F.col("p_at"))
-        .alias("rate"),
-        rate(F.col("stage_items_done"), F.col("updated_at"), F.col("b_done"), F.col("b_at"))
-        .alias("rate_window"),
-        (F.col("stage_items_total") - F.col("stage_items_done")).alias("remaining"))
+    the previous sample, the rate over the last ``span`` samples (fewer at the
+    start), and the remaining items. One sorted pass."""
+    keys, look = ["compile_id", "current_stage"], ["stage_items_done", "updated_at"]
+    idx = with_previous(progress.select(*keys, "seq", "stage_items_total", *look), keys, ["updated_at", "seq"], look, span - 1)
+
+    def rate(back):
+        dt = (F.unix_micros("updated_at") - F.unix_micros(f"prev{back}_updated_at")) / 1e6
+        return F.when(dt > 0, (F.col("stage_items_done") - F.col(f"prev{back}_stage_items_done")) / dt)
+    window = F.lit(None).cast("double")
+    for back in range(1, span):
+        window = F.when(F.col("seq_idx") > back, rate(back)).otherwise(window)
+    return idx.select(*keys, "seq", "seq_idx", rate(1).alias("rate"), window.alias("rate_window"),
+                      (F.col("stage_items_total") - F.col("stage_items_done")).alias("remaining"))
 
 
 def with_now(df: DataFrame, events: DataFrame, ts: str = "updated_at") -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.operators.ordered import exact_quantiles
 from runlens.operators.sequence import sequence_index
 
 
@@ -57,17 +58,12 @@ def stage_profile(longest: DataFrame) -> DataFrame:
                       F.round(F.col("runs_longest") / total, 6).alias("share_of_runs"))
 
 
-def exact_median(df: DataFrame, value: str, tiebreak: str) -> DataFrame:
-    """Exact median of ``value`` over all rows without one-task collection:
-    a global rank from the range-partitioned sequence primitive, then the
-    one or two middle rows (mean of both for an even count)."""
-    keyed = df.select(F.lit(0).alias("_g"), value, tiebreak)
-    idx = sequence_index(keyed, ["_g"], [value, tiebreak])
-    n = df.agg(F.count(F.lit(1))).scalar()
-    lo = F.floor((n + 1) / 2)
-    hi = F.ceil((n + 1) / 2)
-    mid = idx.where((F.col("seq_idx") == lo) | (F.col("seq_idx") == hi))
-    return mid.agg(F.avg(value).alias("median")).select(n.alias("runs"), "median")
+def exact_median(df: DataFrame, value: str) -> DataFrame:
+    """A10: the exact median of ``value`` and the number of rows that have
+    one: the one or two middle values, found by sketches and counts."""
+    n, mid = exact_quantiles(df, value, lambda n: [(n + 1) // 2, n // 2 + 1])
+    median = sum(mid) / len(mid) if mid else None
+    return df.sparkSession.createDataFrame([(n, median)], "runs long, median double")
 
 
 def trace_summary(status_events: DataFrame, calls: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def q_stage_profile(spark, sf_dir):
     f"SELECT count(*) AS runs, round(median(share), 9) AS median FROM ({_LONGEST})", "stage_timings"))
 def q_longest_share_median(spark, sf_dir):
     r = TR.run_stage_totals(Derived(spark, sf_dir).stage_timings())
-    m = TR.exact_median(r, "share", "compile_id")
+    m = TR.exact_median(r, "share")
     return m.select("runs", F.round("median", 9).alias("median"))
 
 

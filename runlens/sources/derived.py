@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.session import materialized
 from runlens.sources.tables import read_table
 
 # Fixed values of the synthetic job domain (names are ours).
@@ -156,6 +157,10 @@ class Derived:
             F.concat(F.lit("p"), _s(F.col("user_id") % 2)).alias("parser_sha"))
 
     def progress_events(self) -> DataFrame:
+        """Written once per version of the data, like any table of records."""
+        return materialized(self.spark, "progress_events", self.sf_dir, self._progress_events)
+
+    def _progress_events(self) -> DataFrame:
         from runlens.operators.sequence import sequence_index
 
         ev = self._events()
