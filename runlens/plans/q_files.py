@@ -12,6 +12,8 @@ from runlens.plans.oracle_ctes import with_ctes
 from runlens.plans.registry import register
 from runlens.session import written_once
 from runlens.sources import files as FS
+from runlens.sources import manifests as MA
+from runlens.sources import objects as OB
 from runlens.sources.derived import Derived
 
 def _files(spark, sf_dir, name, write) -> str:
@@ -49,20 +51,124 @@ def q_marker_scan(spark, sf_dir):
     return FS.read_markers(spark, path).select("compile_id", "deal_id", "replica", "boot_id")
 
 
-@register("artifact_bytes", r"""
-SELECT source AS deal_id, count(*) AS documents, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes
-FROM documents GROUP BY source""")
+# What the object store holds of every page: nothing, a byte changed, cut short, or all of it.
+_OBJECTS = """
+SELECT 'deal' || (page_id % 20) AS deal_id, page_id, octet_length(encode(html)) AS size,
+       CASE WHEN page_id % 50 = 0 THEN 'missing' WHEN page_id % 43 = 0 THEN 'size_differs'
+            WHEN page_id % 41 = 0 THEN 'digest_differs' ELSE 'ok' END AS state
+FROM pages WHERE length(html) > 1"""
+
+
+def _objects(spark, sf_dir):
+    """(manifest, folder): the pages as objects of their deals, some damaged;
+    every tenth page is also rendered as a sheet."""
+    k = F.col("page_id")
+    pages = Derived(spark, sf_dir).t("pages").where(F.length("html") > 1)
+    deal = F.concat(F.lit("deal"), (k % 20).cast("string"))
+    page = pages.select(deal.alias("deal_id"), "page_id", "html", F.concat(deal, F.lit("/p "), k.cast("string"), F.lit(".html")).alias("rel_path"))
+    held = (F.when(k % 43 == 0, F.left("html", F.floor(F.length("html") / 2).cast("int")))
+             .when(k % 41 == 0, F.concat(F.left("html", F.length("html") - 1), F.lit("~"))).otherwise(F.col("html")))
+
+    def write(path):
+        stored = page.where("page_id % 50 <> 0").select("rel_path", held.cast("binary").alias("content"))
+        sheets = pages.where("page_id % 10 = 3").select(
+            F.concat(deal, F.lit("/sheets/s"), k.cast("string"), F.lit(".sheet.svg")).alias("rel_path"), F.col("html").cast("binary").alias("content"))
+        OB.write_objects(stored.unionByName(sheets), path)
+    manifest = page.select("deal_id", "rel_path", F.octet_length("html").cast("bigint").alias("size"), F.sha2("html", 256).alias("content_sha256"))
+    return manifest, _files(spark, sf_dir, "objects", write)
+
+
+@register("artifact_bytes", f"""
+SELECT deal_id, count(*) AS documents, CAST(coalesce(sum(size) FILTER (WHERE state = 'ok'), 0) AS BIGINT) AS bytes,
+       count(*) FILTER (WHERE state = 'missing') AS missing, count(*) FILTER (WHERE state IN ('size_differs', 'digest_differs')) AS damaged
+FROM ({_OBJECTS}) GROUP BY deal_id""")
 def q_artifact_bytes(spark, sf_dir):
+    """S3: contents met with the manifest by path, size and digest."""
+    manifest, folder = _objects(spark, sf_dir)
+    checked = OB.check_objects(manifest, OB.read_objects(spark, folder, "*.html"))
+    return checked.groupBy("deal_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.when(F.col("state") == "ok", F.col("found_size"))), F.lit(0)).alias("bytes"),
+        F.count_if(F.col("state") == "missing").alias("missing"),
+        F.count_if(F.col("state").isin("size_differs", "digest_differs")).alias("damaged"))
+
+
+@register("artifact_states", f"SELECT deal_id, page_id, size, state FROM ({_OBJECTS}) WHERE state <> 'ok'")
+def q_artifact_states(spark, sf_dir):
+    """S3: the artifacts that cannot be used, and why."""
+    manifest, folder = _objects(spark, sf_dir)
+    bad = OB.check_objects(manifest, OB.read_objects(spark, folder, "*.html")).where("state <> 'ok'")
+    return bad.select("deal_id", F.regexp_extract("rel_path", r"p (\d+)\.html$", 1).cast("bigint").alias("page_id"), "size", "state")
+
+
+@register("sheet_scan", """
+SELECT 's' || page_id AS key, octet_length(encode(html)) AS size FROM pages WHERE page_id % 10 = 3 AND length(html) > 1""")
+def q_sheet_scan(spark, sf_dir):
+    return OB.sheet_scan(spark, _objects(spark, sf_dir)[1])
+
+
+PART = 1000    # artifacts in a manifest document
+
+_DOCS = """
+SELECT a.deal_id, a.pos // 1000 AS part, (a.m.deal_no + a.pos // 1000) % 7 AS kind, a.pos AS doc_pos, a.content_sha256,
+       row_number() OVER (PARTITION BY a.deal_id, a.pos // 1000 ORDER BY a.pos) - 1 AS pos,
+       coalesce(nullif(a.blob_url, ''), nullif(a.url, '')) AS src,
+       coalesce(nullif(a.filename, ''), nullif(a.path, ''), nullif(a.name, '')) AS rel,
+       nullif(trim(a.m.as_of), '') AS as_of, a.m.context_domain_pack, a.m.domain_pack, a.m.deal_no
+FROM (SELECT x.*, m FROM artifacts x JOIN manifests m USING (deal_id)) a"""
+
+
+def _manifest_files(spark, sf_dir, earlier=False):
+    """Manifest documents, a file each; some torn, some not an object. An
+    earlier run's lack some artifacts, and some of them a scope."""
+    d = Derived(spark, sf_dir)
+
     def write(path):
-        (Derived(spark, sf_dir).t("documents").select("source", "text")
-         .write.mode("overwrite").partitionBy("source").text(path))
-    docs = Derived(spark, sf_dir).t("documents").groupBy(F.col("source").alias("deal_id")).agg(
-        F.count(F.lit(1)).alias("documents"))
-    path = _files(spark, sf_dir, "document_files", write)
-    listing = FS.scan_files(spark, path, "*.txt")
-    per_deal = listing.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("deal_id"),
-                              "size").groupBy("deal_id").agg(F.sum("size").alias("bytes"))
-    return docs.join(per_deal, "deal_id")
+        a, m = d.artifacts(), d.manifests()
+        a = a.where("pos % 130 <> 7") if earlier else a
+        m = m.where("deal_no <> 19").withColumn("as_of", F.expr("CASE WHEN deal_no % 5 <> 0 THEN as_of END")) if earlier else m
+        part = F.floor(F.col("pos") / PART).cast("bigint")
+        docs = a.withColumn("part", part).groupBy("deal_id", "part").agg(F.array_sort(F.collect_list(F.struct(
+            "pos", "content_sha256", "blob_url", "url", "filename", "path", "name"))).alias("artifacts")).join(m, "deal_id")
+        doc = F.to_json(F.struct("deal_id", "part", F.struct("as_of", F.col("context_domain_pack").alias("domain_pack")).alias("context"),
+                                 "domain_pack", F.transform("artifacts", lambda e: e.dropFields("pos")).alias("artifacts")))
+        kind = F.lit(0) if earlier else (F.col("deal_no") + F.col("part")) % 7
+        text = F.when(kind == 3, F.left(doc, F.length(doc) - 5)).when(kind == 5, F.concat(F.lit("["), doc, F.lit("]"))).otherwise(doc)
+        docs.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return MA.read_manifests(spark, _files(spark, sf_dir, "manifest_documents" + "_earlier" * earlier, write))
+
+
+@register("manifest_documents", with_ctes(f"""
+SELECT CASE WHEN ok THEN deal_id END AS deal_id, CASE WHEN ok THEN part END AS part, CASE WHEN ok THEN any_value(as_of) END AS as_of,
+       CASE WHEN ok THEN any_value(context_domain_pack) END AS context_domain_pack, CASE WHEN ok THEN any_value(domain_pack) END AS domain_pack,
+       CASE WHEN ok THEN count(*) ELSE 0 END AS n_artifacts, CASE kind WHEN 3 THEN 'unreadable' WHEN 5 THEN 'not_an_object' END AS broken
+FROM (SELECT *, kind NOT IN (3, 5) AS ok FROM ({_DOCS})) GROUP BY deal_id, part, kind, ok""", "artifacts", "manifests"))
+def q_manifest_documents(spark, sf_dir):
+    return _manifest_files(spark, sf_dir).select("deal_id", "part", "as_of", "context_domain_pack", "domain_pack",
+                                                 F.size("artifacts").cast("bigint").alias("n_artifacts"), "broken")
+
+
+@register("manifest_artifacts", with_ctes(f"""
+SELECT deal_id, part, pos, src AS source_url, ltrim(ltrim(rel, '/'), '\\') AS rel_path, content_sha256
+FROM ({_DOCS}) WHERE kind NOT IN (3, 5) AND src IS NOT NULL AND rel IS NOT NULL""", "artifacts", "manifests"))
+def q_manifest_artifacts(spark, sf_dir):
+    return MA.manifest_artifacts(_manifest_files(spark, sf_dir))
+
+
+@register("manifest_keys", with_ctes(f"""
+SELECT n.deal_id, n.part, n.key AS artifact_key, o.key IS NOT NULL AS has_record, n.deal_no % 6 = 0 AS force,
+       CASE WHEN n.deal_no % 6 <> 0 AND coalesce(o.key = n.key AND o.as_of IS NOT DISTINCT FROM n.as_of, false)
+            THEN 'skip_unchanged' ELSE 'compile' END AS decision, decision AS digest_decision
+FROM (SELECT deal_id, part, kind, deal_no, as_of, sha256(array_to_string(list_sort(list(coalesce(content_sha256, ''))), chr(10))) AS key
+      FROM ({_DOCS}) GROUP BY ALL) n
+LEFT JOIN (SELECT deal_id, part, CASE WHEN deal_no % 5 <> 0 THEN as_of END AS as_of,
+                  sha256(array_to_string(list_sort(list(coalesce(content_sha256, ''))), chr(10))) AS key
+           FROM ({_DOCS}) WHERE doc_pos % 130 <> 7 AND deal_no <> 19 GROUP BY deal_id, part, deal_no, as_of) o
+  ON n.deal_id = o.deal_id AND n.part = o.part
+WHERE n.kind NOT IN (3, 5)""", "artifacts", "manifests"))
+def q_manifest_keys(spark, sf_dir):
+    """A1 and J1 over documents: the exact key, and the digest's decision beside it."""
+    forced = F.substring("deal_id", 4, 10).cast("int") % 6 == 0
+    return MA.manifest_decisions(_manifest_files(spark, sf_dir), _manifest_files(spark, sf_dir, earlier=True), forced)
 
 
 @register("run_index_days", with_ctes(r"""

@@ -44,16 +44,6 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*", content: bool =
     return df.select(*cols, "content") if content else df.select(*cols)
 
 
-def sheet_scan(spark: SparkSession, path: str, suffix: str = ".sheet.svg") -> DataFrame:
-    """Rendered sheets under a folder, keyed by file stem; unreadable
-    files are skipped by the binary source (``ignoreCorruptFiles``)."""
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-               .option("ignoreCorruptFiles", "true").option("pathGlobFilter", f"*{suffix}")
-               .load(path).select("path", "length"))
-    stem = F.regexp_extract("path", "([^/]+)" + suffix.replace(".", "\\.") + "$", 1)
-    return df.select(stem.alias("key"), F.col("length").alias("size"))
-
-
 def write_status_events(events: DataFrame, path: str, batch_id: str | int = 0) -> None:
     """Status rows by day of ``updated_at`` and by write: writing a batch
     again replaces the rows of its first try, so a retry adds none twice."""
