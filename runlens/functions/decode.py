@@ -72,12 +72,13 @@ JOB_PATHS = {
     "triggeredBy": "$.triggeredBy", "trigger": "$.trigger", "trigger_by": "$.trigger.by",
     "trigger_kind": "$.trigger.kind", "kind": "$.kind",
     "allow_errors": "$.compile_options.allow_errors",
+    "abstain": "$.compile_options.abstain_threshold",
     "allow_unverified": "$.compile_options.allow_unverified_receipts",
     "use_cache": "$.compile_options.use_cache",
 }
 
 
-UNTYPED_PATHS = ("domain_pack", "kind", "allow_errors", "allow_unverified", "use_cache")
+UNTYPED_PATHS = ("domain_pack", "kind", "allow_errors", "allow_unverified", "use_cache", "abstain")
 
 
 def with_fields(df, vcol: str, paths: dict[str, str]):

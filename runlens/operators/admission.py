@@ -49,7 +49,8 @@ def decode_messages(raw: DataFrame) -> DataFrame:
         "triggered_by", "trigger_kind",
         F.try_variant_get("x_allow_errors", "$", "boolean").alias("opt_allow_errors"),
         F.try_variant_get("x_allow_unverified", "$", "boolean").alias("opt_allow_unverified"),
-        F.try_variant_get("x_use_cache", "$", "boolean").alias("opt_use_cache"))
+        F.try_variant_get("x_use_cache", "$", "boolean").alias("opt_use_cache"),
+        F.try_variant_get("x_abstain", "$", "double").alias("opt_abstain_threshold"))
 
 
 def budget_sec(n_docs: Column) -> Column:
@@ -63,7 +64,8 @@ def budget_sec(n_docs: Column) -> Column:
 
 def job_options(jobs: DataFrame, manifests: DataFrame) -> DataFrame:
     """Domain pack from job, then manifest context, then manifest
-    (blanks count as missing); compile defaults from compile_options."""
+    (blanks count as missing); compile defaults from compile_options; no
+    abstain threshold unless they name one."""
     m = manifests.select("deal_id", "context_domain_pack",
                          F.col("domain_pack").alias("manifest_domain_pack"))
     return jobs.join(m, "deal_id", "left").select(
@@ -72,7 +74,8 @@ def job_options(jobs: DataFrame, manifests: DataFrame) -> DataFrame:
         .alias("domain_pack"),
         F.coalesce("opt_allow_errors", F.lit(True)).alias("allow_errors"),
         F.coalesce("opt_allow_unverified", F.lit(True)).alias("allow_unverified"),
-        F.coalesce("opt_use_cache", F.lit(False)).alias("use_cache"))
+        F.coalesce("opt_use_cache", F.lit(False)).alias("use_cache"),
+        F.col("opt_abstain_threshold").alias("abstain_threshold"))
 
 
 def previous_final(jobs: DataFrame, status_events: DataFrame) -> DataFrame:

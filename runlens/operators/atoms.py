@@ -78,6 +78,14 @@ def flatten_atoms(atoms: DataFrame) -> DataFrame:
     s4 = s3.select("*", body.alias("_body"),
                    F.when(lab != "", filled).otherwise(loc).alias("locator_out"))
     b = F.col("_body")
+    # The maps as they are written: body, speaker and said_by filled in, every other key as it came.
+    own = F.array(
+        F.struct(F.lit("text").alias("key"), F.when(b != "", b).alias("value")),
+        F.struct(F.lit("speaker").alias("key"), F.when((F.col("_spk") != "") & missing(val, "speaker"), F.col("_spk")).alias("value")),
+        F.struct(F.lit("said_by").alias("key"), F.when((F.col("_said") != "") & missing(val, "said_by"), F.col("_said")).alias("value")))
+    put = F.map_from_entries(F.filter(own, lambda e: e["value"].isNotNull()))
+    value_out = F.map_concat(F.map_filter(val, lambda k, v: ~F.array_contains(F.map_keys(put), k)), put)
+    s4 = s4.withColumn("value_out", value_out)
     return s4.select(
         "id", "deal_id", F.coalesce(F.col("atom_type"), F.lit("unknown")).alias("atom_type"),
         "confidence", "calibrated_confidence", "verified",
@@ -98,7 +106,24 @@ def flatten_atoms(atoms: DataFrame) -> DataFrame:
         F.try_element_at("locator_out", F.lit("section_path")).alias("locator_section_path"),
         F.try_element_at("locator_out", F.lit("speaker")).alias("locator_speaker"),
         F.try_element_at("locator_out", F.lit("party")).alias("locator_party"),
-        F.coalesce("parser_version", F.lit("")).alias("parser_version"))
+        F.coalesce("parser_version", F.lit("")).alias("parser_version"),
+        F.col("value_out").alias("value"), F.col("locator_out").alias("locator"))
+
+
+def picked(ui: DataFrame) -> DataFrame:
+    """The flat columns of the flattened atoms, without the open maps."""
+    return ui.drop("value", "locator")
+
+
+def open_entries(atoms: DataFrame) -> DataFrame:
+    """(id, place, key, value): every key of the VARIANT columns ``value`` and
+    ``locator`` of stored atoms, whatever keys they have."""
+    out = None
+    for place in ("value", "locator"):
+        m = F.explode(F.try_variant_get(place, "$", "map<string,string>"))
+        part = atoms.select("id", F.lit(place).alias("place"), m.alias("key", "value"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def atoms_by_type(ui: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ GIB = 1073741824
 KEPT_PROGRESS_FIELDS = ("stages", "started_at", "stage_count_done", "stage_count_total_estimate", "triggered_by",
                         "trigger_kind", "stage_items_done", "stage_items_total")
 PROGRESS_ERROR_MAX = 500
+TRACEBACK_MAX = 4000
 LEASE_MAX_SEC = 4 * 3600
 
 
@@ -62,7 +63,8 @@ def oom_message(stage: Column, done: Column, total: Column, used: Column,
 
 def failure_class(errors: DataFrame) -> DataFrame:
     """P14 + F5: permanent (missing blob) failures are dropped with exit 2 as
-    ``dead_deal``; anything else is transient, exit 1, left for retry."""
+    ``dead_deal``; anything else is transient, exit 1, left for retry. The row
+    written tells the error with its type and the start of the traceback."""
     msg = F.lower(F.col("error"))
     permanent = (msg.contains("blobnotfound")
                  | msg.contains("the specified blob does not exist")
@@ -71,7 +73,8 @@ def failure_class(errors: DataFrame) -> DataFrame:
         "error_id", "compile_id", permanent.alias("permanent"),
         F.when(permanent, "dead_deal").otherwise("exception").alias("stage"),
         F.when(permanent, 2).otherwise(1).alias("exit_code"),
-        F.when(permanent, "drop").otherwise("retry").alias("disposition"))
+        F.when(permanent, "drop").otherwise("retry").alias("disposition"),
+        F.concat_ws(": ", "error_type", "error").alias("error"), F.left("traceback", F.lit(TRACEBACK_MAX)).alias("traceback"))
 
 
 def current_boots(boots: DataFrame) -> DataFrame:
@@ -150,10 +153,11 @@ def cancel_match(requests: DataFrame, active: DataFrame) -> DataFrame:
                     run.alias("cancelled_run"), run.isNotNull().alias("matched"))
 
 
-def oom_first_hit(samples: DataFrame) -> DataFrame:
+def oom_first_hit(samples: DataFrame, progress_events: DataFrame) -> DataFrame:
     """ST2 (batch): the first sample per compile with rss >= limit * fraction
-    (equality fires); a zero limit or fraction disables the guard."""
-    return oom_failures(first_hits(samples))
+    (equality fires); a zero limit or fraction disables the guard. Stage and
+    items are those of the deal's progress."""
+    return oom_failures(first_hits(samples), progress_events)
 
 
 def first_hits(samples: DataFrame) -> DataFrame:
@@ -165,15 +169,16 @@ def first_hits(samples: DataFrame) -> DataFrame:
         F.min(F.struct("sampled_at", "seq", "deal_id", "rss_bytes", "limit_bytes")).alias("f"))
 
 
-def oom_failures(first: DataFrame) -> DataFrame:
-    """The terminal write that a first hit causes."""
-    return first.select(
+def oom_failures(first: DataFrame, progress_events: DataFrame) -> DataFrame:
+    """The terminal write that a first hit causes (P13 with the stage and items
+    of the deal's latest progress, if it has one)."""
+    at = latest_progress(progress_events).select(F.col("deal_id").alias("_deal"), "current_stage", "stage_items_done", "stage_items_total")
+    return first.join(at, F.col("f.deal_id") == F.col("_deal"), "left").select(
         "compile_id", F.col("f.deal_id").alias("deal_id"), F.col("f.sampled_at").alias("fired_at"),
         F.col("f.seq").alias("seq"), F.col("f.rss_bytes").alias("rss_bytes"),
         F.lit("failed").alias("status"), F.lit("out_of_memory").alias("stage"),
-        oom_message(F.lit(None).cast("string"), F.lit(None).cast("bigint"),
-                    F.lit(None).cast("bigint"), F.col("f.rss_bytes"), F.col("f.limit_bytes"))
-        .alias("error"))
+        oom_message(F.col("current_stage"), F.col("stage_items_done"), F.col("stage_items_total"),
+                    F.col("f.rss_bytes"), F.col("f.limit_bytes")).alias("error"))
 
 
 def budget_overrun(spans: DataFrame, budgets: DataFrame, now: Column) -> DataFrame:

@@ -24,10 +24,12 @@ def _dir(name):
     return F.substring_index(name, "/", 1)
 
 
-def sync_plan(local: DataFrame, remote: DataFrame, remote_known: bool = True) -> DataFrame:
+def sync_plan(local: DataFrame, remote: DataFrame, remote_known: bool = True,
+              always_upload: tuple[str, ...] = ALWAYS_UPLOAD) -> DataFrame:
     """J9 + J10: per name, upload (remote lacks it or sizes differ), skip
     (same size), delete (registry only, remote-only, and only when the local
-    registry is non-empty), keep; the log and cache always upload, last.
+    registry is non-empty), keep; the names in ``always_upload`` (the log and
+    the cache) always upload, last and in that order.
     An unknown remote listing uploads everything."""
     loc = local.select("name", F.col("size").alias("local_size"))
     rem = remote.select("name", F.col("size").alias("remote_size"))
@@ -36,15 +38,14 @@ def sync_plan(local: DataFrame, remote: DataFrame, remote_known: bool = True) ->
     reg_local = (local.where(_dir(F.col("name")) == REGISTRY_DIR)
                       .agg(F.count(F.lit(1)) > 0).scalar())
     full = loc.join(rem, "name", "full_outer").withColumn("registry_has_local", reg_local)
-    always = F.col("name").isin(*ALWAYS_UPLOAD)
+    always = F.col("name").isin(*always_upload)
     action = (F.when(always & F.col("local_size").isNotNull(), "upload")
                .when(F.col("local_size").isNotNull()
                      & F.coalesce(F.col("remote_size") == F.col("local_size"), F.lit(False)), "skip")
                .when(F.col("local_size").isNotNull(), "upload")
                .when((_dir(F.col("name")) == REGISTRY_DIR) & F.col("registry_has_local"), "delete")
                .otherwise("keep"))
-    order = (F.when(F.col("name") == ALWAYS_UPLOAD[0], 1)
-              .when(F.col("name") == ALWAYS_UPLOAD[1], 2).otherwise(0))
+    order = F.coalesce(*[F.when(F.col("name") == name, i + 1) for i, name in enumerate(always_upload)], F.lit(0))
     return full.select("name", _dir(F.col("name")).alias("dir"), "local_size", "remote_size",
                        action.alias("action"), order.alias("upload_order"))
 
@@ -69,14 +70,16 @@ def store_setops(local: DataFrame, remote: DataFrame) -> DataFrame:
     return only_local.unionByName(only_remote).unionByName(both).unionByName(roots)
 
 
-def fetch_filter(names: DataFrame, include_registry: bool = False) -> DataFrame:
-    """P25: which store names the fetch downloads (ordered rules)."""
+def fetch_filter(names: DataFrame, include_registry: bool = False, live_log: str = LIVE_LOG) -> DataFrame:
+    """P25: which store names the fetch downloads (ordered rules). ``live_log``
+    is the name of the log that a service writes to, in lower case: it is
+    fetched although its name may look like a training dump's."""
     low = F.lower(F.col("name"))
     junk = (F.exists(F.array(*[F.lit(x) for x in SKIP_PREFIXES]), lambda x: low.startswith(x))
             | F.exists(F.array(*[F.lit(x) for x in SKIP_SUFFIXES]), lambda x: low.endswith(x)))
     marked = F.exists(F.array(*[F.lit(m) for m in SKIP_MARKERS]), lambda m: low.contains(m))
     registry = F.lit(not include_registry) & low.startswith(REGISTRY_DIR + "/")
-    skip = (F.when(junk, True).when(low == LIVE_LOG, False).when(marked, True)
+    skip = (F.when(junk, True).when(low == live_log, False).when(marked, True)
              .when(registry, True).otherwise(False))
     return names.select("name", (~skip).alias("fetched"))
 

@@ -53,7 +53,7 @@ FROM (
                   || '/m+' || CAST(o_orderkey AS VARCHAR) || '.json"',
              CASE WHEN o_orderkey % 4 = 0 THEN '"domain_pack": "dp' || CAST(o_orderkey % 3 AS VARCHAR) || '"'
                   WHEN o_orderkey % 4 = 1 THEN '"domain_pack": ""' END,
-             CASE WHEN o_orderkey % 13 = 0 THEN '"compile_options": {"force": "false"}' END,
+             CASE WHEN o_orderkey % 13 = 0 THEN '"compile_options": {"force": "false", "abstain_threshold": 0.' || CAST(o_orderkey % 5 AS VARCHAR) || '}' END,
              CASE WHEN o_orderkey % 11 = 0 THEN '"force": true' END,
              CASE WHEN o_orderkey % 23 = 0 THEN '"kind": "sow_draft"' END,
              CASE o_orderkey % 6
@@ -342,7 +342,8 @@ SELECT event_id AS error_id, compile_id, deal_id, updated_at AS failed_at,
        ['ResourceNotFoundError', 'HttpResponseError', 'NotFoundError', 'TimeoutError',
         'ValueError'][event_id % 5 + 1] AS error_type,
        ['ResourceNotFoundError: BlobNotFound', 'HttpResponseError: The specified blob does not exist.',
-        'NotFoundError: blob gone', 'TimeoutError: t', 'ValueError: notfound'][event_id % 5 + 1] AS error
+        'NotFoundError: blob gone', 'TimeoutError: t', 'ValueError: notfound'][event_id % 5 + 1] AS error,
+       repeat('T', CAST(3990 + event_id % 20 AS INTEGER)) AS traceback
 FROM status_events WHERE event_type = 'error'
 """, ("status_events",))
 
@@ -397,6 +398,41 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
+cte("atoms_parts", f"""
+  SELECT *, CASE WHEN label <> '' AND starts_with(body0, label)
+                      AND strpos(left(body0, length(label) + 4), ' — ') > 0
+                      AND {_strip("substr(body0, strpos(body0, ' — ') + 3)")} <> ''
+                 THEN {_strip("substr(body0, strpos(body0, ' — ') + 3)")} ELSE body0 END AS body
+  FROM (
+    SELECT *, CASE WHEN said <> '' THEN said ELSE spk END AS label
+    FROM (
+      SELECT *, {_strip("coalesce(said_by, '')")} AS said,
+             CASE WHEN {_strip("coalesce(speaker, '')")} <> '' THEN {_strip("coalesce(speaker, '')")}
+                  ELSE {_strip("coalesce(loc_speaker_eff, '')")} END AS spk,
+             CASE WHEN {_strip("coalesce(v_text, '')")} <> '' THEN {_strip("coalesce(v_text, '')")}
+                  ELSE coalesce(raw_text, '') END AS body0
+      FROM atoms_raw))
+""", ("atoms_raw",))
+
+# Every key of the written maps: what the fixture puts in, and what the rules fill in.
+_V = {"party": "CASE WHEN turn % 3 = 1 THEN 'party' || CAST(conv_id % 2 AS VARCHAR) END",
+      "speaker_role": "CASE WHEN conv_id % 4 = 0 THEN 'role' || CAST(conv_id % 3 AS VARCHAR) END",
+      "affiliation": "CASE WHEN turn % 4 = 2 THEN 'aff' || CAST(conv_id % 5 AS VARCHAR) END",
+      "voice": "CASE WHEN conv_id % 6 = 1 THEN 'v' || CAST(turn % 2 AS VARCHAR) END",
+      "org_role": "CASE WHEN (conv_id + turn) % 5 = 0 THEN 'o' END"}
+_L = {"voice": "CASE WHEN conv_id % 7 <> 0 AND conv_id % 12 = 1 THEN 'lv' END"}
+_OPEN = [("value", "text", "CASE WHEN body <> '' THEN body ELSE v_text END"),
+         ("value", "speaker", "CASE WHEN spk <> '' AND coalesce(speaker, '') = '' THEN spk ELSE speaker END"),
+         ("value", "said_by", "CASE WHEN said <> '' AND coalesce(said_by, '') = '' THEN said ELSE said_by END"),
+         ("value", "mood", "CASE WHEN turn % 7 = 3 THEN 'calm' END"), *[("value", k, x) for k, x in _V.items()],
+         ("locator", "section_path", "CASE WHEN label <> '' THEN label ELSE loc_section_path END"),
+         ("locator", "speaker", "CASE WHEN label <> '' AND spk <> '' AND coalesce(loc_speaker_eff, '') = '' THEN spk ELSE loc_speaker_eff END"),
+         ("locator", "page", "CASE WHEN conv_id % 7 <> 0 THEN CAST(turn AS VARCHAR) END"),
+         *[("locator", k, f"coalesce({_L.get(k, 'NULL')}, CASE WHEN label <> '' THEN {x} END)") for k, x in _V.items()]]
+cte("atoms_open", " UNION ALL ".join(
+    f"SELECT id, '{place}' AS place, '{key}' AS key, {x} AS value FROM atoms_parts WHERE ({x}) IS NOT NULL" for place, key, x in _OPEN),
+    ("atoms_parts",))
+
 cte("atoms_ui", f"""
 SELECT id, deal_id, atom_type, confidence, calibrated_confidence,
        labelled AND (quality = 1 OR toxic = 0) AS verified,
@@ -415,21 +451,8 @@ SELECT id, deal_id, atom_type, confidence, calibrated_confidence,
             ELSE loc_speaker_eff END AS locator_speaker,
        CASE WHEN label <> '' AND coalesce(v_party, '') <> '' THEN v_party END AS locator_party,
        'v1' AS parser_version
-FROM (
-  SELECT *, CASE WHEN label <> '' AND starts_with(body0, label)
-                      AND strpos(left(body0, length(label) + 4), ' — ') > 0
-                      AND {_strip("substr(body0, strpos(body0, ' — ') + 3)")} <> ''
-                 THEN {_strip("substr(body0, strpos(body0, ' — ') + 3)")} ELSE body0 END AS body
-  FROM (
-    SELECT *, CASE WHEN said <> '' THEN said ELSE spk END AS label
-    FROM (
-      SELECT *, {_strip("coalesce(said_by, '')")} AS said,
-             CASE WHEN {_strip("coalesce(speaker, '')")} <> '' THEN {_strip("coalesce(speaker, '')")}
-                  ELSE {_strip("coalesce(loc_speaker_eff, '')")} END AS spk,
-             CASE WHEN {_strip("coalesce(v_text, '')")} <> '' THEN {_strip("coalesce(v_text, '')")}
-                  ELSE coalesce(raw_text, '') END AS body0
-      FROM atoms_raw)))
-""", ("atoms_raw",))
+FROM atoms_parts
+""", ("atoms_parts",))
 
 cte("stage_timings", r"""
 SELECT 'o' || CAST(l_orderkey AS VARCHAR) AS compile_id,

@@ -121,7 +121,8 @@ SELECT j.message_id, j.deal_id,
        coalesce(CAST(json_extract(j.msg, '$.compile_options.allow_errors') AS BOOLEAN), true) AS allow_errors,
        coalesce(CAST(json_extract(j.msg, '$.compile_options.allow_unverified_receipts') AS BOOLEAN), true)
          AS allow_unverified,
-       coalesce(CAST(json_extract(j.msg, '$.compile_options.use_cache') AS BOOLEAN), false) AS use_cache
+       coalesce(CAST(json_extract(j.msg, '$.compile_options.use_cache') AS BOOLEAN), false) AS use_cache,
+       CAST(json_extract(j.msg, '$.compile_options.abstain_threshold') AS DOUBLE) AS abstain_threshold
 FROM jobs j LEFT JOIN manifests m USING (deal_id)""", "jobs", "manifests"))
 def q_job_options(spark, sf_dir):
     return A.job_options(jobs(spark, sf_dir), Derived(spark, sf_dir).manifests())

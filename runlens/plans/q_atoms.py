@@ -23,7 +23,7 @@ _UI_COLS = ("id, deal_id, atom_type, confidence, calibrated_confidence, verified
 
 @register("atoms_ui", with_ctes(f"SELECT {_UI_COLS} FROM atoms_ui", "atoms_ui"))
 def q_atoms_ui(spark, sf_dir):
-    return ui(spark, sf_dir)
+    return AT.picked(ui(spark, sf_dir))
 
 
 @register("atoms_verified", with_ctes("SELECT id, verified, receipt_kinds FROM atoms_ui", "atoms_ui"))

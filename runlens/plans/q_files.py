@@ -203,17 +203,43 @@ def q_status_sink(spark, sf_dir):
         F.count(F.lit(1)).alias("rows"))
 
 
+def _atom_sinks(spark, sf_dir) -> str:
+    """The three sinks of a compile's atoms, below one folder."""
+    from runlens.plans.q_atoms import ui
+    return _files(spark, sf_dir, "atom_sinks",
+                  lambda p: FS.write_atoms(ui(spark, sf_dir), Derived(spark, sf_dir).stage_timings(), p))
+
+
+@register("atoms_open_maps", with_ctes("SELECT id, place, key, value FROM atoms_open", "atoms_open"))
+def q_atoms_open_maps(spark, sf_dir):
+    """Every key of the stored value and locator, known or not."""
+    from runlens.operators.atoms import open_entries
+    return open_entries(FS.read_atoms(spark, _atom_sinks(spark, sf_dir))["atoms"])
+
+
+@register("atom_counts_sink", with_ctes("""
+SELECT deal_id, CASE WHEN source_filename <> '' THEN source_filename ELSE '(unknown)' END AS file, atom_type, count(*) AS atoms
+FROM atoms_ui GROUP BY ALL""", "atoms_ui"))
+def q_atom_counts_sink(spark, sf_dir):
+    """The counts sink (per deal, file and type)."""
+    return FS.read_atoms(spark, _atom_sinks(spark, sf_dir))["counts"].select("deal_id", "file", "atom_type", "atoms")
+
+
+@register("stage_timings_sink", with_ctes("""
+SELECT compile_id, stage_no, stage_name, round(duration_ms, 3) AS duration_ms, warning_count, error_count FROM stage_timings""", "stage_timings"))
+def q_stage_timings_sink(spark, sf_dir):
+    """The stage sink."""
+    return FS.read_atoms(spark, _atom_sinks(spark, sf_dir))["stages"].select(
+        "compile_id", "stage_no", "stage_name", F.round("duration_ms", 3).alias("duration_ms"), "warning_count", "error_count")
+
+
 @register("atoms_sink", with_ctes(r"""
 SELECT deal_id, atom_type, count(*) AS atoms, count(*) FILTER (WHERE verified) AS verified
 FROM atoms_ui GROUP BY 1, 2""", "atoms_ui"))
 def q_atoms_sink(spark, sf_dir):
     """S6 round trip: UI atoms written by hash bucket of the deal (dynamic
     overwrite) and read back whole."""
-    from runlens.plans.q_atoms import ui
-    path = _files(spark, sf_dir, "atoms_ui",
-                  lambda p: FS.write_partitioned(ui(spark, sf_dir).withColumn(
-                      "bucket", FS.bucket_of("deal_id", FS.ENVELOPE_BUCKETS)), p, "bucket"))
-    a = spark.read.parquet(path)
+    a = FS.read_atoms(spark, _atom_sinks(spark, sf_dir))["atoms"]
     return a.groupBy("deal_id", "atom_type").agg(F.count(F.lit(1)).alias("atoms"),
                                                  F.count_if("verified").alias("verified"))
 

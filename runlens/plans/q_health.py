@@ -153,7 +153,8 @@ def q_killed_messages(spark, sf_dir):
 
 @register("failure_class", with_ctes(r"""
 SELECT error_id, compile_id, p AS permanent, CASE WHEN p THEN 'dead_deal' ELSE 'exception' END AS stage,
-       CASE WHEN p THEN 2 ELSE 1 END AS exit_code, CASE WHEN p THEN 'drop' ELSE 'retry' END AS disposition
+       CASE WHEN p THEN 2 ELSE 1 END AS exit_code, CASE WHEN p THEN 'drop' ELSE 'retry' END AS disposition,
+       error_type || ': ' || error AS error, left(traceback, 4000) AS traceback
 FROM (SELECT *, (contains(lower(error), 'blobnotfound') OR contains(lower(error), 'the specified blob does not exist')
                  OR (contains(lower(error_type), 'notfound') AND contains(lower(error), 'blob'))) AS p
       FROM errors)""", "errors"))
@@ -177,7 +178,10 @@ def q_cancel_match(spark, sf_dir):
 
 def _oom_sql() -> str:
     gb = "printf('%.1f', round_even(CAST({x} AS DOUBLE) / 1073741824, 1))"
-    return ("'The parse ran out of memory: ' || " + gb.format(x="rss_bytes")
+    where = ("CASE WHEN coalesce(current_stage, '') <> '' THEN ' in ' || current_stage ELSE '' END"
+             " || CASE WHEN coalesce(stage_items_total, 0) <> 0 THEN ' at ' || format('{:,}', coalesce(stage_items_done, 0)) || ' of ' ||"
+             " format('{:,}', stage_items_total) || ' items' ELSE '' END")
+    return ("'The parse ran out of memory' || " + where + " || ': ' || " + gb.format(x="rss_bytes")
             + " || ' GB used of the worker''s ' || " + gb.format(x="limit_bytes")
             + " || ' GB. Nothing was saved from this run.'")
 
@@ -185,11 +189,14 @@ def _oom_sql() -> str:
 @register("oom_first_hit", with_ctes(f"""
 SELECT compile_id, deal_id, {ts_text('sampled_at')} AS fired_at, seq, rss_bytes, 'failed' AS status,
        'out_of_memory' AS stage, {_oom_sql()} AS error
-FROM memory_samples
-WHERE limit_bytes > 0 AND fraction > 0 AND rss_bytes >= limit_bytes * fraction
-QUALIFY row_number() OVER (PARTITION BY compile_id ORDER BY sampled_at, seq) = 1""", "memory_samples"))
+FROM (SELECT * FROM memory_samples
+      WHERE limit_bytes > 0 AND fraction > 0 AND rss_bytes >= limit_bytes * fraction
+      QUALIFY row_number() OVER (PARTITION BY compile_id ORDER BY sampled_at, seq) = 1)
+LEFT JOIN (SELECT deal_id, current_stage, stage_items_done, stage_items_total FROM latest_progress) USING (deal_id)""",
+    "memory_samples", "latest_progress"))
 def q_oom_first_hit(spark, sf_dir):
-    r = H.oom_first_hit(Derived(spark, sf_dir).memory_samples())
+    d = Derived(spark, sf_dir)
+    r = H.oom_first_hit(d.memory_samples(), d.progress_events())
     return r.withColumn("fired_at", ts("fired_at"))
 
 

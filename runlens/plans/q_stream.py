@@ -71,19 +71,11 @@ def q_stream_terminal_wins(spark, sf_dir):
     return W.without_corrected(told).select("compile_id", "seq", "status", "stage")
 
 
-@register("stream_oom_first_hit", with_ctes(r"""
-SELECT compile_id, deal_id, strftime(sampled_at, '%Y-%m-%d %H:%M:%S.%f') AS fired_at, seq, rss_bytes,
-       'failed' AS status, 'out_of_memory' AS stage,
-       'The parse ran out of memory: ' || printf('%.1f', round_even(CAST(rss_bytes AS DOUBLE) / 1073741824, 1))
-       || ' GB used of the worker''s ' || printf('%.1f', round_even(CAST(limit_bytes AS DOUBLE) / 1073741824, 1))
-       || ' GB. Nothing was saved from this run.' AS error
-FROM memory_samples
-WHERE limit_bytes > 0 AND fraction > 0 AND rss_bytes >= limit_bytes * fraction
-QUALIFY row_number() OVER (PARTITION BY compile_id ORDER BY sampled_at, seq) = 1""", "memory_samples"))
+@register("stream_oom_first_hit", ORACLE["oom_first_hit"])
 def q_stream_oom_first_hit(spark, sf_dir):
     land = _landing(spark, sf_dir, "memory_samples",
                     lambda: Derived(spark, sf_dir).memory_samples().repartition(8))
-    return T.stream_oom_first_hit(spark, land, FILES)
+    return T.stream_oom_first_hit(spark, land, Derived(spark, sf_dir).progress_events(), FILES)
 
 
 @register("stream_dedup_delivery", with_ctes(f"""

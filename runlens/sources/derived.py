@@ -60,7 +60,7 @@ class Derived:
             F.concat(F.lit('"manifest_blob_url": '), _q(url)),
             F.when(k % 4 == 0, F.concat(F.lit('"domain_pack": "dp'), _s(k % 3), F.lit('"')))
              .when(k % 4 == 1, F.lit('"domain_pack": ""')),
-            F.when(k % 13 == 0, F.lit('"compile_options": {"force": "false"}')),
+            F.when(k % 13 == 0, F.concat(F.lit('"compile_options": {"force": "false", "abstain_threshold": 0.'), _s(k % 5), F.lit("}"))),
             F.when(k % 11 == 0, F.lit('"force": true')),
             F.when(k % 23 == 0, F.lit('"kind": "sow_draft"')),
             F.when(r == 0, F.concat(F.lit('"triggered_by": "u'), _s(k % 7), F.lit('"')))
@@ -243,7 +243,8 @@ class Derived:
                 "HttpResponseError: The specified blob does not exist.",
                 "NotFoundError: blob gone",
                 "TimeoutError: t",
-                "ValueError: notfound")]), (e % 5 + 1).cast("int")).alias("error"))
+                "ValueError: notfound")]), (e % 5 + 1).cast("int")).alias("error"),
+            F.repeat(F.lit("T"), (F.lit(3990) + e % 20).cast("int")).alias("traceback"))
 
     def llm_calls(self) -> DataFrame:
         ev = self._events().where(F.col("event_type").isin("view", "click"))
@@ -323,9 +324,14 @@ def atoms_raw(d: Derived) -> DataFrame:
                         for k, v in pairs])
         return F.map_from_entries(F.filter(arr, lambda e: e["value"].isNotNull()))
 
-    locator = kv(("section_path", F.concat(F.lit("turn/"), _s(t))), ("speaker", loc_speaker))
+    locator = kv(("section_path", F.concat(F.lit("turn/"), _s(t))), ("speaker", loc_speaker),
+                 ("voice", F.when(c % 12 == 1, F.lit("lv"))), ("page", t))
     value = kv(("text", F.when(t % 5 != 0, text)), ("said_by", said_by), ("speaker", speaker),
-               ("party", F.when(t % 3 == 1, F.concat(F.lit("party"), _s(c % 2)))))
+               ("party", F.when(t % 3 == 1, F.concat(F.lit("party"), _s(c % 2)))),
+               ("speaker_role", F.when(c % 4 == 0, F.concat(F.lit("role"), _s(c % 3)))),
+               ("affiliation", F.when(t % 4 == 2, F.concat(F.lit("aff"), _s(c % 5)))),
+               ("voice", F.when(c % 6 == 1, F.concat(F.lit("v"), _s(t % 2)))),
+               ("org_role", F.when((c + t) % 5 == 0, F.lit("o"))), ("mood", F.when(t % 7 == 3, F.lit("calm"))))
     ref = F.struct(
         F.when(c % 10 != 0, F.concat(F.lit("conv-"), _s(c % 20), F.lit(".txt"))).alias("filename"),
         F.when(c % 2 == 0, F.concat(F.lit("a"), _s(c))).alias("artifact_id"),

@@ -58,6 +58,26 @@ def write_partitioned(df: DataFrame, path: str, *cols: str) -> None:
        .partitionBy(*cols).parquet(path))
 
 
+ATOM_SINKS = ("atoms", "counts", "stages")
+
+
+def write_atoms(ui: DataFrame, timings: DataFrame, path: str) -> None:
+    """Three sinks below ``path``: atoms by bucket of their deal, with the
+    open ``value`` and ``locator`` as VARIANT (keys nobody knows are kept),
+    their counts per deal, file and type, and the stage timings."""
+    bucket = bucket_of("deal_id", ENVELOPE_BUCKETS)
+    atoms = ui.withColumns({c: F.to_variant_object(c) for c in ("value", "locator")})
+    write_partitioned(atoms.withColumn("bucket", bucket), f"{path}/atoms", "bucket")
+    file = F.when(F.col("source_filename") != "", F.col("source_filename")).otherwise("(unknown)")
+    counts = ui.groupBy("deal_id", file.alias("file"), "atom_type").agg(F.count(F.lit(1)).alias("atoms"))
+    write_partitioned(counts.withColumn("bucket", bucket), f"{path}/counts", "bucket")
+    write_partitioned(timings.withColumn("bucket", bucket_of("compile_id", ENVELOPE_BUCKETS)), f"{path}/stages", "bucket")
+
+
+def read_atoms(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ATOM_SINKS}
+
+
 def trace_documents(calls_summary: DataFrame, timeline: DataFrame) -> DataFrame:
     """One JSON trace per compile (stage timeline + call summary) built
     with ``to_json``; the child tables stay the queryable form."""

@@ -98,10 +98,10 @@ def stream_latest(spark: SparkSession, landing: str, key: str = "deal_id",
 
 
 # ------------------------------------------------------------------ ST2
-def stream_oom_first_hit(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
+def stream_oom_first_hit(spark: SparkSession, landing: str, progress_events: DataFrame, max_files: int | None = None) -> DataFrame:
     """ST2: the first sample per run at or over its memory ceiling."""
     parts = write_parts(landing_stream(spark, landing, max_files), "stream_oom_first_hit", H.first_hits)
-    fired = H.oom_failures(merge(parts, ["compile_id"], f=F.min("f")))
+    fired = H.oom_failures(merge(parts, ["compile_id"], f=F.min("f")), progress_events)
     return fired.select("compile_id", "deal_id", F.date_format("fired_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fired_at"),
                         "seq", "rss_bytes", "status", "stage", "error")
 

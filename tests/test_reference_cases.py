@@ -166,9 +166,13 @@ def test_memory_ceiling(spark):
          ("c", 5 * gib, 10 * gib, 0.5, 1), ("d", 9 * gib, 8 * gib, 0.0, 1)],
         "compile_id string, rss_bytes long, limit_bytes long, fraction double, seq long"
     ).withColumn("sampled_at", F.timestamp_seconds("seq")).withColumn("deal_id", F.lit("x"))
-    got = {r.compile_id: r.error for r in H.oom_first_hit(s).collect()}
+    progress = "deal_id string, updated_at timestamp, seq long, current_stage string, stage_items_done long, stage_items_total long"
+    got = {r.compile_id: r.error for r in H.oom_first_hit(s, spark.createDataFrame([], progress)).collect()}
     assert set(got) == {"a", "c"}
-    assert "7.5 GB used of the worker's 8.0 GB" in got["a"]
+    assert got["a"].startswith("The parse ran out of memory: 7.5 GB used of the worker's 8.0 GB.")
+    at = spark.sql("SELECT 'x' AS deal_id, timestamp_seconds(1) AS updated_at, 1L AS seq, 'parse' AS current_stage, 1200L AS stage_items_done, 16001L AS stage_items_total")
+    got = {r.compile_id: r.error for r in H.oom_first_hit(s, at).collect()}
+    assert got["c"].startswith("The parse ran out of memory in parse at 1,200 of 16,001 items: 5.0 GB used of the worker's 10.0 GB.")
 
 
 def test_terminal_wins(spark):
