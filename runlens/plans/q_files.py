@@ -11,9 +11,11 @@ from runlens.operators.status import run_index
 from runlens.plans.oracle_ctes import with_ctes
 from runlens.plans.registry import register
 from runlens.session import written_once
+from runlens.sources import documents as DO
 from runlens.sources import files as FS
 from runlens.sources import manifests as MA
 from runlens.sources import objects as OB
+from runlens.sources import versioned as VE
 from runlens.sources.derived import Derived
 
 def _files(spark, sf_dir, name, write) -> str:
@@ -244,37 +246,102 @@ def q_atoms_sink(spark, sf_dir):
                                                  F.count_if("verified").alias("verified"))
 
 
-@register("trace_sink", with_ctes(r"""
-SELECT t.compile_id, t.stages, round(t.total_ms, 3) AS total_ms, c.calls, round(c.latency_sec, 3) AS latency_sec
-FROM (SELECT compile_id, count(*) AS stages, sum(duration_ms) AS total_ms FROM stage_timings GROUP BY 1) t
-LEFT JOIN (SELECT compile_id, count(*) AS calls, sum(latency_sec) AS latency_sec FROM llm_calls GROUP BY 1) c
-  USING (compile_id)""", "stage_timings", "llm_calls"))
-def q_trace_sink(spark, sf_dir):
-    """S9 round trip: one JSON trace per compile written as text, read back
-    and parsed with an explicit schema."""
-    from runlens.operators.traces import llm_summary
+_RUNS = """
+SELECT compile_id, any_value(deal_id) AS deal_id, min(worker_sha) AS worker_sha, min(parser_sha) AS parser_sha, min(updated_at) AS started_at,
+       max(updated_at) AS finished_at, max(entity_count) AS entity_count, max(atom_count) AS atom_count FROM status_events GROUP BY compile_id"""
+
+
+def _traces(spark, sf_dir):
+    """The stored trace documents of all runs, parsed. A run's stages are its
+    status writes in order."""
     d = Derived(spark, sf_dir)
 
     def write(p):
-        FS.trace_documents(llm_summary(d.llm_calls()), d.stage_timings()).write.mode(
-            "overwrite").json(p)
-    path = _files(spark, sf_dir, "traces", write)
-    t = spark.read.schema("compile_id string, trace string").json(path)
-    doc = F.from_json("trace", "stages long, total_ms double, calls long, latency_sec double")
-    return t.select("compile_id", doc.alias("d")).select(
-        "compile_id", "d.stages", F.round("d.total_ms", 3).alias("total_ms"), "d.calls",
-        F.round("d.latency_sec", 3).alias("latency_sec"))
+        ev = d.status_events()
+        runs = ev.groupBy("compile_id").agg(
+            F.min("deal_id").alias("deal_id"), F.min("worker_sha").alias("worker_sha"), F.min("parser_sha").alias("parser_sha"),
+            F.min("updated_at").alias("started_at"), F.max("updated_at").alias("finished_at"), F.max("entity_count").alias("entity_count"),
+            F.max("atom_count").alias("atom_count"))
+        timings = ev.select("compile_id", F.col("seq").alias("stage_no"), F.col("stage").alias("stage_name"), F.col("elapsed_sec").alias("duration_ms"),
+                            F.col("atom_count").alias("input_count"), F.col("entity_count").alias("output_count"),
+                            (F.col("seq") % 3).alias("warning_count"), F.lit(0).cast("bigint").alias("error_count"))
+        DO.trace_documents(runs, timings, d.llm_calls()).write.mode("overwrite").json(p)
+    t = spark.read.schema("compile_id string, trace string").json(_files(spark, sf_dir, "traces", write))
+    return t.select("compile_id", F.try_parse_json("trace").alias("doc"))
+
+
+@register("trace_sink", with_ctes(f"""
+SELECT r.compile_id, r.deal_id, r.worker_sha, r.parser_sha AS parser_os_sha, CAST(r.entity_count AS BIGINT) AS entity_count,
+       CAST(r.atom_count AS BIGINT) AS atom_count, round((epoch_us(r.finished_at) - epoch_us(r.started_at)) / 1e6, 3) AS wall_clock_sec,
+       s.stages, coalesce(c.calls, 0) AS total_calls, round(coalesce(c.latency, 0), 3) AS total_latency_sec,
+       coalesce(c.multi, 0) AS multi_calls, coalesce(c.m0, 0) AS m0_calls, coalesce(c.longest, 0) AS longest_prompt
+FROM ({_RUNS}) r JOIN (SELECT compile_id, count(*) AS stages FROM status_events GROUP BY 1) s USING (compile_id)
+LEFT JOIN (SELECT compile_id, count(*) AS calls, sum(latency_sec) AS latency, count(*) FILTER (WHERE source = 'multi') AS multi,
+                  count(*) FILTER (WHERE model = 'm0') AS m0, CAST(max(prompt_size) AS BIGINT) AS longest FROM llm_calls GROUP BY 1) c USING (compile_id)""",
+    "status_events", "llm_calls"))
+def q_trace_sink(spark, sf_dir):
+    """S9 round trip: whole trace documents written, read back and asked for
+    their fields, lists and counters."""
+    get = lambda path, kind: F.try_variant_get("doc", path, kind)
+    sizes = F.transform(get("$.llm_calls", "array<variant>"), lambda c: F.try_variant_get(c, "$.prompt_size", "bigint"))
+    zero = F.lit(0).cast("bigint")
+    return _traces(spark, sf_dir).select(
+        "compile_id", *[get(f"$.{c}", "string").alias(c) for c in ("deal_id", "worker_sha", "parser_os_sha")],
+        *[get(f"$.{c}", "bigint").alias(c) for c in ("entity_count", "atom_count")], get("$.wall_clock_sec", "double").alias("wall_clock_sec"),
+        F.size(get("$.parser_trace.stages", "array<variant>")).cast("bigint").alias("stages"),
+        get("$.llm_call_summary.total_calls", "bigint").alias("total_calls"),
+        F.round(get("$.llm_call_summary.total_latency_sec", "double"), 3).alias("total_latency_sec"),
+        F.coalesce(get("$.llm_call_summary.by_source.multi", "bigint"), zero).alias("multi_calls"),
+        F.coalesce(get("$.llm_call_summary.by_model.m0", "bigint"), zero).alias("m0_calls"),
+        F.coalesce(F.array_max(sizes), zero).alias("longest_prompt"))
+
+
+@register("trace_stages", with_ctes("""
+SELECT compile_id, row_number() OVER (PARTITION BY compile_id ORDER BY seq) AS pos, stage, round(elapsed_sec, 3) AS duration_ms,
+       CAST(atom_count AS BIGINT) AS input, CAST(entity_count AS BIGINT) AS output, CAST(seq % 3 AS BIGINT) AS warning_count,
+       CAST(0 AS BIGINT) AS error_count FROM status_events""", "status_events"))
+def q_trace_stages(spark, sf_dir):
+    """The stage list of the stored documents as a timeline."""
+    rows = DO.stage_rows(_traces(spark, sf_dir))
+    return rows.select("compile_id", "pos", "stage", F.round("duration_ms", 3).alias("duration_ms"), F.col("counts")["input"].alias("input"),
+                       F.col("counts")["output"].alias("output"), "warning_count", "error_count")
+
+
+@register("progress_documents", with_ctes("""
+SELECT compile_id, deal_id, status, CASE WHEN status <> 'starting' THEN stage END AS current_stage,
+       CASE WHEN status = 'running' AND stage <> 'projection' THEN phase END AS stage_phase, CASE WHEN status = 'starting' THEN 0 ELSE n END AS stage_count_done,
+       CAST(CASE WHEN status = 'done' THEN n WHEN stage = 'projection' THEN CASE WHEN n > 0 THEN n + 1 ELSE 15 END ELSE 14 END AS BIGINT)
+         AS stage_count_total_estimate,
+       CAST(CASE WHEN status = 'starting' THEN 0 ELSE (epoch_us(updated_at) - epoch_us(started_at)) // 1000 END AS BIGINT) AS elapsed_ms
+FROM (SELECT *, min(updated_at) OVER (PARTITION BY compile_id) AS started_at, CAST(seq % 4 AS BIGINT) AS n,
+             CASE WHEN seq % 2 = 0 THEN 'start' ELSE 'end' END AS phase,
+             CASE WHEN event_type = 'purchase' THEN 'done' WHEN seq % 7 = 0 THEN 'starting' ELSE 'running' END AS status,
+             CASE WHEN seq % 5 = 0 THEN 'projection' ELSE raw_stage END AS stage
+      FROM (SELECT * EXCLUDE (status, stage), stage AS raw_stage FROM status_events))""", "status_events"))
+def q_progress_documents(spark, sf_dir):
+    """Start estimate, projection, done; phase only of a running stage."""
+    d = Derived(spark, sf_dir)
+    ev, seq = d.status_events(), F.col("seq")
+    first = ev.groupBy("compile_id").agg(F.min("updated_at").alias("started_at"))
+    docs = ev.join(first, "compile_id").select(
+        "compile_id", "deal_id", F.when(F.col("status") == "completed", "done").when(seq % 7 == 0, "starting").otherwise("running").alias("status"),
+        F.when(seq % 5 == 0, DO.PROJECTION).otherwise(F.col("stage")).alias("current_stage"), F.when(seq % 2 == 0, "start").otherwise("end").alias("stage_phase"),
+        F.transform(F.slice(F.array(*[F.lit(i) for i in range(4)]), 1, (seq % 4).cast("int")), lambda i: F.concat(F.lit("s"), i.cast("string"))).alias("stages"),
+        "started_at", "updated_at", F.lit(None).cast("bigint").alias("stage_items_done"), F.lit(None).cast("bigint").alias("stage_items_total"))
+    return DO.progress_documents(docs).select("compile_id", "deal_id", "status", "current_stage", "stage_phase", "stage_count_done",
+                                              "stage_count_total_estimate", "elapsed_ms")
 
 
 @register("envelope_sink", with_ctes(r"""
 SELECT deal_id, CASE WHEN CAST(substr(deal_id, 4) AS INTEGER) % 2 = 0 THEN 2 ELSE 1 END AS version,
-       count(*) AS atoms,
+       CASE WHEN CAST(substr(deal_id, 4) AS INTEGER) % 2 = 0 THEN 'run-2' ELSE 'run-1' END AS compile_id, count(*) AS atoms,
        CASE WHEN CAST(substr(deal_id, 4) AS INTEGER) % 2 = 0 THEN count(*) FILTER (WHERE verified)
             ELSE 0 END AS verified_atoms
 FROM atoms_ui GROUP BY deal_id""", "atoms_ui"))
 def q_envelope_sink(spark, sf_dir):
     """S7 round trip: version 1 of every deal's envelope (counts only), then
-    version 2 for the even deals (with verified counts) upserted on top."""
+    version 2 for the even deals (with verified counts) upserted on top; each
+    stamped with the run that wrote it."""
     from runlens.operators.atoms import envelope_rollup
     from runlens.plans.q_atoms import ui
 
@@ -282,10 +349,10 @@ def q_envelope_sink(spark, sf_dir):
         roll = envelope_rollup(ui(spark, sf_dir))
         v1 = roll.select("deal_id", F.lit(1).alias("version"), "atoms",
                          F.lit(0).cast("bigint").alias("verified_atoms"))
-        FS.upsert_by_key(spark, path, v1)
+        VE.upsert_by_key(spark, path, v1, compile_id=F.lit("run-1"))
         even = F.substring("deal_id", 4, 10).cast("int") % 2 == 0
         v2 = roll.where(even).select("deal_id", F.lit(2).alias("version"), "atoms",
                                      "verified_atoms")
-        FS.upsert_by_key(spark, path, v2)
+        VE.upsert_by_key(spark, path, v2, compile_id=F.lit("run-2"))
     path = _files(spark, sf_dir, "envelopes", write)
-    return spark.read.parquet(path).select("deal_id", "version", "atoms", "verified_atoms")
+    return VE.read_versioned(spark, path).select("deal_id", "version", "compile_id", "atoms", "verified_atoms")

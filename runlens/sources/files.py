@@ -1,4 +1,4 @@
-"""File sources and sinks.
+"""File sources and sinks.
 
 Readers take explicit schemas (no inference pass over the data); sinks are
 partitioned so readers prune folders, and overwrite dynamically so a
@@ -7,15 +7,15 @@ re-run of one day or deal replaces only that slice.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.decode import is_object
-from runlens.session import cut_lineage
+from runlens.sources.versioned import bucket_of
 
 MANIFEST_ENTRY_SCHEMA = ("deal_id string, pos long, content_sha256 string, blob_url string, "
                          "url string, filename string, path string, name string, size long")
+ENVELOPE_BUCKETS = 16
 MARKER_SCHEMA = ("compile_id string, deal_id string, stage string, updated_at string, "
                  "replica string, boot_id string, keepalive string")
 
@@ -76,56 +76,3 @@ def write_atoms(ui: DataFrame, timings: DataFrame, path: str) -> None:
 
 def read_atoms(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in ATOM_SINKS}
-
-
-def trace_documents(calls_summary: DataFrame, timeline: DataFrame) -> DataFrame:
-    """One JSON trace per compile (stage timeline + call summary) built
-    with ``to_json``; the child tables stay the queryable form."""
-    stages = timeline.groupBy("compile_id").agg(F.count(F.lit(1)).alias("stages"),
-                                               F.sum("duration_ms").alias("total_ms"))
-    calls = calls_summary.where(F.col("source").isNull() & F.col("model").isNull()).select(
-        "compile_id", "calls", "latency_sec")
-    j = stages.join(calls, "compile_id", "left")
-    return j.select("compile_id", F.to_json(F.struct("stages", "total_ms", "calls",
-                                                     "latency_sec")).alias("trace"))
-
-
-ENVELOPE_BUCKETS = 16
-
-
-def bucket_of(key: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-
-
-def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, null when there is none; any other failure to
-    read it is raised."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def upsert_by_key(spark: SparkSession, path: str, updates: DataFrame, key: str = "deal_id",
-                  version: str = "version", buckets: int = ENVELOPE_BUCKETS) -> None:
-    """Upsert rows by ``key`` (newest ``version`` wins) into a table
-    partitioned by a hash bucket of the key. The number of buckets is part of
-    the table (folder ``buckets=<n>``); ``buckets`` only counts for a new one.
-
-    Only the buckets that the updates touch are read, by a literal filter that
-    prunes their folders; the merge is written to the checkpoint folder before
-    it replaces them, so a lost executor never leaves a half-read bucket."""
-    current = read_if_present(spark, path)
-    if current is not None and (first := current.select("buckets").first()) is not None:
-        buckets = first[0]
-    both = updates.withColumn("buckets", F.lit(buckets)).withColumn("bucket", bucket_of(key, buckets))
-    if current is not None:
-        touched = [r[0] for r in both.select("bucket").distinct().collect()]  # at most ``buckets``
-        both = current.where(F.col("bucket").isin(touched)).unionByName(both, allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in (key, "buckets", "bucket")]
-    merged = (both.groupBy(key, "buckets", "bucket")
-                  .agg(F.max(F.struct(version, *[c for c in rest if c != version])).alias("_w"))
-                  .select(key, *[F.col(f"_w.{c}").alias(c) for c in rest], "buckets", "bucket"))
-    write_partitioned(cut_lineage(merged), path, "buckets", "bucket")
