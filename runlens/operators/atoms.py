@@ -167,6 +167,41 @@ def extract_with(documents: DataFrame, fn: Callable, schema) -> DataFrame:
     return documents.mapInPandas(fn, schema)
 
 
+# Fixed values of a call row of the default extractor (names are ours).
+CALL_SOURCE, CALL_MODEL, CALL_MAX_TOKENS = "line_extractor", "rules-1", 1024
+
+
+def extract_with_calls(documents: DataFrame, fn: Callable, atom_schema: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """U1 + P26: the (atoms, call rows) of an extractor that calls a model.
+    ``fn(batch: pandas.DataFrame) -> (atoms, calls)`` runs once over the
+    documents; both kinds of rows are written below ``path`` by the same tasks,
+    so a call is never made again to read its row. A call row has ``doc_id,
+    source, prompt_size, max_tokens, response_size, latency_sec, model``; its
+    latency is rounded to 3 places."""
+    import pandas as pd
+
+    from runlens.session import ship_package
+    spark = documents.sparkSession
+    ship_package(spark)
+    calls = "doc_id long, source string, prompt_size long, max_tokens long, response_size long, latency_sec double, model string"
+    a, c = (spark.createDataFrame([], s).schema for s in (atom_schema, calls))
+    both = (", ".join(f"a_{f.name} {f.dataType.simpleString()}" for f in a) + ", "
+            + ", ".join(f"c_{f.name} {f.dataType.simpleString()}" for f in c) + ", kind string")
+
+    def run(batches):
+        for pdf in batches:
+            atoms, made = fn(pdf)
+            for kind, prefix, rows in (("atoms", "a_", atoms), ("calls", "c_", made)):
+                yield (rows.add_prefix(prefix).assign(kind=kind)
+                           .reindex(columns=[f"a_{n}" for n in a.names] + [f"c_{n}" for n in c.names] + ["kind"]).astype(object)
+                           .where(lambda d: pd.notna(d), None))
+    documents.mapInPandas(run, both).write.partitionBy("kind").parquet(path)
+    stored = spark.read.parquet(path)
+    atoms = stored.where("kind = 'atoms'").select(*[F.col(f"a_{n}").alias(n) for n in a.names])
+    made = stored.where("kind = 'calls'").select(*[F.col(f"c_{n}").alias(n) for n in c.names])
+    return atoms, made.withColumn("latency_sec", F.round("latency_sec", 3))
+
+
 def run_counts(atoms: DataFrame) -> DataFrame:
     """A4: per deal, atoms, entities (distinct conversation x role), edges
     (consecutive turns present in a conversation) and packets (one per

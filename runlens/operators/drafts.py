@@ -62,6 +62,17 @@ def merged_documents(requests: DataFrame, envelopes: DataFrame, handoffs: DataFr
                     F.lit("draft_run").alias("written_on"), F.to_json("draft_doc").alias("draft"))
 
 
+DRAFT_ERROR_MAX = 200
+
+
+def failed_drafts(errors: DataFrame) -> DataFrame:
+    """P11 + P21: the status row of a draft whose writer failed; the message is
+    cut, its type is not. ``errors``: request_id, deal_id, error_type, message."""
+    said = F.concat(F.col("error_type"), F.lit(": "), F.left(F.coalesce("message", F.lit("")), F.lit(DRAFT_ERROR_MAX)))
+    return errors.select("request_id", "deal_id", F.lit("failed").alias("state"), said.alias("error"),
+                         F.lit("failed").alias("draft_status"), said.alias("failed_because"))
+
+
 def draft_merge(requests: DataFrame, envelopes: DataFrame, handoffs: DataFrame) -> DataFrame:
     """P21 + P22: requests with a malformed deal id produce nothing; a deal
     whose envelope has no brief fails; otherwise the draft is written

@@ -160,13 +160,16 @@ def oom_first_hit(samples: DataFrame, progress_events: DataFrame) -> DataFrame:
     return oom_failures(first_hits(samples), progress_events)
 
 
-def first_hits(samples: DataFrame) -> DataFrame:
-    """(compile_id, f): the first sample at or over the ceiling; ``min`` of
-    the parts of a table is the first of the whole."""
+def hits(samples: DataFrame) -> DataFrame:
+    """(compile_id, f): the samples at or over the ceiling, as ordered rows."""
     armed = (F.col("limit_bytes") > 0) & (F.col("fraction") > 0)
     over = samples.where(armed & (F.col("rss_bytes") >= F.col("limit_bytes") * F.col("fraction")))
-    return over.groupBy("compile_id").agg(
-        F.min(F.struct("sampled_at", "seq", "deal_id", "rss_bytes", "limit_bytes")).alias("f"))
+    return over.select("compile_id", F.struct("sampled_at", "seq", "deal_id", "rss_bytes", "limit_bytes").alias("f"))
+
+
+def first_hits(samples: DataFrame) -> DataFrame:
+    """(compile_id, f): the first sample at or over the ceiling."""
+    return hits(samples).groupBy("compile_id").agg(F.min("f").alias("f"))
 
 
 def oom_failures(first: DataFrame, progress_events: DataFrame) -> DataFrame:

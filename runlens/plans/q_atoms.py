@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from runlens.operators import atoms as AT
 from runlens.operators import traces as TR
 from runlens.plans.oracle_ctes import with_ctes
 from runlens.plans.registry import register
+from runlens.session import checkpoint_path
 from runlens.sources.derived import Derived, atoms_raw
 
 
@@ -195,3 +198,38 @@ FROM (SELECT CASE WHEN source_filename <> '' THEN source_filename ELSE '(unknown
 GROUP BY file""", "atoms_ui"))
 def q_atoms_by_artifact_nested(spark, sf_dir):
     return AT.atoms_by_artifact_nested(ui(spark, sf_dir)).drop("by_type")
+
+
+@register("extract_calls", f"""
+SELECT doc_id, '{AT.CALL_SOURCE}' AS source, length(text) AS prompt_size, CAST({AT.CALL_MAX_TOKENS} AS BIGINT) AS max_tokens,
+       CAST(list_sum(list_transform(list_filter(string_split(text, chr(10)), lambda l: trim(l, ' ') <> ''), lambda l: length(l))) AS BIGINT) AS response_size,
+       '{AT.CALL_MODEL}' AS model, len(list_filter(string_split(text, chr(10)), lambda l: trim(l, ' ') <> '')) AS atoms
+FROM documents WHERE trim(replace(text, chr(10), ''), ' ') <> ''""")
+def q_extract_calls(spark, sf_dir):
+    """An extractor's call rows beside its atoms, from one run over the documents."""
+    def extract(pdf):
+        import time
+
+        import pandas as pd
+        atoms, calls = [], []
+        for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            began = time.perf_counter()
+            lines = [line for line in (text or "").split("\n") if line.strip(" ")]
+            if lines:
+                atoms += [(doc_id, len(line)) for line in lines]
+                calls.append((doc_id, AT.CALL_SOURCE, len(text), AT.CALL_MAX_TOKENS, sum(map(len, lines)), time.perf_counter() - began, AT.CALL_MODEL))
+        return pd.DataFrame(atoms, columns=["doc_id", "n_chars"]), pd.DataFrame(
+            calls, columns=["doc_id", "source", "prompt_size", "max_tokens", "response_size", "latency_sec", "model"])
+    docs = Derived(spark, sf_dir).t("documents").select("doc_id", "text")
+    atoms, calls = AT.extract_with_calls(docs, extract, "doc_id long, n_chars long", checkpoint_path(spark, f"extract-{uuid.uuid4().hex[:12]}"))
+    per = atoms.groupBy("doc_id").agg(F.count(F.lit(1)).alias("atoms"))
+    return calls.where("latency_sec >= 0").drop("latency_sec").join(per, "doc_id")
+
+
+@register("draft_failures", with_ctes("""
+SELECT error_id AS request_id, deal_id, 'failed' AS state, error_type || ': ' || left(traceback, 200) AS error, 'failed' AS draft_status,
+       error_type || ': ' || left(traceback, 200) AS failed_because FROM errors""", "errors"))
+def q_draft_failures(spark, sf_dir):
+    from runlens.operators.drafts import failed_drafts
+    return failed_drafts(Derived(spark, sf_dir).errors().select(F.col("error_id").alias("request_id"), "deal_id", "error_type",
+                                                                F.col("traceback").alias("message")))

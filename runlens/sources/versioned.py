@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,19 @@ def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Delete the data folders that none of the newest ``keep`` versions name;
+    their number. Readers of older versions lose them."""
+    store = _Store(spark, path)
+    n, _ = store.newest()
+    named = {name for k in range(max(1, n - keep + 1), n + 1) for name in store.version(k)["parts"].values()}
+    folder = store._path("/data")
+    old = [x.getPath() for x in store.fs.listStatus(folder) if x.getPath().getName() not in named] if n and store.fs.exists(folder) else []
+    for p in old:
+        store.fs.delete(p, True)
+    return len(old)
+
+
 class _Store:
     """The version files of a table, through the file system's own client."""
 
@@ -43,11 +57,12 @@ class _Store:
             return 0, None
         names = [x.getPath().getName() for x in self.fs.listStatus(folder)]
         n = max((int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit()), default=0)
-        if not n:
-            return 0, None
+        return (n, self.version(n)) if n else (0, None)
+
+    def version(self, n: int) -> dict:
         stream = self.fs.open(self._path(f"/_versions/{n:012}.json"))
         try:
-            return n, json.loads(bytes(stream.readAllBytes()).decode())
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
@@ -85,12 +100,23 @@ def read_versioned(spark: SparkSession, path: str) -> DataFrame:
 def upsert_by_key(spark: SparkSession, path: str, updates: DataFrame, key: str = "deal_id", version: str = "version",
                   compile_id: Column | None = None, buckets: int = BUCKETS) -> int:
     """Rows of ``updates`` by ``key``, the newest ``version`` of a key wins;
-    ``compile_id`` is stamped on them first. Only the buckets that the updates
-    touch are read and written. Their number is the table's own, ``buckets``
-    only counts for a new one; columns that are new to the table are null in
-    its older rows. The number of the version that was made."""
+    ``compile_id`` is stamped on them first. The number of the version made."""
     if compile_id is not None:
         updates = updates.withColumn("compile_id", compile_id)
+
+    def newest(rows):
+        rest = [c for c in rows.columns if c != key]
+        return (rows.groupBy(key).agg(F.max(F.struct(version, *[c for c in rest if c != version])).alias("_w"))
+                    .select(key, *[F.col(f"_w.{c}").alias(c) for c in rest]))
+    return merge_by_key(spark, path, updates, key, newest, buckets)
+
+
+def merge_by_key(spark: SparkSession, path: str, updates: DataFrame, key: str, merge: Callable[[DataFrame], DataFrame],
+                 buckets: int = BUCKETS) -> int:
+    """Make ``merge(rows held and updates)``, one row per key, the new rows of
+    the keys' buckets. Only the buckets that the updates touch are read and
+    written. Their number is the table's own, ``buckets`` only counts for a new
+    one; columns that are new to the table are null in its older rows."""
     store = _Store(spark, path)
     for _ in range(TRIES):
         n, now = store.newest()
@@ -100,9 +126,7 @@ def upsert_by_key(spark: SparkSession, path: str, updates: DataFrame, key: str =
             touched = [r[0] for r in updates.select(bucket_of(key, count)).distinct().collect()]   # ``count`` at most
             held = _read(spark, path, now, touched)
             both = held.unionByName(updates, allowMissingColumns=True) if held is not None else updates
-        rest = [c for c in both.columns if c != key]
-        merged = (both.groupBy(key).agg(F.max(F.struct(version, *[c for c in rest if c != version])).alias("_w"))
-                      .select(key, *[F.col(f"_w.{c}").alias(c) for c in rest]))
+        merged = merge(both)
         name = uuid.uuid4().hex
         merged.withColumn("bucket", bucket_of(key, count)).write.partitionBy("bucket").parquet(f"{path.rstrip('/')}/data/{name}")
         written = spark.read.parquet(f"{path.rstrip('/')}/data/{name}").select("bucket").distinct().collect()

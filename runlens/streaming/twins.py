@@ -1,15 +1,13 @@
 """Structured Streaming twins of the batch operators ST1-ST3 and ST7; those
 whose state ends with a watermark (ST4-ST6, ST8, ST9) are in ``stateful``.
 
-Every twin here keeps what its rule needs as mergeable parts: each micro-batch is
-reduced by JVM aggregates to one row per key (a first time, a last time, a
-first hit) or to the rows themselves, and written under its epoch, so that a
-replayed epoch replaces its own part. The result is read by merging the parts
-with the same aggregate and applying the batch rule. Parts merge in any order:
-a late row, in whatever batch it arrives, gives the rows that the batch rule
-gives on all data; nothing is dropped, no key's rows are gathered in one task,
-and no state outgrows one row per key and epoch. ``compact`` folds the parts
-of finished epochs into one.
+What a rule here needs of a key is one small row: a first time, a last time, a
+first hit, the latest document. Each micro-batch is reduced to such rows by JVM
+aggregates and merged into a versioned table, of which only the touched buckets
+are rewritten. Rows merge in any order and merging twice changes nothing, so a
+late row, in whatever batch it arrives, or a batch that is tried again, gives
+the rows that the batch rule gives on all data. The table has one row per key,
+whatever the number of batches, and is there to be read while the stream runs.
 """
 
 from __future__ import annotations
@@ -24,6 +22,7 @@ from runlens.operators import admission as A
 from runlens.operators import health as H
 from runlens.operators.status import RUN_ENDS
 from runlens.session import checkpoint_path
+from runlens.sources import versioned as V
 
 
 def landing_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -64,15 +63,21 @@ def write_parts(src: DataFrame, name: str, reduce: Callable[[DataFrame], DataFra
     return spark.read.parquet(run_available_now(write, spark, name) + "/parts")
 
 
-def merge(parts: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """The parts of all epochs as one row per key."""
-    return parts.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
+def keep_merged(src: DataFrame, name: str, key: str, **aggs: Column) -> DataFrame:
+    """Drain ``src``, keeping ``aggs`` per ``key`` in a versioned table, and
+    read it. Every aggregate must read the column that it is named after, so
+    that its results merge like its inputs. A table of each of the two newest
+    versions stays."""
+    def reduce(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key).agg(*[c.alias(n) for n, c in aggs.items()])
 
-
-def compact(parts: DataFrame, keys: Sequence[str], path: str, **aggs: Column) -> None:
-    """Write the merged parts as the part of one epoch (-1) below ``path``,
-    to be read with the parts of later epochs."""
-    merge(parts, keys, **aggs).withColumn("epoch", F.lit(-1)).write.partitionBy("epoch").parquet(path)
+    def write(base):
+        def per_batch(batch: DataFrame, epoch: int) -> None:
+            if not batch.isEmpty():
+                V.merge_by_key(batch.sparkSession, base + "/state", reduce(batch.where(F.col(key).isNotNull())), key, reduce)
+                V.vacuum(batch.sparkSession, base + "/state")
+        return src.writeStream.foreachBatch(per_batch)
+    return V.read_versioned(src.sparkSession, run_available_now(write, src.sparkSession, name) + "/state")
 
 
 # ------------------------------------------------------------------ ST1
@@ -90,18 +95,16 @@ def stream_decode(spark: SparkSession, landing: str) -> DataFrame:
 def stream_latest(spark: SparkSession, landing: str, key: str = "deal_id",
                   max_files: int | None = 4) -> DataFrame:
     """ST7: the latest progress document per deal."""
-    last = F.max(F.struct("updated_at", "seq", "compile_id", "status", "current_stage",
-                          "stage_items_done", "stage_items_total"))
-    parts = write_parts(landing_stream(spark, landing, max_files), "stream_latest",
-                        lambda b: b.groupBy(key).agg(last.alias("w")))
-    return merge(parts, [key], w=F.max("w")).select(key, "w.*")
+    doc = F.struct("updated_at", "seq", "compile_id", "status", "current_stage", "stage_items_done", "stage_items_total")
+    rows = landing_stream(spark, landing, max_files).select(key, doc.alias("doc"))
+    return keep_merged(rows, "stream_latest", key, doc=F.max("doc")).select(key, "doc.*")
 
 
 # ------------------------------------------------------------------ ST2
 def stream_oom_first_hit(spark: SparkSession, landing: str, progress_events: DataFrame, max_files: int | None = None) -> DataFrame:
     """ST2: the first sample per run at or over its memory ceiling."""
-    parts = write_parts(landing_stream(spark, landing, max_files), "stream_oom_first_hit", H.first_hits)
-    fired = H.oom_failures(merge(parts, ["compile_id"], f=F.min("f")), progress_events)
+    hits = H.hits(landing_stream(spark, landing, max_files))
+    fired = H.oom_failures(keep_merged(hits, "stream_oom_first_hit", "compile_id", f=F.min("f")), progress_events)
     return fired.select("compile_id", "deal_id", F.date_format("fired_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fired_at"),
                         "seq", "rss_bytes", "status", "stage", "error")
 
@@ -110,12 +113,10 @@ def stream_oom_first_hit(spark: SparkSession, landing: str, progress_events: Dat
 def stream_spans(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
     """One row per run: first write, last write, first end."""
     end = F.when(F.col("status").isin(*RUN_ENDS), F.col("updated_at"))
-    parts = write_parts(landing_stream(spark, landing, max_files), "stream_spans",
-                        lambda b: b.groupBy("compile_id").agg(
-                            F.min("deal_id").alias("deal_id"), F.min("updated_at").alias("started_at"),
-                            F.max("updated_at").alias("last_at"), F.min(end).alias("ended_at")))
-    return merge(parts, ["compile_id"], deal_id=F.min("deal_id"), started_at=F.min("started_at"),
-                 last_at=F.max("last_at"), ended_at=F.min("ended_at"))
+    rows = landing_stream(spark, landing, max_files).select("compile_id", "deal_id", F.col("updated_at").alias("started_at"),
+                                                            F.col("updated_at").alias("last_at"), end.alias("ended_at"))
+    return keep_merged(rows, "stream_spans", "compile_id", deal_id=F.min("deal_id"), started_at=F.min("started_at"),
+                       last_at=F.max("last_at"), ended_at=F.min("ended_at"))
 
 
 def stream_budget_overrun(spark: SparkSession, landing: str, budgets: DataFrame,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import health as H
 from runlens.operators import status as S
+from runlens.sources import versioned as V
 from runlens.streaming import twins as T
 
 
@@ -50,8 +51,15 @@ def test_first_memory_hit(spark):
     assert [(r.compile_id, r.seq) for r in T.stream_oom_first_hit(spark, land, _no_progress(spark), max_files=1).collect()] == [("c", 1)]
 
 
-def test_compacted_parts_merge_with_later_ones(spark, status):
-    parts = T.write_parts(T.landing_stream(spark, status, 1), "test", lambda b: b.groupBy("compile_id").agg(F.max("seq").alias("s")))
-    out = tempfile.mkdtemp(prefix="compact-") + "/parts"
-    T.compact(parts, ["compile_id"], out, s=F.max("s"))
-    _same(T.merge(spark.read.parquet(out), ["compile_id"], s=F.max("s")), T.merge(parts, ["compile_id"], s=F.max("s")))
+def test_state_is_a_row_per_key(spark, status):
+    """However many batches, and when a batch is merged again."""
+    rows = T.landing_stream(spark, status, 1).select("compile_id", F.col("seq").alias("s"))
+    state = T.keep_merged(rows, "test", "compile_id", s=F.max("s"))
+    want = spark.read.parquet(status).groupBy("compile_id").agg(F.max("seq").alias("s"))
+    _same(state, want)
+    path = tempfile.mkdtemp(prefix="state-") + "/t"
+    reduce = lambda rows: rows.groupBy("compile_id").agg(F.max("s").alias("s"))
+    for _ in range(4):
+        V.merge_by_key(spark, path, want, "compile_id", reduce)
+    assert V.vacuum(spark, path) == 2 and V.vacuum(spark, path) == 0
+    _same(V.read_versioned(spark, path), want)
