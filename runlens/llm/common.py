@@ -28,7 +28,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     ends there and a lost executor costs no recomputation of what is above."""
     path = scratch(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def used_up(*tables: DataFrame) -> None:
+    """Delete written tables of this operator that nothing reads any more: what
+    was made of them is written itself."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -54,8 +65,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         nxt = staged(small, "links")
         if nxt.count() == e.count() and nxt.exceptAll(e).isEmpty():
             break
+        used_up(e)
         e = nxt
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    used_up(nxt)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._scratch = e._scratch
+    return out
 
 
 class Bitmap:

@@ -9,6 +9,8 @@ matched as they are, between word borders.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
 import numpy as np
 import pandas as pd
@@ -184,6 +186,34 @@ class Index:
         return out
 
 
+def _benchmark_blocks(benchmark: DataFrame, item_id: str, item_text: str, block_chars: int):
+    """The items (id, text), a list at a time, of ``block_chars`` at most (plus one item)."""
+    bench = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL")
+    chars = bench.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = max(1, -(-int(chars) // block_chars))
+    for b in range(blocks):
+        part = bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else bench
+        yield sorted(((r.i, r.t) for r in part.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                  q: int = Q, rate: float = EDIT_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no item (as ``find_contamination`` finds
+    them). Every row is judged by its own text, whatever its id."""
+    for items in _benchmark_blocks(benchmark, item_id, item_text, block_chars):
+        docs = docs.filter(_clean(items, q, rate, min_chars)(F.col(text)))
+    return docs
+
+
+def _clean(items: list, q: int, rate: float, min_chars: int):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(items, q, rate, min_chars)
+        for texts in batches:
+            yield pd.Series([not (index.search(x) or index.exact(x)) for x in texts], dtype=bool)
+    return clean
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                        item_id: str = "item_id", item_text: str = "text", q: int = Q, rate: float = EDIT_RATE,
                        min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -197,16 +227,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     where no letter or digit goes on before or after them. Repeated rows
     give repeated results; a null id stays null. Other columns are not read.
     """
-    bench = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL")
-    chars = bench.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-int(chars) // block_chars))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("x"))
     schema = "doc_id long, item_id long, edits int, end_char long"
     out = None
-    for b in range(blocks):
-        part = bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else bench
-        items = sorted(((r.i, r.t) for r in part.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-
+    for items in _benchmark_blocks(benchmark, item_id, item_text, block_chars):
         def search(batches, items=items):
             index = Index(items, q, rate, min_chars)
             for pdf in batches:

@@ -37,10 +37,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import Bitmap, components, mix, shingles, staged, words
+from runlens.llm.common import Bitmap, components, mix, shingles, staged, used_up, words
 
 NUM, DEN = 80, 100            # link when DEN * intersection >= NUM * union
-FREQUENT = 4_000_000          # at most so many tokens (9 bytes each in a task) are held to be frequent: count >= all tokens / FREQUENT
+FREQUENT = 8_000_000          # at most so many tokens (9 bytes each in a task) are held to be frequent: count >= all tokens / FREQUENT
 GROUP = 256                   # sets in a group, about
 STAR_ROUNDS = 1
 PIVOTS = 6                    # per token and round
@@ -235,7 +235,9 @@ def _linked_pairs(rows: DataFrame, order: _Frequent, pairs: DataFrame, name: str
     """Read the sets of the pairs and keep the pairs that link."""
     pairs = staged(pairs, f"jaccard-pairs-{name}")
     sets = _wanted_sets(rows, order, pairs.select(F.explode(F.array("a", "b")).alias("sid")))
-    return staged(_verify_pairs(pairs, sets, num, den), f"jaccard-links-{name}")
+    links = staged(_verify_pairs(pairs, sets, num, den), f"jaccard-links-{name}")
+    used_up(pairs, sets)
+    return links
 
 
 def _size_class(n):
@@ -249,13 +251,15 @@ def _within_reach(p: DataFrame, num: int, den: int) -> DataFrame:
     set is larger than ``reach``."""
     for _ in range(PRUNE):
         mixed = p.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
-        p = staged(p.drop("reach").join(mixed, "token"), "jaccard-mixed")
+        before, p = p, staged(p.drop("reach").join(mixed, "token"), "jaccard-mixed")
+        used_up(before)
         reach = F.floor((den + num) * (F.count(F.lit(1)) + _behind(F.col("n"), num, den)) / F.lit(num)) - F.col("n")
         sets = (p.groupBy("sid", "n").agg(reach.alias("reach")).filter(F.col("reach") >= F.ceil(F.col("n") * num / F.lit(den)))
                  .select("sid", "reach"))
-        p = p.join(sets, "sid")
-        met = p.groupBy("token").agg(F.min("n").alias("n0"), F.max("reach").alias("r1"))
-        p = staged(p.join(met, "token").filter("n0 <= reach AND n <= r1").drop("n0", "r1"), "jaccard-reach")
+        reached = p.join(sets, "sid")
+        met = reached.groupBy("token").agg(F.min("n").alias("n0"), F.max("reach").alias("r1"))
+        before, p = p, staged(reached.join(met, "token").filter("n0 <= reach AND n <= r1").drop("n0", "r1"), "jaccard-reach")
+        used_up(before)
     return p
 
 
@@ -277,6 +281,7 @@ def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
                     .filter("lo <> hi").select("token"), "jaccard-tokens")
     posts = staged(_postings(rows, order, Bitmap(shared, "token"), num, den)
                    .join(shared, "token").dropDuplicates(["token", "sid"]), "jaccard-postings")
+    used_up(shared)
 
     # Star rounds: every set against pivots of its tokens that lie in another
     # component by then. A set that no pivot reaches waits for the matrix.
@@ -296,8 +301,10 @@ def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
                   .select(F.col("sid").alias("a"), "n", "last", "b", "nb", "lb").distinct())
         found = _linked_pairs(rows, order, _bounded_pairs(stars, posts, num, den), "star", num, den)
         links = found if links is None else links.unionAll(found)
-        p = staged(posts.join(components(links), F.col("sid") == F.col("node"), "left")
+        roots = components(links)
+        p = staged(posts.join(roots, F.col("sid") == F.col("node"), "left")
                         .withColumn("comp", F.coalesce("root", "sid")).drop("node", "root"), "jaccard-placed")
+        used_up(roots)
 
     p = _within_reach(p, num, den)
     # What the stars link is similar: cut into groups of one class of sizes.
@@ -308,7 +315,7 @@ def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     # The matrix: the tokens of each group's union, with the bounds of its sizes.
     shape = groups.groupBy("gid", "sb").agg(F.max("comp").alias("gcomp"), F.min("n").alias("n0"), F.max("n").alias("n1"),
                                             F.max("reach").alias("greach"))
-    groups = groups.select("sid", "gid")
+    grouped, groups = groups, groups.select("sid", "gid")
     matrix = staged(p.join(groups, "sid").groupBy("token", "gid").agg(F.max(F.col("n") - F.col("pos")).alias("rest"))
                      .join(shape, "gid"), "jaccard-matrix")
     # The larger of two sets asks for the smaller one's class, as far as its
@@ -334,7 +341,9 @@ def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
                   .join(own_n.select(F.col("sid").alias("a"), "n", "last"), "a")
                   .join(own_n.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb")), "b")
                   .filter(den * F.least("n", "nb") >= num * F.greatest("n", "nb")))
-    return own, links.unionAll(_linked_pairs(rows, order, _bounded_pairs(opened, posts, num, den), "matrix", num, den))
+    links = links.unionAll(_linked_pairs(rows, order, _bounded_pairs(opened, posts, num, den), "matrix", num, den))
+    used_up(posts, p, matrix, cand, grouped)
+    return own, links
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM,

@@ -1,7 +1,8 @@
 """Operator 10: site-relative line deduplication.
 
 Group by host, divide the pages that contain a line by the host's pages, and
-drop the lines whose share exceeds a boilerplate ratio.
+drop the lines whose share exceeds a boilerplate ratio. Pages are distinct
+texts: copies of a page are one, so that they do not make its lines boilerplate.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATIO = 0.1        # a line on more than this share of its host's pages is boilerplate
+RATIO = 0.005      # a line on more than this share of its host's pages is boilerplate
 MIN_PAGES = 3      # ... and on at least this many of them
 BROADCAST_LINES = 100_000  # boilerplate lines up to which the set is sent to every task
 
@@ -19,14 +20,14 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """(host, lines): per host the hashes of its boilerplate lines.
 
     A line is trimmed of spaces; blank lines never count. It counts once a
-    page, so the only shuffles are two map-side combined counts. A host keeps
-    at most (lines per page / ratio) such lines.
+    distinct text, told by its hash; null texts are no page. A host keeps at
+    most (lines per page / ratio) such lines.
     """
-    seen = docs.select(F.col(host).alias("host"), F.explode(F.expr(
+    seen = docs.select(F.col(host).alias("host"), F.xxhash64(text).alias("u"), F.explode(F.expr(
         f"array_distinct(transform(filter(transform(split(`{text}`, '\\n'), l -> trim(l)), l -> l <> ''), l -> xxhash64(l)))"
     )).alias("line"))
-    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    pages = docs.groupBy(F.col(host).alias("h")).agg(F.count(F.lit(1)).alias("pages"))
+    counts = seen.groupBy("host", "line").agg(F.count_distinct("u").alias("n")).filter(F.col("n") >= min_pages)
+    pages = docs.filter(F.col(text).isNotNull()).groupBy(F.col(host).alias("h")).agg(F.count_distinct(F.xxhash64(text)).alias("pages"))
     return (counts.join(pages, F.col("host").eqNullSafe(F.col("h")))
                   .filter(F.col("n") > ratio * F.col("pages"))
                   .groupBy("host").agg(F.collect_set("line").alias("lines")))
@@ -37,8 +38,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """``docs`` with the boilerplate lines of each row's host cut from
     ``text``, and ``n_lines`` / ``n_dropped`` (non-blank lines, and those cut).
 
-    Every row is one page: repeated rows count as pages, equal rows get equal
-    results. A null host is a host of its own. A null text has no lines and
+    Every row is a page, but equal texts of a host count once; equal rows get
+    equal results. A null host is a host of its own. A null text has no lines and
     stays null; an empty one stays empty; a page of boilerplate only becomes
     empty but stays. Columns of the input named like the outputs are replaced.
     """

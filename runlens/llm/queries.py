@@ -69,10 +69,10 @@ def op7_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-x AS (SELECT DISTINCT r, source, trim(l, ' ') AS line FROM (SELECT r, source, unnest(ls) AS l FROM d) WHERE trim(l, ' ') <> ''),
+x AS (SELECT DISTINCT text, source, trim(l, ' ') AS line FROM (SELECT text, source, unnest(ls) AS l FROM d) WHERE trim(l, ' ') <> ''),
 b AS (SELECT c.source, list(c.line) AS lines FROM (SELECT source, line, count(*) AS n FROM x GROUP BY ALL) c
-      JOIN (SELECT source, count(*) AS pages FROM d GROUP BY 1) p ON c.source IS NOT DISTINCT FROM p.source
-      WHERE c.n >= 3 AND c.n > 0.1 * p.pages GROUP BY 1),
+      JOIN (SELECT source, count(DISTINCT text) AS pages FROM d GROUP BY 1) p ON c.source IS NOT DISTINCT FROM p.source
+      WHERE c.n >= 3 AND c.n > 0.005 * p.pages GROUP BY 1),
 j AS (SELECT d.*, coalesce(b.lines, []) AS lines FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, coalesce(len(list_filter(ls, lambda l: trim(l, ' ') <> '')), 0)::INT AS n_lines,
        coalesce(len(list_filter(ls, lambda l: trim(l, ' ') <> '' AND list_contains(lines, trim(l, ' ')))), 0)::INT AS n_dropped,

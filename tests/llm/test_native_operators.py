@@ -60,12 +60,25 @@ def test_line_dedup_odd_rows(odd, empty):
     for r in got.collect():
         by.setdefault(r.doc_id, r)
     assert by[1].text is None and by[2].text == "" and by[3].text == " \n\t "
-    assert by[6].text == "" and by[6].n_dropped == 1       # two of the null host's three pages
+    assert by[6].text == "one two" and by[6].n_dropped == 0   # twice the same page is one page
     assert by[7].text == "one two"                          # another host
     assert by[1].row == "clash"
     assert line_dedup.drop_boilerplate(empty).count() == 0
 
 
+def test_headers_go_and_copies_stay(spark):
+    """A header on a fiftieth of every host's pages goes; lines that only the
+    copies of one page share, and lines of two pages, stay."""
+    docs = []
+    for h in range(4):
+        docs += [(1000 * h + i, f"h{h}", ("All rights reserved\n" if i % 50 == 0 else "") + f"own line {h} {i}\nsecond {h} {i // 2}") for i in range(300)]
+        docs += [(1000 * h + 500 + i, f"h{h}", "All rights reserved\ncopied line\nanother one") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(df).collect()}
+    for i, _, text in docs:
+        assert got[i].text == text.replace("All rights reserved\n", "") and got[i].n_dropped == text.count("All rights")
+
+
 def test_line_ratio_is_per_host(spark):
     rows = [(i, "menu\nbody %d" % i, "big") for i in range(10)] + [(20 + i, "menu\nbody %d" % i, "other") for i in range(2)]
     got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from runlens.llm import decontaminate, jaccard_join, substring_dedup
+from runlens.llm import common, decontaminate, jaccard_join, substring_dedup
 from runlens.llm.common import shingles, words
 from runlens.llm.queries import QUERIES
 from tests.llm.conftest import SF
@@ -98,7 +98,7 @@ def test_jaccard_token_that_unlinked_sets_share(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect()), key=str) == _components(docs)
     posts = spark.createDataFrame([(7, i, 5, 1, 9, i) for i in range(1000)], "token long, sid long, n int, pos int, last long, comp long")
-    assert jaccard_join._within_reach(posts, 80, 100).count() == 0
+    assert jaccard_join._within_reach(common.staged(posts, "test"), 80, 100).count() == 0
 
 
 def test_jaccard_compares_whole_tokens(spark, monkeypatch):

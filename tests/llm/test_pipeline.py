@@ -1,7 +1,7 @@
 """Each stage of the pipeline against its operator's plain meaning."""
 
 import corpus_pipeline as P
-from runlens.llm import decontaminate, line_dedup
+from runlens.llm import decontaminate
 from tests.llm.conftest import SF
 from tests.llm.test_pairs import _components
 
@@ -30,6 +30,21 @@ def test_stages_in_order(spark, docs, tmp_path):
     assert {r.doc_id for r in after.collect()} == set(before)
 
 
+def test_repeated_and_nameless_rows_are_decided(spark):
+    """Rows of one id, rows without one, and copies under several names."""
+    base = "some words of a text that is long enough to be compared with others of its kind"
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(5, base), (5, base), (None, base), (3, base + " too"), (None, "quite another text without any name at all"),
+            (None, "quite another text without any name at all"), (7, "")] + [(7, "")] + [(None, None), (None, f"before {item} after"), (9, item)]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.one_of_each_group(spark, df, SF)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(3, base + " too"), (None, "quite another text without any name at all"), (7, ""), (7, ""), (None, None),
+         (9, item)], key=str)
+    assert sorted(((r.doc_id, r.text) for r in P.without_benchmark(spark, kept, SF).collect()), key=str) == sorted(
+        [(3, base + " too"), (None, "quite another text without any name at all"), (7, ""), (7, ""), (None, None)], key=str)
+
+
 def test_stages_take_odd_documents(spark, odd, empty, tmp_path):
     for j, at in enumerate((odd, empty)):
         for k, (name, stage) in enumerate(P.STAGES):
@@ -38,4 +53,3 @@ def test_stages_take_odd_documents(spark, odd, empty, tmp_path):
             stage(spark, at, SF).write.parquet(f"{tmp_path}/{j}-{k}")
             at = spark.read.parquet(f"{tmp_path}/{j}-{k}")
         assert at.count() >= (j == 0)
-    assert line_dedup.RATIO == 0.1
