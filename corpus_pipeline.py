@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from runlens.llm.common import scratch
+from runlens.llm.common import scratch, staged
 from runlens.llm.queries import held_out, tokenizer_path
 from runlens.sources.tables import read_table
 
@@ -26,25 +26,28 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a tenth of their source's documents are cut; every
+    """Boilerplate lines of the documents' sources are cut; every
     document stays."""
     cut = line_dedup.drop_boilerplate(docs.select(*COLUMNS))
     return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one with the smallest id stays."""
-    groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
-    return kept
+    """Of linked rows the one with the smallest id stays (a null id counts as
+    the largest; of rows with one id, one). Rows are numbered, as ids may
+    repeat or be null, and written with their numbers."""
+    rows = staged(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    groups = (jaccard_join.jaccard_components(rows.select("row", "text"), doc_id="row")
+              .select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = (rows.select("row", "doc_id").join(groups, "row").groupBy("component").agg(F.min(first).alias("first"))
+                .select(F.col("first.row").alias("stays")))
+    return rows.join(kept, F.col("row") == F.col("stays"), "left_semi").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.find_contamination(docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
-    gone = found.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+    """Rows that hold a benchmark item go."""
+    return decontaminate.without_items(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
