@@ -40,12 +40,13 @@ from pyspark.sql import functions as F
 from runlens.llm.common import Bitmap, components, mix, shingles, staged, used_up, words
 
 NUM, DEN = 80, 100            # link when DEN * intersection >= NUM * union
-FREQUENT = 8_000_000          # at most so many tokens (9 bytes each in a task) are held to be frequent: count >= all tokens / FREQUENT
+FREQUENT = 4_000_000          # at most so many tokens (9 bytes each in a task) are held to be frequent: count >= all tokens / FREQUENT
 GROUP = 256                   # sets in a group, about
 STAR_ROUNDS = 1
 PIVOTS = 6                    # per token and round
-PIECE = 1 << 21               # code points hashed at a time in a task (or one text)
-COUNTED = 1 << 22             # tokens counted at a time in a task (or those of a piece)
+BATCH_ROWS = 1000             # rows handed to a task's Python at a time
+PIECE = 1 << 20               # code points hashed at a time in a task (or one text)
+COUNTED = 1 << 21             # tokens counted at a time in a task (or those of a piece)
 PRUNE = 2                     # rounds that drop sets without reach
 EXACT, STEP = 48, 1.02        # sizes from EXACT on form classes, each STEP times as wide as the one before
 
@@ -267,7 +268,16 @@ def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
               den: int = DEN) -> tuple[DataFrame, DataFrame]:
     """(docs, links): (doc_id, n, sid) per row, and enough links (a, b)
     between different sets to connect whatever any link connects."""
-    spark = docs.sparkSession
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH_ROWS))   # every step that runs Python is written in here
+    try:
+        return _set_links(docs, doc_id, text, num, den)
+    finally:
+        conf.set(key, before)
+
+
+def _set_links(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("x"))
     scan = staged(_scan(rows), "jaccard-scan")
     own = scan.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n"), F.col("v").alias("sid"))
