@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,15 @@ SHINGLE = 5
 BITMAP_BITS = 26
 
 
+def pieces(pdf: pd.DataFrame, limit: int, text: str = "x"):
+    """Pieces of a batch that hold about ``limit`` code points of ``text``, or
+    one longer text."""
+    size = np.fromiter((0 if t is None else len(t) for t in pdf[text]), np.int64, len(pdf))
+    cut = np.flatnonzero(np.diff((np.cumsum(size) - size) // limit, prepend=-1, append=1 << 62))
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        yield pdf.iloc[lo:hi]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over an array of unsigned 64-bit values."""
     x = x.astype(np.uint64, copy=True)

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import Bitmap, components, mix, shingles, staged, used_up, words
+from runlens.llm.common import Bitmap, components, mix, pieces, shingles, staged, used_up, words
 
 NUM, DEN = 80, 100            # link when DEN * intersection >= NUM * union
 FREQUENT = 4_000_000          # at most so many tokens (9 bytes each in a task) are held to be frequent: count >= all tokens / FREQUENT
@@ -109,14 +109,6 @@ def _digests(s: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)).view(np.int64)
 
 
-def _chunks(pdf: pd.DataFrame):
-    """Pieces of a batch that hold about ``PIECE`` code points."""
-    size = np.fromiter((0 if t is None else len(t) for t in pdf["x"]), np.int64, len(pdf))
-    cut = np.flatnonzero(np.diff((np.cumsum(size) - size) // PIECE, prepend=-1, append=1 << 62))
-    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        yield pdf.iloc[lo:hi]
-
-
 def _repeated(tokens: list[np.ndarray]) -> pd.DataFrame:
     every = np.concatenate(tokens)
     every.sort()
@@ -130,7 +122,7 @@ def _scan(rows: DataFrame) -> DataFrame:
     def scan(batches):
         seen, held = [], 0
         for pdf in batches:
-            for part in _chunks(pdf):
+            for part in pieces(pdf, PIECE):
                 s, n = _sets(part["x"].tolist())
                 yield pd.DataFrame({"kind": 0, "id": part["d"].astype("Int64"), "n": n, "v": _digests(s, n)})
                 seen.append(s)
@@ -146,7 +138,7 @@ def _scan(rows: DataFrame) -> DataFrame:
 def _emit_prefixes(rows: DataFrame, order: _Frequent, num: int, den: int) -> DataFrame:
     def emit(batches):
         for pdf in batches:
-            for part in _chunks(pdf):
+            for part in pieces(pdf, PIECE):
                 s, n = _sets(part["x"].tolist())
                 sid = _digests(s, n)
                 k = _sort_each(order.keys(s), n)
@@ -162,7 +154,7 @@ def _postings(rows: DataFrame, order: _Frequent, shared: Bitmap, num: int, den:
     last is the set's last prefix token."""
     def emit(batches):
         for pdf in batches:
-            for part in _chunks(pdf):
+            for part in pieces(pdf, PIECE):
                 s, n = _sets(part["x"].tolist())
                 sid = _digests(s, n)
                 k = _sort_each(order.keys(s), n)
@@ -185,7 +177,7 @@ def _wanted_sets(rows: DataFrame, order: _Frequent, sids: DataFrame) -> DataFram
     def emit(batches):
         done: set = set()
         for pdf in batches:
-            for part in _chunks(pdf):
+            for part in pieces(pdf, PIECE):
                 s, n = _sets(part["x"].tolist())
                 sid = _digests(s, n)
                 ends = np.cumsum(n)

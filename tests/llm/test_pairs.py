@@ -184,6 +184,43 @@ def test_passages_around_frequent_lines(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("length", [60, 75, 90])
+def test_near_passages_around_frequent_lines(spark, length):
+    """Pairs of passages with one word edited, around a line of 40 words that
+    60 unrelated documents hold: no run of 50 words need be equal, and the
+    line's keys meet unrelated documents first and last."""
+    rnd = random.Random(length)
+    text = lambda n: " ".join(f"t{rnd.randrange(10 ** 7)}" for _ in range(n))
+    line = text(40)
+    docs = [(d, text(30) + " " + line + " " + text(30)) for d in [*range(30), *range(9000, 9030)]]
+    pairs = []
+    for g in range(300):
+        at = rnd.randint(0, length - 40)
+        passage = (text(at) + " " + line + " " + text(length - 40 - at)).split()
+        other = list(passage)
+        other[rnd.randrange(length)] = "edited"
+        a, b = 1000 + 2 * g, 1001 + 2 * g
+        docs += [(a, text(25) + " " + " ".join(passage) + " " + text(25)), (b, text(31) + " " + " ".join(other) + " " + text(9))]
+        pairs.append((a, b))
+    rows = substring_dedup.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.other_doc) for r in rows}
+    assert found <= {p for a, b in pairs for p in ((a, b), (b, a))}
+    assert sum((a, b) in found and (b, a) in found for a, b in pairs) >= 0.95 * len(pairs)
+    assert all(r.class_id == min(r.doc_id, r.other_doc) and r.others == 1 for r in rows)
+
+
+def test_classes_of_passages(spark):
+    """Documents that passages connect in a chain are one class, rows without
+    an id are its smallest document."""
+    rnd = random.Random(9)
+    text = lambda n: " ".join(f"t{rnd.randrange(10 ** 7)}" for _ in range(n))
+    one, two, three = text(60), text(70), text(55)
+    docs = [(5, one + " " + text(30)), (3, text(8) + " " + one + " " + text(9) + " " + two), (8, two), (8, two), (2, text(200)),
+            (None, three), (1, text(5) + " " + three)]
+    rows = substring_dedup.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id) for r in rows} == {(5, 3), (3, 3), (8, 3), (None, None), (1, None)}
+
+
 def test_passages_repeated_inside_a_text(spark):
     """A passage that a text holds many times, and one of a period below its
     length: every occurrence is a span."""
