@@ -43,6 +43,13 @@ def used_up(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are over. Spark deletes them
+    when the driver's JVM collects what refers to them, which it seldom does by
+    itself while it has memory to spare; called after steps that moved much."""
+    spark._jvm.System.gc()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of the undirected ``links`` (a, b) as (node, root),
     root the smallest node reachable. Large-star/small-star: each round is two
