@@ -265,7 +265,7 @@ def _traces(spark, sf_dir):
         timings = ev.select("compile_id", F.col("seq").alias("stage_no"), F.col("stage").alias("stage_name"), F.col("elapsed_sec").alias("duration_ms"),
                             F.col("atom_count").alias("input_count"), F.col("entity_count").alias("output_count"),
                             (F.col("seq") % 3).alias("warning_count"), F.lit(0).cast("bigint").alias("error_count"))
-        DO.trace_documents(runs, timings, d.llm_calls()).write.mode("overwrite").json(p)
+        DO.trace_documents(runs, timings, d.llm_calls()).write.mode("overwrite").json(p, compression="gzip")
     t = spark.read.schema("compile_id string, trace string").json(_files(spark, sf_dir, "traces", write))
     return t.select("compile_id", F.try_parse_json("trace").alias("doc"))
 

@@ -11,10 +11,11 @@ PROJECTION = "projection"
 PROJECTION_UNKNOWN = 15   # expected in the projection when no stage is known
 
 
-def _counter(df: DataFrame, by: str, name: str) -> DataFrame:
-    """Per run a map of ``by`` to its number of calls; as many entries as there are values."""
-    per = df.groupBy("compile_id", by).agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("compile_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(by, "n")))).alias(name))
+def _counter(calls: str, field: str) -> Column:
+    """A map of ``field`` to its number in the array ``calls`` of a run; as many entries as there are values."""
+    names = F.transform(calls, lambda c: c[field])
+    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(names)), lambda v: F.struct(
+        v, F.size(F.filter(names, lambda n: n.eqNullSafe(v))).cast("bigint"))))
 
 
 def trace_documents(runs: DataFrame, timings: DataFrame, calls: DataFrame) -> DataFrame:
@@ -30,8 +31,8 @@ def trace_documents(runs: DataFrame, timings: DataFrame, calls: DataFrame) -> Da
     each = calls.groupBy("compile_id").agg(
         F.array_sort(F.collect_list(F.struct("ts", "call_id", "source", "prompt_size", "max_tokens", "response_size", "latency_sec", "model")))
         .alias("llm_calls"), F.count(F.lit(1)).alias("total_calls"), F.sum("latency_sec").alias("latency"))
-    j = (runs.join(stages, "compile_id", "left").join(each, "compile_id", "left")
-             .join(_counter(calls, "source", "by_source"), "compile_id", "left").join(_counter(calls, "model", "by_model"), "compile_id", "left"))
+    j = runs.join(stages, "compile_id", "left").join(each, "compile_id", "left").select(
+        "*", _counter("llm_calls", "source").alias("by_source"), _counter("llm_calls", "model").alias("by_model"))
     none = F.create_map().cast("map<string,bigint>")
     seconds = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6
     doc = F.struct(
