@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import Bitmap, components, mix, pieces, shingles, staged, used_up, words
+from runlens.llm.common import Bitmap, components, mix, pieces, release_shuffles, shingles, staged, used_up, words
 
 NUM, DEN = 80, 100            # link when DEN * intersection >= NUM * union
 FREQUENT = 4_000_000          # at most so many tokens (9 bytes each in a task) are held to be frequent: count >= all tokens / FREQUENT
@@ -230,6 +230,7 @@ def _linked_pairs(rows: DataFrame, order: _Frequent, pairs: DataFrame, name: str
     sets = _wanted_sets(rows, order, pairs.select(F.explode(F.array("a", "b")).alias("sid")))
     links = staged(_verify_pairs(pairs, sets, num, den), f"jaccard-links-{name}")
     used_up(pairs, sets)
+    release_shuffles(rows.sparkSession)
     return links
 
 
@@ -253,6 +254,7 @@ def _within_reach(p: DataFrame, num: int, den: int) -> DataFrame:
         met = reached.groupBy("token").agg(F.min("n").alias("n0"), F.max("reach").alias("r1"))
         before, p = p, staged(reached.join(met, "token").filter("n0 <= reach AND n <= r1").drop("n0", "r1"), "jaccard-reach")
         used_up(before)
+        release_shuffles(p.sparkSession)
     return p
 
 
@@ -284,6 +286,7 @@ def _set_links(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> t
     posts = staged(_postings(rows, order, Bitmap(shared, "token"), num, den)
                    .join(shared, "token").dropDuplicates(["token", "sid"]), "jaccard-postings")
     used_up(shared)
+    release_shuffles(docs.sparkSession)
 
     # Star rounds: every set against pivots of its tokens that lie in another
     # component by then. A set that no pivot reaches waits for the matrix.
@@ -307,6 +310,7 @@ def _set_links(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> t
         p = staged(posts.join(roots, F.col("sid") == F.col("node"), "left")
                         .withColumn("comp", F.coalesce("root", "sid")).drop("node", "root"), "jaccard-placed")
         used_up(roots)
+        release_shuffles(docs.sparkSession)
 
     p = _within_reach(p, num, den)
     # What the stars link is similar: cut into groups of one class of sizes.
@@ -320,6 +324,7 @@ def _set_links(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> t
     grouped, groups = groups, groups.select("sid", "gid")
     matrix = staged(p.join(groups, "sid").groupBy("token", "gid").agg(F.max(F.col("n") - F.col("pos")).alias("rest"))
                      .join(shape, "gid"), "jaccard-matrix")
+    release_shuffles(docs.sparkSession)
     # The larger of two sets asks for the smaller one's class, as far as its
     # reach goes. A query and a member that link have a first token in common,
     # and from there on enough left on both sides.
@@ -337,6 +342,7 @@ def _set_links(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> t
                      .groupBy("q", "n", "gid", "n0", "n1").agg(F.count(F.lit(1)).alias("c"))
                      .filter((den + num) * (F.col("c") + behind) >= num * (F.col("n") + least))
                      .select("q", "gid"), "jaccard-queries")
+    release_shuffles(docs.sparkSession)
     # Open the groups that are left.
     own_n = p.select("sid", "n", "last").distinct()
     opened = (cand.join(groups, "gid").select(F.col("q").alias("a"), F.col("sid").alias("b"))

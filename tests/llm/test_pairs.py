@@ -326,3 +326,15 @@ def test_short_benchmark_items_match_between_word_borders(spark):
     got = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"),
                                            spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, 1, 0, 18), (1, 5, 0, 18), (None, 2, 0, 2), (4, 2, 0, 3)], key=str)
+
+
+def test_shuffles_are_let_go_before_the_next_large_step(spark, docs, monkeypatch):
+    """Shuffle files of a finished step do not add to those of the next."""
+    for module, builds, steps in ((jaccard_join, lambda: jaccard_join.set_links(docs), {"jaccard-postings", "jaccard-placed", "jaccard-reach", "jaccard-matrix", "jaccard-queries"}),
+                                  (substring_dedup, lambda: substring_dedup.near_duplicate_passages(docs), {"windows-keys", "windows", "windows-runs"})):
+        seen = []
+        write = module.staged
+        monkeypatch.setattr(module, "staged", lambda df, name, write=write, seen=seen: seen.append(name) or write(df, name))
+        monkeypatch.setattr(module, "release_shuffles", lambda s, seen=seen: seen.append(None))
+        builds()
+        assert {a for a, b in zip(seen, seen[1:]) if b is None} >= steps
