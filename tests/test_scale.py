@@ -26,6 +26,44 @@ def test_messages_of_one_file_are_built_in_many_tasks(spark, tmp_path):
     assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty() and got.count() == 400
 
 
+def test_a_task_has_a_bounded_number_of_messages(spark, tmp_path, monkeypatch):
+    """More rows are dealt to more tasks, equal rows and null keys too, and the
+    one task that reads a file need not sort it before."""
+    monkeypatch.setattr("runlens.session.ROWS_PER_TASK", 50)
+    rows = [(None if k % 3 == 0 else k // 2, k % 50, f"{k % 5}-X", k // 2) for k in range(400)]
+    (spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, t long").withColumn("o_orderdate", F.timestamp_seconds("t"))
+          .coalesce(1).write.parquet(str(tmp_path / "orders.parquet")))
+    d = Derived(spark, str(tmp_path))
+    got = d.raw_messages(2)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 400 and len(sizes) == 8 and max(sizes) <= 150
+    assert "RoundRobinPartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    plain = d.raw_messages()
+    assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+
+
+def test_hopeless_texts_are_not_parsed(spark):
+    """Only a text that begins with '{' can be an object; the others decode to
+    nothing or by base64, as when each was parsed."""
+    b64 = "eyJhIjogMX0="   # {"a": 1}
+    obj = '{"a": 1}'
+    texts = {obj: True, " \n" + obj + "\u00a0": True, "\ufeff" + obj: False, "/**/" + obj: False, "[" + obj + "]": False, '"x"': False,
+             "1": False, "": False, "{": False, b64: True, "\t" + b64 + "\n": True, b64[:6] + "\r\n" + b64[6:]: True, b64[:-1]: False,
+             "WzFd": False, "\x0b" + obj: True, "{" + b64: True}
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)] + [(-1, None)], "k long, content string")
+    out = D.decode_stage(df)
+    got = {r.k: (r.v, r.p) for r in out.select("k", F.to_json("_v").alias("v"), F.to_json("_peek").alias("p")).collect()}
+    for k, (x, ok) in enumerate(texts.items()):
+        assert (got[k][0] == '{"a":1}') == ok and (got[k][0] is None) == (not ok), x
+        assert (got[k][1] is not None) == (ok and "\r" not in x and x[:2] != "{e"), x
+    assert got[-1] == (None, None)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("try_parse_json(") == plan.count("THEN try_parse_json(") == 2
+    # what is not tried gives no object anyway
+    direct = df.where(~F.coalesce(F.btrim("content"), F.lit("")).startswith("{")).select("content", F.try_parse_json("content").alias("v"))
+    assert direct.where(D.is_object(F.col("v"))).where(~F.btrim("content", F.lit(" \n\r\t")).startswith("{")).isEmpty()
+
+
 def test_last_stages_read_narrow_rows(spark):
     """The last status of a compile carries no error text through the aggregate; ties are settled as on whole rows."""
     ev = spark.createDataFrame([("c", "d", "failed", "killed", 5, 1, "E" * 500), ("c", "d", "failed", "timeout", 5, 1, "E"), ("k", "d", "running", "x", 1, 2, None)],
