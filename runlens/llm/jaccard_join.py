@@ -49,6 +49,7 @@ PIECE = 1 << 20               # code points hashed at a time in a task (or one t
 COUNTED = 1 << 21             # tokens counted at a time in a task (or those of a piece)
 PRUNE = 2                     # rounds that drop sets without reach
 EXACT, STEP = 48, 1.02        # sizes from EXACT on form classes, each STEP times as wide as the one before
+BLOCK = 8                     # classes of sizes in a block
 
 
 def _prefix(n, num: int, den: int):
@@ -213,13 +214,13 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     return pairs.join(left, "a").join(right, "b").mapInPandas(check, "a long, b long")
 
 
-def _bounded_pairs(pairs: DataFrame, posts: DataFrame, num: int, den: int) -> DataFrame:
+def _bounded_pairs(pairs: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
     """Of the pairs (a, n, last, b, nb, lb) those whose counted prefix overlap
-    leaves them a chance, as (a, b) with a > b."""
-    one, two = posts.select(F.col("sid").alias("a"), "token"), posts.select(F.col("sid").alias("b"), "token")
+    leaves them a chance, as (a, b) with a > b. ``prefixes``: (sid, toks), the
+    shared prefix tokens of each set in one row, so that a pair is one row too."""
+    one, two = prefixes.select(F.col("sid").alias("a"), F.col("toks").alias("ta")), prefixes.select(F.col("sid").alias("b"), F.col("toks").alias("tb"))
     rest = F.when(F.col("last") <= F.col("lb"), _behind(F.col("n"), num, den)).otherwise(_behind(F.col("nb"), num, den))
-    return (pairs.join(one, "a").join(two, ["b", "token"]).groupBy("a", "b", "n", "nb", "last", "lb")
-                 .agg(F.count(F.lit(1)).alias("c"))
+    return (pairs.join(one, "a").join(two, "b").withColumn("c", F.size(F.array_intersect("ta", "tb")))
                  .filter((den + num) * (F.col("c") + rest) >= num * (F.col("n") + F.col("nb")))
                  .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -287,6 +288,8 @@ def _set_links(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> t
                    .join(shared, "token").dropDuplicates(["token", "sid"]), "jaccard-postings")
     used_up(shared)
     release_shuffles(docs.sparkSession)
+    prefixes = staged(posts.groupBy("sid").agg(F.collect_list("token").alias("toks")), "jaccard-prefixes")
+    release_shuffles(docs.sparkSession)
 
     # Star rounds: every set against pivots of its tokens that lie in another
     # component by then. A set that no pivot reaches waits for the matrix.
@@ -304,7 +307,7 @@ def _set_links(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> t
                   .filter((F.col("comp") != F.col("cb")) & (den * F.least("n", "nb") >= num * F.greatest("n", "nb"))
                           & ((den + num) * F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("pb")) >= num * (F.col("n") + F.col("nb"))))
                   .select(F.col("sid").alias("a"), "n", "last", "b", "nb", "lb").distinct())
-        found = _linked_pairs(rows, order, _bounded_pairs(stars, posts, num, den), "star", num, den)
+        found = _linked_pairs(rows, order, _bounded_pairs(stars, prefixes, num, den), "star", num, den)
         links = found if links is None else links.unionAll(found)
         roots = components(links)
         p = staged(posts.join(roots, F.col("sid") == F.col("node"), "left")
@@ -326,13 +329,16 @@ def _set_links(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> t
                      .join(shape, "gid"), "jaccard-matrix")
     release_shuffles(docs.sparkSession)
     # The larger of two sets asks for the smaller one's class, as far as its
-    # reach goes. A query and a member that link have a first token in common,
-    # and from there on enough left on both sides.
+    # reach goes; blocks of classes meet, so that a query is in few of them. A
+    # query and a member that link have a first token in common, and from there on
+    # enough left on both sides.
     small = F.ceil(F.col("n") * num / F.lit(den))
     least = F.greatest(F.col("n0"), small)
-    asks = p.withColumn("own", _size_class(F.col("n"))).withColumn(
-        "sb", F.explode(F.sequence(_size_class(small), _size_class(F.least("n", "reach")))))
-    met = (asks.join(matrix, ["token", "sb"])
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+    asks = (p.withColumn("own", _size_class(F.col("n"))).withColumn("lo", _size_class(small)).withColumn("hi", _size_class(F.least("n", "reach")))
+             .withColumn("block", F.explode(F.sequence(block("lo"), block("hi")))))
+    met = (asks.join(matrix.withColumn("block", block("sb")), ["token", "block"])
+            .filter((F.col("sb") >= F.col("lo")) & (F.col("sb") <= F.col("hi")))
             .filter((F.col("comp") != F.col("gcomp")) & ((F.col("sb") < F.col("own")) | (F.col("comp") < F.col("gcomp")))
                     & (num * F.col("n") <= den * F.col("n1")) & (F.col("n0") <= F.col("reach")) & (F.col("n") <= F.col("greach"))
                     & ((den + num) * F.least(F.col("n") - F.col("pos"), F.col("rest")) >= num * (F.col("n") + least)))
@@ -349,8 +355,8 @@ def _set_links(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> t
                   .join(own_n.select(F.col("sid").alias("a"), "n", "last"), "a")
                   .join(own_n.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb")), "b")
                   .filter(den * F.least("n", "nb") >= num * F.greatest("n", "nb")))
-    links = links.unionAll(_linked_pairs(rows, order, _bounded_pairs(opened, posts, num, den), "matrix", num, den))
-    used_up(posts, p, matrix, cand, grouped)
+    links = links.unionAll(_linked_pairs(rows, order, _bounded_pairs(opened, prefixes, num, den), "matrix", num, den))
+    used_up(posts, prefixes, p, matrix, cand, grouped)
     return own, links
 
 

@@ -65,6 +65,20 @@ def test_jaccard_odd_rows(odd, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_pairs_are_bounded_a_row_each(spark):
+    """The counted prefix overlap of a pair is found with the pair as one row: no
+    row per shared token is shuffled."""
+    rnd = random.Random(5)
+    sets = {k: (sorted(rnd.sample(range(40), 12)), rnd.randint(40, 60)) for k in range(30)}
+    prefixes = spark.createDataFrame([(k, t) for k, (t, _) in sets.items()], "sid long, toks array<long>")
+    rows = [(a, sets[a][1], sets[a][0][-1], b, sets[b][1], sets[b][0][-1]) for a in sets for b in sets if a != b]
+    got = jaccard_join._bounded_pairs(spark.createDataFrame(rows, "a long, n int, last long, b long, nb int, lb long"), prefixes, 80, 100)
+    want = {(max(a, b), min(a, b)) for a, n, last, b, nb, lb in rows
+            if 180 * (len(set(sets[a][0]) & set(sets[b][0])) + -(-(n if last <= lb else nb) * 80 // 100) - 1) >= 80 * (n + nb)}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and 0 < len(want) < 435
+    assert "token" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("pivots", [0, 2])
 def test_jaccard_chains_at_the_threshold(spark, monkeypatch, pivots):
     """Sets around the threshold, in chains and groups of near copies. With no
