@@ -50,6 +50,7 @@ COUNTED = 1 << 21             # tokens counted at a time in a task (or those of
 PRUNE = 2                     # rounds that drop sets without reach
 EXACT, STEP = 48, 1.02        # sizes from EXACT on form classes, each STEP times as wide as the one before
 BLOCK = 8                     # classes of sizes in a block
+UNION = 4096                  # tokens of a group's union in a row, about
 
 
 def _prefix(n, num: int, den: int):
@@ -259,6 +260,19 @@ def _within_reach(p: DataFrame, num: int, den: int) -> DataFrame:
     return p
 
 
+def _bounded_queries(met: DataFrame, p: DataFrame, matrix: DataFrame, least, num: int, den: int) -> DataFrame:
+    """Of the queries and groups (q, n, gid, n0, n1) those whose counted overlap
+    leaves them a chance, as (q, gid). A query's tokens are one row and a group's
+    a row per UNION of them, so no row per token is made of what meets."""
+    asked = p.groupBy(F.col("sid").alias("q")).agg(F.collect_list("token").alias("tq"))
+    parts = matrix.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / F.lit(UNION)).alias("parts"))
+    unions = (matrix.select("gid", "token").join(parts, "gid")
+                    .groupBy("gid", F.pmod(F.xxhash64("token"), F.col("parts")).alias("part")).agg(F.collect_list("token").alias("tg")))
+    behind = F.greatest(_behind(F.col("n"), num, den), _behind(F.col("n1"), num, den))
+    return (met.join(asked, "q").join(unions, "gid").groupBy("q", "n", "gid", "n0", "n1").agg(F.sum(F.size(F.array_intersect("tq", "tg"))).alias("c"))
+               .filter((den + num) * (F.col("c") + behind) >= num * (F.col("n") + least)).select("q", "gid"))
+
+
 def set_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM,
               den: int = DEN) -> tuple[DataFrame, DataFrame]:
     """(docs, links): (doc_id, n, sid) per row, and enough links (a, b)
@@ -343,11 +357,7 @@ def _set_links(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> t
                     & (num * F.col("n") <= den * F.col("n1")) & (F.col("n0") <= F.col("reach")) & (F.col("n") <= F.col("greach"))
                     & ((den + num) * F.least(F.col("n") - F.col("pos"), F.col("rest")) >= num * (F.col("n") + least)))
             .select(F.col("sid").alias("q"), "n", "gid", "n0", "n1").distinct())
-    behind = F.greatest(_behind(F.col("n"), num, den), _behind(F.col("n1"), num, den))
-    cand = staged(met.join(p.select(F.col("sid").alias("q"), "token"), "q").join(matrix.select("gid", "token"), ["gid", "token"])
-                     .groupBy("q", "n", "gid", "n0", "n1").agg(F.count(F.lit(1)).alias("c"))
-                     .filter((den + num) * (F.col("c") + behind) >= num * (F.col("n") + least))
-                     .select("q", "gid"), "jaccard-queries")
+    cand = staged(_bounded_queries(met, p, matrix, least, num, den), "jaccard-queries")
     release_shuffles(docs.sparkSession)
     # Open the groups that are left.
     own_n = p.select("sid", "n", "last").distinct()

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from runlens.llm import common, decontaminate, jaccard_join, substring_dedup
 from runlens.llm.common import shingles, words
@@ -79,6 +80,25 @@ def test_jaccard_pairs_are_bounded_a_row_each(spark):
     assert "token" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("union", [4096, 3])
+def test_jaccard_queries_are_bounded_a_row_each(spark, monkeypatch, union):
+    """The overlap of a query with a group's union is found with the pair as one
+    row (and one per part of a large union): no row per token is made of it."""
+    monkeypatch.setattr(jaccard_join, "UNION", union)
+    rnd = random.Random(6)
+    sets = {k: (rnd.sample(range(40), 10), rnd.randint(40, 60)) for k in range(20)}
+    unions = {g: (rnd.sample(range(40), 20), rnd.randint(40, 60)) for g in range(100, 115)}
+    p = spark.createDataFrame([(k, t) for k, (ts, _) in sets.items() for t in ts], "sid long, token long")
+    matrix = spark.createDataFrame([(g, t) for g, (ts, _) in unions.items() for t in ts], "gid long, token long")
+    rows = [(q, sets[q][1], g, unions[g][1] - 2, unions[g][1]) for q in sets for g in unions]
+    got = jaccard_join._bounded_queries(spark.createDataFrame(rows, "q long, n int, gid long, n0 int, n1 int"), p, matrix, F.col("n0"), 80, 100)
+    want = {(q, g) for q, n, g, n0, n1 in rows
+            if 180 * (len(set(sets[q][0]) & set(unions[g][0])) + -(-max(n, n1) * 80 // 100) - 1) >= 80 * (n + n0)}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and 0 < len(want) < 300
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and "token" in line for line in plan.splitlines())
+
+
 @pytest.mark.parametrize("pivots", [0, 2])
 def test_jaccard_chains_at_the_threshold(spark, monkeypatch, pivots):
     """Sets around the threshold, in chains and groups of near copies. With no
